@@ -36,16 +36,19 @@ def chunk_documents(
     last = F.when(n <= max_tokens, 0).otherwise(
         (F.ceil((n - max_tokens) / F.lit(stride)) * stride).cast("int")
     )
-    starts = F.sequence(F.lit(0), last, F.lit(stride))
-    pieces = tokens.filter(n > 0).select(
-        "uri", *others, "_words", F.posexplode(starts).alias("ordinal", "_start")
-    )
-    chunk = F.slice(F.col("_words"), F.col("_start") + 1, F.lit(max_tokens))
-    chunked = pieces.select("uri", *others, F.col("ordinal").cast("bigint").alias("ordinal"), chunk.alias("_chunk"))
-    chunked = chunked.select(
-        "uri", *others, "ordinal", F.array_join("_chunk", " ").alias("text"),
-        F.size("_chunk").cast("bigint").alias("n_tokens"),
+    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
+        F.sequence(F.lit(0), last, F.lit(stride))
     )
+
+    def piece(start, ordinal):
+        part = F.slice(F.col("_words"), start + 1, F.lit(max_tokens))
+        return F.struct(
+            ordinal.cast("bigint").alias("ordinal"), F.array_join(part, " ").alias("text"),
+            F.size(part).cast("bigint").alias("n_tokens"),
+        )
+
+    # The pieces are cut inside the generator, so the word array is not copied to every chunk row.
+    chunked = tokens.select("uri", *others, F.inline(F.transform(starts, piece)))
     identity = F.concat_ws("\x1f", "uri", F.col("ordinal").cast("string"), "text")
     return chunked.select(F.sha2(identity, 256).alias("chunk_id"), "*")
 
