@@ -27,12 +27,11 @@ def vision_summary(detections: DataFrame) -> DataFrame:
     def rounded(item: Column) -> Column:
         return F.struct(item["name"].alias("name"), F.bround(item["confidence"], 2).alias("confidence"))
 
-    ranked = F.array_sort(
+    ranked = F.array_sort(F.transform(
         F.filter("labels", lambda x: x["confidence"] >= limit),
-        lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
-        .when(a["confidence"] < b["confidence"], 1)
-        .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),
-    )
+        lambda x: F.struct((-x["confidence"]).alias("order"), x["name"].alias("name"),
+                           x["confidence"].alias("confidence")),
+    ))
 
     def emotions(face: Column) -> Column:
         strong = F.filter(face["emotions"], lambda e: F.coalesce(e["confidence"], F.lit(0.0)) >= limit)
