@@ -117,6 +117,17 @@ def usage_maps(usage: DataFrame) -> DataFrame:
     )
 
 
+def run_traces(looped: DataFrame, paired: DataFrame) -> DataFrame:
+    """Traces of the tools a run really executed, in call order; a discarded turn runs none.
+
+    A run has at most one tool turn per iteration, which bounds the array.
+    """
+    executed = looped.filter((F.col("stop_reason") == STOP_TOOL) & ~F.col("discarded")).select("request_id", "i")
+    traced = paired.join(executed, ["request_id", "i"])
+    trace = F.struct("i", F.col("tool").alias("name"), "status", "output_preview")
+    return traced.groupBy("request_id").agg(F.sort_array(F.collect_list(trace)).alias("tool_trace"))
+
+
 def finalize_responses(
     looped: DataFrame, usage: DataFrame | None = None, traces: DataFrame | None = None,
     citations: DataFrame | None = None, config: EngineConfig = EngineConfig(),

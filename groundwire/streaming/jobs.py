@@ -90,37 +90,36 @@ def stream_latency_p99(
     ).select(F.col("_w.start").alias("period"), "value", "calls")
 
 
-ALARM_STATE = "period long, run long"
+ALARM_STATE = "seen long, last_breach long, run long"
 ALARM_EDGES = "alarm string, period_index long, state string, run long"
 
 
 def stream_alarm_edges(series: DataFrame, period_seconds: int, threshold: float, periods: int) -> DataFrame:
     """State changes per alarm over a stream of closed windows (alarm, period, value).
 
-    State per alarm: the last breaching period and the length of its run. A run that ends is noticed
-    at the next breach or when a later, fine window arrives, and closes right after its last breach.
-    Values are folded in period order within a batch; periods already passed are late and dropped.
+    State per alarm: the last window seen, the last breach and the length of its run. A run is over
+    at the next window that does not continue it; its OK edge lies right after the last breach.
+    Windows are folded in order within a batch; those not after the last one seen are late, dropped.
     """
 
     def edges(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, run = state.get if state.exists else (-1, 0)
+        seen, last_breach, run = state.get if state.exists else (-1, -1, 0)
         rows = []
-        window = pd.concat(list(frames)).sort_values("n")
-        for n, value in zip(window["n"], window["value"]):
-            if n <= last:
+        windows = pd.concat(list(frames)).sort_values("n")
+        for n, value in zip(windows["n"], windows["value"]):
+            if n <= seen:
                 continue
-            if run and n > last + 1 or (run and value < threshold):
+            seen = n
+            breach = value >= threshold
+            if run and not (breach and n == last_breach + 1):
                 if run >= periods:
-                    rows.append((key[0], last + 1, "OK", run))
+                    rows.append((key[0], last_breach + 1, "OK", run))
                 run = 0
-            if value >= threshold:
-                run += 1
+            if breach:
+                last_breach, run = n, run + 1
                 if run == periods:
                     rows.append((key[0], n, "ALARM", run))
-                last = n
-            elif not run:
-                last = max(last, n) if last >= 0 else last
-        state.update((int(last), int(run)))
+        state.update((int(seen), int(last_breach), int(run)))
         yield pd.DataFrame(rows, columns=["alarm", "period_index", "state", "run"])
 
     indexed = series.select(
