@@ -5,10 +5,10 @@ SQL ``trim`` strips blanks only and Java ``\\s`` is ASCII only, so the whitespac
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Unicode counts as whitespace for stripping and splitting.
@@ -46,3 +46,14 @@ def starts_with_any(text: Column, needles: Iterable[str]) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
+
+
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters and projections on plain computed columns are merged into the expressions they use, so a
+    rule set that mentions the lower-cased text thirty times would lower it thirty times. Nothing is
+    merged across a generator: each column is evaluated once per row.
+    """
+    bound = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(bound)))

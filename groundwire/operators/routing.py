@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwire.config import CLASSIFIER_INPUT_CHARS, FAST, REASONING, EngineConfig
 from groundwire.functions import strict_json
 from groundwire.functions.routing import RETRIEVAL_HINTS, complexity_decision, decision
-from groundwire.functions.text import WHITESPACE_RANGES, contains_any, strip, word_count
+from groundwire.functions.text import WHITESPACE_RANGES, compute_once, contains_any, strip, word_count
 from groundwire.sources.requests import has_image
 
 # Reasons and sources written by the cascade, and the classifier's defaults.
@@ -34,16 +34,17 @@ def route_modality(requests: DataFrame) -> DataFrame:
 
 def classify_complexity(requests: DataFrame, name: str = "heuristic") -> DataFrame:
     """Add the rule verdict as a struct column (tier, reason, source, confidence)."""
-    prepared = requests.withColumn("_stripped", strip(F.col("query")))
-    prepared = prepared.withColumn("_lowered", F.lower(F.col("_stripped")))
-    prepared = prepared.withColumns({
+    prepared = compute_once(requests, {
+        "_stripped": strip(F.col("query")), "_lowered": F.lower(strip(F.col("query"))),
+    })
+    prepared = compute_once(prepared, {
         "_words": word_count(F.col("_lowered")),
         "_compact": strip(F.regexp_replace("_lowered", f"[^a-z{WHITESPACE_RANGES}']", "")),
     })
     verdict = complexity_decision(
         F.col("_stripped"), F.col("_lowered"), F.col("_words"), F.col("_compact"), has_image(requests)
     )
-    return prepared.withColumn(name, verdict).drop("_stripped", "_lowered", "_words", "_compact")
+    return compute_once(prepared, {name: verdict}).drop("_stripped", "_lowered", "_words", "_compact")
 
 
 def _override(requests: DataFrame) -> Column:
@@ -110,8 +111,9 @@ def parse_classifier(outputs: DataFrame, raw: str = "raw") -> DataFrame:
         )),
     ).otherwise(trimmed)
     sliced = F.regexp_extract(F.col("_bare"), r"(?s)\{.*\}", 0)
-    parsed = outputs.withColumn("_bare", bare).withColumn(
-        "_json", F.coalesce(strict_json.parse(F.col("_bare")), strict_json.parse(sliced))
+    parsed = compute_once(outputs, {"_bare": bare})
+    parsed = compute_once(
+        parsed, {"_json": F.coalesce(strict_json.parse(F.col("_bare")), strict_json.parse(sliced))}
     )
     json = F.col("_json")
     confidence = strict_json.member(json, "$.confidence")
@@ -137,7 +139,7 @@ def parse_classifier(outputs: DataFrame, raw: str = "raw") -> DataFrame:
         .when(~known_tier, "unknown tier")
         .when(score.isNull(), "confidence is no number")
     )
-    checked = parsed.withColumn("parse_error", error)
+    checked = compute_once(parsed, {"parse_error": error})
     verdict = F.when(
         F.col("parse_error").isNull(),
         decision(tier, F.concat(F.lit(CLASSIFIER_PREFIX), reason), "llm", score),

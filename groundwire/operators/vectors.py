@@ -186,31 +186,36 @@ class _Cells:
         self.head_cell = heads["cell"].to_numpy()
         self.head_distance = heads["pivot_distance"].to_numpy()
 
+    def as_arrays(self) -> dict[str, np.ndarray]:
+        """Plain arrays for the tasks; a broadcast class would need this package on the executors."""
+        names = ("pivots", "outer", "inner", "blocks", "head_cell", "head_distance")
+        return {name: getattr(self, name) for name in names}
 
-def _probed_cells(queries: np.ndarray, cells: _Cells, probes: int | None) -> np.ndarray:
+
+def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int | None) -> np.ndarray:
     """Which cells each query visits: the nearest ``probes``, or all that may hold a result."""
-    gaps = queries[:, None, :] - cells.pivots[None, :, :]
+    gaps = queries[:, None, :] - cells["pivots"][None, :, :]
     to_pivot = np.sqrt(np.einsum("qpd,qpd->qp", gaps, gaps))
-    filled = cells.blocks > 0
+    filled = cells["blocks"] > 0
     if probes is not None:
         order = np.argsort(np.where(filled, to_pivot, np.inf), axis=1, kind="stable")[:, :probes]
         wanted = np.zeros_like(to_pivot, dtype=bool)
         np.put_along_axis(wanted, order, True, axis=1)
         return wanted & filled
-    reach = to_pivot[:, cells.head_cell] + cells.head_distance[None, :]
+    reach = to_pivot[:, cells["head_cell"]] + cells["head_distance"][None, :]
     kth = min(MAX_RETRIEVAL_RESULTS, reach.shape[1]) - 1
     # Fewer stored vectors than k: nothing can be ruled out.
     bound = (
         np.partition(reach, kth, axis=1)[:, kth]
         if reach.shape[1] >= MAX_RETRIEVAL_RESULTS else np.full(len(queries), np.inf)
     )
-    closest_possible = np.maximum(to_pivot - cells.outer[None, :], cells.inner[None, :] - to_pivot)
+    closest_possible = np.maximum(to_pivot - cells["outer"][None, :], cells["inner"][None, :] - to_pivot)
     return filled & (closest_possible <= (bound * (1 + 1e-9) + 1e-9)[:, None])
 
 
 def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: int) -> DataFrame:
     """One row per query and corpus block it must meet."""
-    shared = asked.sparkSession.sparkContext.broadcast(cells)
+    shared = asked.sparkSession.sparkContext.broadcast(cells.as_arrays())
     id_type = _id_type(asked, "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: i
                 part = batch.slice(start, 256)
                 wanted = _probed_cells(as_matrix(part.column("embedding")), known, probes)
                 q_at, cell = np.nonzero(wanted)
-                repeats = known.blocks[cell]
+                repeats = known["blocks"][cell]
                 q_all, cell_all = np.repeat(q_at, repeats), np.repeat(cell, repeats)
                 offsets = np.arange(len(q_all)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
                 taken = part.take(pa.array(q_all))
@@ -238,9 +243,9 @@ def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: i
 
 def _join_blocks(asked: DataFrame, stored: DataFrame, cells: _Cells, probes: int | None) -> DataFrame:
     query_blocks = max(1, -(-asked.count() // cells.block_rows))
-    visits = _visits(asked, cells, probes, query_blocks)
     assigned = cells.assign(stored)
     cells.summarize(assigned)
+    visits = _visits(asked, cells, probes, query_blocks)
     sizes = F.create_map(*[F.lit(int(x)) for c, n in enumerate(cells.blocks) for x in (c, max(n, 1))])
     placed = assigned.select(
         "chunk_id", "embedding", "cell",

@@ -54,5 +54,5 @@ def label_counts(summary: DataFrame) -> DataFrame:
     """Images and mean confidence per label."""
     labels = summary.select("image_id", F.inline("labels"))
     return labels.groupBy("name").agg(
-        F.count("*").alias("images"), F.round(F.avg("confidence"), 4).alias("avg_confidence")
+        F.count("*").alias("images"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
     )

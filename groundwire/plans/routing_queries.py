@@ -159,9 +159,11 @@ def bind_models(spark, sf_dir):
 def build_inference_batch(spark, sf_dir):
     bound = routing.bind_models(decided(spark, sf_dir), CONFIG)
     batch = payloads.build_inference_batch(bound, CONFIG)
-    last_block = F.concat(F.lit("$.messages[0].content["), F.col("n_blocks") - 1, F.lit("].text"))
     # The text as it stands in the payload shows that escaping and block order hold.
-    return batch.withColumn("payload_text", F.get_json_object("payload", last_block)).drop("payload")
+    texts = [F.get_json_object("payload", f"$.messages[0].content[{n}].text") for n in (0, 1)]
+    return batch.withColumn(
+        "payload_text", F.when(F.col("n_blocks") == 1, texts[0]).otherwise(texts[1])
+    ).drop("payload")
 
 
 @register("tier_share", f"""WITH {_DECIDED}

@@ -137,7 +137,7 @@ final AS (SELECT l.request_id,
     WHEN l.stop_cause = 'max iterations' THEN {v.lit(loops.FALLBACK_LIMIT)} ELSE '' END AS answer,
   l.stop_reason, l.stop_cause, CASE WHEN escalated_at IS NOT NULL THEN 'reasoning' ELSE l.tier END AS model_tier,
   CASE WHEN escalated_at IS NULL AND l.tier = 'fast' THEN {v.lit(CONFIG.fast_model_id)} ELSE {v.lit(CONFIG.reasoning_model_id)} END AS model_id,
-  CASE WHEN escalated_at IS NOT NULL THEN 'escalation:' || cause ELSE l.reason END AS router_reason,
+  CASE WHEN escalated_at IS NOT NULL THEN 'escalation:' || c.cause ELSE l.reason END AS router_reason,
   CASE WHEN escalated_at IS NOT NULL THEN 'forced' ELSE l.source END AS router_source,
   CASE WHEN has_trace THEN 'intervened' END AS policy_action,
   l.i + 1 AS iterations, c.latency_ms, c.input_tokens, c.output_tokens, l.requested_at, l.tier, escalated_at IS NOT NULL AS escalated

@@ -12,6 +12,7 @@ from groundwire.config import (
     MAX_URL_CHARS,
 )
 from groundwire.functions import strict_json
+from groundwire.functions.text import compute_once
 
 # Accepted image formats.
 IMAGE_FORMATS = ("png", "jpeg", "gif", "webp")
@@ -74,7 +75,7 @@ def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
     fields are all acceptable. Undeclared fields are dropped.
     """
     raw = F.when(F.coalesce(F.col(body), F.lit("")) == "", F.lit("{}")).otherwise(F.col(body))
-    parsed = bodies.withColumn("_json", strict_json.parse(raw))
+    parsed = compute_once(bodies, {"_json": strict_json.parse(raw)})
     json = F.col("_json")
     is_object = strict_json.kind(json) == "OBJECT"
     field_problems = [
@@ -108,12 +109,12 @@ def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
         F.create_map().cast("map<string,string>"),
     )
     others = [c for c in bodies.columns if c != body]
-    fields = parsed.select(
-        *others,
-        text("query"), text("session_id"), image.alias("image"), text("image_url"),
-        text("image_base64"), text("image_format"), metadata.alias("metadata"),
-        F.array_compact(F.array(*field_problems)).alias("_problems"),
-    )
+    fields = compute_once(parsed.select(*others, "_json"), {
+        "query": text("query"), "session_id": text("session_id"), "image": image,
+        "image_url": text("image_url"), "image_base64": text("image_base64"),
+        "image_format": text("image_format"), "metadata": metadata,
+        "_problems": F.array_compact(F.array(*field_problems)),
+    }).drop("_json")
     n_sources = (
         F.col("image").isNotNull().cast("int")
         + (F.coalesce(F.col("image_url"), F.lit("")) != "").cast("int")
