@@ -24,7 +24,12 @@ FAST_HINTS = (
     "what is", "what's", "who is", "define", "when is", "summarize this in one", "one sentence",
     "quick summary", "faq",
 )
-CODE_PATTERN = "```|def |class |function |import |select |from src/|refactor|unit test"
+CODE_MARKERS = (
+    "```", "def ", "class ", "function ", "import ", "select ", "from src/", "refactor", "unit test",
+)
+# Characters a case-insensitive search counts as i, s or k although lower() does not.
+FOLDED_LETTERS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
+LONG_QUERY_CHARS = 480
 RETRIEVAL_HINTS = (
     "policy", "document", "manual", "according to", "knowledge", "our ", "handbook", "sop",
     "procedure", "cite", "source",
@@ -53,10 +58,21 @@ def decision(tier: Column | str, reason: Column | str, source: Column | str, con
     )
 
 
+def case_folded(text: Column) -> Column:
+    """Lower case as a case-insensitive search sees it; each replace is a no-op scan if not found."""
+    for letter, plain in FOLDED_LETTERS:
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
 def complexity_decision(
-    stripped: Column, lowered: Column, n_words: Column, compact: Column, has_image: Column
+    stripped: Column, lowered: Column, folded: Column, n_words: Column, compact: Column, has_image: Column
 ) -> Column:
-    """First matching rule wins; the inputs are prepared once per row by the caller."""
+    """First matching rule wins; the inputs are prepared once per row by the caller.
+
+    Substring scans replace the code pattern, all of whose branches are literals. ``n_words`` and
+    ``compact`` may be null for texts past the length limit, which are settled before they are read.
+    """
 
     def verdict(tier: str, reason: str, confidence: float) -> Column:
         return decision(tier, reason, "heuristic", confidence)
@@ -69,10 +85,10 @@ def complexity_decision(
     questions = F.length(lowered) - F.length(F.replace(lowered, F.lit("?"), F.lit("")))
     return (
         F.when(has_image, verdict(REASONING, REASON_IMAGE, 0.97))
-        .when(stripped.rlike(f"(?iu){CODE_PATTERN}"), verdict(REASONING, REASON_CODE, 0.93))
+        .when(contains_any(folded, CODE_MARKERS), verdict(REASONING, REASON_CODE, 0.93))
         .when(contains_any(lowered, REASONING_HINTS), verdict(REASONING, REASON_HINT, 0.88))
         .when(
-            (questions >= 2) | (F.length(stripped) > 480) | (n_words > 80),
+            (F.length(stripped) > LONG_QUERY_CHARS) | (questions >= 2) | (n_words > 80),
             verdict(REASONING, REASON_LONG, 0.78),
         )
         .when(is_greeting, verdict(FAST, REASON_GREETING, 0.96))

@@ -20,6 +20,15 @@ PATTERNS = {
     "EMAIL": "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}[.][A-Za-z]{2,24}",
     "PHONE": "(?:[+]?[0-9]{1,3}[ .-])?[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}",
 }
+# A text without these cannot match; the test is far cheaper than the pattern.
+REQUIRED = {
+    "AWS_ACCESS_KEY": "AKIA|ASIA",
+    "AWS_SECRET_KEY": "(?i)aws",
+    "CREDIT_DEBIT_CARD_NUMBER": "[0-9][0-9 -]{12}",
+    "US_SOCIAL_SECURITY_NUMBER": "[0-9]{3}-[0-9]{2}",
+    "EMAIL": "@",
+    "PHONE": "[0-9]{3}[)]?[ .-][0-9]{3}",
+}
 SEVERITY = {
     "AWS_ACCESS_KEY": "high", "AWS_SECRET_KEY": "high", "CREDIT_DEBIT_CARD_NUMBER": "high",
     "US_SOCIAL_SECURITY_NUMBER": "high", "EMAIL": "medium", "PHONE": "medium", "NAME": "low",
@@ -42,15 +51,14 @@ def luhn_valid(candidate: Column) -> Column:
     return total % 10 == 0
 
 
-def card_numbers(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[CARD]), F.lit(0))
-    return F.filter(found, luhn_valid)
+def may_match(text: Column, entity: str) -> Column:
+    return text.rlike(REQUIRED[entity])
 
 
 def matches(text: Column, entity: str) -> Column:
-    if entity == CARD:
-        return card_numbers(text)
-    return F.regexp_extract_all(text, F.lit(PATTERNS[entity]), F.lit(0))
+    """All matches of a type; null for texts that cannot hold one."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[entity]), F.lit(0))
+    return F.when(may_match(text, entity), F.filter(found, luhn_valid) if entity == CARD else found)
 
 
 def phrase_pattern(phrases: Sequence[str]) -> str:
@@ -66,12 +74,15 @@ def mask(text: Column, names: Sequence[str] = (), addresses: Sequence[str] = ())
     for entity in ENTITY_TYPES:
         token = "{" + entity + "}"
         if entity == CARD:
-            masked = F.aggregate(
-                F.array_distinct(card_numbers(masked)), masked,
+            replaced = F.aggregate(
+                F.array_distinct(matches(masked, entity)), masked,
                 lambda done, card: F.replace(done, card, F.lit(token)),  # noqa: B023
             )
+            masked = F.when(may_match(text, entity), replaced).otherwise(masked)
         elif entity in PATTERNS:
-            masked = F.regexp_replace(masked, PATTERNS[entity], token)
+            # Masking only ever removes characters a pattern needs, so the original text decides.
+            replaced = F.regexp_replace(masked, PATTERNS[entity], token)
+            masked = F.when(may_match(text, entity), replaced).otherwise(masked)
         else:
             phrases = names if entity == "NAME" else addresses
             if phrases:

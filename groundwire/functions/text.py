@@ -27,12 +27,16 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE_CHARS))
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD_PATTERN))
+def words(text: Column) -> Column:
+    """Whitespace-separated words; splitting is several times faster than extracting matches."""
+    stripped = strip(text)
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
+        F.split(stripped, f"[{WHITESPACE_RANGES}]+")
+    )
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+def word_count(text: Column) -> Column:
+    return F.size(words(text))
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import words
-from groundwire.sources.chunk_store import upsert_chunks
+from groundwire.sources.chunk_store import append_chunks, missing_chunks
 from groundwire.sources.documents import under_prefix
 
 # Chunk length in tokens, overlap in percent, vector dimension.
@@ -25,7 +25,8 @@ def chunk_documents(
 ) -> DataFrame:
     """(uri, text, …) to one row per fixed-size chunk; every token is in at least one chunk.
 
-    A token is a whitespace-separated word. Row-local: one generator per document, no shuffle.
+    A token is a whitespace-separated word; ``n_chunks`` is the number of chunks of the document.
+    Row-local: one generator per document, no shuffle.
     """
     overlap = max_tokens * overlap_percent // 100
     stride = max_tokens - overlap
@@ -45,6 +46,7 @@ def chunk_documents(
         return F.struct(
             ordinal.cast("bigint").alias("ordinal"), F.array_join(part, " ").alias("text"),
             F.size(part).cast("bigint").alias("n_tokens"),
+            F.size(starts).cast("bigint").alias("n_chunks"),
         )
 
     # The pieces are cut inside the generator, so the word array is not copied to every chunk row.
@@ -81,11 +83,12 @@ def ingest_knowledge(
     documents: DataFrame, path: str, prefix: str = "knowledge/",
     embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Filter by prefix, chunk, embed and store; returns (stored chunks, one job-status row)."""
-    selected = under_prefix(documents, prefix)
-    chunks = chunk_documents(selected)
-    embedded = embed_chunks(chunks, embedder or fit_embedder(chunks))
-    stored = upsert_chunks(embedded, path)
+    """Filter by prefix, chunk, embed and store; returns (stored chunks, one job-status row).
+
+    Stored and repeated chunks drop out before the embedding, the expensive step.
+    """
+    chunks = chunk_documents(under_prefix(documents, prefix))
+    stored = index_chunks(chunks, path, embedder or fit_embedder(chunks))
     job = stored.agg(
         F.count("*").alias("chunks"), F.count_if(F.col("ordinal") == 0).alias("documents"),
         F.sum("n_tokens").alias("tokens"),
@@ -93,26 +96,26 @@ def ingest_knowledge(
     return stored, job
 
 
+def index_chunks(
+    chunks: DataFrame, path: str, embedder: PipelineModel | Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    return append_chunks(embed_chunks(missing_chunks(chunks, path), embedder), path)
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Documents, chunks per document and tokens per chunk by source.
 
-    Every document has one chunk 0. Percentiles are exact: tokens per chunk and chunks per document
-    take few distinct values, so their counts are grouped first and the percentile reads the counts.
+    One pass and one small shuffle: chunks are counted per (source, tokens, chunks of the document),
+    which takes few distinct values, and the exact percentiles read those counts. A document is
+    represented by its chunk 0.
     """
-    per_document = chunks.groupBy("source", "uri").agg(F.count("*").alias("n_chunks"))
-    document_hist = per_document.groupBy("source", "n_chunks").agg(F.count("*").alias("_n"))
-    documents = document_hist.groupBy("source").agg(
-        F.sum("_n").alias("documents"),
-        F.sum(F.col("_n") * F.col("n_chunks")).alias("chunks"),
-        F.max("n_chunks").alias("max_chunks"),
-        F.percentile("n_chunks", 0.5, F.col("_n")).alias("median_chunks"),
-    )
-    token_hist = chunks.groupBy("source", "n_tokens").agg(F.count("*").alias("_n"))
-    tokens = token_hist.groupBy("source").agg(
-        F.sum(F.col("_n") * F.col("n_tokens")).alias("tokens"),
-        F.max("n_tokens").alias("max_tokens"),
+    document_size = F.when(F.col("ordinal") == 0, F.col("n_chunks"))
+    counted = chunks.groupBy("source", "n_tokens", document_size.alias("_size")).agg(F.count("*").alias("_n"))
+    documents = F.when(F.col("_size").isNotNull(), F.col("_n"))
+    return counted.groupBy("source").agg(
+        F.sum(documents).alias("documents"), F.sum("_n").alias("chunks"),
+        F.max("_size").alias("max_chunks"),
+        F.percentile("_size", 0.5, F.coalesce(documents, F.lit(0))).alias("median_chunks"),
+        F.sum(F.col("_n") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("max_tokens"),
         F.percentile("n_tokens", 0.5, F.col("_n")).alias("median_tokens"),
-    )
-    return documents.join(tokens, "source").withColumn(
-        "avg_tokens", F.round(F.col("tokens") / F.col("chunks"), 6)
-    )
+    ).withColumn("avg_tokens", F.round(F.col("tokens") / F.col("chunks"), 6))

@@ -110,7 +110,7 @@ def pii_matches(objects: DataFrame, column: str = "text") -> DataFrame:
     counts = [
         F.struct(
             F.lit(entity).alias("entity"), F.lit(sensitive.SEVERITY[entity]).alias("severity"),
-            F.size(sensitive.matches(F.col(column), entity)).cast("bigint").alias("matches"),
+            F.coalesce(F.size(sensitive.matches(F.col(column), entity)), F.lit(0)).cast("bigint").alias("matches"),
         )
         for entity in sensitive.ENTITY_TYPES if entity in sensitive.PATTERNS
     ]

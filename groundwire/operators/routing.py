@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from groundwire.config import CLASSIFIER_INPUT_CHARS, FAST, REASONING, EngineConfig
 from groundwire.functions import strict_json
-from groundwire.functions.routing import RETRIEVAL_HINTS, complexity_decision, decision
+from groundwire.functions.routing import (
+    LONG_QUERY_CHARS,
+    RETRIEVAL_HINTS,
+    case_folded,
+    complexity_decision,
+    decision,
+)
 from groundwire.functions.text import WHITESPACE_RANGES, compute_once, contains_any, strip, word_count
 from groundwire.sources.requests import has_image
 
@@ -34,17 +40,22 @@ def route_modality(requests: DataFrame) -> DataFrame:
 
 def classify_complexity(requests: DataFrame, name: str = "heuristic") -> DataFrame:
     """Add the rule verdict as a struct column (tier, reason, source, confidence)."""
+    stripped = strip(F.col("query"))
     prepared = compute_once(requests, {
-        "_stripped": strip(F.col("query")), "_lowered": F.lower(strip(F.col("query"))),
+        "_stripped": stripped, "_lowered": F.lower(stripped), "_folded": case_folded(stripped),
     })
+    # Longer texts are settled by their length, so their words are never counted.
+    short = F.length("_stripped") <= LONG_QUERY_CHARS
+    compact = strip(F.regexp_replace("_lowered", f"[^a-z{WHITESPACE_RANGES}']", ""))
     prepared = compute_once(prepared, {
-        "_words": word_count(F.col("_lowered")),
-        "_compact": strip(F.regexp_replace("_lowered", f"[^a-z{WHITESPACE_RANGES}']", "")),
+        "_words": F.when(short, word_count(F.col("_lowered"))), "_compact": F.when(short, compact),
     })
     verdict = complexity_decision(
-        F.col("_stripped"), F.col("_lowered"), F.col("_words"), F.col("_compact"), has_image(requests)
+        *[F.col(c) for c in ("_stripped", "_lowered", "_folded", "_words", "_compact")], has_image(requests)
+    )
+    return compute_once(prepared, {name: verdict}).drop(
+        "_stripped", "_lowered", "_folded", "_words", "_compact"
     )
-    return compute_once(prepared, {name: verdict}).drop("_stripped", "_lowered", "_words", "_compact")
 
 
 def _override(requests: DataFrame) -> Column:

@@ -33,27 +33,44 @@ def as_matrix(vectors: pa.Array) -> np.ndarray:
     """Arrow list column to a dense matrix without per-row Python objects."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 
+def _square_norms(matrix: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)
+
+
+def _pair_distances(queries: np.ndarray, rows: np.ndarray, q_at: np.ndarray, r_at: np.ndarray) -> np.ndarray:
+    """Distances of the given pairs in double precision, a few megabytes at a time."""
+    step = max(1, 1_000_000 // max(1, queries.shape[1]))
+    distances = np.empty(len(q_at))
+    for start in range(0, len(q_at), step):
+        part = slice(start, start + step)
+        gaps = queries[q_at[part]].astype(np.float64) - rows[r_at[part]]
+        distances[part] = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+    return distances
+
+
 def closest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query position, row id, distance) of the k closest rows per query; ties go to the lower id.
 
-    A matrix product finds candidates with a margin above its rounding error; the final distances
-    are computed directly, so equal vectors get equal distances.
+    A single-precision product finds candidates with a margin above its worst rounding error; final
+    distances are computed directly in double precision, so equal vectors get equal distances.
     """
     if not len(queries) or not len(rows):
         return np.empty(0, np.int64), ids[:0], np.empty(0)
-    row_norms = np.einsum("ij,ij->i", rows, rows)
-    query_norms = np.einsum("ij,ij->i", queries, queries)
-    rough = query_norms[:, None] + row_norms[None, :] - 2.0 * (queries @ rows.T)
+    row_norms, query_norms = _square_norms(rows), _square_norms(queries)
+    rough = queries @ rows.T
+    rough *= -2
+    rough += row_norms.astype(np.float32)
     kth = min(k, len(rows)) - 1
-    limit = np.partition(rough, kth, axis=1)[:, kth]
-    margin = 1e-9 * (query_norms + row_norms.max()) + 1e-12
+    limit = np.partition(rough, kth, axis=1)[:, kth] if kth < len(rows) - 1 else rough.max(axis=1)
+    unit = 2.0 * np.finfo(np.float32).eps
+    largest = row_norms.max()
+    margin = unit * (queries.shape[1] * np.sqrt(query_norms * largest) + largest + query_norms) + 1e-30
     q_at, r_at = np.nonzero(rough <= (limit + 2 * margin)[:, None])
-    gaps = queries[q_at] - rows[r_at]
-    distances = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+    distances = _pair_distances(queries, rows, q_at, r_at)
     order = np.lexsort((ids[r_at], distances, q_at))
     q_sorted = q_at[order]
     first = np.searchsorted(q_sorted, q_sorted, side="left")
@@ -194,7 +211,7 @@ class _Cells:
 
 def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int | None) -> np.ndarray:
     """Which cells each query visits: the nearest ``probes``, or all that may hold a result."""
-    gaps = queries[:, None, :] - cells["pivots"][None, :, :]
+    gaps = queries[:, None, :].astype(np.float64) - cells["pivots"][None, :, :]
     to_pivot = np.sqrt(np.einsum("qpd,qpd->qp", gaps, gaps))
     filled = cells["blocks"] > 0
     if probes is not None:

@@ -108,7 +108,7 @@ def all_chunks(spark, sf_dir):
     return ingestion.chunk_documents(adapters.all_documents(spark, sf_dir))
 
 
-@register("chunk_documents", f"WITH {_ALL_CHUNKS} SELECT chunk_id, uri, source, ordinal, text, n_tokens FROM chunks")
+@register("chunk_documents", f"WITH {_ALL_CHUNKS} SELECT chunk_id, uri, source, ordinal, text, n_tokens, n_chunks FROM chunks")
 def chunk_documents(spark, sf_dir):
     return all_chunks(spark, sf_dir)
 
@@ -124,7 +124,7 @@ def corpus_stats(spark, sf_dir):
     return ingestion.corpus_stats(all_chunks(spark, sf_dir))
 
 
-@register("upsert_chunks", f"WITH {_ALL_CHUNKS} SELECT chunk_id, uri, source, ordinal, text, n_tokens FROM chunks")
+@register("upsert_chunks", f"WITH {_ALL_CHUNKS} SELECT chunk_id, uri, source, ordinal, text, n_tokens, n_chunks FROM chunks")
 def upsert_chunks(spark, sf_dir):
     """Labelled documents first, then all of them: the second write adds only what is missing."""
     path = new_folder(spark, "chunks")
@@ -241,7 +241,7 @@ def retrieve_knowledge(spark, sf_dir):
     """Every request against the chunks of all documents, with the default embedder."""
     chunks = all_chunks(spark, sf_dir)
     embedder = ingestion.fit_embedder(chunks)
-    stored = chunk_store.upsert_chunks(ingestion.embed_chunks(chunks, embedder), new_folder(spark, "index"))
+    stored = ingestion.index_chunks(chunks, new_folder(spark, "index"), embedder)
     citations, _ = retrieval.retrieve_knowledge(adapters.requests(spark, sf_dir), stored, embedder)
     return citations
 

@@ -88,7 +88,7 @@ prepared AS (SELECT *, len(regexp_extract_all(l, {lit(WORD_PATTERN)})) AS w,
   {strip("regexp_replace(l, " + lit("[^a-z" + WHITESPACE_RANGES + "']") + ", '', 'g')")} AS c FROM stripped),
 ruled AS (SELECT *, CASE
   WHEN has_image THEN 1
-  WHEN regexp_matches(s, {lit(routing.CODE_PATTERN)}, 'i') THEN 2
+  WHEN regexp_matches(s, {lit('|'.join(routing.CODE_MARKERS))}, 'i') THEN 2
   WHEN {any_of('contains(l, {})', routing.REASONING_HINTS)} THEN 3
   WHEN len(regexp_extract_all(l, '[?]')) >= 2 OR length(s) > 480 OR w > 80 THEN 4
   WHEN c IN {in_list(routing.GREETINGS)} OR (w <= 6 AND {any_of('starts_with(c, {})', routing.GREETINGS)}) THEN 5
@@ -209,7 +209,8 @@ starts AS (SELECT uri{extra}, tokens, unnest(range(0, greatest(len(tokens) - 60,
   FROM tokenized WHERE len(tokens) > 0),
 pieces AS (SELECT uri{extra}, start // 240 AS ordinal, list_slice(tokens, start + 1, start + 300) AS part FROM starts),
 chunks AS (SELECT sha256(uri || chr(31) || ordinal || chr(31) || array_to_string(part, ' ')) AS chunk_id, uri{extra},
-  CAST(ordinal AS BIGINT) AS ordinal, array_to_string(part, ' ') AS text, CAST(len(part) AS BIGINT) AS n_tokens FROM pieces)"""
+  CAST(ordinal AS BIGINT) AS ordinal, array_to_string(part, ' ') AS text, CAST(len(part) AS BIGINT) AS n_tokens,
+  count(*) OVER (PARTITION BY uri) AS n_chunks FROM pieces)"""
 
 
 CONTENT_SCORES = """content_scores AS (

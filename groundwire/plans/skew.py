@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Keeping tasks balanced: hot join keys, checked sizes and unsplittable files."""
 
 from __future__ import annotations
 
@@ -26,3 +26,13 @@ def salted_join(
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no further than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread_scan(table: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores.
+
+    A file with one large row group cannot be split, so row-local text work on it would run in one
+    task. Tables with enough splits, which is every large one, are returned as they are.
+    """
+    wanted = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table

@@ -22,19 +22,27 @@ def latest_chunks(chunks: DataFrame, version: str) -> DataFrame:
     return chunks.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
+def missing_chunks(chunks: DataFrame, path: str, version: str | None = None) -> DataFrame:
+    """Chunks not stored yet, each id once. Only the id column of the store is read."""
+    fresh = latest_chunks(chunks, version) if version else chunks.dropDuplicates(["chunk_id"])
+    stored = read_chunks(chunks.sparkSession, path)
+    if stored is None:
+        return fresh
+    return fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def append_chunks(fresh: DataFrame, path: str) -> DataFrame:
+    fresh.write.mode("append").parquet(path)
+    return fresh.sparkSession.read.parquet(path)
+
+
 def upsert_chunks(chunks: DataFrame, path: str, version: str | None = None) -> DataFrame:
-    """Add the rows whose chunk id is not stored yet and return the whole store.
+    """Add the chunks not stored yet and return the whole store; safe to repeat.
 
-    The id covers source, position and text, so a stored id never needs a rewrite; only the id
-    column of the store is read. Removing a source leaves its chunks in place.
+    The id covers source, position and text, so a stored row never needs a rewrite. Removing a
+    source leaves its chunks in place.
     """
-    spark = chunks.sparkSession
-    fresh = latest_chunks(chunks, version) if version else chunks.dropDuplicates(["chunk_id"])
-    stored = read_chunks(spark, path)
-    if stored is not None:
-        fresh = fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return append_chunks(missing_chunks(chunks, path, version), path)
 
 
 def stale_chunks(chunks: DataFrame, live_documents: DataFrame) -> DataFrame:
