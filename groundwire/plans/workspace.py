@@ -8,18 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only for local masters."""
+    """The cluster's shared checkpoint folder; one temporary folder per application where a local
+    master has none."""
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="groundwire-")
-    spark.conf.set(CHECKPOINT_SETTING, root)
-    return root
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="groundwire-")
+    return _local_roots[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
