@@ -58,11 +58,13 @@ def decision(tier: Column | str, reason: Column | str, source: Column | str, con
     )
 
 
-def case_folded(text: Column) -> Column:
-    """Lower case as a case-insensitive search sees it; each replace is a no-op scan if not found."""
-    for letter, plain in FOLDED_LETTERS:
-        text = F.replace(text, F.lit(letter), F.lit(plain))
-    return F.lower(text)
+def case_folded(text: Column, lowered: Column) -> Column:
+    """Lower case as a case-insensitive search sees it; differs only for a few rare letters."""
+    plain = text
+    for letter, replacement in FOLDED_LETTERS:
+        plain = F.replace(plain, F.lit(letter), F.lit(replacement))
+    rare = contains_any(text, [letter for letter, _ in FOLDED_LETTERS])
+    return F.when(rare, F.lower(plain)).otherwise(lowered)
 
 
 def complexity_decision(

@@ -198,9 +198,11 @@ def quota_usage(
 
     One caller may make most of the calls, so nothing ranks a caller's raw calls. Calls are counted
     per second and minute; the minute in which the quota runs out is found on the counts, and only
-    calls inside that minute are ranked, at most ``monthly + 1`` of them per task.
+    calls inside that minute are ranked, at most ``monthly + 1`` of them per task. Calls without a
+    caller belong to no quota.
     """
-    calls = log.select(
+    # Both uses of the counts carry the same filter, so Spark computes their shuffle once.
+    calls = log.filter(F.col("caller").isNotNull() & F.col("ts").isNotNull()).select(
         "caller", "ts", "event_id", F.date_format("ts", "yyyy-MM").alias("month"),
         F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"),
     )

@@ -12,6 +12,8 @@ from groundwire.config import EXCERPT_CHARS
 from groundwire.functions.text import blank_to_null, strip
 from groundwire.operators.ingestion import embed_chunks
 from groundwire.operators.vectors import vector_topk
+from groundwire.plans.skew import salted_join
+from groundwire.plans.workspace import materialize
 
 # Fixed value: source named when a hit has neither a URI nor a location type.
 UNKNOWN_SOURCE = "knowledge-base"
@@ -34,18 +36,20 @@ def retrieve_knowledge(
     """(citations, rejected): nearest passages per request; blank queries are rejected.
 
     ``requests``: request_id, query, optional requested. ``chunks``: chunk_id, uri, text, embedding.
-    Equal queries are embedded and searched once each inside ``vector_topk``.
+    Texts are joined to the few hits after the search, never carried through it.
     """
     blank = F.coalesce(strip(F.col("query")) == "", F.lit(True))
     rejected = requests.filter(blank).select("request_id", F.lit("retrieve_knowledge requires a query").alias("error"))
     asked = requests.filter(~blank).withColumnRenamed("request_id", "query_id")
     keep = ["query_id"] + (["requested"] if "requested" in asked.columns else [])
     embedded = embed_chunks(asked.select(*keep, strip(F.col("query")).alias("text")), embedder)
-    hits = vector_topk(embedded, chunks, k)
-    passages = chunks.select(
+    # Read twice below; a few ids per request, so cheap to write.
+    hits = materialize(vector_topk(embedded, chunks, k), "hits")
+    cited = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
         "chunk_id", "uri", F.col("text").alias("content"), F.lit("S3").alias("location_type")
     )
-    scored = hits.join(passages, "chunk_id").withColumn(
+    # One passage may answer very many requests, hence the salt over the cited passages only.
+    scored = salted_join(hits, cited, ["chunk_id"], [F.col("query_id")], how="inner").withColumn(
         "score", F.round(1.0 / (1.0 + F.col("distance") * F.col("distance")), 6)
     )
     return shape_citations(scored.withColumnRenamed("query_id", "request_id")), rejected

@@ -40,14 +40,13 @@ def route_modality(requests: DataFrame) -> DataFrame:
 
 def classify_complexity(requests: DataFrame, name: str = "heuristic") -> DataFrame:
     """Add the rule verdict as a struct column (tier, reason, source, confidence)."""
-    stripped = strip(F.col("query"))
-    prepared = compute_once(requests, {
-        "_stripped": stripped, "_lowered": F.lower(stripped), "_folded": case_folded(stripped),
-    })
+    prepared = compute_once(requests, {"_stripped": strip(F.col("query"))})
+    prepared = compute_once(prepared, {"_lowered": F.lower("_stripped")})
     # Longer texts are settled by their length, so their words are never counted.
     short = F.length("_stripped") <= LONG_QUERY_CHARS
     compact = strip(F.regexp_replace("_lowered", f"[^a-z{WHITESPACE_RANGES}']", ""))
     prepared = compute_once(prepared, {
+        "_folded": case_folded(F.col("_stripped"), F.col("_lowered")),
         "_words": F.when(short, word_count(F.col("_lowered"))), "_compact": F.when(short, compact),
     })
     verdict = complexity_decision(

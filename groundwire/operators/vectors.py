@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwire.config import MAX_RETRIEVAL_RESULTS
-from groundwire.plans.skew import fits, salted_join
+from groundwire.plans.skew import salted_join
+from groundwire.plans.workspace import materialize
 
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 8192
@@ -117,23 +118,22 @@ def _id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _scan_with_queries(asked: DataFrame, stored: DataFrame) -> DataFrame:
+def _scan_with_queries(local: pa.Table, asked: DataFrame, stored: DataFrame) -> DataFrame:
     """Ship a checked, small query set to every corpus partition and keep a running top k there."""
-    local = asked.toArrow()
-    query_ids = local.column("query_id").combine_chunks()
-    matrix = as_matrix(local.column("embedding"))
-    k = MAX_RETRIEVAL_RESULTS
-    shared = asked.sparkSession.sparkContext.broadcast((query_ids, matrix))
-    schema = f"query_id {_id_type(asked, 'query_id')}, chunk_id {_id_type(stored, 'chunk_id')}, distance double"
+    query_ids, wanted = local.column("query_id").combine_chunks(), local.column("k").combine_chunks()
+    k = max(wanted.to_pylist(), default=1)
+    shared = stored.sparkSession.sparkContext.broadcast((query_ids, wanted, as_matrix(local.column("embedding"))))
+    chunk_type = _id_type(stored, "chunk_id")
+    schema = f"query_id {_id_type(asked, 'query_id')}, k int, chunk_id {chunk_type}, distance double"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        best = None
+        ids, limits, queries = shared.value
+        best, kind = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk_ids = _ids(batch.column("chunk_id"))
-            found = _in_slices(queries, as_matrix(batch.column("embedding")), chunk_ids, k)
+            kind = _arrow(batch, "chunk_id")
+            found = _in_slices(queries, as_matrix(batch.column("embedding")), _ids(batch.column("chunk_id")), k)
             if best is not None:
                 found = tuple(np.concatenate(pair) for pair in zip(best, found))
             order = np.lexsort((found[1], found[2], found[0]))
@@ -142,10 +142,10 @@ def _scan_with_queries(asked: DataFrame, stored: DataFrame) -> DataFrame:
             kept = order[np.arange(len(order)) - first < k]
             best = tuple(column[kept] for column in found)
         if best is not None:
+            at = pa.array(best[0])
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(best[0])), pa.array(best[1], type=_arrow(batch, "chunk_id")),
-                 pa.array(best[2])],
-                names=["query_id", "chunk_id", "distance"],
+                [ids.take(at), limits.take(at), pa.array(best[1], type=kind), pa.array(best[2])],
+                names=["query_id", "k", "chunk_id", "distance"],
             )
 
     return stored.mapInArrow(scan, schema)
@@ -159,9 +159,11 @@ class _Cells:
     """Pivots with per-cell statistics; a few dozen rows whatever the corpus size."""
 
     def __init__(self, stored: DataFrame, pivots: int, block_rows: int) -> None:
+        # A few candidates more than needed, since copies of one vector would make empty cells.
         order = F.md5(F.col("chunk_id").cast("string"))
-        chosen = stored.orderBy(order, "chunk_id").limit(pivots).toArrow()
-        self.pivots = as_matrix(chosen.column("embedding"))
+        chosen = as_matrix(stored.orderBy(order, "chunk_id").limit(4 * pivots).toArrow().column("embedding"))
+        _, first = np.unique(chosen, axis=0, return_index=True)
+        self.pivots = chosen[np.sort(first)[:pivots]]
         self.block_rows = block_rows
 
     def assign(self, vectors: DataFrame) -> DataFrame:
@@ -260,7 +262,8 @@ def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: i
 
 def _join_blocks(asked: DataFrame, stored: DataFrame, cells: _Cells, probes: int | None) -> DataFrame:
     query_blocks = max(1, -(-asked.count() // cells.block_rows))
-    assigned = cells.assign(stored)
+    # Read by the statistics and by the join, so it is written once instead of computed three times.
+    assigned = materialize(cells.assign(stored), "vector-cells")
     cells.summarize(assigned)
     visits = _visits(asked, cells, probes, query_blocks)
     sizes = F.create_map(*[F.lit(int(x)) for c, n in enumerate(cells.blocks) for x in (c, max(n, 1))])
@@ -319,9 +322,9 @@ def _blocked_topk(
     asked: DataFrame, stored: DataFrame, pivots: int, block_rows: int, probes: int | None
 ) -> DataFrame:
     every, distinct = _distinct_queries(asked)
-    corpus = _limit_copies(stored)
-    cells = _Cells(corpus, pivots, block_rows)
-    ranked = _rank(_join_blocks(distinct, corpus, cells, probes))
+    distinct = materialize(distinct, "vector-queries")
+    cells = _Cells(stored, pivots, block_rows)
+    ranked = _rank(_join_blocks(distinct, _limit_copies(stored), cells, probes))
     answers = distinct.select(F.col("query_id"), *_CONTENT).join(ranked, "query_id").drop("query_id")
     # One vector may be asked by very many queries, hence the salt.
     return salted_join(every, answers, list(_CONTENT), [F.col("query_id")], how="inner").filter(
@@ -343,10 +346,11 @@ def vector_topk(
     ``chunks``: chunk_id, embedding. Ties break on the lower chunk id.
     """
     asked, stored = _normalized(queries, chunks, k)
-    if fits(asked.select("query_id"), broadcast_queries):
-        ranked = _rank(_scan_with_queries(asked, stored))
-        limits = asked.select("query_id", "k")
-        return _result(ranked.join(limits, "query_id").filter(F.col("rank") <= F.col("k")))
+    # One row more than allowed tells whether the query set is small enough to ship.
+    local = asked.limit(broadcast_queries + 1).toArrow()
+    if local.num_rows <= broadcast_queries:
+        ranked = _rank(_scan_with_queries(local, asked, stored))
+        return _result(ranked.filter(F.col("rank") <= F.col("k")))
     return _result(_blocked_topk(asked, stored, pivots, block_rows, None))
 
 

@@ -23,11 +23,6 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread_scan(table: DataFrame) -> DataFrame:
     """Use all cores on a table stored in fewer splits than there are cores.
 
