@@ -26,7 +26,7 @@ ERROR_THRESHOLD, ERROR_PERIODS = 1, 1
 LATENCY_THRESHOLD_MS, LATENCY_PERIODS = 50_000, 2
 BUDGET_USD, ACTUAL_SHARE, FORECAST_SHARE = 150.0, 0.80, 1.00
 MONTHLY_QUOTA, BURST_LIMIT, RATE_LIMIT = 5000, 20, 10
-UPLOAD_DAYS, LOG_DAYS, NONCURRENT_DAYS, INCOMPLETE_DAYS = 14, 90, 30, 7
+UPLOAD_DAYS, LOG_DAYS, NONCURRENT_DAYS, INCOMPLETE_DAYS, LOG_GROUP_DAYS = 14, 90, 30, 7, 30
 
 
 def _long(df: DataFrame, ts: str, metrics: list[tuple[str, str, Column]]) -> DataFrame:
@@ -78,6 +78,13 @@ def service_metrics(routed_log: DataFrame, ts: str = "ts") -> DataFrame:
     ])
 
 
+def ingest_metrics(jobs: DataFrame, ts: str = "period") -> DataFrame:
+    return _long(jobs, ts, [
+        ("DocumentsUploaded", COUNT, F.col("uploaded")),
+        ("IngestionJobsStarted", COUNT, F.when(F.col("started") > 0, F.col("started"))),
+    ])
+
+
 def metric_rollup(metrics: DataFrame, grain: str = "1 hour") -> DataFrame:
     """Metrics per time grain. Few keys, so the map-side partial sums do nearly all the work."""
     return metrics.groupBy(F.window("ts", grain).alias("_w"), "name", "unit").agg(
@@ -256,7 +263,7 @@ def with_noncurrent_since(versions: DataFrame) -> DataFrame:
 def retention_report(versions: DataFrame, as_of: str) -> DataFrame:
     """Versions due for expiry by rule: (bucket, rule, versions, bytes, oldest).
 
-    ``versions``: bucket (documents, uploads or logs), key, version_id, created, state
+    ``versions``: bucket (documents, uploads, logs or log-groups), key, version_id, created, state
     (stored or incomplete), size, and ``noncurrent_since``.
     """
     today = F.lit(as_of).cast("timestamp_ntz")
@@ -273,6 +280,8 @@ def retention_report(versions: DataFrame, as_of: str) -> DataFrame:
         .when(stored & current & (F.col("bucket") == "uploads") & F.col("key").startswith("uploads/")
               & older("created", UPLOAD_DAYS), "upload age")
         .when(stored & current & (F.col("bucket") == "logs") & older("created", LOG_DAYS), "log age")
+        .when(stored & current & (F.col("bucket") == "log-groups") & older("created", LOG_GROUP_DAYS),
+              "log group age")
     )
     return versions.withColumn("rule", rule).filter(F.col("rule").isNotNull()).groupBy("bucket", "rule").agg(
         F.count("*").alias("versions"), F.sum("size").alias("bytes"), F.min("created").alias("oldest")

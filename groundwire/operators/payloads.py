@@ -40,6 +40,15 @@ DEFAULT_SYSTEM_PROMPT = (
     "Sources, never invent one, and say so when nothing relevant was found."
 )
 
+CLASSIFIER_PROMPT = (
+    'Decide which model tier a request needs. Answer with JSON only: {"tier": "fast" or "reasoning", '
+    '"confidence": 0.0 to 1.0, "reason": a few words}. Small talk and single facts are fast; code, images, '
+    "planning and questions over several documents need reasoning."
+)
+# Limits of a classifier call.
+CLASSIFIER_MAX_TOKENS = 80
+CLASSIFIER_TEMPERATURE = 0
+
 
 def tool_specs(tools: Sequence[Mapping]) -> list[dict]:
     return [
@@ -119,6 +128,20 @@ def build_inference_batch(
     )
 
 
+def classifier_batch(candidates: DataFrame, system_prompt: str = CLASSIFIER_PROMPT) -> DataFrame:
+    """(request_id, model_id, prompt) to short, deterministic classification payloads."""
+    text = lambda c: F.array(F.struct(c.alias("text")))
+    payload = F.struct(
+        F.col("model_id").alias("modelId"),
+        F.array(F.struct(F.lit("user").alias("role"), text(F.col("prompt")).alias("content"))).alias("messages"),
+        text(F.lit(system_prompt)).alias("system"),
+        F.struct(
+            F.lit(CLASSIFIER_MAX_TOKENS).alias("maxTokens"), F.lit(CLASSIFIER_TEMPERATURE).alias("temperature")
+        ).alias("inferenceConfig"),
+    )
+    return candidates.select("request_id", "model_id", F.to_json(payload).alias("payload"))
+
+
 _IMAGE_TYPE = "struct<format:string,source:struct<bucket:string,key:string,url:string,base64:string>>"
 
 

@@ -46,7 +46,8 @@ def retrieve_knowledge(
     # Read twice below; a few ids per request, so cheap to write.
     hits = materialize(vector_topk(embedded, chunks, k), "hits")
     cited = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
-        "chunk_id", "uri", F.col("text").alias("content"), F.lit("S3").alias("location_type")
+        "chunk_id", "uri", F.col("text").alias("content"), F.lit("S3").alias("location_type"),
+        F.create_map(F.lit("type"), F.lit("S3"), F.lit("uri"), F.col("uri")).alias("location"),
     )
     # One passage may answer very many requests, hence the salt over the cited passages only.
     scored = salted_join(hits, cited, ["chunk_id"], [F.col("query_id")], how="inner").withColumn(

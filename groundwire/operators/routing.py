@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,16 +168,24 @@ def bind_models(decisions: DataFrame, config: EngineConfig = EngineConfig()) ->
     )
 
 
-def tier_share(decisions: DataFrame) -> DataFrame:
-    """Requests per tier and source with every subtotal (null = all), and the share of the total.
+# The intended share of requests per tier.
+TARGET_SHARE = {FAST: 0.75, REASONING: 0.25}
+
 
-    Counts requests, not tier metrics: an escalated request would emit two of those.
+def tier_share(decisions: DataFrame, targets: Mapping[str, float] = TARGET_SHARE) -> DataFrame:
+    """Requests per tier and source with every subtotal (null = all), share, and distance to target.
+
+    Counts requests, not tier metrics: an escalated request would emit two of those. The target
+    applies to a tier over all sources.
     """
     counted = decisions.select("decision.tier", "decision.source").cube("tier", "source").agg(
         F.count("*").alias("requests"), F.grouping_id().alias("_level")
     )
     total = F.sum(F.when(F.col("_level") == 3, F.col("requests")))
+    target = F.try_element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("tier"))
     # The window runs over the few subtotal rows, not over requests.
-    return counted.withColumn(
-        "share", F.round(F.col("requests") / total.over(Window.partitionBy()), 6)
-    ).drop("_level")
+    shared = counted.withColumn("_share", F.col("requests") / total.over(Window.partitionBy()))
+    return shared.select(
+        "tier", "source", "requests", F.round("_share", 6).alias("share"),
+        F.round(F.when(F.col("_level") == 1, F.col("_share") - target), 6).alias("over_target"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,18 +133,22 @@ def run_traces(looped: DataFrame, paired: DataFrame) -> DataFrame:
 def finalize_responses(
     looped: DataFrame, usage: DataFrame | None = None, traces: DataFrame | None = None,
     citations: DataFrame | None = None, config: EngineConfig = EngineConfig(),
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One response row per request from the last call of its run.
 
     ``traces`` and ``citations`` are grouped per request (a run is bounded by the iteration limit).
     An absent stop reason becomes the default, an empty text the fallback of its stop cause.
+    ``totals`` are further aggregates over a run's calls, computed in the same pass.
     """
+    totals = totals or {}
     last = looped.groupBy("request_id").agg(
         F.max_by(F.struct("stop_reason", "answer", "stop_cause", "tier", "reason", "source",
                           "escalated_at", "effective_tier", "policy_trace"), F.col("i")).alias("_last"),
         F.max("i").alias("_i"),
         F.sum("latency_ms").cast("bigint").alias("latency_ms"),
         F.max("escalation").alias("_cause"),
+        *[total.alias(name) for name, total in totals.items()],
     )
     text = strip(F.coalesce(F.col("_last.answer"), F.lit("")))
     fallback = (
@@ -167,7 +173,7 @@ def finalize_responses(
         F.when(trace.isNotNull(), F.coalesce(F.when(trace["action"] != "", trace["action"]),
                                              F.lit(POLICY_ACTION_DEFAULT))).alias("policy_action"),
         (F.col("_i") + 1).alias("iterations"),
-        "latency_ms",
+        "latency_ms", *totals,
     )
     for extra in (usage, traces, citations):
         if extra is not None:

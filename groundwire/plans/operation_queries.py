@@ -109,27 +109,23 @@ def noncurrent_versions(spark, sf_dir):
 
 
 @register("retention_report", f"""WITH {_VERSIONS}, ruled AS (SELECT *, CASE
-    WHEN bucket <> 'logs' AND state = 'incomplete' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY THEN 'incomplete upload'
+    WHEN bucket IN ('documents', 'uploads') AND state = 'incomplete' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY THEN 'incomplete upload'
     WHEN state = 'incomplete' THEN NULL
-    WHEN bucket <> 'logs' AND noncurrent_since IS NOT NULL AND noncurrent_since <= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'old version'
+    WHEN bucket IN ('documents', 'uploads') AND noncurrent_since IS NOT NULL AND noncurrent_since <= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'old version'
     WHEN noncurrent_since IS NULL AND bucket = 'uploads' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY THEN 'upload age'
-    WHEN noncurrent_since IS NULL AND bucket = 'logs' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY THEN 'log age' END AS rule FROM versions)
+    WHEN noncurrent_since IS NULL AND bucket = 'logs' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY THEN 'log age'
+    WHEN noncurrent_since IS NULL AND bucket = 'log-groups' AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'log group age' END AS rule FROM versions)
   SELECT bucket, rule, count(*) AS versions, CAST(sum(size) AS BIGINT) AS bytes, min(created) AS oldest FROM ruled WHERE rule IS NOT NULL GROUP BY 1, 2""")
 def retention_report(spark, sf_dir):
     return operations.retention_report(operations.with_noncurrent_since(adapters.objects(spark, sf_dir)), AS_OF)
 
 
-JOBS_SQL = f"""{v.KNOWLEDGE}, jobs AS (
-  SELECT time_bucket(INTERVAL 1 DAY, ts) AS period, count(*) AS uploaded, CAST(1 AS BIGINT) AS started, count(*) - 1 AS conflicts
-  FROM knowledge_documents GROUP BY 1)"""
-
-
-@register("ingestion_jobs", f"WITH {JOBS_SQL} SELECT *, CAST(0 AS BIGINT) AS not_configured FROM jobs")
+@register("ingestion_jobs", f"WITH {v.JOBS} SELECT *, CAST(0 AS BIGINT) AS not_configured FROM jobs")
 def ingestion_jobs(spark, sf_dir):
     return operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day")
 
 
-@register("ingestion_stats", f"""WITH {JOBS_SQL}
+@register("ingestion_stats", f"""WITH {v.JOBS}
   SELECT 'uploaded' AS status, '-' AS reason, CAST(sum(uploaded) AS BIGINT) AS n FROM jobs
   UNION ALL SELECT 'started', '-', CAST(sum(started) AS BIGINT) FROM jobs
   UNION ALL SELECT 'skipped', 'ConflictException', CAST(sum(conflicts) AS BIGINT) FROM jobs""")

@@ -189,7 +189,8 @@ _KIND_PREFIX = "CASE doc_id%3 WHEN 0 THEN 'knowledge/' WHEN 1 THEN 'uploads/' EL
 _CREATED = after_start("(doc_id%120)*1440 + doc_id%1440")
 
 OBJECTS = f"""objects AS (
-  SELECT CASE doc_id%3 WHEN 0 THEN 'documents' WHEN 1 THEN 'uploads' ELSE 'logs' END AS bucket,
+  SELECT CASE WHEN doc_id%3 = 0 THEN 'documents' WHEN doc_id%3 = 1 THEN 'uploads'
+      WHEN lang = 'en' THEN 'log-groups' ELSE 'logs' END AS bucket,
     {_KIND_PREFIX} || lang || '/' || (n_chars%40) AS key, doc_id AS version_id, {_CREATED} AS created,
     CASE WHEN doc_id%4 = 2 THEN 'incomplete' ELSE 'stored' END AS state, n_chars AS size FROM documents)"""
 
@@ -197,6 +198,10 @@ KNOWLEDGE = f"""knowledge_documents AS (
   SELECT doc_id, source, {_KIND_PREFIX} || doc_id AS key,
     's3://' || source || '/' || {_KIND_PREFIX} || doc_id AS uri, text, {_CREATED} AS ts FROM documents)"""
 
+JOBS = f"""{KNOWLEDGE}, jobs AS (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS period, count(*) AS uploaded, CAST(1 AS BIGINT) AS started, count(*) - 1 AS conflicts
+  FROM knowledge_documents GROUP BY 1)"""
+
 ALL_DOCUMENTS = """all_documents AS (
   SELECT 's3://' || source || '/' || doc_id AS uri, source, text FROM documents)"""
 

@@ -140,6 +140,24 @@ def classifier_candidates(spark, sf_dir):
     return routing.classifier_candidates(adapters.requests(spark, sf_dir), CONFIG)
 
 
+_PROMPT = v.lit(payloads.CLASSIFIER_PROMPT)
+
+
+@register("classifier_batch", f"""WITH {v.CLASSIFIED}
+  SELECT request_id, {_FAST} AS model_id, {_PROMPT} AS system, 'Query: ' || substr(query, 1, 1500) || chr(10) || 'Has image: ' ||
+    CASE WHEN has_image THEN 'True' ELSE 'False' END AS user_text, CAST(80 AS BIGINT) AS max_tokens, CAST(0 AS DOUBLE) AS temperature
+  FROM classified WHERE override_tier IS NULL AND confidence < 0.62""")
+def classifier_batch(spark, sf_dir):
+    batch = payloads.classifier_batch(routing.classifier_candidates(adapters.requests(spark, sf_dir), CONFIG))
+    field = lambda path: F.get_json_object("payload", path)
+    return batch.select(
+        "request_id", field("$.modelId").alias("model_id"), field("$.system[0].text").alias("system"),
+        field("$.messages[0].content[0].text").alias("user_text"),
+        field("$.inferenceConfig.maxTokens").cast("bigint").alias("max_tokens"),
+        field("$.inferenceConfig.temperature").cast("double").alias("temperature"),
+    )
+
+
 @register("bind_models", f"""WITH {_DECIDED}
   SELECT request_id, tier, CASE tier WHEN 'fast' THEN {_FAST} ELSE {_REASONING} END AS model_id FROM decided""")
 def bind_models(spark, sf_dir):
@@ -167,7 +185,9 @@ def build_inference_batch(spark, sf_dir):
 
 
 @register("tier_share", f"""WITH {_DECIDED}
-  SELECT tier, source, count(*) AS requests, round(count(*) / (SELECT count(*) FROM decided), 6) AS share
+  SELECT tier, source, count(*) AS requests, round(count(*) / (SELECT count(*) FROM decided), 6) AS share,
+    CASE WHEN grouping(tier) = 0 AND grouping(source) = 1 THEN round(count(*) / (SELECT count(*) FROM decided)
+      - CASE tier WHEN 'fast' THEN 0.75 ELSE 0.25 END, 6) END AS over_target
   FROM decided GROUP BY CUBE (tier, source)""")
 def tier_share(spark, sf_dir):
     return routing.tier_share(decided(spark, sf_dir))

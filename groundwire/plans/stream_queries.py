@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundwire.operators import operations, policy
 from groundwire.plans import oracle_views as v
-from groundwire.plans.operation_queries import JOBS_SQL, LATENCY_MS, alarm_sql
+from groundwire.plans.operation_queries import LATENCY_MS, alarm_sql
 from groundwire.plans.policy_queries import FINDINGS_SQL
 from groundwire.plans.registry import register
 from groundwire.plans.routing_queries import CONFIG
@@ -38,7 +38,7 @@ def stream_ingest(spark, sf_dir):
     )
 
 
-@register("stream_ingest_jobs", f"""WITH {JOBS_SQL}
+@register("stream_ingest_jobs", f"""WITH {v.JOBS}
   SELECT * FROM jobs WHERE period + INTERVAL 1 DAY <= (SELECT max(ts) FROM knowledge_documents) - INTERVAL 10 MINUTE""")
 def stream_ingest_jobs(spark, sf_dir):
     arriving = adapters.knowledge_documents_of(table_stream(spark, sf_dir, "documents"))

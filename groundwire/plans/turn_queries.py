@@ -118,14 +118,11 @@ def accumulate_usage(spark, sf_dir):
 
 def final_runs(spark, sf_dir):
     """Final responses with the run's token counts and start time as plain columns."""
-    run = looped(spark, sf_dir)
-    final = loops.finalize_responses(run, config=CONFIG)
-    per_run = run.groupBy("request_id").agg(
-        F.min("requested_at").alias("requested_at"), F.first("tier").alias("tier"),
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.max("escalation").isNotNull().alias("escalated"),
-    )
-    return final.join(per_run, "request_id")
+    return loops.finalize_responses(looped(spark, sf_dir), config=CONFIG, totals={
+        "requested_at": F.min("requested_at"), "tier": F.first("tier"),
+        "input_tokens": F.sum("input_tokens"), "output_tokens": F.sum("output_tokens"),
+        "escalated": F.max("escalation").isNotNull(),
+    })
 
 
 _FINAL = v.LOOPED + f""",
@@ -164,7 +161,7 @@ def finalize_responses(spark, sf_dir):
     )
 
 
-_METRICS = _FINAL + "," + v.TOOL_RESULTS.replace(v.CALLS + ",", "") + "," + v.ROUTED_LOG + """,
+_METRICS = _FINAL + "," + v.TOOL_RESULTS.replace(v.CALLS + ",", "") + "," + v.ROUTED_LOG + "," + v.JOBS + """,
 metrics AS (
   SELECT requested_at AS ts, 'AgentInvocations' AS name, 'Count' AS unit, 1 AS value FROM final
   UNION ALL SELECT requested_at, 'ModelTierFast', 'Count', 1 FROM final WHERE tier = 'fast'
@@ -178,7 +175,9 @@ metrics AS (
   UNION ALL SELECT requested_at, CASE status WHEN 'success' THEN 'ToolSuccess' ELSE 'ToolErrors' END, 'Count', 1 FROM paired
   UNION ALL SELECT ts, 'Queries', 'Count', 1 FROM routed_log WHERE outcome = 200 AND route = 'POST /v1/query'
   UNION ALL SELECT ts, 'PresignedUploads', 'Count', 1 FROM routed_log WHERE outcome = 200 AND route = 'POST /v1/uploads/presign'
-  UNION ALL SELECT ts, 'UnhandledErrors', 'Count', 1 FROM routed_log WHERE outcome = 500)"""
+  UNION ALL SELECT ts, 'UnhandledErrors', 'Count', 1 FROM routed_log WHERE outcome = 500
+  UNION ALL SELECT period, 'DocumentsUploaded', 'Count', uploaded FROM jobs
+  UNION ALL SELECT period, 'IngestionJobsStarted', 'Count', started FROM jobs)"""
 
 
 @register("metric_rollup", f"""WITH {_METRICS}
@@ -190,6 +189,8 @@ def metric_rollup(spark, sf_dir):
         operations.run_metrics(final_runs(spark, sf_dir))
         .unionByName(operations.tool_metrics(paired(spark, sf_dir).join(times, "request_id")))
         .unionByName(operations.service_metrics(with_routes(adapters.access_log(spark, sf_dir))))
+        .unionByName(operations.ingest_metrics(
+            operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day")))
     )
     return operations.metric_rollup(metrics)
 

@@ -171,7 +171,8 @@ def objects_of(documents: DataFrame) -> DataFrame:
     kind = F.pmod(F.col("doc_id"), F.lit(3))
     prefix = F.when(kind == 0, "knowledge/").when(kind == 1, "uploads/").otherwise("logs/")
     return documents.select(
-        F.when(kind == 0, "documents").when(kind == 1, "uploads").otherwise("logs").alias("bucket"),
+        F.when(kind == 0, "documents").when(kind == 1, "uploads")
+        .when(F.col("lang") == "en", "log-groups").otherwise("logs").alias("bucket"),
         F.concat(prefix, F.col("lang"), F.lit("/"), F.pmod(F.col("n_chars"), F.lit(40)).cast("string")).alias("key"),
         F.col("doc_id").alias("version_id"),
         _minutes_after_start(F.pmod(F.col("doc_id"), F.lit(120)) * 1440 + F.pmod(F.col("doc_id"), F.lit(1440))).alias("created"),

@@ -107,6 +107,27 @@ def test_retrieval_cites_the_right_document(spark, tmp_path, documents):
     assert [r.request_id for r in rejected.collect()] == [3]
 
 
+def test_retrieval_equals_brute_force(spark, tmp_path):
+    import numpy as np
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    chunks = ingestion.chunk_documents(table.select(F.col("doc_id").cast("string").alias("uri"), "text"))
+    embedder = ingestion.fit_embedder(chunks)
+    stored = ingestion.index_chunks(chunks, str(tmp_path / "index"), embedder)
+    asked = table.select(F.col("doc_id").alias("request_id"), F.col("text").alias("query"))
+    citations, _ = retrieval.retrieve_knowledge(asked, stored, embedder, k=3)
+    got = {}
+    for r in citations.collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.chunk_id, r.distance))
+    ids, vectors = zip(*sorted((r.chunk_id, r.embedding) for r in stored.collect()))
+    matrix = np.array(vectors)
+    queries = ingestion.embed_chunks(asked.withColumnRenamed("query", "text"), embedder)
+    for r in queries.select("request_id", "embedding").collect():
+        d = np.sqrt(((matrix - np.array(r.embedding)) ** 2).sum(axis=1))
+        best = np.lexsort((np.arange(len(ids)), d))[:3]
+        assert [(i, pytest.approx(x, abs=2e-6)) for _, i, x in sorted(got[r.request_id])] == [(ids[b], d[b]) for b in best]
+
+
 def test_citation_fallbacks(spark):
     hits = spark.createDataFrame([("s3://a", "S3", "x" * 600), ("", "WEB", "y"), (None, None, None)],
                                  "uri string, location_type string, content string")

@@ -99,6 +99,17 @@ def test_stream_route_equals_batch(spark):
     assert sorted(map(tuple, spark.read.parquet(sink).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_running_counts(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    stream = jobs.file_stream(spark, sf_dir, turns, "conversations.parquet")
+    counts = jobs.running_tier_counts(jobs.stream_route(adapters.requests_of(stream)))
+    query = counts.writeStream.format("memory").queryName("tiers").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = jobs.running_tier_counts(jobs.stream_route(adapters.requests_of(turns)))
+    assert sorted(map(tuple, spark.table("tiers").collect())) == sorted(map(tuple, batch.collect()))
+
+
 class FakeSession:
     """Just the settings and the master, to try clusters this machine is not."""
 
