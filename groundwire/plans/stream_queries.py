@@ -15,7 +15,9 @@ from groundwire.streaming import jobs
 
 
 def table_stream(spark, sf_dir, name):
-    return jobs.file_stream(spark, sf_dir, adapters.table(spark, sf_dir, name), f"{name}.parquet")
+    """A table is one file or a folder of files; a glob that matches its name alone fits both."""
+    path = f"{sf_dir}/{name}.parquet"
+    return jobs.file_stream(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path))
 
 
 def collected(spark, stream, name):

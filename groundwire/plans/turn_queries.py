@@ -8,6 +8,7 @@ from groundwire.config import EngineConfig
 from groundwire.operators import operations, tool_loop as loops, turns
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
+from groundwire.plans.workspace import materialize
 from groundwire.sources import adapters
 from groundwire.sources.access_log import with_routes
 
@@ -48,10 +49,13 @@ def low_confidence_answers(spark, sf_dir):
     return turns.low_confidence_answers(adapters.answers(spark, sf_dir))
 
 
+def paired_of(calls, spark, sf_dir):
+    results = adapters.tool_results_of(calls, adapters.table(spark, sf_dir, "conversations"))
+    return turns.pair_tool_results(calls.filter(F.col("tool_use_id").isNotNull()), results)
+
+
 def paired(spark, sf_dir):
-    calls = adapters.model_calls(spark, sf_dir)
-    times = calls.filter(F.col("tool_use_id").isNotNull())
-    return turns.pair_tool_results(times, adapters.tool_results(spark, sf_dir))
+    return paired_of(adapters.model_calls(spark, sf_dir), spark, sf_dir)
 
 
 @register("pair_tool_results", f"""WITH {v.TOOL_RESULTS}
@@ -116,9 +120,9 @@ def accumulate_usage(spark, sf_dir):
     return loops.accumulate_usage(usage_of(adapters.model_calls(spark, sf_dir)))
 
 
-def final_runs(spark, sf_dir):
+def final_runs(run):
     """Final responses with the run's token counts and start time as plain columns."""
-    return loops.finalize_responses(looped(spark, sf_dir), config=CONFIG, totals={
+    return loops.finalize_responses(run, config=CONFIG, totals={
         "requested_at": F.min("requested_at"), "tier": F.first("tier"),
         "input_tokens": F.sum("input_tokens"), "output_tokens": F.sum("output_tokens"),
         "escalated": F.max("escalation").isNotNull(),
@@ -148,9 +152,10 @@ final AS (SELECT l.request_id,
   FROM final LEFT JOIN stored USING (request_id)""".replace(
     "stored AS", "tool_calls AS (SELECT request_id FROM looped WHERE is_tool AND NOT discarded), stored AS"))
 def finalize_responses(spark, sf_dir):
-    run = looped(spark, sf_dir)
+    # Three branches read the run, so it is written once.
+    run = materialize(looped(spark, sf_dir), "runs")
     usage = loops.usage_maps(loops.accumulate_usage(usage_of(run)))
-    traces = loops.run_traces(run, paired(spark, sf_dir))
+    traces = loops.run_traces(run, paired_of(run, spark, sf_dir))
     final = loops.finalize_responses(run, usage, traces, config=CONFIG)
     return final.select(
         "request_id", "answer", "stop_reason", "stop_cause", "model_tier", "model_id", "router_reason",
@@ -184,10 +189,11 @@ metrics AS (
   SELECT date_trunc('hour', ts) AS period, name, unit, count(*) AS samples, CAST(sum(value) AS BIGINT) AS total,
     CAST(max(value) AS BIGINT) AS maximum FROM metrics GROUP BY 1, 2, 3""")
 def metric_rollup(spark, sf_dir):
-    times = adapters.requests(spark, sf_dir).select("request_id", "requested_at")
+    calls = materialize(adapters.model_calls(spark, sf_dir), "calls")
+    times = calls.filter(F.col("i") == 0).select("request_id", "requested_at")
     metrics = (
-        operations.run_metrics(final_runs(spark, sf_dir))
-        .unionByName(operations.tool_metrics(paired(spark, sf_dir).join(times, "request_id")))
+        operations.run_metrics(final_runs(loops.tool_loop(calls, CONFIG)))
+        .unionByName(operations.tool_metrics(paired_of(calls, spark, sf_dir).join(times, "request_id")))
         .unionByName(operations.service_metrics(with_routes(adapters.access_log(spark, sf_dir))))
         .unionByName(operations.ingest_metrics(
             operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day")))
@@ -207,7 +213,7 @@ PRICES = {"fast": (0.001, 0.005), "reasoning": (0.003, 0.015)}
   FROM tagged GROUP BY ROLLUP (project, tier)""")
 def cost_attribution(spark, sf_dir):
     project = F.concat(F.lit("project-"), F.pmod(F.floor(F.col("request_id") / 1000), F.lit(7)).cast("string"))
-    usage = final_runs(spark, sf_dir).select(
+    usage = final_runs(looped(spark, sf_dir)).select(
         project.alias("project"), F.col("model_tier").alias("tier"), "input_tokens", "output_tokens"
     )
     return operations.cost_attribution(usage, PRICES)

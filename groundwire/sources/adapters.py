@@ -132,13 +132,16 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_results_of(model_calls(spark, sf_dir), table(spark, sf_dir, "conversations"))
+
+
+def tool_results_of(calls: DataFrame, turns: DataFrame) -> DataFrame:
     """Results exist for calls of sessions that hold an assistant turn right after the request."""
-    turns = table(spark, sf_dir, "conversations")
     answered = turns.filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("request_id")
     )
-    calls = model_calls(spark, sf_dir).filter(F.col("tool_use_id").isNotNull())
-    return calls.join(answered, "request_id", "left_semi").select(
+    used = calls.filter(F.col("tool_use_id").isNotNull())
+    return used.join(answered, "request_id", "left_semi").select(
         "request_id", "tool_use_id", F.concat(F.lit("result "), F.col("tool_use_id")).alias("result")
     )
 

@@ -25,12 +25,17 @@ from groundwire.sources.documents import under_prefix
 LATENESS = "10 minutes"
 
 
-def file_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
-    """Stream over the Parquet files of a folder, with the schema of a batch table."""
+def file_stream(
+    spark: SparkSession, path: str, like: DataFrame, pattern: str = "*.parquet", files: int | None = None
+) -> DataFrame:
+    """Stream over a Parquet file or folder, with the schema of a batch table.
+
+    ``files`` bounds the files of one micro-batch, and with them its state updates and memory.
+    """
     reader = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def event_time(stream: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
