@@ -118,4 +118,4 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
         F.percentile("_size", 0.5, F.coalesce(documents, F.lit(0))).alias("median_chunks"),
         F.sum(F.col("_n") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("max_tokens"),
         F.percentile("n_tokens", 0.5, F.col("_n")).alias("median_tokens"),
-    ).withColumn("avg_tokens", F.round(F.col("tokens") / F.col("chunks"), 6))
+    ).withColumn("avg_tokens", F.col("tokens") / F.col("chunks"))

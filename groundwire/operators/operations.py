@@ -184,16 +184,18 @@ def cost_attribution(
 
 
 def budget_status(costs: DataFrame, limit: float = BUDGET_USD) -> DataFrame:
-    """Month-to-date spend per day, forecast and alerts; costs are summed per day before the window."""
+    """Month-to-date spend per day, forecast and alerts; costs are summed per day before the window.
+
+    Money is summed as decimals, so the result does not depend on the order of the rows.
+    """
     day = F.to_date("ts")
-    daily = costs.groupBy(day.alias("day")).agg(F.sum("cost").alias("spend"))
+    daily = costs.groupBy(day.alias("day")).agg(F.sum(F.col("cost").cast("decimal(18,6)")).alias("_spend"))
     month = Window.partitionBy(F.trunc("day", "month")).orderBy("day")
-    to_date = F.sum("spend").over(month.rowsBetween(Window.unboundedPreceding, 0))
-    forecast = F.col("_mtd") / F.dayofmonth("day") * F.dayofmonth(F.last_day("day"))
-    return daily.withColumn("_mtd", to_date).select(
-        "day", F.round("spend", 4).alias("spend"), F.round("_mtd", 4).alias("month_to_date"),
-        F.round(forecast, 4).alias("forecast"),
-        (F.col("_mtd") > limit * ACTUAL_SHARE).alias("actual_alert"),
+    to_date = F.sum("_spend").over(month.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    forecast = F.col("month_to_date") / F.dayofmonth("day") * F.dayofmonth(F.last_day("day"))
+    return daily.withColumn("month_to_date", to_date).select(
+        "day", F.col("_spend").cast("double").alias("spend"), "month_to_date", forecast.alias("forecast"),
+        (F.col("month_to_date") > limit * ACTUAL_SHARE).alias("actual_alert"),
         (forecast > limit * FORECAST_SHARE).alias("forecast_alert"),
     )
 

@@ -186,6 +186,6 @@ def tier_share(decisions: DataFrame, targets: Mapping[str, float] = TARGET_SHARE
     # The window runs over the few subtotal rows, not over requests.
     shared = counted.withColumn("_share", F.col("requests") / total.over(Window.partitionBy()))
     return shared.select(
-        "tier", "source", "requests", F.round("_share", 6).alias("share"),
-        F.round(F.when(F.col("_level") == 1, F.col("_share") - target), 6).alias("over_target"),
+        "tier", "source", "requests", F.col("_share").alias("share"),
+        F.when(F.col("_level") == 1, F.col("_share") - target).alias("over_target"),
     )

@@ -93,7 +93,7 @@ def escalation_report(looped: DataFrame) -> DataFrame:
     # Both sides hold one row per reason and cause by now.
     return escalated.join(per_reason, "reason").select(
         "reason", F.col("escalation").alias("cause"), "escalations", "fast_starts",
-        F.round(F.col("escalations") / F.col("fast_starts"), 6).alias("rate"),
+        (F.col("escalations") / F.col("fast_starts")).alias("rate"),
     )
 
 

@@ -80,7 +80,7 @@ def tool_stats(paired: DataFrame) -> DataFrame:
     errors = F.count_if(F.col("status") == "error")
     return paired.groupBy("tool").agg(
         F.count("*").alias("calls"), errors.alias("errors"),
-        F.round(errors / F.count("*"), 6).alias("error_rate"),
+        (errors / F.count("*")).alias("error_rate"),
     )
 
 

@@ -370,5 +370,5 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     )
     return hits.agg(
         F.count("*").alias("expected"), F.count("_hit").alias("found"),
-        F.round(F.count("_hit") / F.count("*"), 6).alias("recall"),
+        (F.count("_hit") / F.count("*")).alias("recall"),
     )

@@ -51,8 +51,9 @@ def vision_summary(detections: DataFrame) -> DataFrame:
 
 
 def label_counts(summary: DataFrame) -> DataFrame:
-    """Images and mean confidence per label."""
+    """Images and mean confidence per label; summed in whole hundredths, so in any order the same."""
     labels = summary.select("image_id", F.inline("labels"))
+    hundredths = F.sum(F.round(F.col("confidence") * 100).cast("bigint"))
     return labels.groupBy("name").agg(
-        F.count("*").alias("images"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
+        F.count("*").alias("images"), (hundredths / F.count("*") / 100).alias("avg_confidence")
     )

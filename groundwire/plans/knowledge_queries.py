@@ -119,7 +119,7 @@ def chunk_documents(spark, sf_dir):
     quantile_cont(n, 0.5) AS median_chunks FROM per_document GROUP BY 1),
   t AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, max(n_tokens) AS max_tokens,
     quantile_cont(n_tokens, 0.5) AS median_tokens FROM chunks GROUP BY 1)
-  SELECT *, round(tokens / chunks, 6) AS avg_tokens FROM d JOIN t USING (source)""")
+  SELECT *, tokens / chunks AS avg_tokens FROM d JOIN t USING (source)""")
 def corpus_stats(spark, sf_dir):
     return ingestion.corpus_stats(all_chunks(spark, sf_dir))
 
@@ -229,7 +229,7 @@ def vector_topk_ann(spark, sf_dir):
 
 
 @register("vector_recall", f"""WITH {_EXACT}{_APPROXIMATE}
-  SELECT count(*) AS expected, count(a.query_id) AS found, round(count(a.query_id) / count(*), 6) AS recall
+  SELECT count(*) AS expected, count(a.query_id) AS found, count(a.query_id) / count(*) AS recall
   FROM exact e LEFT JOIN approximate a USING (query_id, chunk_id)""")
 def vector_recall(spark, sf_dir):
     exact = vectors.vector_topk(vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir))

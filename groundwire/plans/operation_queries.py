@@ -77,10 +77,10 @@ def alarm_state_latency(spark, sf_dir):
     return operations.alarm_periods(series, 300, LATENCY_MS, operations.LATENCY_PERIODS)
 
 
-@register("budget_status", """WITH daily AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS spend FROM events GROUP BY 1),
-  running AS (SELECT *, sum(spend) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS mtd FROM daily),
+@register("budget_status", """WITH daily AS (SELECT CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18,6))) AS spend FROM events GROUP BY 1),
+  running AS (SELECT *, CAST(sum(spend) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS DOUBLE) AS mtd FROM daily),
   forecasts AS (SELECT *, mtd / day(day) * day(last_day(day)) AS f FROM running)
-  SELECT day, round(spend, 4) AS spend, round(mtd, 4) AS month_to_date, round(f, 4) AS forecast,
+  SELECT day, CAST(spend AS DOUBLE) AS spend, mtd AS month_to_date, f AS forecast,
     mtd > 150.0 * 0.8 AS actual_alert, f > 150.0 AS forecast_alert FROM forecasts""")
 def budget_status(spark, sf_dir):
     return operations.budget_status(adapters.table(spark, sf_dir, "events").select("ts", F.col("value").alias("cost")))

@@ -147,6 +147,6 @@ def vision_summary(spark, sf_dir):
 
 
 @register("vision_label_counts", f"""WITH {_VISION}
-  SELECT name, count(*) AS images, round(avg(round_even(confidence, 2)), 6) AS avg_confidence FROM kept GROUP BY 1""")
+  SELECT name, count(*) AS images, CAST(sum(CAST(round(round_even(confidence, 2) * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS avg_confidence FROM kept GROUP BY 1""")
 def vision_label_counts(spark, sf_dir):
     return vision.label_counts(vision.vision_summary(adapters.detections(spark, sf_dir)))

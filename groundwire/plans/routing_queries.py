@@ -185,9 +185,9 @@ def build_inference_batch(spark, sf_dir):
 
 
 @register("tier_share", f"""WITH {_DECIDED}
-  SELECT tier, source, count(*) AS requests, round(count(*) / (SELECT count(*) FROM decided), 6) AS share,
-    CASE WHEN grouping(tier) = 0 AND grouping(source) = 1 THEN round(count(*) / (SELECT count(*) FROM decided)
-      - CASE tier WHEN 'fast' THEN 0.75 ELSE 0.25 END, 6) END AS over_target
+  SELECT tier, source, count(*) AS requests, count(*) / (SELECT count(*) FROM decided) AS share,
+    CASE WHEN grouping(tier) = 0 AND grouping(source) = 1 THEN count(*) / (SELECT count(*) FROM decided)
+      - CASE tier WHEN 'fast' THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END END AS over_target
   FROM decided GROUP BY CUBE (tier, source)""")
 def tier_share(spark, sf_dir):
     return routing.tier_share(decided(spark, sf_dir))

@@ -66,7 +66,7 @@ def pair_tool_results(spark, sf_dir):
 
 @register("tool_stats", f"""WITH {v.TOOL_RESULTS}
   SELECT tool, count(*) AS calls, count(*) FILTER (status = 'error') AS errors,
-    round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate FROM paired GROUP BY 1""")
+    count(*) FILTER (status = 'error') / count(*) AS error_rate FROM paired GROUP BY 1""")
 def tool_stats(spark, sf_dir):
     return turns.tool_stats(paired(spark, sf_dir))
 
@@ -98,7 +98,7 @@ def tool_loop(spark, sf_dir):
 @register("escalation_report", f"""WITH {v.LOOPED},
   starts AS (SELECT reason, count(*) AS fast_starts FROM looped WHERE i = 0 AND tier = 'fast' GROUP BY 1)
   SELECT reason, escalation AS cause, count(*) AS escalations, any_value(fast_starts) AS fast_starts,
-    round(count(*) / any_value(fast_starts), 6) AS rate
+    count(*) / any_value(fast_starts) AS rate
   FROM looped JOIN starts USING (reason) WHERE escalation IS NOT NULL GROUP BY 1, 2""")
 def escalation_report(spark, sf_dir):
     return loops.escalation_report(looped(spark, sf_dir))
