@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,6 +119,12 @@ def latency_percentile(log: DataFrame, period: str = "5 minutes", share: float =
     ).select(F.col("_w.start").alias("period"), "value", "calls")
 
 
+def period_index(period: Column, seconds: int) -> Column:
+    """Number of a period since 1970 by wall-clock time, so it does not depend on the session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", epoch, period.cast("timestamp_ntz")) / seconds)
+
+
 def alarm_periods(
     metrics: DataFrame, period_seconds: int, threshold: float, periods: int
 ) -> DataFrame:
@@ -130,9 +135,9 @@ def alarm_periods(
     found as islands over the breaching periods only, so quiet stretches need no filler rows.
     """
     order = Window.partitionBy("alarm").orderBy("_n")
-    epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
-    n = F.floor(F.timestamp_diff("SECOND", epoch, F.col("period").cast("timestamp_ntz")) / period_seconds)
-    breaches = metrics.filter(F.col("value") >= threshold).withColumn("_n", n)
+    breaches = metrics.filter(F.col("value") >= threshold).withColumn(
+        "_n", period_index(F.col("period"), period_seconds)
+    )
     islands = breaches.withColumn("_island", F.col("_n") - F.row_number().over(order))
     spans = islands.groupBy("alarm", "_island").agg(
         F.min("period").alias("_from"), F.max("period").alias("_to"), F.count("*").alias("breaching")

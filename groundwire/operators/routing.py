@@ -99,7 +99,7 @@ def classifier_candidates(requests: DataFrame, config: EngineConfig = EngineConf
         _override(requests).isNull() & (F.col("_rule.confidence") < config.confidence_floor)
     )
     if config.router_mode != "hybrid":
-        undecided = undecided.limit(0)
+        undecided = undecided.filter(F.lit(False))
     prompt = F.concat(
         F.lit("Query: "), F.substring("query", 1, CLASSIFIER_INPUT_CHARS),
         F.lit("\nHas image: "), F.when(image, "True").otherwise("False"),

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundwire.config import EngineConfig
 from groundwire.operators.ingestion import chunk_documents
-from groundwire.operators.operations import dashboard_rollup
+from groundwire.operators.operations import dashboard_rollup, period_index
 from groundwire.operators.policy import pii_matches
 from groundwire.operators.routing import bind_models, decide_tier, route_modality
 from groundwire.plans.workspace import new_folder
@@ -128,7 +128,7 @@ def stream_alarm_edges(series: DataFrame, period_seconds: int, threshold: float,
         yield pd.DataFrame(rows, columns=["alarm", "period_index", "state", "run"])
 
     indexed = series.select(
-        "alarm", F.floor(F.unix_timestamp("period") / period_seconds).alias("n"),
+        "alarm", period_index(F.col("period"), period_seconds).alias("n"),
         F.col("value").cast("double").alias("value"),
     )
     return indexed.groupBy("alarm").applyInPandasWithState(
