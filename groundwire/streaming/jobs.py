@@ -39,7 +39,7 @@ def file_stream(
 
 
 def event_time(stream: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
-    """Watermarks need a zoned timestamp; the session zone is UTC."""
+    """Watermarks need a zoned timestamp. Windows align to UTC, so run streams in a UTC session."""
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
