@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe
+from groundwire.llm import byte_bpe, line_dedup, source_mix
 from groundwire.llm.registry import register, table
 
 
@@ -25,3 +25,40 @@ def op6_byte_bpe(spark, sf_dir):
         "doc_id", byte_bpe.n_tokens("token_ids").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), marked AS (
+  SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS lost FROM keyed
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@register("op2_line_dedup", LINE_SQL)
+def op2_line_dedup(spark, sf_dir):
+    """Lines lost to earlier documents, and a digest of what stays of each whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_chars=10))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+@register("op4_source_mix")
+def op4_source_mix(spark, sf_dir):
+    """Words each document gives to a mix of 150 % of the corpus, sources weighing 5, 2, 1 in turn."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = source_mix.mix(docs, weights=(5, 2, 1), share=1.5, passes=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
