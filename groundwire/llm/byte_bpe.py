@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the first of 256 letters that stand for the bytes 0 to 255.
 FIRST_LETTER = 0x100
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
