@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, line_dedup, source_mix
+from groundwire.llm import byte_bpe, line_dedup, minhash_links, source_mix
 from groundwire.llm.registry import register, table
 
 
@@ -62,3 +62,10 @@ def op4_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mixed = source_mix.mix(docs, weights=(5, 2, 1), share=1.5, passes=2)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@register("op9_minhash_links")
+def op9_minhash_links(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets agree to 85 % or more."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash_links.near_duplicates(docs, words=3, percent=85)
