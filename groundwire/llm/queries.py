@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, line_dedup, minhash_links, source_mix
+from groundwire.llm import byte_bpe, line_dedup, minhash_links, quality, source_mix
 from groundwire.llm.registry import register, table
 
 
@@ -69,3 +69,10 @@ def op9_minhash_links(spark, sf_dir):
     """Components of documents whose 3-word shingle sets agree to 85 % or more."""
     docs = table(spark, sf_dir, "documents")
     return minhash_links.near_duplicates(docs, words=3, percent=85)
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    """Classifier evidence, site rates and the combined quality of every document; sources are the hosts,
+    languages their paths."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
