@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, line_dedup, minhash_links, quality, source_mix
+from groundwire.llm import byte_bpe, fingerprints, line_dedup, minhash_links, quality, source_mix
 from groundwire.llm.registry import register, table
 
 
@@ -76,3 +76,16 @@ def op7_quality(spark, sf_dir):
     """Classifier evidence, site rates and the combined quality of every document; sources are the hosts,
     languages their paths."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
+@register("op1_fingerprints")
+def op1_fingerprints(spark, sf_dir):
+    """Fingerprints of every whole text and of its edited text, and how alike they are."""
+    marked = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_hex("fingerprint").alias("fingerprint"),
+        fingerprints.as_hex("edited_fingerprint").alias("edited_fingerprint"),
+        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
