@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, fingerprints, line_dedup, minhash_links, quality, source_mix
+from groundwire.llm import byte_bpe, fingerprints, language, line_dedup, minhash_links, quality, source_mix
 from groundwire.llm.registry import register, table
 
 
@@ -89,3 +89,13 @@ def op1_fingerprints(spark, sf_dir):
         fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+@register("op3_language")
+def op3_language(spark, sf_dir):
+    """Language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.held_out("doc_id")
+    model = language.fit(docs.filter(~held & F.col("doc_id").isNotNull()), "text", "lang")
+    predicted = language.predict(docs.select("doc_id", "text", held.alias("held_out")), "text", model)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score", "mixture")
