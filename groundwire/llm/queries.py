@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, fingerprints, language, line_dedup, minhash_links, quality, source_mix
+from groundwire.llm import byte_bpe, fingerprints, language, line_dedup, minhash_links, quality, source_mix, warc
 from groundwire.llm.registry import register, table
+from groundwire.plans.workspace import materialize, new_folder
 
 
 def bpe_files() -> dict[str, str]:
@@ -99,3 +100,23 @@ def op3_language(spark, sf_dir):
     model = language.fit(docs.filter(~held & F.col("doc_id").isNotNull()), "text", "lang")
     predicted = language.predict(docs.select("doc_id", "text", held.alias("held_out")), "text", model)
     return predicted.select("doc_id", "held_out", "lang_pred", "score", "mixture")
+
+
+@register("op8_warc")
+def op8_warc(spark, sf_dir):
+    """Every page written to WARC files and read back as one capture."""
+    path = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = materialize(warc.read(spark, path).drop("payload"), "warc-records")  # parsed once, joined thrice
+    read = warc.captures(records)
+
+    def number(name: str):
+        return F.expr(f"try_cast(metadata.fields['{name}'] AS bigint)")
+
+    revisit = F.col("response.record_type") == "revisit"
+    return read.select(
+        number("page-id").alias("page_id"), number("payload-length").alias("payload_bytes"),
+        F.substring_index("response.payload_digest", ":", -1).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.when(revisit, number("first-page-id")).alias("refers_to"),
+    )
