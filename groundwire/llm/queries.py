@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, quality, source_mix, warc
+from groundwire.llm import byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, quality, source_mix, vector_links, warc
 from groundwire.llm.registry import register, table
 from groundwire.plans.workspace import materialize, new_folder
 
@@ -150,3 +150,26 @@ def op5_chat(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"),
     )
     return chat.digests(chat.format_turns(turns.unionByName(probe))).drop("rewritten")
+
+
+LINK_SQL = """
+WITH RECURSIVE units AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
+
+
+@register("op10_vector_links", LINK_SQL)
+def op10_vector_links(spark, sf_dir):
+    """Embeddings of one label linked at a cosine of 0.98."""
+    return vector_links.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audit_recall")
