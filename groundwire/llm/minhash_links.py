@@ -9,7 +9,8 @@
 4. Within a list nobody meets everybody: documents first meet a hub, chosen per list by hash. The collisions
    of a pair are counted on the signatures and pairs above the threshold confirmed on the sets; documents
    that confirmed links join need not meet again. Only lists that still hold several components are gone
-   through, smaller components against the rest, so that no link between components is lost.
+   through in full, all but the largest component against everyone, inside tasks that return joined
+   documents, never pairs: no link between components is lost, and none within one is looked for.
 
 Defined cases: null and blank texts have the empty set and no links; texts shorter than a shingle are one
 shingle; rows that share a doc_id are one document; rows without doc_id are never linked and stay.
@@ -20,6 +21,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from groundwire.plans.workspace import materialize
 
 COORDINATES = 48
 SLICE = 400_000
+#: Shingles of the documents a comparing task holds on either side, but for single longer documents.
+BLOCK = 400_000
 
 
 def least_matches(coordinates: int, similarity: float, miss: float) -> int:
@@ -122,6 +126,73 @@ def _above(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return counted.filter(F.col("hits") >= least).select("a", "b", "hits")
 
 
+def _comparer(least: int, percent: int):
+    """Compare the asking documents of one list (or block of it) with the others, on signatures and then on
+    sets, and return one edge (a, b) for each document that links join to a smaller one."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asking, other = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        links: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while links.setdefault(n, n) != n:
+                links[n] = n = links[links[n]]
+            return n
+
+        if len(asking) and len(other):
+            nodes, comps, sizes = (other[c].to_numpy() for c in ("node", "comp", "size"))
+            signed = np.stack(other["signature"].to_list())
+            values = np.concatenate(other["shingles"].to_list())
+            order = np.argsort(values, kind="stable")
+            values, holder = values[order], np.repeat(np.arange(len(nodes)), sizes)[order]
+            top = other["top"].iloc[0]
+            for node, comp, size, signature, shingles in zip(*(asking[c] for c in ("node", "comp", "size", "signature", "shingles"))):
+                wanted = (comps != comp) & ((comps == top) | (node < nodes))
+                wanted &= (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+                wanted &= (signed == signature).sum(axis=1) >= least
+                if not wanted.any():
+                    continue
+                low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+                length = high - low
+                at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+                both = np.bincount(holder[at], minlength=len(nodes))
+                for n in nodes[wanted & (100 * both >= percent * (sizes + size - both))].tolist():
+                    x, y = root(int(node)), root(n)
+                    links[max(x, y)] = min(x, y)
+        joined = [(n, root(n)) for n in list(links)]
+        return pd.DataFrame([x for x in joined if x[0] != x[1]], columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _apart(member: DataFrame, sets: DataFrame, signatures: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between components that still share a list: all documents but those of the largest component ask
+    all others. Long lists are dealt into blocks of about BLOCK shingles, and no pair ever becomes a row."""
+    sized = sets.select("node", F.size("shingles").alias("size"))
+    held = member.join(sized, "node")
+    parts = held.groupBy("token", "comp").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    lists = parts.groupBy("token").agg(
+        F.max(F.struct("m", "comp", "size")).alias("most"), F.count("*").alias("k"), F.sum("size").alias("all")
+    ).filter("k > 1").select(
+        "token", F.col("most.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("most.size")) / BLOCK).cast("int").alias("turns"),
+    )
+    dealt = held.join(lists, "token")
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    key = ["token", "turn", "block"]
+    rows = [*key, "node", "comp", "top", "size", "asks"]
+    asking = dealt.filter("comp <> top").withColumn("turn", own("turns")).withColumn("block", every("blocks"))
+    other = dealt.withColumn("block", own("blocks")).withColumn("turn", every("turns"))
+    both = asking.withColumn("asks", F.lit(True)).select(rows).unionByName(other.withColumn("asks", F.lit(False)).select(rows))
+    full = both.join(signatures.join(sets, "node"), "node")
+    return full.groupBy(*key).applyInPandas(_comparer(least, percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85,
     coordinates: int = COORDINATES, miss: float = 1e-6, rounds: int = 2,
@@ -157,17 +228,9 @@ def near_duplicates(
         confirmed = _confirm(best.select("a", F.col("best.b").alias("b")), sets, percent)
         links = materialize(confirmed if links is None else links.unionByName(confirmed), "confirmed")
         found, member = _joined(links, postings)
-    # exact for what the stars left apart: in each list, all but its largest component against every other
-    sizes = member.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    held = member.join(major.select("token", F.col("top.comp").alias("top")), "token")
-    minor = held.filter("comp <> top").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    other = held.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), "top")
-    apart = minor.join(other, "token").filter("ca <> cb AND (cb = top OR a < b)")
-    pairs = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    confirmed = materialize(_confirm(_above(pairs, signatures, least).drop("hits"), sets, percent), "confirmed")
-    if confirmed.head(1):
-        found = components(links.unionByName(confirmed), "a", "b")
+    apart = materialize(_apart(member, sets, signatures, least, percent), "confirmed")
+    if apart.head(1):
+        found = components(links.unionByName(apart), "a", "b")
     located = prepared.join(classes.select(*key, "node"), key, "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return located.select(
