@@ -5,17 +5,16 @@ smallest value. An empty bin copies a bin that holds something: it walks all bin
 and takes the first filled one. The low 8 bits of each bin are packed, eight bins to a long. The share of
 equal bytes of two fingerprints, freed of the 1/256 that agree by chance, estimates the likeness of the sets.
 
-All of it is column expressions; a text never leaves its row.
+All of it is column expressions; a text is dealt once.
 
 Defined cases: null is the empty text; texts shorter than a shingle are one shingle; texts without words have
 the empty fingerprint, whose likeness is 1 to another empty one and 0 to any other; an empty table gives no
-rows; rows that share a doc_id are ordered by their text; the only document is its own next.
+rows; texts that share a doc_id follow each other in the order of a hash; rows equal in doc_id and text are one
+document, whose copies all come out; the only document is its own next.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,6 +28,8 @@ BINS, WORDS = 256, 5
 BIN_BITS = BINS.bit_length() - 1
 VALUE_BITS = 63 - BIN_BITS
 EMPTY = (1 << VALUE_BITS) - 1
+STEP_FACTOR, TRIES = 40_503, 16
+NO_ID = -(1 << 63)
 
 
 def _dense_bins(df: DataFrame, shingles: str) -> DataFrame:
@@ -44,101 +45,101 @@ def _dense_bins(df: DataFrame, shingles: str) -> DataFrame:
     return compute_once(ordered, {"_bins": F.filter("_ordered", leads)}).drop("_ordered")
 
 
-def _densified(df: DataFrame) -> DataFrame:
-    """Add ``_bytes``: the low 8 bits of every bin, empty ones borrowed.
+def _densified(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the low 8 bits of every bin, empty ones borrowed; empty where no bin is filled.
 
-    Bin b walks (b + t * step) mod BINS for t = 0, 1, ... with an odd step of its own, a full cycle since
-    BINS is a power of two. The filled bin it meets first is the one with the smallest t, found by inverting
-    the step: t = (j - b) * step^-1 mod BINS.
+    Bin b walks b + step, b + 2 step, ... mod BINS with an odd step of its own, a full cycle since BINS is a power
+    of two, and takes the first filled bin. The first TRIES steps are looked at one after the other; where they
+    all fail, few bins are filled, and each of those tells when the walk would meet it: t = (j - b) / step.
     """
-    inverse = F.array(*[F.lit(pow(_step(b), -1, BINS)) for b in range(BINS)])
-    filled = compute_once(df, {
-        "_filled": F.filter("_bins", lambda x: x.bitwiseAND(EMPTY) != EMPTY), "_inverse": inverse,
-    })
+    inverse = F.array(*[F.lit(pow(_step_of(b), -1, BINS)) for b in range(BINS)])
+    filled = compute_once(df, {"_filled": F.filter("_bins", _is_filled)})
 
     def borrowed(b: Column) -> Column:
-        step = F.get("_inverse", b)
+        step = F.shiftright(b * STEP_FACTOR, 8).bitwiseAND(BINS - 1).bitwiseOR(1)
+        tried = [F.get("_bins", (b + step * t).bitwiseAND(BINS - 1)) for t in range(1, TRIES + 1)]
 
         def turn(x: Column) -> Column:
             at = F.shiftright(x, VALUE_BITS).cast("int")
-            return ((at - b) * step).bitwiseAND(BINS - 1) * 256 + x.bitwiseAND(255).cast("int")
+            return ((at - b) * F.get(inverse, b)).bitwiseAND(BINS - 1) * 256 + x.bitwiseAND(255).cast("int")
 
-        return F.array_min(F.transform("_filled", turn)).bitwiseAND(255)
+        last = F.array_min(F.transform("_filled", turn)).bitwiseAND(255)
+        return F.coalesce(*[F.when(_is_filled(x), x.bitwiseAND(255).cast("int")) for x in tried], last)
 
-    low = F.transform("_bins", lambda x, b: F.when(x.bitwiseAND(EMPTY) != EMPTY, x.bitwiseAND(255).cast("int"))
-                      .otherwise(borrowed(b)))
-    return compute_once(filled, {"_bytes": low}).drop("_bins", "_filled", "_inverse")
+    low = F.transform("_bins", lambda x, b: F.when(_is_filled(x), x.bitwiseAND(255).cast("int")).otherwise(borrowed(b)))
+    none = F.array().cast("array<tinyint>")
+    signed = F.transform(low, lambda x: (x - 128).cast("tinyint"))
+    return compute_once(filled, {name: F.when(F.size("_filled") == 0, none).otherwise(signed)}).drop("_bins", "_filled")
 
 
-def _step(b: int) -> int:
-    return (b * 0x9E3779B1 >> 7) % BINS | 1
+def _is_filled(x: Column) -> Column:
+    return x.bitwiseAND(EMPTY) != EMPTY
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str, words: int = WORDS) -> DataFrame:
-    """Add ``name``: BINS / 8 longs, each eight bins' low bytes; empty for texts without words."""
-    dense = _densified(_dense_bins(with_shingles(df, text, words, "_shingles"), "_shingles"))
+def _step_of(b: int) -> int:
+    return (b * STEP_FACTOR >> 8) & (BINS - 1) | 1
 
-    def packed(i: Column) -> Column:
-        parts = [F.shiftleft(F.get("_bytes", i * 8 + n).cast("long"), 56 - 8 * n) for n in range(8)]
-        return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
-    longs = F.transform(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), packed)
-    empty = F.size("_shingles") == 0
-    return compute_once(dense, {name: F.when(empty, F.array().cast("array<bigint>")).otherwise(longs)}).drop(
-        "_shingles", "_bytes"
-    )
+def with_fingerprint(df: DataFrame, text: Column, name: str, words: int = WORDS) -> DataFrame:
+    """Add ``name``: one byte per bin; empty for texts without words."""
+    return _densified(_dense_bins(with_shingles(df, text, words, "_shingles"), "_shingles").drop("_shingles"), name)
 
 
 def as_hex(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    digits = F.array(*[F.lit(f"{n:02x}") for n in range(256)])
+    return F.array_join(F.transform(fingerprint, lambda x: F.get(digits, x.cast("int") + 128)), "")
 
 
 def likeness(a: str, b: str) -> Column:
     """The bias-corrected share of equal bytes, between 0 and 1."""
-    def unequal(x: Column, y: Column) -> Column:
-        folded = x.bitwiseXOR(y)  # every byte's bits are folded onto its lowest
-        for shift, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(folded, shift)).bitwiseAND(kept)
-        return F.bit_count(folded)
-
-    differ = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda total, n: total + n)
-    share = 1 - differ / BINS
-    corrected = F.greatest((share - 1 / 256) / (1 - 1 / 256), F.lit(0.0))
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+    corrected = F.greatest((equal / BINS - 1 / 256) / (1 - 1 / 256), F.lit(0.0))
     return F.when(F.col(a) == F.col(b), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(corrected)
 
 
+def with_next(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``next``: the ``order`` columns of the next distinct row, of the first for the last.
+
+    Range partitions are written once with their numbers and look ahead within themselves; one row per
+    partition tells where the following one begins.
+    """
+    dealt = rows.distinct().repartitionByRange(spread(rows), *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "in-order")
+    ahead = dealt.withColumn("_next", F.lead(F.struct(*order)).over(W.partitionBy("_part").orderBy(*order)))
+    starts = dealt.groupBy("_part").agg(F.min(F.struct(*order)).alias("_start"))
+    parts = W.orderBy("_part")
+    follows = starts.select(
+        "_part", F.coalesce(F.lead("_start").over(parts), F.min("_start").over(W.partitionBy(F.lit(0)))).alias("_follow")
+    )
+    joined = ahead.join(follows, "_part")
+    return joined.withColumn("next", F.coalesce("_next", "_follow")).drop("_part", "_next", "_follow")
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Columns doc_id, n_chars, fingerprint, edited, next_fingerprint, edited_fingerprint.
+    """Columns doc_id, n_chars, fingerprint, edited, next_fingerprint, edited_fingerprint, one row per document.
 
     The edited text: the last floor(n_chars / 2) code points replaced by as many, or all, of the first of the
-    next document's.
+    next document's. Who follows whom is found on ids alone. Each text is then dealt once, by its own id, and
+    sends the part the one before it needs, with its fingerprint.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = with_fingerprint(own, F.col("text"), "fingerprint", words)
-    dealt = marked.repartitionByRange(spread(docs), "doc_id", "text").withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt, "ordered-texts")
-    window = W.partitionBy("part").orderBy("doc_id", "text")
-    after = F.struct("text", "fingerprint")
-    ahead = dealt.withColumn("next", F.lead(after).over(window))
-    inner = ahead.filter("next IS NOT NULL")
-
-    row = F.struct("doc_id", "text", "fingerprint")
-    edges = dealt.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    edges = materialize(edges, "edges")
-    numbers = edges.select("part", F.lead("part").over(W.orderBy("part")).alias("follower"))
-    lowest = edges.agg(F.min("part")).first()[0]
-    numbers = numbers.withColumn("follower", F.coalesce("follower", F.lit(lowest)))
-    starts = edges.select(F.col("part").alias("follower"), F.col("first").alias("start"))
-    outer = edges.join(numbers, "part").join(starts, "follower").select(
-        F.col("last.doc_id").alias("doc_id"), F.col("last.text").alias("text"), F.col("last.fingerprint").alias("fingerprint"),
-        F.struct("start.text", "start.fingerprint").alias("next"),
+    # no id sorts first, as nulls do, and is told apart from the smallest id by its text
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    own = docs.select(key.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    order = with_next(own.select("id", "mark", F.length("text").alias("n")), ["id", "mark"])
+    before = order.select(
+        F.col("next.id").alias("id"), F.col("next.mark").alias("mark"), F.col("id").alias("to_id"),
+        F.col("mark").alias("to_mark"), F.col("n").alias("to_n"),
     )
-    paired = inner.select("doc_id", "text", "fingerprint", "next").unionByName(outer)
+    marked = with_fingerprint(own, F.col("text"), "fingerprint", words)
+    gifts = marked.join(before, ["id", "mark"]).select(
+        F.col("to_id").alias("id"), F.col("to_mark").alias("mark"),
+        F.substring("text", F.lit(1), F.floor(F.col("to_n") / 2).cast("int")).alias("gift"),
+        F.col("fingerprint").alias("next_fingerprint"),
+    ).groupBy("id", "mark").agg(F.first("gift").alias("gift"), F.first("next_fingerprint").alias("next_fingerprint"))
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
-    bound = compute_once(paired, {"edited": edited}).select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "edited",
-        F.col("next.fingerprint").alias("next_fingerprint"),
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("gift"))
+    bound = compute_once(marked.join(gifts, ["id", "mark"]), {"edited": edited}).select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), "fingerprint", "edited",
+        "next_fingerprint",
     )
     return with_fingerprint(bound, F.col("edited"), "edited_fingerprint", words)
