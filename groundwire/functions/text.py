@@ -61,3 +61,15 @@ def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """
     bound = F.struct(*[c.alias(name) for name, c in columns.items()])
     return df.select("*", F.inline(F.array(bound)))
+
+
+def letter_embedder(rows: DataFrame) -> DataFrame:
+    """A small embedder that SQL can repeat: how often each of a to z occurs, as a share of the largest count,
+    rounded to six digits. A stand-in for an external model."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    size = F.length(low)
+    counts = F.array(*[(size - F.length(F.replace(low, F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    counted = compute_once(rows, {"_counts": counts})
+    top = F.greatest(F.array_max("_counts"), F.lit(1.0))
+    shares = F.transform("_counts", lambda x: F.round(x / top, 6).cast("float"))
+    return counted.withColumn("embedding", shares).drop("_counts")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import words
-from groundwire.sources.chunk_store import append_chunks, missing_chunks
+from groundwire.plans.workspace import materialize
+from groundwire.sources.chunk_store import HEADER, append_rows, bucket_of, changed_documents, content_of
 from groundwire.sources.documents import under_prefix
 
 # Chunk length in tokens, overlap in percent, vector dimension.
@@ -21,17 +23,18 @@ VECTOR_DIM = 1024
 
 
 def chunk_documents(
-    documents: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap_percent: int = OVERLAP_PERCENT
+    documents: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap_percent: int = OVERLAP_PERCENT, headers: bool = False
 ) -> DataFrame:
     """(uri, text, …) to one row per fixed-size chunk; every token is in at least one chunk.
 
-    A token is a whitespace-separated word; ``n_chunks`` is the number of chunks of the document.
+    A token is a whitespace-separated word; ``n_chunks`` is the number of chunks of the document. With
+    ``headers`` each document also gives a row of ordinal -1 without text, empty documents too.
     Row-local: one generator per document, no shuffle.
     """
     overlap = max_tokens * overlap_percent // 100
     stride = max_tokens - overlap
     others = [c for c in documents.columns if c not in ("text", "uri")]
-    tokens = documents.select("uri", *others, words(F.col("text")).alias("_words"))
+    tokens = documents.select("uri", *others, words(F.coalesce("text", F.lit(""))).alias("_words"))
     n = F.size("_words")
     # Last start: the first one whose chunk reaches the end of the document.
     last = F.when(n <= max_tokens, 0).otherwise(
@@ -41,30 +44,37 @@ def chunk_documents(
         F.sequence(F.lit(0), last, F.lit(stride))
     )
 
-    def piece(start, ordinal):
-        part = F.slice(F.col("_words"), start + 1, F.lit(max_tokens))
+    def row(ordinal, text, n_tokens):
         return F.struct(
-            ordinal.cast("bigint").alias("ordinal"), F.array_join(part, " ").alias("text"),
-            F.size(part).cast("bigint").alias("n_tokens"),
+            ordinal.cast("bigint").alias("ordinal"), text.alias("text"), n_tokens.cast("bigint").alias("n_tokens"),
             F.size(starts).cast("bigint").alias("n_chunks"),
         )
 
+    def piece(start, ordinal):
+        part = F.slice(F.col("_words"), start + 1, F.lit(max_tokens))
+        return row(ordinal, F.array_join(part, " "), F.size(part))
+
     # The pieces are cut inside the generator, so the word array is not copied to every chunk row.
-    chunked = tokens.select("uri", *others, F.inline(F.transform(starts, piece)))
+    pieces = F.transform(starts, piece)
+    if headers:
+        pieces = F.concat(F.array(row(F.lit(HEADER), F.lit(None).cast("string"), F.lit(0))), pieces)
+    chunked = tokens.select("uri", *others, F.inline(pieces))
     identity = F.concat_ws("\x1f", "uri", F.col("ordinal").cast("string"), "text")
     return chunked.select(F.sha2(identity, 256).alias("chunk_id"), "*")
 
 
 def fit_embedder(chunks: DataFrame, dim: int = VECTOR_DIM) -> PipelineModel:
-    """Default embedder: hashed term counts with inverse document frequency, unit length."""
-    tokens = SQLTransformer(statement="SELECT *, split(lower(text), '\\\\s+') AS _tokens FROM __THIS__")
-    stages = [
-        tokens,
-        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
-    ]
-    return Pipeline(stages=stages).fit(chunks)
+    """Default embedder: hashed term counts weighted by 1 + inverse document frequency, unit length.
+
+    The 1 keeps words of every document, so no text with words has a zero vector.
+    """
+    tokens = SQLTransformer(statement="SELECT *, split(lower(coalesce(text, '')), '\\\\s+') AS _tokens FROM __THIS__")
+    counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim)
+    frequency = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(tokens.transform(chunks)))
+    weigh = ElementwiseProduct(
+        inputCol="_counts", outputCol="_weights", scalingVec=Vectors.dense([1.0 + x for x in frequency.idf])
+    )
+    return PipelineModel([tokens, counts, weigh, Normalizer(inputCol="_weights", outputCol="_unit", p=2.0)])
 
 
 def embed_chunks(
@@ -79,27 +89,62 @@ def embed_chunks(
     )
 
 
-def ingest_knowledge(
-    documents: DataFrame, path: str, prefix: str = "knowledge/",
-    embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Filter by prefix, chunk, embed and store; returns (stored chunks, one job-status row).
+def create_index(chunks: DataFrame, path: str) -> PipelineModel:
+    """Fit the default embedder on ``chunks`` and keep it with the index: all its vectors share one space."""
+    model = fit_embedder(chunks)
+    model.write().save(f"{path}/embedder")
+    return model
 
-    Stored and repeated chunks drop out before the embedding, the expensive step.
-    """
-    chunks = chunk_documents(under_prefix(documents, prefix))
-    stored = index_chunks(chunks, path, embedder or fit_embedder(chunks))
-    job = stored.agg(
-        F.count("*").alias("chunks"), F.count_if(F.col("ordinal") == 0).alias("documents"),
-        F.sum("n_tokens").alias("tokens"),
-    ).withColumn("status", F.lit("COMPLETE"))
-    return stored, job
+
+def load_embedder(spark: SparkSession, path: str) -> PipelineModel:
+    """The embedder an index was created with; fails for an index that has none."""
+    return PipelineModel.load(f"{path}/embedder")
+
+
+def version_rows(
+    documents: DataFrame, embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
+    """Store rows of documents (uri, text, version, …): headers and embedded chunks. Stateless, so it serves
+    batches and streams alike. Without an embedder the chunks are stored as they are."""
+    named = documents.withColumns({"content": content_of(F.col("text")), "bucket": bucket_of(F.col("uri"))})
+    rows = chunk_documents(named, headers=True)
+    if embedder is None:
+        return rows
+    embedded = embed_chunks(rows, embedder)
+    return embedded.withColumn("embedding", F.when(F.col("ordinal") != HEADER, F.col("embedding")))
+
+
+def job_metrics() -> list[Column]:
+    """What one ingest wrote, observed on the rows as they are written."""
+    header = F.col("ordinal") == HEADER
+    return [
+        F.count_if(header).alias("documents"), F.count_if(~header).alias("chunks"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
+    ]
 
 
-def index_chunks(
-    chunks: DataFrame, path: str, embedder: PipelineModel | Callable[[DataFrame], DataFrame]
+def ingest_knowledge(
+    documents: DataFrame, path: str, embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None,
+    prefix: str = "knowledge/",
 ) -> DataFrame:
-    return append_chunks(embed_chunks(missing_chunks(chunks, path), embedder), path)
+    """Filter by prefix, chunk, embed and store new and changed documents; returns the job's status row.
+
+    ``documents``: uri, key, text, version and further columns to keep. Unchanged documents drop out before
+    the chunking; a document that is only newer renews its header. ``load_embedder`` gives the embedder.
+    """
+    changed = materialize(changed_documents(under_prefix(documents, prefix), path), "changed-documents")
+    done = {"documents": 0, "chunks": 0, "tokens": 0}
+    fresh = changed.filter(~F.col("content_known")).drop("content_known", "bucket", "content")
+    if fresh.head(1):
+        job = Observation("ingest")
+        append_rows(version_rows(fresh, embedder).observe(job, *job_metrics()), path)
+        done = job.get
+    same = changed.filter("content_known").drop("content_known", "key", "text")
+    if same.head(1):
+        append_rows(same.withColumn("ordinal", F.lit(HEADER).cast("bigint")), path)
+    return documents.sparkSession.createDataFrame(
+        [(done["documents"], done["chunks"], done["tokens"], "COMPLETE")], "documents long, chunks long, tokens long, status string"
+    )
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ RUN_METRICS = (
 TOOL_METRICS = ("ToolSuccess", "ToolErrors")
 SERVICE_METRICS = ("Queries", "PresignedUploads", "UnhandledErrors")
 INGEST_METRICS = ("DocumentsUploaded", "IngestionJobsStarted")
+#: Numbers of periods a task looks at together when it finds runs of breaches.
+RUN_BLOCK = 10_000
 # Alarm thresholds, budget limits, quotas and retention days.
 ERROR_THRESHOLD, ERROR_PERIODS = 1, 1
 LATENCY_THRESHOLD_MS, LATENCY_PERIODS = 50_000, 2
@@ -125,29 +127,59 @@ def period_index(period: Column, seconds: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", epoch, period.cast("timestamp_ntz")) / seconds)
 
 
+def breach_runs(series: DataFrame, period_seconds: int, threshold: float) -> DataFrame:
+    """Runs of consecutive breaching periods: (alarm, first, last, from, to, breaching), first and last as numbers
+    of periods since the epoch.
+
+    Runs are found within blocks of RUN_BLOCK consecutive numbers, and what touches across blocks is joined
+    afterwards, so a task sees one block of an alarm, and then one row per run and block.
+    """
+    numbered = series.filter(F.col("value") >= threshold).select(
+        "alarm", "period", period_index(F.col("period"), period_seconds).alias("n")
+    )
+    place = Window.partitionBy("alarm", "_block").orderBy("n")
+    within = numbered.withColumn("_block", F.floor(F.col("n") / RUN_BLOCK)).withColumn("_run", F.col("n") - F.row_number().over(place))
+    pieces = within.groupBy("alarm", "_block", "_run").agg(
+        F.min("n").alias("first"), F.max("n").alias("last"), F.min("period").alias("from"), F.max("period").alias("to")
+    )
+    chain = Window.partitionBy("alarm").orderBy("first")
+    opens = F.coalesce(F.col("first") != F.lag("last").over(chain) + 1, F.lit(True))
+    return pieces.withColumn("_no", F.sum(opens.cast("int")).over(chain)).groupBy("alarm", "_no").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("from").alias("from"), F.max("to").alias("to")
+    ).withColumn("breaching", F.col("last") - F.col("first") + 1).drop("_no")
+
+
 def alarm_periods(
     metrics: DataFrame, period_seconds: int, threshold: float, periods: int
 ) -> DataFrame:
     """Spans in ALARM: (alarm, alarm_from, alarm_to, breaching).
 
     ``metrics``: (alarm, period, value), one row per alarm and period. The state is ALARM from the
-    ``periods``-th consecutive breach on; a missing period counts as fine. Consecutive breaches are
-    found as islands over the breaching periods only, so quiet stretches need no filler rows.
+    ``periods``-th consecutive breach on; a missing period counts as fine.
     """
-    order = Window.partitionBy("alarm").orderBy("_n")
-    breaches = metrics.filter(F.col("value") >= threshold).withColumn(
-        "_n", period_index(F.col("period"), period_seconds)
-    )
-    islands = breaches.withColumn("_island", F.col("_n") - F.row_number().over(order))
-    spans = islands.groupBy("alarm", "_island").agg(
-        F.min("period").alias("_from"), F.max("period").alias("_to"), F.count("*").alias("breaching")
-    )
     shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(period_seconds * (periods - 1))))
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(period_seconds)))
-    return spans.filter(F.col("breaching") >= periods).select(
-        "alarm", (F.col("_from") + shift).alias("alarm_from"), (F.col("_to") + step).alias("alarm_to"),
-        "breaching",
+    return breach_runs(metrics, period_seconds, threshold).filter(F.col("breaching") >= periods).select(
+        "alarm", (F.col("from") + shift).alias("alarm_from"), (F.col("to") + step).alias("alarm_to"), "breaching",
+    )
+
+
+def alarm_edges(series: DataFrame, period_seconds: int, threshold: float, periods: int) -> DataFrame:
+    """State changes (alarm, period_index, state, run) of closed windows (alarm, period, value): ALARM when a run
+    of breaches reaches ``periods``, OK right after its last one, once a later window has closed.
+
+    Reads the table of closed windows, so the order in which a stream wrote them does not matter.
+    """
+    runs = breach_runs(series, period_seconds, threshold).filter(F.col("breaching") >= periods)
+    newest = series.groupBy("alarm").agg(F.max(period_index(F.col("period"), period_seconds)).alias("newest"))
+    on = runs.select(
+        "alarm", (F.col("first") + periods - 1).alias("period_index"), F.lit("ALARM").alias("state"),
+        F.lit(periods).cast("long").alias("run"),
+    )
+    off = runs.join(newest, "alarm").filter(F.col("newest") > F.col("last")).select(
+        "alarm", (F.col("last") + 1).alias("period_index"), F.lit("OK").alias("state"), F.col("breaching").alias("run")
     )
+    return on.unionByName(off)
 
 
 def error_series(dashboard: DataFrame) -> DataFrame:
@@ -164,12 +196,12 @@ def error_series(dashboard: DataFrame) -> DataFrame:
 def cost_attribution(
     usage: DataFrame, prices: Mapping[str, tuple[float, float]]
 ) -> DataFrame:
-    """Cost per project and tier with subtotals (null = all).
+    """Cost per project, tier and model with subtotals (null = all).
 
-    ``usage``: (project, tier, input_tokens, output_tokens). ``prices``: tier to USD per 1000 input
+    ``usage``: (project, tier, model_id, input_tokens, output_tokens). ``prices``: tier to USD per 1000 input
     and output tokens. Tokens are summed as integers and priced afterwards.
     """
-    tokens = usage.rollup("project", "tier").agg(
+    tokens = usage.rollup("project", "tier", "model_id").agg(
         F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         *[
@@ -184,7 +216,7 @@ def cost_attribution(
             + F.coalesce(f"_{tier}_output_tokens", F.lit(0)) * (per_output / 1000)
         )
     return tokens.select(
-        "project", "tier", "requests", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd")
+        "project", "tier", "model_id", "requests", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost_usd")
     )
 
 

@@ -173,9 +173,10 @@ def apply_model(
     """Run an external model over Arrow batches; the client is built once per partition.
 
     Filter to the rows that need the model first: Spark does not move filters across a Python step.
-    ``parallel_calls`` caps how many partitions call the service at once.
+    ``parallel_calls`` caps how many partitions call the service at once; the rows are dealt out for it, so the
+    steps before keep their own parallelism.
     """
-    limited = rows.coalesce(parallel_calls) if parallel_calls else rows
+    limited = rows.repartition(parallel_calls) if parallel_calls else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()

@@ -173,19 +173,21 @@ TARGET_SHARE = {FAST: 0.75, REASONING: 0.25}
 
 
 def tier_share(decisions: DataFrame, targets: Mapping[str, float] = TARGET_SHARE) -> DataFrame:
-    """Requests per tier and source with every subtotal (null = all), share, and distance to target.
+    """Requests per tier, source and reason with every subtotal (null = all), share, and distance to target.
 
     Counts requests, not tier metrics: an escalated request would emit two of those. The target
-    applies to a tier over all sources.
+    applies to a tier over all sources and reasons. Requests are counted before the cube, so only
+    their few distinct decisions are expanded.
     """
-    counted = decisions.select("decision.tier", "decision.source").cube("tier", "source").agg(
-        F.count("*").alias("requests"), F.grouping_id().alias("_level")
+    each = decisions.groupBy("decision.tier", "decision.source", "decision.reason").agg(F.count("*").alias("_n"))
+    counted = each.cube("tier", "source", "reason").agg(
+        F.sum("_n").alias("requests"), F.grouping_id().alias("_level")
     )
-    total = F.sum(F.when(F.col("_level") == 3, F.col("requests")))
+    total = F.sum(F.when(F.col("_level") == 7, F.col("requests")))
     target = F.try_element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("tier"))
     # The window runs over the few subtotal rows, not over requests.
     shared = counted.withColumn("_share", F.col("requests") / total.over(Window.partitionBy()))
     return shared.select(
-        "tier", "source", "requests", F.col("_share").alias("share"),
-        F.when(F.col("_level") == 1, F.col("_share") - target).alias("over_target"),
+        "tier", "source", "reason", "requests", F.col("_share").alias("share"),
+        F.when(F.col("_level") == 3, F.col("_share") - target).alias("over_target"),
     )

@@ -100,10 +100,14 @@ def escalation_report(looped: DataFrame) -> DataFrame:
 def accumulate_usage(calls: DataFrame) -> DataFrame:
     """Usage counters summed per request; each value is cut to an integer before adding.
 
-    ``usage`` maps names to numbers; entries without a numeric value are ignored.
+    ``usage`` maps names to variants; entries that are no number are ignored, text that looks like one
+    included. Whole numbers stay exact.
     """
     entries = calls.select("request_id", F.explode("usage").alias("key", "value"))
-    number = F.col("value").try_cast("double").try_cast("bigint")
+    kind = F.schema_of_variant("value")
+    whole = F.try_variant_get("value", "$", "bigint")
+    cut = F.try_variant_get("value", "$", "double").try_cast("bigint")
+    number = F.when(kind == "BIGINT", whole).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), cut)
     return (
         entries.select("request_id", "key", number.alias("value"))
         .filter(F.col("value").isNotNull())
@@ -122,14 +126,25 @@ def usage_maps(usage: DataFrame) -> DataFrame:
 def run_traces(looped: DataFrame, paired: DataFrame) -> DataFrame:
     """Traces of the tools a run really executed, in call order; a discarded turn runs none.
 
-    A run has at most one tool turn per iteration, which bounds the array.
+    ``paired`` numbers the calls of a turn in ``position``. The iteration limit and the calls of a turn bound
+    the array.
     """
-    executed = looped.filter((F.col("stop_reason") == STOP_TOOL) & ~F.col("discarded")).select("request_id", "i")
+    executed = looped.filter((F.col("stop_reason") == STOP_TOOL) & ~F.col("discarded")).select("request_id", "i").distinct()
     traced = paired.join(executed, ["request_id", "i"])
-    trace = F.struct("i", F.col("tool").alias("name"), "status", "output_preview")
+    for name, missing in (("position", F.lit(0).cast("bigint")), ("input", F.lit(None).cast("string"))):
+        if name not in traced.columns:
+            traced = traced.withColumn(name, missing)
+    trace = F.struct("i", "position", F.col("tool").alias("name"), "input", "status", "output_preview")
     return traced.groupBy("request_id").agg(F.sort_array(F.collect_list(trace)).alias("tool_trace"))
 
 
+def run_citations(hits: DataFrame) -> DataFrame:
+    """Citations of a request in rank order, from retrieval hits (request_id, rank, ...); at most ten per search."""
+    others = [c for c in hits.columns if c not in ("request_id", "rank")]
+    cited = F.sort_array(F.collect_list(F.struct("rank", *others)))
+    return hits.groupBy("request_id").agg(cited.alias("citations"))
+
+
 def finalize_responses(
     looped: DataFrame, usage: DataFrame | None = None, traces: DataFrame | None = None,
     citations: DataFrame | None = None, config: EngineConfig = EngineConfig(),
@@ -145,6 +160,7 @@ def finalize_responses(
     last = looped.groupBy("request_id").agg(
         F.max_by(F.struct("stop_reason", "answer", "stop_cause", "tier", "reason", "source",
                           "escalated_at", "effective_tier", "policy_trace"), F.col("i")).alias("_last"),
+        *([F.min("session_id").alias("session_id")] if "session_id" in looped.columns else []),
         F.max("i").alias("_i"),
         F.sum("latency_ms").cast("bigint").alias("latency_ms"),
         F.max("escalation").alias("_cause"),
@@ -160,7 +176,7 @@ def finalize_responses(
     tier = F.when(escalated, REASONING).otherwise(F.col("_last.tier"))
     trace = F.col("_last.policy_trace")
     final = last.select(
-        "request_id",
+        "request_id", *(["session_id"] if "session_id" in looped.columns else []),
         F.when(text != "", text).otherwise(fallback).alias("answer"),
         F.coalesce(F.when(F.col("_last.stop_reason") != "", F.col("_last.stop_reason")),
                    F.lit(STOP_DEFAULT)).alias("stop_reason"),

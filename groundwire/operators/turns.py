@@ -4,41 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwire.config import PREVIEW_CHARS
 from groundwire.functions.routing import low_confidence
 from groundwire.plans.skew import salted_join
 
+#: Turn numbers a task looks at together.
+TURN_BLOCK = 64
 # Tools an agent run may call, URIs an answer may cite.
 KNOWN_TOOLS = ("analyze_image", "retrieve_knowledge")
 URI_PATTERN = r"s3://[A-Za-z0-9._/-]*[A-Za-z0-9_/-]"
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn that follows it; unanswered ones stay.
+    """Each user turn with the next assistant turn of its session, whatever lies between; others stay unanswered.
 
-    Turns are numbered without gaps within a session, so this is an equi join on (session, turn)
-    and no session, however long, is gathered into one task.
+    The next assistant turn is found on turn numbers alone, within blocks of TURN_BLOCK of them; only a block's
+    first assistant turn is looked up by the blocks before it. Texts are joined on (session, turn) afterwards, so
+    no session, however long, is gathered into one task.
     """
-    asked = turns.filter(F.col("role") == "user").select(
-        "session_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("answer_turn")
+    block = F.floor(F.col("turn") / TURN_BLOCK)
+    said = turns.select("session_id", "turn", block.alias("_block"), F.when(F.col("role") == "assistant", F.col("turn")).alias("_said"), "role")
+    after = Window.partitionBy("session_id", "_block").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    firsts = said.groupBy("session_id", "_block").agg(F.min("_said").alias("_first"))
+    later = Window.partitionBy("session_id").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    beyond = firsts.select("session_id", "_block", F.min("_first").over(later).alias("_beyond"))
+    within = said.withColumn("_next", F.min("_said").over(after)).filter(F.col("role") == "user")
+    found = salted_join(within, beyond, ["session_id", "_block"], [F.col("turn")]).select(
+        "session_id", "turn", F.coalesce("_next", "_beyond").alias("answer_turn")
     )
+    asked = turns.filter(F.col("role") == "user").select("session_id", "turn", F.col("text").alias("question"))
     answered = turns.filter(F.col("role") == "assistant").select(
-        "session_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer")
+        "session_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer"), F.lit(True).alias("_found")
     )
-    return asked.join(answered, ["session_id", "answer_turn"], "left").select(
-        "session_id", "turn", "question", "answer", F.col("answer").isNotNull().alias("answered")
+    return asked.join(found, ["session_id", "turn"]).join(answered, ["session_id", "answer_turn"], "left").select(
+        "session_id", "turn", "question", "answer", F.col("_found").isNotNull().alias("answered")
     )
 
 
-def assemble_messages(turns: DataFrame, block_turns: int = 64) -> DataFrame:
-    """Ordered messages of a session in blocks of ``block_turns`` consecutive turn numbers.
-
-    A run is bounded by its iteration limit and fits in block 0. A longer session continues in
-    further blocks, so an array never grows with the session.
-    """
+def message_blocks(turns: DataFrame, block_turns: int = TURN_BLOCK) -> DataFrame:
+    """Storage form of message lists: blocks of ``block_turns`` consecutive turn numbers, each in order. An array
+    never grows with its session."""
     block = F.floor(F.col("turn") / block_turns).cast("bigint")
     return (
         turns.groupBy("session_id", block.alias("block"))
@@ -47,6 +55,19 @@ def assemble_messages(turns: DataFrame, block_turns: int = 64) -> DataFrame:
     )
 
 
+def assemble_messages(turns: DataFrame) -> DataFrame:
+    """The ordered message list of every run: one row per session, whatever its length.
+
+    A run is bounded by its iteration limit; endless sessions are better kept as ``message_blocks``, from
+    which the lists are put together here.
+    """
+    block = F.struct("block", "messages")
+    return message_blocks(turns).groupBy("session_id").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(block)), lambda b: b["messages"])).alias("messages"),
+        F.sum("n_messages").alias("n_messages"),
+    )
+
+
 def low_confidence_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("low_confidence", low_confidence(F.col("answer")))
 
@@ -69,8 +90,9 @@ def pair_tool_results(
     output = F.when(failure.isNull(), F.col("result")).otherwise(
         F.to_json(F.struct(failure.alias("error")))
     )
+    carried = [c for c in ("position", "input") if c in calls.columns]
     return paired.select(
-        "request_id", "i", "tool_use_id", "tool",
+        "request_id", "i", *carried, "tool_use_id", "tool",
         F.when(failure.isNull(), "success").otherwise("error").alias("status"),
         F.substring(output, 1, PREVIEW_CHARS).alias("output_preview"),
     )

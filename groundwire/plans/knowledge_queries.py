@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundwire.functions.text import letter_embedder
 from groundwire.operators import ingestion, retrieval, vectors
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
@@ -98,7 +99,11 @@ def layout_objects(spark, sf_dir):
         F.concat(F.lit("/../doc"), F.col("version_id").cast("string"), suffix).alias("filename"),
     )
     purpose = F.when(F.col("kind") == "documents", "document").otherwise("upload")
-    return objects.layout_objects(named, purpose=purpose).select("object_id", "bucket", "key", "content_type")
+    laid_out = objects.layout_objects(named, purpose=purpose).select("object_id", "bucket", "key", "content_type", "created")
+    path = new_folder(spark, "layout")
+    for _ in range(2):  # a repeated run stores nothing twice
+        objects.write_layout(laid_out, path, "first")
+    return objects.read_layout(spark, path).select("object_id", "bucket", "key", "content_type")
 
 
 _ALL_CHUNKS = v.ALL_DOCUMENTS + v.chunks("all_documents", ", source")
@@ -124,16 +129,74 @@ def corpus_stats(spark, sf_dir):
     return ingestion.corpus_stats(all_chunks(spark, sf_dir))
 
 
+def versioned(documents, text, version):
+    """(uri, source, text, version) of table documents; every key lies under one prefix."""
+    uri = F.concat(F.lit("s3://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    return documents.select(
+        uri.alias("uri"), F.lit("knowledge/").alias("key"), "source", text.alias("text"), F.lit(version).alias("version")
+    )
+
+
+def labelled_documents(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "documents").join(
+        adapters.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
+    )
+
+
 @register("upsert_chunks", f"WITH {_ALL_CHUNKS} SELECT chunk_id, uri, source, ordinal, text, n_tokens, n_chunks FROM chunks")
 def upsert_chunks(spark, sf_dir):
     """Labelled documents first, then all of them: the second write adds only what is missing."""
     path = new_folder(spark, "chunks")
-    labelled = adapters.table(spark, sf_dir, "documents").join(
-        adapters.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
+    ingestion.ingest_knowledge(versioned(labelled_documents(spark, sf_dir), F.col("text"), 1), path, None)
+    ingestion.ingest_knowledge(versioned(adapters.table(spark, sf_dir, "documents"), F.col("text"), 1), path, None)
+    return chunk_store.read_chunks(spark, path).select("chunk_id", "uri", "source", "ordinal", "text", "n_tokens", "n_chunks")
+
+
+_REVISED = """revised AS (SELECT 's3://' || source || '/' || doc_id AS uri, source,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN text || ' revised' ELSE text END AS text FROM documents)"""
+_FIRST = """labelled AS (SELECT 's3://' || source || '/' || doc_id AS uri, source, text
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+
+
+def two_ingests(spark, sf_dir):
+    """Labelled documents, then all, the labelled ones changed, then the first ones again, which are old by now."""
+    path = new_folder(spark, "index")
+    docs, labelled = adapters.table(spark, sf_dir, "documents"), labelled_documents(spark, sf_dir)
+    known = adapters.table(spark, sf_dir, "labels").select("doc_id", F.lit(" revised").alias("_end")).distinct()
+    changed = docs.join(known, "doc_id", "left").withColumn("text", F.concat("text", F.coalesce("_end", F.lit(""))))
+    first = versioned(labelled, F.col("text"), 1)
+    ingestion.create_index(ingestion.chunk_documents(first), path)
+    embedder = ingestion.load_embedder(spark, path)
+    done = [
+        ingestion.ingest_knowledge(batch, path, embedder).withColumn("job", F.lit(n).cast("long"))
+        for n, batch in enumerate((first, versioned(changed, F.col("text"), 2), first), start=1)
+    ]
+    return path, done
+
+
+@register("ingest_twice", f"""WITH {_REVISED}{v.chunks('revised', ', source')}
+  SELECT chunk_id, uri, source, ordinal, text, n_tokens, true AS embedded FROM chunks""")
+def ingest_twice(spark, sf_dir):
+    path, _ = two_ingests(spark, sf_dir)
+    return chunk_store.read_chunks(spark, path).select(
+        "chunk_id", "uri", "source", "ordinal", "text", "n_tokens",
+        ((F.size("embedding") == ingestion.VECTOR_DIM) & F.exists("embedding", lambda x: x > 0)).alias("embedded"),
     )
-    uri = F.concat(F.lit("s3://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("uri")
-    chunk_store.upsert_chunks(ingestion.chunk_documents(labelled.select(uri, "source", "text")), path)
-    return chunk_store.upsert_chunks(all_chunks(spark, sf_dir), path)
+
+
+@register("ingest_jobs", f"""WITH {_REVISED}, {_FIRST},
+  second AS (SELECT count(*) AS documents FROM documents){v.chunks('revised')},
+  counted AS (SELECT count(*) AS chunks, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM chunks)
+  SELECT 2 AS job, documents, chunks, tokens, 'COMPLETE' AS status FROM second, counted
+  UNION ALL SELECT 1, (SELECT count(*) FROM labelled), count(*),
+    CAST(sum(least(n, 300)) AS BIGINT), 'COMPLETE' FROM (
+      SELECT len(t) - s AS n FROM (SELECT t, unnest(range(0, greatest(len(t) - 60, 1), 240)) AS s FROM (
+        SELECT regexp_extract_all(text, {v.lit(v.WORD_PATTERN)}) AS t FROM labelled) WHERE len(t) > 0))
+  UNION ALL SELECT 3, 0, 0, 0, 'COMPLETE'""")
+def ingest_jobs(spark, sf_dir):
+    """What each of the three ingests wrote: the second all documents, the third nothing."""
+    _, done = two_ingests(spark, sf_dir)
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 @register("stale_chunks", f"""WITH {_ALL_CHUNKS}
@@ -148,28 +211,37 @@ def stale_chunks(spark, sf_dir):
     return chunk_store.stale_chunks(all_chunks(spark, sf_dir), live).select("chunk_id", "uri", "ordinal")
 
 
-@register("embed_chunks", f"""WITH {_ALL_CHUNKS}
-  SELECT chunk_id, CAST(1024 AS BIGINT) AS dimensions, CAST(1.0 AS DOUBLE) AS norm FROM chunks""")
+def letters_sql(text: str) -> str:
+    """The letter embedder in SQL."""
+    low = f"lower(coalesce({text}, ''))"
+    counts = f"list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda c: length({low}) - length(replace({low}, c, '')))"
+    return f"list_transform({counts}, lambda n: CAST(CAST(round(n / greatest(list_max({counts}), 1), 6) AS FLOAT) AS DOUBLE))"
+
+
+@register("embed_chunks", f"""WITH {_ALL_CHUNKS}, embedded AS (SELECT chunk_id, {letters_sql('text')} AS e FROM chunks)
+  SELECT chunk_id, len(e) AS dimensions, round(list_sum(e), 3) AS total,
+    round(list_sum(list_transform(e, lambda x, i: x * i)), 3) AS placed, round(list_sum(list_transform(e, lambda x: x * x)), 3) AS squares FROM embedded""")
 def embed_chunks(spark, sf_dir):
-    """Ids, dimensions and length of all vectors; the weights are tested against plain arithmetic."""
-    chunks = all_chunks(spark, sf_dir)
-    embedded = ingestion.embed_chunks(chunks, ingestion.fit_embedder(chunks))
-    squares = F.aggregate(
-        F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x
-    )
+    """Weights of an embedder that SQL can repeat; the default one is tested against plain arithmetic."""
+    embedded = ingestion.embed_chunks(all_chunks(spark, sf_dir), letter_embedder)
+
+    def total(values):
+        return F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")), 3)
+
     return embedded.select(
-        "chunk_id", F.size("embedding").cast("bigint").alias("dimensions"), F.round(F.sqrt(squares), 3).alias("norm")
+        "chunk_id", F.size("embedding").cast("bigint").alias("dimensions"), total("embedding").alias("total"),
+        total(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))).alias("placed"),
+        total(F.transform("embedding", lambda x: x.cast("double") * x)).alias("squares"),
     )
 
 
 @register("ingest_knowledge", f"""WITH {v.KNOWLEDGE}, selected AS (
     SELECT uri, text FROM knowledge_documents WHERE starts_with(key, 'knowledge/')){v.chunks('selected')}
-  SELECT count(*) AS chunks, count(DISTINCT uri) AS documents, CAST(sum(n_tokens) AS BIGINT) AS tokens, 'COMPLETE' AS status FROM chunks""")
+  SELECT count(*) AS chunks, (SELECT count(*) FROM selected) AS documents, CAST(sum(n_tokens) AS BIGINT) AS tokens,
+    'COMPLETE' AS status FROM chunks""")
 def ingest_knowledge(spark, sf_dir):
-    _, job = ingestion.ingest_knowledge(
-        adapters.knowledge_documents(spark, sf_dir), new_folder(spark, "knowledge")
-    )
-    return job
+    arrived = adapters.knowledge_documents(spark, sf_dir).withColumnRenamed("ts", "version")
+    return ingestion.ingest_knowledge(arrived, new_folder(spark, "knowledge"), letter_embedder)
 
 
 def vector_queries(spark, sf_dir):
@@ -236,14 +308,24 @@ def vector_recall(spark, sf_dir):
     return vectors.recall_at_k(approximate(spark, sf_dir), exact)
 
 
-@register("retrieve_knowledge")
+@register("retrieve_knowledge", f"""WITH {v.REQUESTS}, {_ALL_CHUNKS},
+  stored AS (SELECT chunk_id, uri, text, {letters_sql('text')} AS e FROM chunks),
+  asked AS (SELECT request_id, {letters_sql(v.strip('query'))} AS e FROM requests WHERE {v.strip('query')} <> ''),
+  hits AS (SELECT request_id, chunk_id, uri, text, round(list_distance(a.e, s.e), 6) AS distance,
+    row_number() OVER (PARTITION BY request_id ORDER BY list_distance(a.e, s.e), chunk_id) AS rank
+    FROM asked a, stored s QUALIFY rank <= 5)
+  SELECT request_id, rank, chunk_id, distance, round(1.0 / (1.0 + distance * distance), 6) AS score, uri AS source,
+    substr(text, 1, 500) AS excerpt FROM hits""")
 def retrieve_knowledge(spark, sf_dir):
-    """Every request against the chunks of all documents, with the default embedder."""
-    chunks = all_chunks(spark, sf_dir)
-    embedder = ingestion.fit_embedder(chunks)
-    stored = ingestion.index_chunks(chunks, new_folder(spark, "index"), embedder)
-    citations, _ = retrieval.retrieve_knowledge(adapters.requests(spark, sf_dir), stored, embedder)
-    return citations
+    """Every request against an index of all documents."""
+    path = new_folder(spark, "index")
+    ingestion.ingest_knowledge(
+        versioned(adapters.table(spark, sf_dir, "documents"), F.col("text"), 1), path, letter_embedder
+    )
+    citations, _ = retrieval.retrieve_knowledge(
+        adapters.requests(spark, sf_dir), chunk_store.read_chunks(spark, path), letter_embedder
+    )
+    return citations.select("request_id", "rank", "chunk_id", "distance", "score", "source", "excerpt")
 
 
 @register("shape_citations", """

@@ -112,7 +112,7 @@ spread AS (SELECT *, (conv_id*3+turn)%8 AS m, (conv_id+turn)%3 = 0 AS doubt, (co
 numbered AS (SELECT *, CAST(unnest(range(0, least(5, m + CASE WHEN doubt THEN 1 ELSE 0 END) + 1)) AS BIGINT) AS i FROM spread),
 named AS (SELECT *, CASE WHEN i < m THEN CASE (conv_id+turn+i)%5 WHEN 0 THEN 'analyze_image'
   WHEN 4 THEN 'unknown_tool' ELSE 'retrieve_knowledge' END END AS tool FROM numbered),
-calls AS (SELECT request_id, i, requested_at,
+calls AS (SELECT request_id, session_id, i, requested_at,
   CASE WHEN i < m THEN 'tool_use' WHEN i = m AND policy THEN 'guardrail_intervened' ELSE 'end_turn' END AS stop_reason,
   tool, CASE WHEN i < m THEN CASE WHEN (conv_id+turn+i)%6 = 0 THEN [tool, tool] ELSE [tool] END ELSE [] END AS tools,
   CASE WHEN i < m THEN request_id || '-' || i END AS tool_use_id,
@@ -122,14 +122,18 @@ calls AS (SELECT request_id, i, requested_at,
   FROM named)"""
 
 TOOL_RESULTS = CALLS + """,
-tool_results AS (SELECT request_id, tool_use_id, 'result ' || tool_use_id AS result FROM calls
-  WHERE tool_use_id IS NOT NULL AND request_id IN
+tool_calls AS (SELECT request_id, i, requested_at, CAST(0 AS BIGINT) AS position, tool_use_id, tool, '{"call":0}' AS input
+  FROM calls WHERE tool_use_id IS NOT NULL
+  UNION ALL SELECT request_id, i, requested_at, 1, tool_use_id || 'b',
+    CASE tool WHEN 'retrieve_knowledge' THEN 'analyze_image' ELSE 'retrieve_knowledge' END, '{"call":1}' FROM calls WHERE len(tools) = 2),
+tool_results AS (SELECT request_id, tool_use_id, 'result ' || tool_use_id AS result FROM tool_calls
+  WHERE request_id IN
     (SELECT conv_id*1000+turn-1 FROM conversations WHERE role = 'assistant')),
-paired AS (SELECT c.request_id, c.i, c.requested_at, c.tool_use_id, c.tool,
+paired AS (SELECT c.request_id, c.i, c.requested_at, c.position, c.input, c.tool_use_id, c.tool,
   CASE WHEN tool NOT IN ('analyze_image', 'retrieve_knowledge') OR result IS NULL THEN 'error' ELSE 'success' END AS status,
   CASE WHEN tool NOT IN ('analyze_image', 'retrieve_knowledge') THEN '{"error":"Unknown tool: ' || tool || '"}'
     WHEN result IS NULL THEN '{"error":"no result"}' ELSE substr(result, 1, 1500) END AS output_preview
-  FROM calls c LEFT JOIN tool_results r USING (request_id, tool_use_id) WHERE c.tool_use_id IS NOT NULL)"""
+  FROM tool_calls c LEFT JOIN tool_results r USING (request_id, tool_use_id))"""
 
 LOOPED = CALLS + f""",
 flagged AS (SELECT *, stop_reason = 'tool_use' AS is_tool, stop_reason = 'guardrail_intervened' AS is_policy,

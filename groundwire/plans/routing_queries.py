@@ -29,7 +29,8 @@ _FAST, _REASONING = v.lit(CONFIG.fast_model_id), v.lit(CONFIG.reasoning_model_id
     "NULL AS image_format", "CAST(NULL AS VARCHAR) AS image_format").replace(
     "lang, lang = 'es'", "CASE WHEN lang NOT IN ('fr', 'en') THEN lang END, lang = 'es'"))
 def read_requests(spark, sf_dir):
-    """Requests and whole documents as JSON bodies, most of the latter breaking some rule."""
+    """Requests and whole documents as JSON bodies, most of the latter breaking some rule; English ones give
+    their query twice, and the second one counts."""
     asked = adapters.requests(spark, sf_dir).select(
         F.concat(F.lit("request-"), F.col("request_id").cast("string")).alias("request_key"),
         F.to_json(F.struct("query", "session_id", "image", "metadata")).alias("body"),
@@ -46,8 +47,10 @@ def read_requests(spark, sf_dir):
     documents = adapters.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("request_key"),
         F.when(lang == "es", F.to_json(F.struct(*shared, numbers)))
-        .otherwise(F.to_json(F.struct(*shared, texts))).alias("body"),
+        .otherwise(F.to_json(F.struct(*shared, texts))).alias("body"), "lang",
     )
+    twice = F.concat(F.lit('{"query":"overwritten",'), F.substring("body", F.lit(2), F.length("body")))
+    documents = documents.withColumn("body", F.when(lang == "en", twice).otherwise(F.col("body"))).drop("lang")
     parsed = request_source.parse_requests(asked.unionByName(documents))
     return parsed.select(
         "request_key", F.length("query").cast("bigint").alias("query_chars"),
@@ -185,9 +188,9 @@ def build_inference_batch(spark, sf_dir):
 
 
 @register("tier_share", f"""WITH {_DECIDED}
-  SELECT tier, source, count(*) AS requests, count(*) / (SELECT count(*) FROM decided) AS share,
-    CASE WHEN grouping(tier) = 0 AND grouping(source) = 1 THEN count(*) / (SELECT count(*) FROM decided)
+  SELECT tier, source, reason, count(*) AS requests, count(*) / (SELECT count(*) FROM decided) AS share,
+    CASE WHEN grouping(tier) = 0 AND grouping(source) = 1 AND grouping(reason) = 1 THEN count(*) / (SELECT count(*) FROM decided)
       - CASE tier WHEN 'fast' THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END END AS over_target
-  FROM decided GROUP BY CUBE (tier, source)""")
+  FROM decided GROUP BY CUBE (tier, source, reason)""")
 def tier_share(spark, sf_dir):
     return routing.tier_share(decided(spark, sf_dir))

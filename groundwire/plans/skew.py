@@ -1,4 +1,4 @@
-"""Keeping tasks balanced: hot join keys, checked sizes and unsplittable files."""
+"""Keeping tasks balanced around hot join keys."""
 
 from __future__ import annotations
 
@@ -21,13 +21,3 @@ def salted_join(
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
-
-
-def spread_scan(table: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer splits than there are cores.
-
-    A file with one large row group cannot be split, so row-local text work on it would run in one
-    task. Tables with enough splits, which is every large one, are returned as they are.
-    """
-    wanted = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from groundwire.functions.text import letter_embedder
 from groundwire.operators import operations, policy
 from groundwire.plans import oracle_views as v
 from groundwire.plans.operation_queries import LATENCY_MS, alarm_sql
 from groundwire.plans.policy_queries import FINDINGS_SQL
 from groundwire.plans.registry import register
 from groundwire.plans.routing_queries import CONFIG
-from groundwire.sources import adapters
+from groundwire.plans.workspace import new_folder
+from groundwire.sources import adapters, chunk_store
 from groundwire.streaming import jobs
 
 
@@ -29,15 +33,37 @@ def plain_time(df, *columns):
 
 
 _INGESTED = f"""{v.KNOWLEDGE}, selected AS (
-  SELECT uri, text FROM knowledge_documents WHERE starts_with(key, 'knowledge/')){v.chunks('selected')}"""
+  SELECT uri, text || CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN ' revised' ELSE '' END AS text
+  FROM knowledge_documents WHERE starts_with(key, 'knowledge/')){v.chunks('selected')}"""
+
+
+def object_stream(spark, sf_dir):
+    """Notifications of all documents as at least three micro-batches: everything but German documents; the
+    labelled ones again; their revised texts; then, late, German documents and old versions of the labelled."""
+    objects = adapters.knowledge_documents(spark, sf_dir).withColumn("version", F.col("ts").cast("timestamp"))
+    lang = adapters.table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "de").alias("late"))
+    known = adapters.table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("revised")).distinct()
+    marked = objects.join(lang, "doc_id").join(known, "doc_id", "left")
+    later = F.col("version") + F.expr("INTERVAL 5 MINUTES")
+    earlier = F.col("version") - F.expr("INTERVAL 300 DAYS")
+    revised = marked.filter("revised").withColumns({"text": F.concat("text", F.lit(" revised")), "version": later})
+    path = new_folder(spark, "objects")
+    arrivals = (
+        marked.filter("NOT late"), marked.filter("revised AND NOT late"), revised,
+        marked.filter("late").unionByName(marked.filter("revised").withColumns({"text": F.lit("outdated"), "version": earlier})),
+    )
+    for rows in arrivals:
+        rows.select("uri", "key", "text", "version").repartition(2).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, spark.read.parquet(path), files=2)
 
 
 @register("stream_ingest", f"WITH {_INGESTED} SELECT chunk_id, uri, ordinal, text, n_tokens FROM chunks")
 def stream_ingest(spark, sf_dir):
-    arriving = adapters.knowledge_documents_of(table_stream(spark, sf_dir, "documents"))
-    return collected(spark, jobs.stream_ingest(arriving), "stream-ingest").select(
-        "chunk_id", "uri", "ordinal", "text", "n_tokens"
-    )
+    path = new_folder(spark, "stream-index")
+    rows = jobs.stream_ingest(object_stream(spark, sf_dir), letter_embedder)
+    jobs.run_ingest(rows, path, new_folder(spark, "stream-index-checkpoint"))
+    stored = chunk_store.read_chunks(spark, path)
+    return stored.filter(F.col("embedding").isNotNull()).select("chunk_id", "uri", "ordinal", "text", "n_tokens")
 
 
 @register("stream_ingest_jobs", f"""WITH {v.JOBS}
@@ -82,20 +108,18 @@ def _edges_sql(series: str, seconds: int, threshold: int, periods: int) -> str:
 
 @register("stream_alarm_edges_errors", f"WITH {v.ERROR_SERIES}{_edges_sql('series', 60, 1, 1)}")
 def stream_alarm_edges_errors(spark, sf_dir):
-    """A second stream reads the closed windows the first one wrote."""
+    """The edges of the closed windows that the stream wrote."""
     windows = error_windows(spark, sf_dir)
-    series = operations.error_series(jobs.file_stream(spark, windows, spark.read.parquet(windows)))
-    edges = jobs.stream_alarm_edges(series, 60, operations.ERROR_THRESHOLD, operations.ERROR_PERIODS)
-    return collected(spark, edges, "stream-error-edges")
+    series = operations.error_series(spark.read.parquet(windows))
+    return operations.alarm_edges(series, 60, operations.ERROR_THRESHOLD, operations.ERROR_PERIODS)
 
 
 @register("stream_alarm_edges_latency", f"""WITH {v.LATENCY},
   latency_series AS (SELECT 'QueryDurationP99' AS alarm, * FROM latency){_edges_sql('latency_series', 300, LATENCY_MS, 2)}""")
 def stream_alarm_edges_latency(spark, sf_dir):
     windows = latency_windows(spark, sf_dir)
-    series = jobs.file_stream(spark, windows, spark.read.parquet(windows)).withColumn("alarm", F.lit("QueryDurationP99"))
-    edges = jobs.stream_alarm_edges(series, 300, LATENCY_MS, operations.LATENCY_PERIODS)
-    return collected(spark, edges, "stream-latency-edges")
+    series = spark.read.parquet(windows).withColumn("alarm", F.lit("QueryDurationP99"))
+    return operations.alarm_edges(series, 300, LATENCY_MS, operations.LATENCY_PERIODS)
 
 
 @register("stream_pii_scan", FINDINGS_SQL)
@@ -129,4 +153,7 @@ def stream_route(spark, sf_dir):
 @register("stream_tier_counts", f"WITH {_ROUTED} SELECT tier, source, count(*) AS requests FROM routed GROUP BY 1, 2")
 def stream_tier_counts(spark, sf_dir):
     arriving = adapters.requests_of(table_stream(spark, sf_dir, "conversations"))
-    return jobs.running_tier_counts(collected(spark, jobs.stream_route(arriving), "stream-tiers"))
+    name = jobs.run_to_view(
+        jobs.running_tier_counts(jobs.stream_route(arriving)), f"tiers_{uuid.uuid4().hex}", new_folder(spark, "tiers-checkpoint")
+    )
+    return spark.table(name)

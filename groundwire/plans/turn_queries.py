@@ -23,22 +23,23 @@ def sessions(spark, sf_dir):
 
 @register("pair_turns", """
   SELECT CAST(u.conv_id AS VARCHAR) AS session_id, u.turn, u.text AS question, a.text AS answer,
-    a.text IS NOT NULL AS answered
-  FROM conversations u LEFT JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+    a.turn IS NOT NULL AS answered
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.role = 'assistant'
+    AND a.turn = (SELECT min(n.turn) FROM conversations n WHERE n.conv_id = u.conv_id AND n.turn > u.turn AND n.role = 'assistant')
+  WHERE u.role = 'user'""")
 def pair_turns(spark, sf_dir):
     return turns.pair_turns(sessions(spark, sf_dir))
 
 
 @register("assemble_messages", """
-  SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn // 64 AS BIGINT) AS block, count(*) AS n_messages,
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n_messages,
     string_agg(turn || ':' || role || ':' || text, chr(30) ORDER BY turn) AS transcript
-  FROM conversations GROUP BY 1, 2""")
+  FROM conversations GROUP BY 1""")
 def assemble_messages(spark, sf_dir):
-    blocks = turns.assemble_messages(sessions(spark, sf_dir))
+    runs = turns.assemble_messages(sessions(spark, sf_dir))
     line = lambda m: F.concat_ws(":", m["turn"].cast("string"), m["role"], m["text"])
-    return blocks.select(
-        "session_id", "block", "n_messages",
+    return runs.select(
+        "session_id", "n_messages",
         F.array_join(F.transform("messages", line), "\x1e").alias("transcript"),
     )
 
@@ -50,8 +51,9 @@ def low_confidence_answers(spark, sf_dir):
 
 
 def paired_of(calls, spark, sf_dir):
-    results = adapters.tool_results_of(calls, adapters.table(spark, sf_dir, "conversations"))
-    return turns.pair_tool_results(calls.filter(F.col("tool_use_id").isNotNull()), results)
+    asked = adapters.tool_calls_of(calls)
+    results = adapters.tool_results_of(asked, adapters.table(spark, sf_dir, "conversations"))
+    return turns.pair_tool_results(asked, results)
 
 
 def paired(spark, sf_dir):
@@ -59,7 +61,7 @@ def paired(spark, sf_dir):
 
 
 @register("pair_tool_results", f"""WITH {v.TOOL_RESULTS}
-  SELECT request_id, i, tool_use_id, tool, status, output_preview FROM paired""")
+  SELECT request_id, i, position, input, tool_use_id, tool, status, output_preview FROM paired""")
 def pair_tool_results(spark, sf_dir):
     return paired(spark, sf_dir)
 
@@ -105,18 +107,18 @@ def escalation_report(spark, sf_dir):
 
 
 def usage_of(calls):
-    return calls.select("request_id", F.create_map(
-        F.lit("inputTokens"), F.col("input_tokens").cast("string"),
-        F.lit("outputTokens"), (F.col("output_tokens") + 0.75).cast("string"),
-        F.lit("service"), F.lit("standard"),
-    ).alias("usage"))
+    members = F.to_json(F.struct(
+        F.col("input_tokens").alias("inputTokens"), (F.col("output_tokens") + 0.75).alias("outputTokens"),
+        F.lit("standard").alias("service"), F.col("input_tokens").cast("string").alias("billed"),
+    ))
+    return calls.select("request_id", F.from_json(members, "map<string,variant>").alias("usage"))
 
 
 @register("accumulate_usage", f"""WITH {v.CALLS}
   SELECT request_id, 'inputTokens' AS key, CAST(sum(input_tokens) AS BIGINT) AS value FROM calls GROUP BY 1
   UNION ALL SELECT request_id, 'outputTokens', CAST(sum(output_tokens) AS BIGINT) FROM calls GROUP BY 1""")
 def accumulate_usage(spark, sf_dir):
-    """Output counters carry a fraction and one entry is text: the first is cut, the other ignored."""
+    """Output counters carry a fraction, which is cut; entries that are text, numeric or not, are ignored."""
     return loops.accumulate_usage(usage_of(adapters.model_calls(spark, sf_dir)))
 
 
@@ -146,23 +148,31 @@ final AS (SELECT l.request_id,
 
 
 @register("finalize_responses", f"""WITH {_FINAL},
-  stored AS (SELECT request_id, count(*) AS n_traces FROM tool_calls GROUP BY 1)
-  SELECT request_id, answer, stop_reason, stop_cause, model_tier, model_id, router_reason, router_source, policy_action,
-    iterations, latency_ms, input_tokens, output_tokens, coalesce(n_traces, 0) AS n_traces
-  FROM final LEFT JOIN stored USING (request_id)""".replace(
-    "stored AS", "tool_calls AS (SELECT request_id FROM looped WHERE is_tool AND NOT discarded), stored AS"))
+  {v.TOOL_RESULTS.replace(v.CALLS + ",", "")},
+  stored AS (SELECT request_id, count(*) AS n_traces,
+    string_agg(concat_ws(':', i, position, tool, input, status, output_preview), chr(30) ORDER BY i, position) AS traces
+    FROM paired SEMI JOIN (SELECT request_id, i FROM looped WHERE is_tool AND NOT discarded) USING (request_id, i) GROUP BY 1),
+  cited AS (SELECT request_id, session_id, 's3://docs/' || session_id AS citations FROM requests)
+  SELECT request_id, session_id, answer, stop_reason, stop_cause, model_tier, model_id, router_reason, router_source, policy_action,
+    iterations, latency_ms, input_tokens, output_tokens, coalesce(n_traces, 0) AS n_traces, coalesce(traces, '') AS traces, citations
+  FROM final LEFT JOIN stored USING (request_id) LEFT JOIN cited USING (request_id)""")
 def finalize_responses(spark, sf_dir):
     # Three branches read the run, so it is written once.
     run = materialize(looped(spark, sf_dir), "runs")
     usage = loops.usage_maps(loops.accumulate_usage(usage_of(run)))
     traces = loops.run_traces(run, paired_of(run, spark, sf_dir))
-    final = loops.finalize_responses(run, usage, traces, config=CONFIG)
+    asked = adapters.requests(spark, sf_dir)
+    hits = asked.select("request_id", F.concat(F.lit("s3://docs/"), "session_id").alias("uri"), F.lit(1).alias("rank"))
+    final = loops.finalize_responses(run, usage, traces, loops.run_citations(hits), config=CONFIG)
+    line = lambda t: F.concat_ws(":", *[t[c].cast("string") for c in ("i", "position", "name", "input", "status", "output_preview")])
     return final.select(
-        "request_id", "answer", "stop_reason", "stop_cause", "model_tier", "model_id", "router_reason",
+        "request_id", "session_id", "answer", "stop_reason", "stop_cause", "model_tier", "model_id", "router_reason",
         "router_source", "policy_action", "iterations", "latency_ms",
         F.col("usage")["inputTokens"].alias("input_tokens"),
         F.col("usage")["outputTokens"].alias("output_tokens"),
         F.coalesce(F.size("tool_trace"), F.lit(0)).cast("bigint").alias("n_traces"),
+        F.coalesce(F.array_join(F.transform("tool_trace", line), "\x1e"), F.lit("")).alias("traces"),
+        F.array_join(F.transform("citations", lambda c: c["uri"]), " ").alias("citations"),
     )
 
 
@@ -205,15 +215,15 @@ PRICES = {"fast": (0.001, 0.005), "reasoning": (0.003, 0.015)}
 
 
 @register("cost_attribution", f"""WITH {_FINAL},
-  tagged AS (SELECT 'project-' || (CAST(request_id // 1000 AS BIGINT) % 7) AS project, model_tier AS tier, input_tokens, output_tokens FROM final)
-  SELECT project, tier, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  tagged AS (SELECT 'project-' || (CAST(request_id // 1000 AS BIGINT) % 7) AS project, model_tier AS tier, model_id, input_tokens, output_tokens FROM final)
+  SELECT project, tier, model_id, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
     round(sum(CASE tier WHEN 'fast' THEN input_tokens * 0.001 + output_tokens * 0.005
       ELSE input_tokens * 0.003 + output_tokens * 0.015 END) / 1000, 6) AS cost_usd
-  FROM tagged GROUP BY ROLLUP (project, tier)""")
+  FROM tagged GROUP BY ROLLUP (project, tier, model_id)""")
 def cost_attribution(spark, sf_dir):
     project = F.concat(F.lit("project-"), F.pmod(F.floor(F.col("request_id") / 1000), F.lit(7)).cast("string"))
     usage = final_runs(looped(spark, sf_dir)).select(
-        project.alias("project"), F.col("model_tier").alias("tier"), "input_tokens", "output_tokens"
+        project.alias("project"), F.col("model_tier").alias("tier"), "model_id", "input_tokens", "output_tokens"
     )
     return operations.cost_attribution(usage, PRICES)

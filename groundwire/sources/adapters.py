@@ -9,19 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwire.operators.routing import classify_complexity
-from groundwire.plans.skew import spread_scan
 
 START = "2024-01-01 00:00:00"
 EXTENSIONS = ("md", "PDF", "html", "tar.gz", "csv", "", "png")
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; those with long texts are spread over the cores if they are one split."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_scan(rows) if name in TEXT_TABLES else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _minutes_after_start(minutes):
@@ -112,7 +106,7 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         routed.withColumn("_m", m)
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(5), m + F.when(doubt, 1).otherwise(0)))))
         .select(
-            "request_id", "i", "requested_at",
+            "request_id", "session_id", "i", "requested_at",
             F.when(is_tool, "tool_use").when((i == m) & policy, "guardrail_intervened")
             .otherwise("end_turn").alias("stop_reason"),
             name.alias("tool"),
@@ -131,8 +125,23 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_calls_of(calls: DataFrame) -> DataFrame:
+    """One row per tool a turn asked for; the second call of a turn goes to the other known tool."""
+    asked = calls.filter(F.col("tool_use_id").isNotNull()).select(
+        "request_id", "i", "requested_at", "tool_use_id", F.posexplode("tools").alias("position", "tool")
+    )
+    position = F.col("position")
+    other = F.when(F.col("tool") == "retrieve_knowledge", "analyze_image").otherwise("retrieve_knowledge")
+    return asked.select(
+        "request_id", "i", "requested_at", position.cast("bigint").alias("position"),
+        F.when(position == 0, F.col("tool_use_id")).otherwise(F.concat("tool_use_id", F.lit("b"))).alias("tool_use_id"),
+        F.when(position == 0, F.col("tool")).otherwise(other).alias("tool"),
+        F.concat(F.lit('{"call":'), position.cast("string"), F.lit("}")).alias("input"),
+    )
+
+
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_results_of(model_calls(spark, sf_dir), table(spark, sf_dir, "conversations"))
+    return tool_results_of(tool_calls_of(model_calls(spark, sf_dir)), table(spark, sf_dir, "conversations"))
 
 
 def tool_results_of(calls: DataFrame, turns: DataFrame) -> DataFrame:
@@ -140,8 +149,7 @@ def tool_results_of(calls: DataFrame, turns: DataFrame) -> DataFrame:
     answered = turns.filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("request_id")
     )
-    used = calls.filter(F.col("tool_use_id").isNotNull())
-    return used.join(answered, "request_id", "left_semi").select(
+    return calls.join(answered, "request_id", "left_semi").select(
         "request_id", "tool_use_id", F.concat(F.lit("result "), F.col("tool_use_id")).alias("result")
     )
 

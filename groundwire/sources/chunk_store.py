@@ -1,48 +1,98 @@
-"""Chunk table: append-only, content-addressed rows that are safe to write twice."""
+"""Chunk table of a knowledge index: append-only rows, the newest version of a document counts.
+
+Every ingested document version is one header row (ordinal -1) and its chunk rows, all with the hash of its
+content. Readers take the newest header of each document and the chunks with its content, so a changed
+document replaces its chunks, an older version that arrives late replaces nothing, and writing the same version
+twice changes nothing. Rows are partitioned by a hash of the document, and an ingest compares itself with the
+headers of the partitions it touches, never with the texts or ids of the store.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+HEADER = -1
+#: Rows of batch ingests and of streams; a stream's sink shows only what its own log has committed.
+FOLDERS = ("rows", "stream")
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
 
+def bucket_of(uri: Column) -> Column:
+    return F.pmod(F.xxhash64(uri), F.lit(BUCKETS)).cast("int")
 
-def latest_chunks(chunks: DataFrame, version: str) -> DataFrame:
-    """Newest row per chunk id; the rank filter is pushed below the shuffle, so copies collapse early."""
-    order = Window.partitionBy("chunk_id").orderBy(F.col(version).desc())
-    return chunks.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+
+def content_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of all versions, or None for a store that does not exist yet."""
+    found = None
+    for folder in FOLDERS:
+        try:
+            rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{folder}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
 
 
-def missing_chunks(chunks: DataFrame, path: str, version: str | None = None) -> DataFrame:
-    """Chunks not stored yet, each id once. Only the id column of the store is read."""
-    fresh = latest_chunks(chunks, version) if version else chunks.dropDuplicates(["chunk_id"])
-    stored = read_chunks(chunks.sparkSession, path)
-    if stored is None:
-        return fresh
-    return fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+def newest_versions(rows: DataFrame) -> DataFrame:
+    """One row (bucket, uri, version, content) per document."""
+    newest = rows.filter(F.col("ordinal") == HEADER).groupBy("bucket", "uri").agg(
+        F.max(F.struct("version", "content")).alias("_newest")
+    )
+    return newest.select("bucket", "uri", "_newest.version", "_newest.content")
 
 
-def append_chunks(fresh: DataFrame, path: str) -> DataFrame:
-    fresh.write.mode("append").parquet(path)
-    return fresh.sparkSession.read.parquet(path)
+def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The chunks of every document's newest version, each once; None for a store that does not exist."""
+    rows = stored_rows(spark, path)
+    if rows is None:
+        return None
+    key = ["bucket", "uri", "content"]
+    chunks = rows.filter(F.col("ordinal") != HEADER).drop("version")
+    current = chunks.join(newest_versions(rows).select(*key), key, "left_semi")
+    return current.dropDuplicates([*key, "chunk_id"]).drop("bucket", "content")
 
 
-def upsert_chunks(chunks: DataFrame, path: str, version: str | None = None) -> DataFrame:
-    """Add the chunks not stored yet and return the whole store; safe to repeat.
+def changed_documents(documents: DataFrame, path: str) -> DataFrame:
+    """The newest version of each of ``documents`` (uri, text, version, ...) that the store lacks.
 
-    The id covers source, position and text, so a stored row never needs a rewrite. Removing a
-    source leaves its chunks in place.
+    ``content_known`` marks a version that is newer but says the same, which needs a header only.
     """
-    return append_chunks(missing_chunks(chunks, path, version), path)
+    marked = documents.withColumn("content", content_of(F.col("text")))
+    newest = marked.groupBy("uri").agg(
+        F.max_by(F.struct(*[c for c in marked.columns if c != "uri"]), F.struct("version", "content")).alias("_d")
+    ).select("uri", "_d.*").withColumn("bucket", bucket_of(F.col("uri")))
+    rows = stored_rows(documents.sparkSession, path)
+    if rows is None:
+        return newest.withColumn("content_known", F.lit(False))
+    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    known = newest_versions(rows.filter(F.col("bucket").isin(touched))).select(
+        "bucket", "uri", F.col("version").alias("_version"), F.col("content").alias("_content")
+    )
+    newer = F.struct("version", "content") > F.struct(F.col("_version").alias("version"), F.col("_content").alias("content"))
+    return (
+        newest.join(known, ["bucket", "uri"], "left").filter(F.col("_content").isNull() | newer)
+        .withColumn("content_known", F.coalesce(F.col("content") == F.col("_content"), F.lit(False)))
+        .drop("_version", "_content")
+    )
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add version rows, one file per bucket and task."""
+    rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{FOLDERS[0]}")
+
+
+def latest_chunks(chunks: DataFrame, version: str) -> DataFrame:
+    """Newest row per chunk id; the rank filter is pushed below the shuffle, so copies collapse early."""
+    order = Window.partitionBy("chunk_id").orderBy(F.col(version).desc())
+    return chunks.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
 def stale_chunks(chunks: DataFrame, live_documents: DataFrame) -> DataFrame:

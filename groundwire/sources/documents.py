@@ -21,8 +21,12 @@ def read_documents(spark: SparkSession, path: str, prefix: str = "knowledge/") -
         if prefix.endswith("/")
         else spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     )
-    uri = F.col("_metadata.file_path")
-    key = F.substring_index(uri, f"{root}/", -1)
+    # File paths come URL-encoded (a plus sign stands for itself); keys and URIs are as stored.
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = qualified.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = f"{system.makeQualified(qualified).toUri().getPath().rstrip('/')}/"
+    key = F.substring(uri, F.locate(base, uri) + len(base), F.length(uri))
     return files.select(
         uri.alias("uri"), key.alias("key"), F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("modified"),

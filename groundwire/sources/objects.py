@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Content type by lower-case extension (the common part of the standard registry).
@@ -79,8 +79,12 @@ def layout_objects(
     )
 
 
-def write_layout(objects: DataFrame, path: str) -> None:
-    """Partition by day; the rebalance hint splits a day that is too large for one task."""
+def write_layout(objects: DataFrame, path: str, run: str) -> None:
+    """Partition by run and day; the rebalance hint splits a day that is too large for one task.
+
+    ``run`` names this write: repeating it replaces its own files and no others, so a job that is run again
+    stores nothing twice. Different runs may hold the same object; ``read_layout`` returns it once.
+    """
     dated = objects.withColumns({
         "year": F.date_format("created", "yyyy"),
         "month": F.date_format("created", "MM"),
@@ -88,10 +92,15 @@ def write_layout(objects: DataFrame, path: str) -> None:
     })
     (
         dated.hint("rebalance", "year", "month", "day")
-        .write.mode("append").partitionBy("year", "month", "day").parquet(path)
+        .write.mode("overwrite").partitionBy("year", "month", "day").parquet(f"{path}/run={run}")
     )
 
 
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored object once; a key is a hash of its object, so rows of one key are the same."""
+    return spark.read.parquet(path).drop("run", "year", "month", "day").dropDuplicates(["bucket", "key"])
+
+
 # Verbs that only read.
 READ_VERBS = ("view", "click", "get", "head", "list", "describe")
 

@@ -6,16 +6,15 @@ writes each batch exactly once, so a restarted job neither loses nor repeats row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundwire.config import EngineConfig
-from groundwire.operators.ingestion import chunk_documents
-from groundwire.operators.operations import dashboard_rollup, period_index
+from groundwire.operators.ingestion import job_metrics, version_rows
+from groundwire.operators.operations import dashboard_rollup
 from groundwire.operators.policy import pii_matches
 from groundwire.operators.routing import bind_models, decide_tier, route_modality
 from groundwire.plans.workspace import new_folder
@@ -60,10 +59,28 @@ def run_to_parquet(stream: DataFrame, name: str, output: str | None = None, chec
     return sink
 
 
-def stream_ingest(objects: DataFrame, prefix: str = "knowledge/", lateness: str = LATENESS) -> DataFrame:
-    """Object stream (uri, key, text, ts) to chunks; repeated notifications of a URI ingest once."""
-    arriving = event_time(under_prefix(objects, prefix), "ts", lateness)
-    return chunk_documents(arriving.dropDuplicatesWithinWatermark(["uri"]))
+def stream_ingest(
+    objects: DataFrame, embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None = None,
+    prefix: str = "knowledge/",
+) -> DataFrame:
+    """Object stream (uri, key, text, version) to embedded rows of the chunk store.
+
+    Nothing is dropped and nothing remembered: readers of the store take each document's newest version, so
+    repeats change nothing, updates replace and late objects count as what they are.
+    """
+    return version_rows(under_prefix(objects, prefix), embedder)
+
+
+def run_ingest(rows: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Store everything available of ``stream_ingest`` below ``path``; one job row per micro-batch, as far as
+    ``spark.sql.streaming.numRecentProgressUpdates`` keeps them."""
+    query = (
+        rows.observe("ingest", *job_metrics()).writeStream.format("parquet").outputMode("append").partitionBy("bucket")
+        .option("path", f"{path}/stream").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    done = [(p.batchId, p.observedMetrics.get("ingest")) for p in query.recentProgress]
+    return [{"batch": batch, **row.asDict(), "status": "COMPLETE"} for batch, row in done if row is not None]
 
 
 def stream_ingest_jobs(objects: DataFrame, interval: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
@@ -95,47 +112,6 @@ def stream_latency_p99(
     ).select(F.col("_w.start").alias("period"), "value", "calls")
 
 
-ALARM_STATE = "seen long, last_breach long, run long"
-ALARM_EDGES = "alarm string, period_index long, state string, run long"
-
-
-def stream_alarm_edges(series: DataFrame, period_seconds: int, threshold: float, periods: int) -> DataFrame:
-    """State changes per alarm over a stream of closed windows (alarm, period, value).
-
-    State per alarm: the last window seen, the last breach and the length of its run. A run is over
-    at the next window that does not continue it; its OK edge lies right after the last breach.
-    Windows are folded in order within a batch; those not after the last one seen are late, dropped.
-    """
-
-    def edges(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last_breach, run = state.get if state.exists else (-1, -1, 0)
-        rows = []
-        windows = pd.concat(list(frames)).sort_values("n")
-        for n, value in zip(windows["n"], windows["value"]):
-            if n <= seen:
-                continue
-            seen = n
-            breach = value >= threshold
-            if run and not (breach and n == last_breach + 1):
-                if run >= periods:
-                    rows.append((key[0], last_breach + 1, "OK", run))
-                run = 0
-            if breach:
-                last_breach, run = n, run + 1
-                if run == periods:
-                    rows.append((key[0], n, "ALARM", run))
-        state.update((int(seen), int(last_breach), int(run)))
-        yield pd.DataFrame(rows, columns=["alarm", "period_index", "state", "run"])
-
-    indexed = series.select(
-        "alarm", period_index(F.col("period"), period_seconds).alias("n"),
-        F.col("value").cast("double").alias("value"),
-    )
-    return indexed.groupBy("alarm").applyInPandasWithState(
-        edges, ALARM_EDGES, ALARM_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def stream_pii_scan(objects: DataFrame) -> DataFrame:
     """Findings of objects not scanned before: the checkpoint remembers the files of earlier runs."""
     return pii_matches(objects)
@@ -150,3 +126,13 @@ def stream_route(requests: DataFrame, config: EngineConfig = EngineConfig()) ->
 def running_tier_counts(routed: DataFrame) -> DataFrame:
     """Running counts per tier and source, for a sink in complete or update mode."""
     return routed.groupBy("tier", "source").agg(F.count("*").alias("requests"))
+
+
+def run_to_view(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> str:
+    """Process everything available into a view of this session; the rows are few, one per group."""
+    query = (
+        counts.writeStream.format("memory").queryName(name).outputMode(mode)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return name

@@ -49,7 +49,7 @@ def test_embedding_weights_match_plain_arithmetic(spark):
         for w in t.split():
             counts[n][slot(w)] = counts[n].get(slot(w), 0) + 1
     for n, terms in enumerate(counts):
-        weights = {s: c * math.log((len(texts) + 1) / (sum(s in o for o in counts) + 1)) for s, c in terms.items()}
+        weights = {s: c * (1 + math.log((len(texts) + 1) / (sum(s in o for o in counts) + 1))) for s, c in terms.items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
         for s in range(1024):
             assert got[str(n)][s] == pytest.approx(weights.get(s, 0.0) / norm, abs=1e-6)
@@ -62,17 +62,37 @@ DOCS = [("knowledge/ppe.md", "Hard hats are required in zone A at all times"),
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    return spark.createDataFrame(DOCS, "key string, text string").withColumn("uri", F.concat(F.lit("s3://docs/"), "key"))
+    return spark.createDataFrame(DOCS, "key string, text string").withColumns(
+        {"uri": F.concat(F.lit("s3://docs/"), "key"), "version": F.lit(1)})
 
 
-def test_ingest_is_idempotent(spark, tmp_path, documents):
+def changed(spark, key, text, version):
+    return spark.createDataFrame([(key, text, f"s3://docs/{key}", version)], "key string, text string, uri string, version int")
+
+
+def texts_of(spark, path):
+    return {r.uri[10:]: r.text for r in read_chunks(spark, path).collect()}
+
+
+def test_ingest_is_idempotent_and_replaces_changed_documents(spark, tmp_path, documents):
     path = str(tmp_path / "index")
-    _, job = ingestion.ingest_knowledge(documents, path)
-    first = job.first()
-    stored, job = ingestion.ingest_knowledge(documents, path)
-    assert (first.chunks, first.documents, first.tokens, first.status) == (2, 2, 18, "COMPLETE")
-    assert job.first() == first and read_chunks(spark, path).count() == 2
-    assert len(stored.first().embedding) == 1024
+    ingestion.create_index(ingestion.chunk_documents(documents), path)
+    run = lambda docs: tuple(ingestion.ingest_knowledge(docs, path, ingestion.load_embedder(spark, path)).first())
+    assert run(documents) == (2, 2, 18, "COMPLETE")
+    assert run(documents) == (0, 0, 0, "COMPLETE") and read_chunks(spark, path).count() == 2
+    food = "knowledge/food.md"
+    assert run(changed(spark, food, "Now closed", 3)) == (1, 1, 2, "COMPLETE") and texts_of(spark, path)[food] == "Now closed"
+    assert run(changed(spark, food, "An older text", 2)) == (0, 0, 0, "COMPLETE")  # late, and superseded
+    assert run(changed(spark, food, "Now closed", 5)) == (0, 0, 0, "COMPLETE")  # newer, says the same
+    assert run(changed(spark, food, "An older text", 4)) == (0, 0, 0, "COMPLETE") and texts_of(spark, path)[food] == "Now closed"
+    assert run(changed(spark, food, dict(DOCS)[food], 6))[0] == 1 and texts_of(spark, path)[food] == dict(DOCS)[food]
+    assert run(changed(spark, food, " ", 7)) == (1, 0, 0, "COMPLETE") and set(texts_of(spark, path)) == {"knowledge/ppe.md"}
+    assert all(len(r.embedding) == 1024 and max(r.embedding) > 0 for r in read_chunks(spark, path).collect())
+
+
+def test_an_index_without_embedder_is_refused(spark, tmp_path):
+    with pytest.raises(Exception):
+        ingestion.load_embedder(spark, str(tmp_path / "none"))
 
 
 def test_only_missing_chunks_are_embedded(spark, tmp_path, documents):
@@ -82,21 +102,22 @@ def test_only_missing_chunks_are_embedded(spark, tmp_path, documents):
     def embedder(chunks):
         def run(batches):
             for batch in batches:
-                seen.add(len(batch))
+                seen.add(int((batch["ordinal"] >= 0).sum()))
                 yield batch.assign(embedding=[[1.0, 0.0]] * len(batch))
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema)
         return chunks.mapInPandas(run, f"{fields}, embedding array<float>")
 
-    ingestion.ingest_knowledge(documents, path, embedder=embedder)
+    ingestion.ingest_knowledge(documents, path, embedder)
     assert seen.value == 2
-    ingestion.ingest_knowledge(documents, path, prefix="", embedder=embedder)
+    ingestion.ingest_knowledge(documents, path, embedder, prefix="")
     assert seen.value == 3
 
 
 def test_retrieval_cites_the_right_document(spark, tmp_path, documents):
-    chunks = ingestion.chunk_documents(documents)
-    embedder = ingestion.fit_embedder(chunks)
-    stored = ingestion.index_chunks(chunks, str(tmp_path / "index"), embedder)
+    path = str(tmp_path / "index")
+    embedder = ingestion.create_index(ingestion.chunk_documents(documents), path)
+    ingestion.ingest_knowledge(documents, path, embedder, prefix="")
+    stored = read_chunks(spark, path)
     asked = spark.createDataFrame([(1, "which zone requires hard hats", 1), (2, "soup at noon", 99), (3, " \n", 1)],
                                   "request_id long, query string, requested int")
     citations, rejected = retrieval.retrieve_knowledge(asked, stored, embedder)
@@ -113,7 +134,7 @@ def test_retrieval_equals_brute_force(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     chunks = ingestion.chunk_documents(table.select(F.col("doc_id").cast("string").alias("uri"), "text"))
     embedder = ingestion.fit_embedder(chunks)
-    stored = ingestion.index_chunks(chunks, str(tmp_path / "index"), embedder)
+    stored = ingestion.embed_chunks(chunks, embedder)
     asked = table.select(F.col("doc_id").alias("request_id"), F.col("text").alias("query"))
     citations, _ = retrieval.retrieve_knowledge(asked, stored, embedder, k=3)
     got = {}

@@ -91,7 +91,11 @@ def test_run_metrics_skip_zero_counters(spark):
 
 def test_costs_and_jobs(spark):
     usage = spark.createDataFrame([("p", "fast", 1000, 2000), ("p", "reasoning", 1000, 0), ("q", "fast", 500, 0)], "project string, tier string, input_tokens long, output_tokens long")
-    got = {(r.project, r.tier): r.cost_usd for r in ops.cost_attribution(usage, {"fast": (1.0, 2.0), "reasoning": (10.0, 20.0)}).collect()}
+    usage = usage.withColumn("model_id", F.concat(F.lit("model-"), "tier"))
+    costs = ops.cost_attribution(usage, {"fast": (1.0, 2.0), "reasoning": (10.0, 20.0)}).collect()
+    assert {(r.project, r.model_id): r.cost_usd for r in costs if r.model_id} == {
+        ("p", "model-fast"): 5.0, ("p", "model-reasoning"): 10.0, ("q", "model-fast"): 0.5}
+    got = {(r.project, r.tier): r.cost_usd for r in costs if not r.model_id}
     assert got == {("p", "fast"): 5.0, ("p", "reasoning"): 10.0, ("p", None): 15.0, ("q", "fast"): 0.5, ("q", None): 0.5, (None, None): 15.5}
     notices = ntz(spark.createDataFrame([(at(0),), (at(10),), (at(400),)], "ts timestamp"), "ts")
     stats = {(r.status, r.reason): r.n for r in ops.ingestion_stats(ops.ingestion_jobs(notices)).collect()}

@@ -41,6 +41,11 @@ def reasons(spark, bodies):
     return [r.reasons for r in parsed.orderBy("n").collect()]
 
 
+def test_the_last_of_duplicate_keys_counts(spark):
+    bodies = ['{"query":5,"query":"last","x":1,"x":2}', '{"query":"first","query":5}', '{"query":"q","metadata":{"a":1,"a":"b"}}']
+    assert reasons(spark, bodies) == [[], ["query: not a string"], []]
+
+
 def test_every_case(spark):
     got = reasons(spark, [json.dumps(c) for c, _ in CASES])
     assert got == [expected for _, expected in CASES]

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from groundwire.operators.ingestion import chunk_documents
+from groundwire.operators.ingestion import ingest_knowledge
 from groundwire.sources import access_log, chunk_store, documents, images, objects
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"\x00" * 8
@@ -47,13 +47,13 @@ def test_size_limit_and_files(spark, tmp_path):
 
 
 def test_read_documents_below_prefix(spark, tmp_path):
-    for key in ("knowledge/2024/a.md", "knowledge/b.md", "other/c.md", "knowledge-base/d.md"):
+    for key in ("knowledge/2024/a b+c%20.md", "knowledge/b.md", "other/c.md", "knowledge-base/d.md"):
         path = tmp_path / key
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"text of\n{key}")
     got = documents.read_documents(spark, str(tmp_path), "knowledge/").collect()
     assert {r.key: r.text for r in got} == {
-        k: f"text of\n{k}" for k in ("knowledge/2024/a.md", "knowledge/b.md")
+        k: f"text of\n{k}" for k in ("knowledge/2024/a b+c%20.md", "knowledge/b.md")
     }
     assert documents.read_documents(spark, str(tmp_path), "know").count() == 3
 
@@ -83,7 +83,8 @@ def test_layout(spark):
 def test_layout_sink_is_partitioned_by_day(spark, tmp_path):
     df = spark.range(10).select("id", (F.lit("2024-03-05").cast("date") + (F.col("id") % 2).cast("int")).cast("timestamp_ntz").alias("created"))
     path = str(tmp_path / "layout")
-    objects.write_layout(df, path)
+    objects.write_layout(df, path, "a")
+    objects.write_layout(df, path, "a")
     back = spark.read.parquet(path)
     assert back.count() == 10 and {(r.year, r.month, r.day) for r in back.select("year", "month", "day").collect()} == {(2024, 3, 5), (2024, 3, 6)}
 
@@ -114,14 +115,19 @@ def test_routes(spark):
 
 def test_upsert_is_idempotent_and_keeps_removed_sources(spark, tmp_path):
     path = str(tmp_path / "store")
-    first = spark.createDataFrame([("s3://d/1", "a b c"), ("s3://d/2", "d e")], "uri string, text string")
-    second = spark.createDataFrame([("s3://d/2", "d e"), ("s3://d/3", "f"), ("s3://d/3", "f")], "uri string, text string")
-    chunk_store.upsert_chunks(chunk_documents(first), path)
-    once = {r.uri for r in chunk_store.upsert_chunks(chunk_documents(second), path).collect()}
-    again = chunk_store.upsert_chunks(chunk_documents(second), path)
-    assert once == {"s3://d/1", "s3://d/2", "s3://d/3"} and again.count() == 3
-    stale = chunk_store.stale_chunks(again, second)
-    assert [r.uri for r in stale.collect()] == ["s3://d/1"]
+
+    def ingest(*rows):
+        docs = spark.createDataFrame([(f"s3://d/{n}", "knowledge/", t, 1) for n, t in rows], "uri string, key string, text string, version int")
+        ingest_knowledge(docs, path, None)
+        return sorted((r.uri, r.text) for r in chunk_store.read_chunks(spark, path).collect())
+
+    assert chunk_store.read_chunks(spark, path) is None
+    assert ingest((1, "a b c"), (2, "d e")) == [("s3://d/1", "a b c"), ("s3://d/2", "d e")]
+    every = [("s3://d/1", "a b c"), ("s3://d/2", "d e"), ("s3://d/3", "f")]
+    assert ingest((2, "d e"), (3, "f"), (3, "f")) == every and ingest((3, "f")) == every
+    live = spark.createDataFrame([("s3://d/2",), ("s3://d/3",)], "uri string")
+    assert [r.uri for r in chunk_store.stale_chunks(chunk_store.read_chunks(spark, path), live).collect()] == ["s3://d/1"]
+
 
 
 def test_latest_chunk_wins(spark):

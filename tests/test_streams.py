@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from groundwire.functions.text import letter_embedder
 from groundwire.operators import operations as ops
 from groundwire.plans import workspace
 from groundwire.sources import adapters
+from groundwire.sources.chunk_store import read_chunks
 from groundwire.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -17,25 +19,33 @@ def at(seconds):
     return T0 + dt.timedelta(seconds=seconds)
 
 
-OBJECTS = "uri string, key string, text string, ts timestamp"
+OBJECTS = "uri string, key string, text string, version timestamp"
 
 
-def test_ingest_survives_a_restart_and_ignores_repeats(spark, tmp_path):
-    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+def test_ingest_keeps_updates_and_late_rows_across_restarts(spark, tmp_path):
+    source, index, check = (str(tmp_path / n) for n in ("in", "index", "check"))
 
     def arrive(*rows):
         spark.createDataFrame([(f"s3://d/{k}", k, t, at(s)) for k, t, s in rows], OBJECTS).coalesce(1).write.mode("append").parquet(source)
 
     def run():
-        stream = jobs.file_stream(spark, source, spark.read.parquet(source))
-        jobs.run_to_parquet(jobs.stream_ingest(stream), "ingest", sink, check)
-        return sorted(r.uri for r in spark.read.parquet(sink).collect())
+        stream = jobs.file_stream(spark, source, spark.read.parquet(source), files=1)
+        done = jobs.run_ingest(jobs.stream_ingest(stream, letter_embedder), index, check)
+        stored = read_chunks(spark, index).collect()
+        assert all(r.embedding is not None and max(r.embedding) > 0 for r in stored)
+        return {r.uri[5:]: r.text for r in stored}, [(j["documents"], j["chunks"]) for j in done]
 
     arrive(("knowledge/a", "one two", 0), ("private/x", "no", 1), ("knowledge/a", "one two", 5))
-    assert run() == ["s3://d/knowledge/a"]
+    assert run() == ({"d/knowledge/a": "one two"}, [(2, 2)])
     arrive(("knowledge/a", "one two", 60), ("knowledge/b", "three", 61))
-    assert run() == ["s3://d/knowledge/a", "s3://d/knowledge/b"]
-    assert run() == ["s3://d/knowledge/a", "s3://d/knowledge/b"]
+    arrive(("knowledge/a", "changed", 300), ("knowledge/c", "late by a day", -86_400), ("knowledge/b", "old", -5))
+    arrive(("knowledge/a", "one two", 0))
+    expected = {"d/knowledge/a": "changed", "d/knowledge/b": "three", "d/knowledge/c": "late by a day"}
+    stored, done = run()
+    assert stored == expected and len(done) == 3
+    assert run()[0] == expected
+    arrive(("knowledge/b", "", 900))
+    assert run()[0] == {k: t for k, t in expected.items() if not k.endswith("b")}
 
 
 def test_scan_covers_new_files_only(spark, tmp_path):
@@ -59,19 +69,27 @@ def windows(spark, path, batches):
         spark.createDataFrame(rows, "alarm string, period timestamp, value double").coalesce(1).write.mode("append").parquet(path)
 
 
-@pytest.mark.parametrize("files", [None, 1])
-def test_alarm_edges_across_batches(spark, tmp_path, files):
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_alarm_edges_do_not_depend_on_file_order(spark, tmp_path, order):
     series = [("p", 0, 9), ("p", 1, 9), ("p", 2, 1), ("p", 3, 9), ("p", 5, 9), ("p", 6, 9), ("p", 7, 9), ("p", 9, 0), ("q", 4, 9), ("q", 5, 9)]
     path = str(tmp_path / "w")
-    windows(spark, path, [series[:4], series[4:6], series[6:]])
-    stream = jobs.file_stream(spark, path, spark.read.parquet(path), files=files)
-    sink = jobs.run_to_parquet(jobs.stream_alarm_edges(stream, 300, 5, 2), "edges")
+    parts = [series[:4], series[4:6], series[6:]]
+    windows(spark, path, [parts[n] for n in order])
+    stored = spark.read.parquet(path)
     base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) // 300
-    got = {(r.alarm, r.period_index - base, r.state) for r in spark.read.parquet(sink).collect()}
-    assert got == {("p", 1, "ALARM"), ("p", 2, "OK"), ("p", 6, "ALARM"), ("p", 8, "OK"), ("q", 5, "ALARM")}
-    batch = ops.alarm_periods(spark.read.parquet(path), 300, 5, 2)
-    spans = {(r.alarm, (int(r.alarm_from.replace(tzinfo=dt.timezone.utc).timestamp()) // 300) - base) for r in batch.collect()}
-    assert spans == {(a, n) for a, n, s in got if s == "ALARM"}
+    got = {(r.alarm, r.period_index - base, r.state, r.run) for r in ops.alarm_edges(stored, 300, 5, 2).collect()}
+    assert got == {("p", 1, "ALARM", 2), ("p", 2, "OK", 2), ("p", 6, "ALARM", 2), ("p", 8, "OK", 3), ("q", 5, "ALARM", 2)}
+    spans = {(r.alarm, (int(r.alarm_from.replace(tzinfo=dt.timezone.utc).timestamp()) // 300) - base) for r in ops.alarm_periods(stored, 300, 5, 2).collect()}
+    assert spans == {(a, n) for a, n, s, _ in got if s == "ALARM"}
+
+
+def test_runs_join_across_blocks(spark):
+    first = ops.RUN_BLOCK * 3 - 2
+    zero = dt.datetime(1970, 1, 1)
+    rows = [("p", zero + dt.timedelta(seconds=60 * (first + n)), 1.0) for n in range(5)]
+    df = spark.createDataFrame(rows, "alarm string, period timestamp, value double")
+    (run,) = ops.breach_runs(df, 60, 1).collect()
+    assert (run.first, run.last, run.breaching) == (first, first + 4, 5)
 
 
 def test_late_rows_do_not_reopen_a_window(spark, tmp_path):

@@ -1,5 +1,7 @@
 """Turns, tool results, grounding and the rebuilt tool loop."""
 
+from pyspark.sql import functions as F
+
 from groundwire.config import EngineConfig
 from groundwire.operators import tool_loop as loops, turns
 
@@ -77,12 +79,13 @@ def test_report_and_usage(spark):
     report = loops.escalation_report(loops.tool_loop(calls(spark, *RUNS))).collect()
     assert {(r.cause, r.escalations, r.fast_starts) for r in report} == {
         (loops.ESCALATE_TOOLS, 4, 10), (loops.ESCALATE_ANSWER, 2, 10)}
+    big = 2**53 + 1
     used = spark.createDataFrame([
-        (1, {"inputTokens": "10", "outputTokens": "5.9", "kind": "x"}), (1, {"inputTokens": "20", "outputTokens": "40.9"}),
-        (2, {"cache": "-1.5"}),
-    ], "request_id long, usage map<string,string>")
+        (1, '{"inputTokens": 10, "outputTokens": 5.9, "kind": "x", "billed": "12"}'), (1, '{"inputTokens": 20, "outputTokens": 40.9}'),
+        (2, f'{{"cache": -1.5, "read": {big}, "none": null, "list": [1]}}'),
+    ], "request_id long, usage string").withColumn("usage", F.from_json("usage", "map<string,variant>"))
     got = {r.request_id: r.usage for r in loops.usage_maps(loops.accumulate_usage(used)).collect()}
-    assert got == {1: {"inputTokens": 30, "outputTokens": 45}, 2: {"cache": -1}}
+    assert got == {1: {"inputTokens": 30, "outputTokens": 45}, 2: {"cache": -1, "read": big}}
 
 
 def test_traces_leave_out_discarded_turns(spark):
@@ -94,6 +97,18 @@ def test_traces_leave_out_discarded_turns(spark):
     assert [t.i for t in row.tool_trace] == [0]
 
 
+def test_traces_keep_the_order_of_the_calls(spark):
+    looped = loops.tool_loop(calls(spark, ("reasoning", [TOOL, DONE])))
+    paired = spark.createDataFrame(
+        [(0, 0, 1, "a", "analyze_image", '{"n":1}', "success", "r"), (0, 0, 0, "b", "retrieve_knowledge", '{"n":0}', "success", "r")],
+        "request_id long, i long, position long, tool_use_id string, tool string, input string, status string, output_preview string")
+    hits = spark.createDataFrame([(0, 2, "s3://b"), (0, 1, "s3://a")], "request_id long, rank long, uri string")
+    traces = loops.run_traces(looped, paired)
+    (row,) = loops.finalize_responses(looped.withColumn("session_id", F.lit("s")), None, traces, loops.run_citations(hits)).collect()
+    assert [(t.name, t.input) for t in row.tool_trace] == [("retrieve_knowledge", '{"n":0}'), ("analyze_image", '{"n":1}')]
+    assert row.session_id == "s" and [c.uri for c in row.citations] == ["s3://a", "s3://b"]
+
+
 def test_pairing(spark):
     asked = spark.createDataFrame([(1, 0, "a", "retrieve_knowledge"), (1, 1, "b", "mystery"), (1, 2, "c", "analyze_image")],
                                   "request_id long, i long, tool_use_id string, tool string")
@@ -111,9 +126,19 @@ def test_turn_pairs_and_long_sessions(spark):
     df = spark.createDataFrame(rows, "session_id string, turn long, role string, text string")
     pairs = turns.pair_turns(df).orderBy("turn").collect()
     assert len(pairs) == 76 and pairs[0].answer == "t1" and not pairs[-1].answered
-    blocks = turns.assemble_messages(df, 64).orderBy("block").collect()
+    blocks = turns.message_blocks(df, 64).orderBy("block").collect()
     assert [b.n_messages for b in blocks] == [64, 64, 23]
     assert [m.text for b in blocks for m in b.messages] == [f"t{n}" for n in range(151)]
+    (whole,) = turns.assemble_messages(df).collect()
+    assert whole.n_messages == 151 and [m.text for m in whole.messages] == [f"t{n}" for n in range(151)]
+
+
+def test_the_answer_may_come_later(spark):
+    rows = [("s", 0, "user"), ("s", 1, "system"), ("s", 2, "assistant"), ("s", 3, "user"), ("s", 200, "assistant"), ("s", 201, "user"),
+            ("t", 1, "user")]
+    df = spark.createDataFrame(rows, "session_id string, turn long, role string").withColumn("text", F.concat("role", F.col("turn").cast("string")))
+    got = {(r.session_id, r.turn): r.answer for r in turns.pair_turns(df).collect()}
+    assert got == {("s", 0): "assistant2", ("s", 3): "assistant200", ("s", 201): None, ("t", 1): None}
 
 
 def test_grounding(spark):
