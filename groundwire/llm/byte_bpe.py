@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwire.llm.common import give_back, small_batches
+
 #: Fixed value: the first of 256 letters that stand for the bytes 0 to 255.
 FIRST_LETTER = 0x100
-CACHE_CHARS = 4_000_000
+CACHE_CHARS = 3_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,6 +130,7 @@ def _slices(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def _shared_vocabulary(df: DataFrame, path: str):
+    small_batches(df.sparkSession)
     with open(path, "rb") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())
 
@@ -146,6 +149,8 @@ def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, name: str =
         encoder = _Encoder(shared.value, pattern)
         for batch in batches:
             yield pa.array([ids for texts in _slices(batch) for ids in encoder.encode(texts)], pa.binary())
+        encoder = None
+        give_back()
 
     return df.withColumn(name, packed(F.coalesce(F.col(text), F.lit(""))))
 
@@ -162,6 +167,8 @@ def decode(df: DataFrame, token_ids: str, vocabulary: str, name: str = "decoded"
             rows = (each.as_py() for each in batch)
             decoded = [None if x is None else b"".join(map(entry.__getitem__, array("I", x))) for x in rows]
             yield pa.array(decoded, pa.binary())
+        entry = None
+        give_back()
 
     return df.withColumn(name, bytes_of(F.col(token_ids)))
 

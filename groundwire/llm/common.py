@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,6 +39,27 @@ def with_shingles(df: DataFrame, text: Column, size: int, name: str) -> DataFram
     return compute_once(hashed, {name: shingles}).drop("_words")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound what Python tasks receive at once, so that long texts do not add up: a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Return memory a task has freed to the machine; its worker process stays for the next tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to return by hand
+        pass
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for an explicit deal: the session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwire.llm.common import give_back, small_batches
+
 BITS = 15
 BUCKETS = 1 << BITS
 SLICE = 1_000_000
@@ -90,7 +92,10 @@ def fit(rows: DataFrame, text: str, lang: str, smoothing: float = 0.05) -> Model
                 for texts in _slices(own):
                     total += np.bincount(trigrams(texts, letters)[0], minlength=BUCKETS)
         yield from told()
+        sums.clear()
+        give_back()
 
+    small_batches(rows.sparkSession)
     known = rows.filter(F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
@@ -160,6 +165,7 @@ def infer(texts: list[str], model: Model, letters: np.ndarray, penalty: float) -
 
 def predict(df: DataFrame, text: str, model: Model, penalty: float = 2.0) -> DataFrame:
     """Add lang_pred, score (the share of that language) and mixture (languages and shares, largest first)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(MIXTURE)
@@ -176,6 +182,7 @@ def predict(df: DataFrame, text: str, model: Model, penalty: float = 2.0) -> Dat
                     top = parts[0] if parts else {"lang": UNKNOWN, "share": 0.0}
                     rows.append({"lang_pred": top["lang"], "score": min(1.0, top["share"]), "mixture": parts})
             yield pa.array(rows, kind)
+        give_back()
 
     bound = df.withColumn("_mixture", mixture(F.coalesce(F.col(text), F.lit(""))))
     names = ("lang_pred", "score", "mixture")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwire.llm.common import SPACES, ascii_lower, spread
+from groundwire.llm.common import SPACES, ascii_lower, small_batches, spread
 from groundwire.plans.workspace import materialize
 
 KEY_BYTES = 16
@@ -133,6 +133,7 @@ def _keep(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines the bitmaps keep in ``text`` (null stays null), and n_lines and n_dropped."""
+    small_batches(docs.sparkSession)
     marks = bitmaps.select(
         F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").alias("_n"), "keep_bitmap"
     ).withColumnRenamed("keep_bitmap", "_bits")

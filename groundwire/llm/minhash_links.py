@@ -18,6 +18,7 @@ shingle; rows that share a doc_id are one document; rows without doc_id are neve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -27,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import compute_once
-from groundwire.llm.common import ascii_lower, components, with_shingles
+from groundwire.llm.common import ascii_lower, components, give_back, small_batches, with_shingles
 from groundwire.plans.workspace import materialize
 
-COORDINATES = 48
+COORDINATES = 48  # at most 63, the bits of a long
 SLICE = 400_000
 #: Shingles of the documents a comparing task holds on either side, but for single longer documents.
 BLOCK = 400_000
@@ -70,7 +71,6 @@ def _signer(coordinates: int):
             signature[:, n] = np.minimum.reduceat((values * factors[n] + offsets[n] >> np.uint64(32)).astype("u4"), bounds)
         return first.view("i8"), second.view("i8"), signature.view("i4")
 
-    @F.arrow_udf(f"struct<low:bigint,high:bigint,signature:array<int>>")
     def sign(shingles: pa.Array) -> pa.Array:
         ends = shingles.offsets.to_numpy()
         values = shingles.values.to_numpy(zero_copy_only=False).view("u8")
@@ -88,7 +88,12 @@ def _signer(coordinates: int):
         lists = pa.ListArray.from_arrays(np.arange(len(shingles) + 1, dtype="i4") * coordinates, pa.array(signature.ravel()))
         return pa.StructArray.from_arrays([pa.array(low), pa.array(high), lists], fields=list(kind))
 
-    return sign
+    @F.arrow_udf("struct<low:bigint,high:bigint,signature:array<int>>")
+    def sign_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(sign, batches)
+        give_back()
+
+    return sign_all
 
 
 def _matches(a: str, b: str) -> Column:
@@ -96,16 +101,24 @@ def _matches(a: str, b: str) -> Column:
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
-    """Columns token, node: the rarest shared values of each class, enough to meet every partner."""
+    """Columns token, node, earlier: the rarest shared values of each class, enough to meet every partner, and
+    as bits the coordinates it posted before this one; all classes post in one order, rarest value first."""
     tokens = classes.select(F.col("node"), F.posexplode("signature").alias("n", "v")).select(
         "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("v").cast("long")).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     met = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("own"))
-    posted = met.filter(F.size("own") >= least).select(
-        "node", F.explode(F.slice(F.sort_array("own"), F.lit(1), F.size("own") - least + 1)).alias("p")
-    )
-    return posted.select(F.col("p.token").alias("token"), "node")
+    kept = compute_once(met.filter(F.size("own") >= least), {
+        "posted": F.slice(F.sort_array("own"), F.lit(1), F.size("own") - least + 1)
+    })
+    posted = kept.select("node", "posted", F.posexplode("posted").alias("at", "p"))
+
+    def mark(seen: Column, p: Column) -> Column:
+        coordinate = F.shiftright(p["token"], 32).cast("int")
+        return seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate))
+
+    earlier = F.aggregate(F.slice("posted", F.lit(1), F.col("at")), F.lit(0).cast("long"), mark)
+    return posted.select(F.col("p.token").alias("token"), "node", earlier.alias("earlier"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,7 +141,8 @@ def _above(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 def _comparer(least: int, percent: int):
     """Compare the asking documents of one list (or block of it) with the others, on signatures and then on
-    sets, and return one edge (a, b) for each document that links join to a smaller one."""
+    sets, and return one edge (a, b) for each document that links join to a smaller one. A pair is compared in
+    the first list that both are posted in, and in no other."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asking, other = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         links: dict[int, int] = {}
@@ -141,14 +155,23 @@ def _comparer(least: int, percent: int):
         if len(asking) and len(other):
             nodes, comps, sizes = (other[c].to_numpy() for c in ("node", "comp", "size"))
             signed = np.stack(other["signature"].to_list())
+            bits = np.arange(signed.shape[1])
+            earlier = (other["earlier"].to_numpy()[:, None] >> bits & 1).astype(bool)
             values = np.concatenate(other["shingles"].to_list())
             order = np.argsort(values, kind="stable")
             values, holder = values[order], np.repeat(np.arange(len(nodes)), sizes)[order]
             top = other["top"].iloc[0]
-            for node, comp, size, signature, shingles in zip(*(asking[c] for c in ("node", "comp", "size", "signature", "shingles"))):
+            fields = ("node", "comp", "size", "signature", "shingles", "earlier")
+            for node, comp, size, signature, shingles, before in zip(*(asking[c] for c in fields)):
                 wanted = (comps != comp) & ((comps == top) | (node < nodes))
-                wanted &= (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
-                wanted &= (signed == signature).sum(axis=1) >= least
+                wanted &= 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+                if not wanted.any():
+                    continue
+                equal = signed == signature
+                wanted &= equal.sum(axis=1) >= least
+                if before:
+                    own = np.flatnonzero(before >> bits & 1)
+                    wanted &= ~(equal[:, own] & earlier[:, own]).any(axis=1)
                 if not wanted.any():
                     continue
                 low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
@@ -185,7 +208,7 @@ def _apart(member: DataFrame, sets: DataFrame, signatures: DataFrame, least: int
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     key = ["token", "turn", "block"]
-    rows = [*key, "node", "comp", "top", "size", "asks"]
+    rows = [*key, "node", "comp", "top", "size", "earlier", "asks"]
     asking = dealt.filter("comp <> top").withColumn("turn", own("turns")).withColumn("block", every("blocks"))
     other = dealt.withColumn("block", own("blocks")).withColumn("turn", every("turns"))
     both = asking.withColumn("asks", F.lit(True)).select(rows).unionByName(other.withColumn("asks", F.lit(False)).select(rows))
@@ -199,6 +222,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     least = least_matches(coordinates, percent / 100, miss)
+    small_batches(docs.sparkSession, 2000)
     signed = compute_once(shingle_sets(docs, doc_id, text, words), {"s": _signer(coordinates)(F.col("shingles"))})
     prepared = materialize(
         signed.select("doc_id", F.size("shingles").alias("n"), "s.low", "s.high", "s.signature"), "signatures"
@@ -243,7 +267,7 @@ def near_duplicates(
 def _joined(links: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The components of the links so far, and the postings with theirs."""
     found = materialize(components(links, "a", "b"), "components")
-    named = postings.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+    named = postings.join(found, "node", "left").select("token", "node", "earlier", F.coalesce("component", "node").alias("comp"))
     return found, materialize(named, "members")
 
 

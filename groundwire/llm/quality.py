@@ -13,6 +13,7 @@ everything stays; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwire.llm.common import give_back, small_batches
 from groundwire.plans.workspace import materialize
 
 #: The classifier is fitted on at most this many labelled documents, taken by a hash of their ids.
@@ -30,7 +32,7 @@ MEASURES = (
     "letters", "upper", "digits", "blanks", "breaks", "signs", "runs", "long_words", "length",
     "sign_words", "upper_words", "shouts", "bars", "repeats", "odd_lines", "odd_share",
 )
-SLICE = 2_000_000
+SLICE = 500_000
 _LETTER, _UPPER, _DIGIT, _BLANK, _BREAK, _SIGN = 1, 2, 4, 8, 16, 32
 
 
@@ -103,18 +105,21 @@ def measure(texts: list[str], kinds: np.ndarray) -> np.ndarray:
 
 def _measures():
     @F.arrow_udf("array<double>")
-    def measured(texts: pa.Array) -> pa.Array:
-        kinds, rows, held, size = _classes(), [], [], 0
-        for each in [*texts, None]:
-            if each is not None:
-                held.append(each.as_py())
-                size += len(held[-1])
-            if held and (each is None or size >= SLICE):
-                rows.append(measure(held, kinds))
-                held, size = [], 0
-        flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
-        bounds = np.arange(len(texts) + 1, dtype="i4") * len(MEASURES)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = _classes()
+        for texts in batches:
+            rows, held, size = [], [], 0
+            for each in [*texts, None]:
+                if each is not None:
+                    held.append(each.as_py())
+                    size += len(held[-1])
+                if held and (each is None or size >= SLICE):
+                    rows.append(measure(held, kinds))
+                    held, size = [], 0
+            flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
+            bounds = np.arange(len(texts) + 1, dtype="i4") * len(MEASURES)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+        give_back()
 
     return measured
 
@@ -163,6 +168,7 @@ def score(
     known = labels.filter(F.col(quality).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
         F.avg(quality).alias("label")
     )
+    small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     measured = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"),
