@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwire.config import FAST_TEMPERATURE, THINKING_MODEL_FRAGMENT, EngineConfig
+from groundwire.sources.images import decode_inline, image_format
 from groundwire.sources.requests import has_image
 
 # Fixed value: text added to the question when an image is attached.
@@ -149,12 +150,27 @@ def _null_text() -> Column:
     return F.lit(None).cast("string")
 
 
+def with_stored_format(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """Add ``stored_format`` to requests with a stored image, from resolved images (bucket, key, format)."""
+    known = images.select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("format").alias("stored_format"))
+    return requests.join(known, (F.col("image.bucket") == F.col("_b")) & (F.col("image.key") == F.col("_k")), "left").drop("_b", "_k")
+
+
+def _image_format(requests: DataFrame) -> Column:
+    """The rule of the image scan: what was declared, else what the bytes say, else its default."""
+    def given(name: str) -> Column:
+        return F.col(name) if name in requests.columns else _null_text()
+
+    declared = F.when(given("image_format") != "", given("image_format"))
+    return F.coalesce(declared, given("stored_format"), image_format(decode_inline(given("image_base64"))))
+
+
 def _image_source(requests: DataFrame) -> Column:
     def field(name: str, path: str) -> Column:
         return F.col(path) if name in requests.columns else _null_text()
 
     return F.struct(
-        field("image_format", "image_format").alias("format"),
+        _image_format(requests).alias("format"),
         F.struct(
             field("image", "image.bucket").alias("bucket"), field("image", "image.key").alias("key"),
             field("image_url", "image_url").alias("url"), field("image_base64", "image_base64").alias("base64"),

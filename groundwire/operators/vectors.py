@@ -1,9 +1,9 @@
 """Nearest neighbours by Euclidean distance: exact and cell-probing approximate.
 
-Small query sets travel to the corpus, which is then never shuffled. Larger ones meet the corpus in
-blocks of bounded size: the space is cut into cells around pivots, the triangle inequality rules out
-cells that cannot hold a result, and (cell, corpus block, query block) is an equi-join key. Each
-block pair emits at most k rows per query, never all pairs.
+The corpus is kept in cells around pivots, whose number grows with the root of its size; the cells are written
+once, at ingest or for a single search. Queries meet them in blocks of bounded size: the triangle inequality
+rules out cells that cannot hold a result, and (cell, corpus block, query block) is an equi-join key. Each block
+pair emits at most k rows per query, never all pairs. The plan is the same for any number of queries.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwire.config import MAX_RETRIEVAL_RESULTS
 from groundwire.plans.skew import salted_join
-from groundwire.plans.workspace import materialize
+from groundwire.plans.workspace import materialize, new_folder
 
-BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 8192
-PIVOTS = 64
+MIN_PIVOTS, MAX_PIVOTS = 16, 4096
+#: Queries that ``choose_probes`` measures.
+PROBE_SAMPLE = 256
 
 
 def clamp_results(requested: Column, default: int = 5) -> Column:
@@ -102,73 +103,67 @@ def _rank(candidates: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= MAX_RETRIEVAL_RESULTS)
 
 
-def _normalized(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _asked(queries: DataFrame, k: int) -> DataFrame:
     requested = F.col("requested") if "requested" in queries.columns else F.lit(k)
-    asked = queries.select(
-        "query_id", F.col("embedding").cast("array<float>").alias("embedding"),
-        clamp_results(requested, k).alias("k"),
+    return queries.select(
+        "query_id", F.col("embedding").cast("array<float>").alias("embedding"), clamp_results(requested, k).alias("k"),
     ).filter(F.col("embedding").isNotNull())
-    stored = chunks.select(
-        "chunk_id", F.col("embedding").cast("array<float>").alias("embedding")
-    ).filter(F.col("embedding").isNotNull())
-    return asked, stored
-
 
-def _id_type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
 
+def _stored(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).filter(
+        F.col("embedding").isNotNull()
+    )
 
-def _scan_with_queries(local: pa.Table, asked: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ship a checked, small query set to every corpus partition and keep a running top k there."""
-    query_ids, wanted = local.column("query_id").combine_chunks(), local.column("k").combine_chunks()
-    k = max(wanted.to_pylist(), default=1)
-    shared = stored.sparkSession.sparkContext.broadcast((query_ids, wanted, as_matrix(local.column("embedding"))))
-    chunk_type = _id_type(stored, "chunk_id")
-    schema = f"query_id {_id_type(asked, 'query_id')}, k int, chunk_id {chunk_type}, distance double"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, limits, queries = shared.value
-        best, kind = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = _arrow(batch, "chunk_id")
-            found = _in_slices(queries, as_matrix(batch.column("embedding")), _ids(batch.column("chunk_id")), k)
-            if best is not None:
-                found = tuple(np.concatenate(pair) for pair in zip(best, found))
-            order = np.lexsort((found[1], found[2], found[0]))
-            q_sorted = found[0][order]
-            first = np.searchsorted(q_sorted, q_sorted, side="left")
-            kept = order[np.arange(len(order)) - first < k]
-            best = tuple(column[kept] for column in found)
-        if best is not None:
-            at = pa.array(best[0])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(at), limits.take(at), pa.array(best[1], type=kind), pa.array(best[2])],
-                names=["query_id", "k", "chunk_id", "distance"],
-            )
-
-    return stored.mapInArrow(scan, schema)
+def _id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _arrow(batch: pa.RecordBatch | pa.Table, column: str) -> pa.DataType:
     return batch.schema.field(column).type
 
 
-class _Cells:
-    """Pivots with per-cell statistics; a few dozen rows whatever the corpus size."""
-
-    def __init__(self, stored: DataFrame, pivots: int, block_rows: int) -> None:
+class CellIndex:
+    """A corpus in cells: its rows with their cell, the pivots, and a few numbers per cell."""
+
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, block_rows: int) -> None:
+        self.rows, self.pivots, self.block_rows = rows, pivots, block_rows
+        self._summarize()
+
+    @classmethod
+    def build(
+        cls, chunks: DataFrame, path: str | None = None, *, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+    ) -> CellIndex:
+        """Assign (chunk_id, embedding) to cells and write them below ``path``, or to the shared folder."""
+        spark = chunks.sparkSession
+        path = path or new_folder(spark, "vector-cells")
+        stored = _stored(chunks)
+        if pivots is None:
+            pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, np.ceil(np.sqrt(stored.count())))))
+        chosen = cls._choose(stored, pivots)
+        spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(chosen)], "cell int, pivot array<float>").write.parquet(f"{path}/pivots")
+        cls._assign(_limit_copies(stored), chosen).write.parquet(f"{path}/rows")
+        return cls.open(spark, path, block_rows=block_rows)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, *, block_rows: int = BLOCK_ROWS) -> CellIndex:
+        """An index written before."""
+        pivots = as_matrix(spark.read.parquet(f"{path}/pivots").orderBy("cell").toArrow().column("pivot"))
+        return cls(spark.read.parquet(f"{path}/rows"), pivots, block_rows)
+
+    @staticmethod
+    def _choose(stored: DataFrame, pivots: int) -> np.ndarray:
         # A few candidates more than needed, since copies of one vector would make empty cells.
         order = F.md5(F.col("chunk_id").cast("string"))
         chosen = as_matrix(stored.orderBy(order, "chunk_id").limit(4 * pivots).toArrow().column("embedding"))
         _, first = np.unique(chosen, axis=0, return_index=True)
-        self.pivots = chosen[np.sort(first)[:pivots]]
-        self.block_rows = block_rows
+        return chosen[np.sort(first)[:pivots]]
 
-    def assign(self, vectors: DataFrame) -> DataFrame:
+    @staticmethod
+    def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         """Add the nearest pivot and the distance to it."""
-        shared = vectors.sparkSession.sparkContext.broadcast(self.pivots)
+        shared = vectors.sparkSession.sparkContext.broadcast(pivots)
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +179,9 @@ class _Cells:
 
         return vectors.mapInArrow(run, f"{fields}, cell int, pivot_distance double")
 
-    def summarize(self, assigned: DataFrame) -> None:
+    def _summarize(self) -> None:
         """Radius, inner radius, size and the k smallest pivot distances of every cell."""
+        assigned = self.rows.select("cell", "pivot_distance")
         nearest = Window.partitionBy("cell").orderBy("pivot_distance")
         stats = assigned.groupBy("cell").agg(
             F.max("pivot_distance").alias("outer"), F.min("pivot_distance").alias("inner"),
@@ -213,8 +209,9 @@ class _Cells:
 
 def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int | None) -> np.ndarray:
     """Which cells each query visits: the nearest ``probes``, or all that may hold a result."""
-    gaps = queries[:, None, :].astype(np.float64) - cells["pivots"][None, :, :]
-    to_pivot = np.sqrt(np.einsum("qpd,qpd->qp", gaps, gaps))
+    asked, pivots = queries.astype(np.float64), cells["pivots"].astype(np.float64)
+    squares = _square_norms(asked)[:, None] + _square_norms(pivots)[None, :] - 2 * (asked @ pivots.T)
+    to_pivot = np.sqrt(np.maximum(squares, 0))
     filled = cells["blocks"] > 0
     if probes is not None:
         order = np.argsort(np.where(filled, to_pivot, np.inf), axis=1, kind="stable")[:, :probes]
@@ -229,10 +226,12 @@ def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int
         if reach.shape[1] >= MAX_RETRIEVAL_RESULTS else np.full(len(queries), np.inf)
     )
     closest_possible = np.maximum(to_pivot - cells["outer"][None, :], cells["inner"][None, :] - to_pivot)
-    return filled & (closest_possible <= (bound * (1 + 1e-9) + 1e-9)[:, None])
+    # The product above is exact to about half the digits of a distance near zero.
+    slack = 1e-6 * (1 + np.sqrt(squares.max()))
+    return filled & (closest_possible <= (bound + slack)[:, None])
 
 
-def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: int) -> DataFrame:
+def _visits(asked: DataFrame, cells: CellIndex, probes: int | None, query_blocks: int) -> DataFrame:
     """One row per query and corpus block it must meet."""
     shared = asked.sparkSession.sparkContext.broadcast(cells.as_arrays())
     id_type = _id_type(asked, "query_id")
@@ -260,16 +259,14 @@ def _visits(asked: DataFrame, cells: _Cells, probes: int | None, query_blocks: i
     return visits.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
 
 
-def _join_blocks(asked: DataFrame, stored: DataFrame, cells: _Cells, probes: int | None) -> DataFrame:
+def _join_blocks(asked: DataFrame, cells: CellIndex, probes: int | None) -> DataFrame:
     query_blocks = max(1, -(-asked.count() // cells.block_rows))
-    # Read by the statistics and by the join, so it is written once instead of computed three times.
-    assigned = materialize(cells.assign(stored), "vector-cells")
-    cells.summarize(assigned)
     visits = _visits(asked, cells, probes, query_blocks)
-    sizes = F.create_map(*[F.lit(int(x)) for c, n in enumerate(cells.blocks) for x in (c, max(n, 1))])
-    placed = assigned.select(
-        "chunk_id", "embedding", "cell",
-        F.pmod(F.xxhash64("chunk_id"), sizes[F.col("cell")]).cast("int").alias("block"),
+    stored = cells.rows
+    # at most MAX_PIVOTS rows
+    sizes = asked.sparkSession.createDataFrame([(c, int(max(n, 1))) for c, n in enumerate(cells.blocks)], "cell int, blocks int")
+    placed = stored.join(sizes, "cell").select(
+        "chunk_id", "embedding", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
     )
     schema = f"query_id {_id_type(asked, 'query_id')}, chunk_id {_id_type(stored, 'chunk_id')}, distance double"
@@ -292,42 +289,22 @@ def _join_blocks(asked: DataFrame, stored: DataFrame, cells: _Cells, probes: int
     return visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, schema)
 
 
-_CONTENT = ("_h1", "_h2")
-
-
-def _with_content_key(df: DataFrame) -> DataFrame:
-    """128 hash bits of the vector, to find exact copies without comparing vectors."""
-    return df.withColumns({
-        "_h1": F.xxhash64("embedding"), "_h2": F.xxhash64(F.lit("second"), F.col("embedding")),
-    })
-
-
-def _distinct_queries(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copies of a query are answered once: (every query with its content key, one per key)."""
-    keyed = _with_content_key(asked)
-    distinct = keyed.groupBy(*_CONTENT).agg(
-        F.min("query_id").alias("query_id"), F.first("embedding").alias("embedding")
-    )
-    return keyed.drop("embedding"), distinct
-
-
 def _limit_copies(stored: DataFrame) -> DataFrame:
-    """Of identical vectors only the lowest ids can rank within k; drop the others, exactly."""
-    order = Window.partitionBy(*_CONTENT).orderBy("chunk_id")
-    ranked = _with_content_key(stored).withColumn("_copy", F.row_number().over(order))
+    """Of identical vectors only the lowest ids can rank within k; drop the others, exactly. Vectors are compared
+    as such, and the rank filter sits on the window, so most copies drop out before the shuffle."""
+    order = Window.partitionBy("embedding").orderBy("chunk_id")
+    ranked = stored.withColumn("_copy", F.row_number().over(order))
     return ranked.filter(F.col("_copy") <= MAX_RETRIEVAL_RESULTS).select("chunk_id", "embedding")
 
 
-def _blocked_topk(
-    asked: DataFrame, stored: DataFrame, pivots: int, block_rows: int, probes: int | None
-) -> DataFrame:
-    every, distinct = _distinct_queries(asked)
+def _blocked_topk(asked: DataFrame, cells: CellIndex, probes: int | None) -> DataFrame:
+    """Copies of a query are answered once; the answers then go to all of them."""
+    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("query_id"))
     distinct = materialize(distinct, "vector-queries")
-    cells = _Cells(stored, pivots, block_rows)
-    ranked = _rank(_join_blocks(distinct, _limit_copies(stored), cells, probes))
-    answers = distinct.select(F.col("query_id"), *_CONTENT).join(ranked, "query_id").drop("query_id")
+    ranked = _rank(_join_blocks(distinct, cells, probes))
+    answers = distinct.join(ranked, "query_id").drop("query_id")
     # One vector may be asked by very many queries, hence the salt.
-    return salted_join(every, answers, list(_CONTENT), [F.col("query_id")], how="inner").filter(
+    return salted_join(asked, answers, ["embedding"], [F.col("query_id")], how="inner").filter(
         F.col("rank") <= F.col("k")
     )
 
@@ -336,31 +313,49 @@ def _result(ranked: DataFrame) -> DataFrame:
     return ranked.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+def _index(chunks: DataFrame | CellIndex, pivots: int | None, block_rows: int) -> CellIndex:
+    if isinstance(chunks, CellIndex):
+        return chunks
+    return CellIndex.build(chunks, pivots=pivots, block_rows=block_rows)
+
+
 def vector_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = 5, *, broadcast_queries: int = BROADCAST_QUERIES,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    queries: DataFrame, chunks: DataFrame | CellIndex, k: int = 5, *, pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact k nearest chunks per query: (query_id, rank, chunk_id, distance).
 
-    ``queries``: query_id, embedding and optionally ``requested`` (results wanted per query);
-    ``chunks``: chunk_id, embedding. Ties break on the lower chunk id.
+    ``queries``: query_id, embedding and optionally ``requested`` (results wanted per query); ``chunks``: an
+    index, or (chunk_id, embedding) rows to build one from. Ties break on the lower chunk id.
     """
-    asked, stored = _normalized(queries, chunks, k)
-    # One row more than allowed tells whether the query set is small enough to ship.
-    local = asked.limit(broadcast_queries + 1).toArrow()
-    if local.num_rows <= broadcast_queries:
-        ranked = _rank(_scan_with_queries(local, asked, stored))
-        return _result(ranked.filter(F.col("rank") <= F.col("k")))
-    return _result(_blocked_topk(asked, stored, pivots, block_rows, None))
+    return _result(_blocked_topk(_asked(queries, k), _index(chunks, pivots, block_rows), None))
 
 
 def vector_topk_ann(
-    queries: DataFrame, chunks: DataFrame, k: int = 5, *, probes: int = 8, pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    queries: DataFrame, chunks: DataFrame | CellIndex, k: int = 5, *, probes: int | None = None, recall: float = 0.95,
+    pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate k nearest chunks: only the ``probes`` cells closest to a query are searched."""
-    asked, stored = _normalized(queries, chunks, k)
-    return _result(_blocked_topk(asked, stored, pivots, block_rows, probes))
+    """Approximate k nearest chunks: only the ``probes`` cells closest to a query are searched. Without
+    ``probes`` their number is chosen for the wanted recall by ``choose_probes``."""
+    cells, asked = _index(chunks, pivots, block_rows), _asked(queries, k)
+    return _result(_blocked_topk(asked, cells, probes or choose_probes(queries, cells, k, recall)))
+
+
+def choose_probes(queries: DataFrame, cells: CellIndex, k: int = 5, recall: float = 0.95) -> int:
+    """The fewest cells per query that hold the wanted share of the true neighbours, measured by an exact search
+    for PROBE_SAMPLE queries picked by hash."""
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBE_SAMPLE)
+    some = materialize(_asked(some, k), "probe-queries")
+    exact = _blocked_topk(some, cells, None).select("query_id", "chunk_id")
+    held = exact.join(cells.rows.select("chunk_id", "cell"), "chunk_id").groupBy("query_id").agg(F.collect_list("cell").alias("cells"))
+    found = some.join(held, "query_id").toArrow()  # at most PROBE_SAMPLE rows
+    vectors = as_matrix(found.column("embedding")).astype(np.float64)
+    filled = cells.blocks > 0
+    squares = _square_norms(cells.pivots)[None, :] - 2 * (vectors @ cells.pivots.T.astype(np.float64))
+    order = np.argsort(np.where(filled, squares, np.inf), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    needed = [place[n, c] + 1 for n, own in enumerate(found.column("cells").to_pylist()) for c in own]
+    return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

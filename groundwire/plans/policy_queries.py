@@ -22,6 +22,23 @@ def anonymize_documents(spark, sf_dir):
     return policy.anonymize(documents, "text").drop("text")
 
 
+#: Names and addresses are lists of the caller; these occur in the test corpus.
+NAMES, ADDRESSES = ("Ershat", "onan", "thinor"), ("of the", "un de la")
+
+
+def _listed(text, phrases, entity):
+    return f"regexp_replace({text}, {v.lit(sensitive.phrase_pattern(phrases))}, '{{{entity}}}', 'g')"
+
+
+@register("anonymize_listed", f"""WITH m0 AS (SELECT doc_id, text, text AS original FROM documents), {_MASK_CTES}
+  SELECT doc_id, {_listed(_listed('text', NAMES, 'NAME'), ADDRESSES, 'ADDRESS')} AS masked,
+    {_listed(_listed('text', NAMES, 'NAME'), ADDRESSES, 'ADDRESS')} <> original AS anonymized FROM {_MASKED}""")
+def anonymize_listed(spark, sf_dir):
+    """All eight types: those with a pattern, and names and addresses from lists."""
+    documents = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return policy.anonymize(documents, "text", names=NAMES, addresses=ADDRESSES).drop("text")
+
+
 @register("anonymize_turns", f"""WITH m0 AS (SELECT conv_id, turn, text, text AS original FROM conversations), {_MASK_CTES}
   SELECT conv_id, turn, text AS masked, text <> original AS anonymized FROM {_MASKED}""")
 def anonymize_turns(spark, sf_dir):
@@ -56,18 +73,23 @@ def screen_content(spark, sf_dir):
     return policy.screen_content(adapters.content_scores(spark, sf_dir))
 
 
-_POLICED = f"""{_SCREENED}, m0 AS (SELECT doc_id AS item_id, text, text AS original FROM documents), {_MASK_CTES},
+def _policed_sql(direction: str, message: str) -> str:
+    return f"""{_SCREENED}, m0 AS (SELECT doc_id AS item_id, text, text AS original FROM documents), {_MASK_CTES},
 policed AS (SELECT m.item_id, array_to_string({_topics_sql('original')}, '; ') AS topics,
   len({_topics_sql('original')}) > 0 OR coalesce(s.blocked, false) AS is_blocked, text, original
-  FROM {_MASKED} m LEFT JOIN screened s ON s.item_id = m.item_id AND s.direction = 'input'),
+  FROM {_MASKED} m LEFT JOIN screened s ON s.item_id = m.item_id AND s.direction = '{direction}'),
 acted AS (SELECT item_id, topics, CASE WHEN is_blocked THEN 'blocked' WHEN text <> original THEN 'anonymized' ELSE 'none' END AS action,
-  CASE WHEN is_blocked THEN {v.lit(policy.BLOCKED_INPUT)} ELSE text END AS output_text FROM policed)"""
+  CASE WHEN is_blocked THEN {v.lit(message)} ELSE text END AS output_text FROM policed)"""
 
 
-def policed(spark, sf_dir):
+_POLICED = _policed_sql("input", policy.BLOCKED_INPUT)
+_POLICED_OUTPUT = _policed_sql("output", policy.BLOCKED_OUTPUT)
+
+
+def policed(spark, sf_dir, direction="input"):
     documents = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     verdicts = policy.screen_content(adapters.content_scores(spark, sf_dir))
-    return policy.apply_policy(documents, verdicts, topics=TOPICS)
+    return policy.apply_policy(documents, verdicts, direction, topics=TOPICS)
 
 
 @register("apply_policy", f"WITH {_POLICED} SELECT * FROM acted")
@@ -77,6 +99,14 @@ def apply_policy(spark, sf_dir):
     )
 
 
+@register("apply_policy_output", f"WITH {_POLICED_OUTPUT} SELECT * FROM acted")
+def apply_policy_output(spark, sf_dir):
+    """Documents as generated answers: the output strengths and the output message."""
+    return policed(spark, sf_dir, "output").select(
+        "item_id", F.array_join("topics", "; ").alias("topics"), "action", "output_text"
+    )
+
+
 @register("policy_actions", f"WITH {_POLICED} SELECT action, count(*) AS items FROM acted GROUP BY 1")
 def policy_actions(spark, sf_dir):
     return policy.action_counts(policed(spark, sf_dir))

@@ -175,11 +175,33 @@ def bind_models(spark, sf_dir):
     CASE tier WHEN 'fast' THEN CAST(0.2 AS DOUBLE) END AS temperature,
     CASE tier WHEN 'fast' THEN NULL ELSE 'adaptive' END AS thinking,
     CASE tier WHEN 'fast' THEN NULL ELSE 'medium' END AS effort,
-    query || CASE WHEN has_image THEN {v.lit(payloads.VISION_HINT)} ELSE '' END AS payload_text
+    query || CASE WHEN has_image THEN {v.lit(payloads.VISION_HINT)} ELSE '' END AS payload_text,
+    CASE WHEN has_image THEN CASE (request_id // 1000) % 2 WHEN 0 THEN 'png' ELSE 'jpeg' END END AS image_format,
+    {v.lit(payloads.DEFAULT_SYSTEM_PROMPT)} AS system_text, {v.lit(payloads.DEFAULT_TOOLS[0]["name"])} AS first_tool,
+    CASE tier WHEN 'fast' THEN '1024' ELSE '8192' END AS payload_tokens,
+    CASE tier WHEN 'fast' THEN NULL ELSE 'adaptive/medium' END AS payload_thinking, 'policy-1/DRAFT/enabled' AS policy
   FROM decided""")
 def build_inference_batch(spark, sf_dir):
+    """Payloads with their members read back; images of even conversations are known to be PNG."""
     bound = routing.bind_models(decided(spark, sf_dir), CONFIG)
-    batch = payloads.build_inference_batch(bound, CONFIG)
+    images = bound.filter(F.col("image").isNotNull() & (F.col("conv_id") % 2 == 0)).select(
+        "image.bucket", "image.key", F.lit("png").alias("format")
+    ).distinct()
+    batch = payloads.build_inference_batch(
+        payloads.with_stored_format(bound, images), EngineConfig(policy_id="policy-1")
+    )
+
+    def member(*paths):
+        return F.concat_ws("/", *[F.get_json_object("payload", f"$.{p}") for p in paths])
+
+    thinking = "additionalModelRequestFields"
+    guard = [f"guardrailConfig.{m}" for m in ("guardrailIdentifier", "guardrailVersion", "trace")]
+    batch = batch.withColumns({
+        "image_format": F.get_json_object("payload", "$.messages[0].content[0].image.format"),
+        "system_text": member("system[0].text"), "first_tool": member("toolConfig.tools[0].toolSpec.name"),
+        "payload_tokens": member("inferenceConfig.maxTokens"), "policy": member(*guard),
+        "payload_thinking": F.nullif(member(f"{thinking}.thinking.type", f"{thinking}.output_config.effort"), F.lit("")),
+    })
     # The text as it stands in the payload shows that escaping and block order hold.
     texts = [F.get_json_object("payload", f"$.messages[0].content[{n}].text") for n in (0, 1)]
     return batch.withColumn(

@@ -41,7 +41,7 @@ def data():
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"broadcast_queries": 0, "pivots": 8, "block_rows": 16}, {"broadcast_queries": 0, "pivots": 1, "block_rows": 10_000},
+    {}, {"pivots": 8, "block_rows": 16}, {"pivots": 1, "block_rows": 10_000},
 ])
 def test_exact_equals_brute_force(spark, data, options):
     queries, rows = data
@@ -50,11 +50,10 @@ def test_exact_equals_brute_force(spark, data, options):
     assert run(spark, queries, rows, ks, **options) == brute_force(queries, rows, effective)
 
 
-@pytest.mark.parametrize("broadcast", [100, 0])
-def test_text_ids_and_tiny_corpus(spark, broadcast):
+def test_text_ids_and_tiny_corpus(spark):
     rows = {"b": [1.0, 0.0], "a": [1.0, 0.0], "c": [0.0, 1.0]}
     queries = {1: [1.0, 0.0], 2: [0.0, 2.0]}
-    got = run(spark, queries, rows, broadcast_queries=broadcast, pivots=2)
+    got = run(spark, queries, rows, pivots=2)
     assert got == brute_force(queries, rows, {1: 5, 2: 5})
     assert [i for _, i, _ in got[1]] == ["a", "b", "c"]
 
@@ -62,8 +61,7 @@ def test_text_ids_and_tiny_corpus(spark, broadcast):
 def test_cells_that_cannot_hold_a_result_are_skipped(spark, data):
     queries, rows = data
     c = spark.createDataFrame([(k, v) for k, v in rows.items()], "chunk_id long, embedding array<float>")
-    cells = vectors._Cells(c, 12, 1000)
-    cells.summarize(cells.assign(c))
+    cells = vectors.CellIndex.build(c, pivots=12, block_rows=1000)
     wanted = vectors._probed_cells(np.array(list(queries.values()), dtype=np.float32), cells.as_arrays(), None)
     assert wanted.any(axis=1).all() and wanted.mean() < 0.9
 
@@ -79,6 +77,27 @@ def test_approximate_recall_grows_with_probes(spark, data):
     assert 0.3 < recall[0] <= recall[1] == 1.0
 
 
+def test_chosen_probes_reach_the_wanted_recall_on_a_stored_index(spark, data, tmp_path):
+    queries, rows = data
+    q = spark.createDataFrame([(k, v) for k, v in queries.items()], "query_id long, embedding array<float>")
+    c = spark.createDataFrame(list(rows.items()), "chunk_id long, embedding array<float>")
+    vectors.CellIndex.build(c, str(tmp_path / "cells"), pivots=24)
+    cells = vectors.CellIndex.open(spark, str(tmp_path / "cells"))
+    exact = vectors.vector_topk(q, cells)
+    few, many = (vectors.choose_probes(q, cells, recall=r) for r in (0.5, 0.95))
+    assert few <= many < 24
+    assert vectors.recall_at_k(vectors.vector_topk_ann(q, cells), exact).first().recall >= 0.95
+
+
+def test_one_plan_for_any_number_of_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = {n: rng.normal(size=4).tolist() for n in range(60)}
+    queries = {n: rng.normal(size=4).tolist() for n in range(4200)}
+    got = run(spark, queries, rows)
+    assert got == brute_force(queries, rows, dict.fromkeys(queries, 5))
+    assert {k: got[k] for k in range(10)} == run(spark, {k: queries[k] for k in range(10)}, rows)
+
+
 def test_many_equal_distances(spark):
     rows = {n: [float(n % 2), float((n + 1) % 2), 0.0] for n in range(3000)}
     queries = {1: [0.0, 0.0, 1.0]}
