@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwire.llm.common import SPACES, ascii_lower, small_batches, spread
 from groundwire.plans.workspace import materialize
@@ -94,7 +95,7 @@ def lost_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataF
     return settled.filter(F.col("kind") == LOST).select(columns).unionByName(opening.select(columns))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _pack(places: pa.Array) -> pa.Array:
     out = []
     for each in places:
@@ -118,7 +119,7 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _keep(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
     out = []
     for text, bitmap in zip(texts, bitmaps):
