@@ -60,6 +60,19 @@ def give_back() -> None:
         pass
 
 
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The caller's columns as one struct ``row``, beside the columns an operator works with, so that no name of
+    the caller's can clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *[column.alias(name) for name, column in own.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The caller's ``columns`` again, ``new`` ones replacing those of the same name or following them."""
+    kept = [new.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+    return df.select(*kept, *[column.alias(name) for name, column in new.items() if name not in columns])
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for an explicit deal: the session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwire.llm.common import give_back, small_batches
+from groundwire.llm.common import give_back, packed, small_batches, unpacked
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -184,9 +184,8 @@ def predict(df: DataFrame, text: str, model: Model, penalty: float = 2.0) -> Dat
             yield pa.array(rows, kind)
         give_back()
 
-    bound = df.withColumn("_mixture", mixture(F.coalesce(F.col(text), F.lit(""))))
-    names = ("lang_pred", "score", "mixture")
-    return bound.withColumns({name: F.col(f"_mixture.{name}") for name in names}).drop("_mixture")
+    bound = packed(df, found=mixture(F.coalesce(F.col(text), F.lit(""))))
+    return unpacked(bound, df.columns, **{n: F.col(f"found.{n}") for n in ("lang_pred", "score", "mixture")})
 
 
 def held_out(doc_id: str, parts: int = 4, part: int = 2) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwire.llm.common import SPACES, ascii_lower, small_batches, spread
+from groundwire.llm.common import SPACES, ascii_lower, packed, small_batches, spread, unpacked
 from groundwire.plans.workspace import materialize
 
 KEY_BYTES = 16
@@ -135,14 +135,12 @@ def _keep(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines the bitmaps keep in ``text`` (null stays null), and n_lines and n_dropped."""
     small_batches(docs.sparkSession)
-    marks = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").alias("_n"), "keep_bitmap"
-    ).withColumnRenamed("keep_bitmap", "_bits")
-    joined = docs.join(
-        marks, F.col(doc_id).eqNullSafe(F.col("_doc")) & (_text_key(text) == F.col("_key")), "left"
-    )
-    n_lines = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^\n]+", "")) + 1
-    counted = joined.withColumns({
-        "n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), text: _keep(text, "_bits"),
+    own = packed(docs, doc=F.col(doc_id).cast("long"), text_key=_text_key(text))
+    # rows without doc_id find no bitmap
+    joined = own.join(bitmaps, ["doc", "text_key"], "left")
+    whole = F.col("row").getField(text)
+    n_lines = F.length(F.regexp_replace(F.coalesce(whole, F.lit("")), "[^\n]+", "")) + 1
+    return unpacked(joined, docs.columns, **{
+        text: _keep(whole, F.col("keep_bitmap")), "n_lines": n_lines.cast("long"),
+        "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
     })
-    return counted.drop("_doc", "_key", "_n", "_bits")

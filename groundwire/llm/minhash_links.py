@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import compute_once
-from groundwire.llm.common import ascii_lower, components, give_back, small_batches, with_shingles
+from groundwire.llm.common import ascii_lower, components, give_back, packed, small_batches, unpacked, with_shingles
 from groundwire.plans.workspace import materialize
 
 COORDINATES = 48  # at most 63, the bits of a long
@@ -273,5 +273,6 @@ def _joined(links: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame
 
 def without_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component."""
-    lost = near_duplicates(docs, doc_id=doc_id, **options).filter("NOT kept").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost.distinct(), F.col(doc_id) == F.col("_lost"), "left_anti")
+    lost = near_duplicates(docs, doc_id=doc_id, **options).filter("NOT kept").select("doc_id").distinct()
+    own = packed(docs, doc_id=F.col(doc_id).cast("long"))
+    return unpacked(own.join(lost, "doc_id", "left_anti"), docs.columns)

@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwire.llm.common import give_back, small_batches
+from groundwire.llm.common import give_back, packed, small_batches, unpacked
 from groundwire.plans.workspace import materialize
 
 #: The classifier is fitted on at most this many labelled documents, taken by a hash of their ids.
@@ -213,6 +213,7 @@ def score(
 def without_rejected(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` the classifier does not reject."""
     judged = score(docs, labels, doc_id=doc_id, text=text, **options)
-    lost = judged.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_key"))
-    return docs.join(lost, same, "left_anti")
+    lost = judged.filter("NOT kept").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key"))
+    own = packed(docs, own_id=F.col(doc_id), own_key=F.xxhash64(F.col(text)))
+    same = F.col("own_id").eqNullSafe(F.col("lost_id")) & (F.col("own_key") == F.col("lost_key"))
+    return unpacked(own.join(lost, same, "left_anti"), docs.columns)

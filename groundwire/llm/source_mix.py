@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwire.llm.common import WORD_CLASS, running_total
+from groundwire.llm.common import WORD_CLASS, packed, running_total, unpacked
 from groundwire.plans.workspace import materialize
 
 
@@ -110,14 +110,11 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``, each document as many times as the mix takes it."""
-    names = {k: options.get(k, k) for k in ("doc_id", "text", "source")}
+    names = [options.get(k, k) for k in ("doc_id", "text", "source")]
     taken = mix(docs, **options).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("place").alias("_at"), "copies"
+        F.col("doc_id").alias("taken_id"), "place", "copies"
     ).distinct()
-    key = _place(names["doc_id"], names["text"], names["source"])
-    joined = docs.join(
-        taken.withColumnRenamed("copies", "_copies"),
-        (key == F.col("_at")) & F.col(names["doc_id"]).eqNullSafe(F.col("_id")),
-    )
-    repeated = joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    own = packed(docs, own_id=F.col(names[0]), own_place=_place(*names))
+    same = (F.col("own_place") == F.col("place")) & F.col("own_id").eqNullSafe(F.col("taken_id"))
+    repeated = own.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(repeated, docs.columns)
