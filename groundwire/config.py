@@ -36,16 +36,12 @@ class EngineConfig:
     escalate_on_tools: bool = True
     policy_id: str = ""
     policy_version: str = "DRAFT"
-    documents_bucket: str = "documents"
-    uploads_bucket: str = "uploads"
-    documents_prefix: str = "knowledge/"
     max_tool_iterations: int = 6
     max_tokens: int = 8192
     fast_max_tokens: int = 1024
     temperature: float = 1.0
     thinking_type: str = "adaptive"
     thinking_effort: str = "medium"
-    retrieval_results: int = 5
 
     def __post_init__(self) -> None:
         if self.router_mode not in ("heuristic", "hybrid", "reasoning_only", "fast_only"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwire.config import FAST, REASONING
 from groundwire.plans.skew import salted_join
+from groundwire.plans.workspace import materialize
 
 # Metric names and units.
 COUNT = "Count"
@@ -243,8 +244,9 @@ def quota_usage(
     """Per caller and month: calls, the first call over the quota, and busy seconds.
 
     One caller may make most of the calls, so nothing ranks a caller's raw calls. Calls are counted
-    per second and minute; the minute in which the quota runs out is found on the counts, and only
-    calls inside that minute are ranked, at most ``monthly + 1`` of them per task. Calls without a
+    per second and minute; the minute in which the quota runs out is found on the counts and written, one
+    row per caller and month at most, so Spark knows its size and need not shuffle the log to meet it.
+    Only calls inside that minute are ranked, at most ``monthly + 1`` of them per task. Calls without a
     caller belong to no quota.
     """
     # Both uses of the counts carry the same filter, so Spark computes their shuffle once. Truncated
@@ -265,10 +267,11 @@ def quota_usage(
     crossing = counted.filter(
         (F.col("_total") > monthly) & (F.col("_total") - F.col("n") <= monthly)
     ).select("caller", "minute", (F.col("_total") - F.col("n")).alias("_before"))
+    crossing = materialize(crossing, "quota-minutes")
     rank = Window.partitionBy("caller", "minute").orderBy("ts", "event_id")
     # The first of these filters is a constant bound, which Spark applies before the shuffle.
     first_over = (
-        salted_join(calls, crossing, ["caller", "minute"], [F.col("event_id")], how="inner")
+        calls.join(crossing, ["caller", "minute"])
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= monthly + 1)
         .filter(F.col("_rank") == F.lit(monthly + 1) - F.col("_before"))
@@ -286,18 +289,21 @@ def quota_usage(
 def with_noncurrent_since(versions: DataFrame) -> DataFrame:
     """Add when a version stopped being current: the creation time of the next one of its key.
 
-    A key may hold very many versions, so ranks run per key and day; only the last version of a day
-    looks at the following days, through one summary row per key and day.
+    A key may hold very many versions, so ranks run per key and hour; only the last version of an hour
+    looks at the following hours, through one summary row per key and hour. Only what the report reads
+    is carried.
     """
-    within = Window.partitionBy("bucket", "key", "_day").orderBy("created", "version_id")
-    across = Window.partitionBy("bucket", "key").orderBy("_day")
-    dated = versions.withColumn("_day", F.to_date("created"))
-    following = dated.groupBy("bucket", "key", "_day").agg(F.min("created").alias("_first")).withColumn(
+    within = Window.partitionBy("bucket", "key", "_hour").orderBy("created", "version_id")
+    across = Window.partitionBy("bucket", "key").orderBy("_hour")
+    dated = versions.select(
+        "bucket", "key", "version_id", "created", "state", "size", F.date_trunc("hour", "created").alias("_hour")
+    )
+    following = dated.groupBy("bucket", "key", "_hour").agg(F.min("created").alias("_first")).withColumn(
         "_later", F.lead("_first").over(across)
     ).drop("_first")
     ranked = dated.withColumn("_next", F.lead("created").over(within))
-    joined = salted_join(ranked, following, ["bucket", "key", "_day"], [F.col("version_id")])
-    return joined.withColumn("noncurrent_since", F.coalesce("_next", "_later")).drop("_day", "_next", "_later")
+    joined = salted_join(ranked, following, ["bucket", "key", "_hour"], [F.col("version_id")])
+    return joined.withColumn("noncurrent_since", F.coalesce("_next", "_later")).drop("_hour", "_next", "_later")
 
 
 def retention_report(versions: DataFrame, as_of: str) -> DataFrame:

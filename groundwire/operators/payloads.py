@@ -21,7 +21,6 @@ VISION_HINT = (
 # Tool names and their input fields.
 VISION_TOOL = "analyze_image"
 RETRIEVAL_TOOL = "retrieve_knowledge"
-OBJECT_TOOL = "describe_s3_object"
 DEFAULT_TOOLS: tuple[Mapping, ...] = (
     {
         "name": VISION_TOOL,

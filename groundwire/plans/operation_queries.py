@@ -131,3 +131,11 @@ def ingestion_jobs(spark, sf_dir):
   UNION ALL SELECT 'skipped', 'ConflictException', CAST(sum(conflicts) AS BIGINT) FROM jobs""")
 def ingestion_stats(spark, sf_dir):
     return operations.ingestion_stats(operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day"))
+
+
+@register("ingestion_stats_off", """SELECT 'uploaded' AS status, '-' AS reason, count(*) AS n FROM documents
+  UNION ALL SELECT 'skipped', 'ids not set', count(*) FROM documents""")
+def ingestion_stats_off(spark, sf_dir):
+    """Without a configured knowledge base every trigger is skipped."""
+    jobs = operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day", configured=False)
+    return operations.ingestion_stats(jobs)

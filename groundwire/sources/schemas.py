@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-IMAGE_REF = T.StructType([
-    T.StructField("bucket", T.StringType()),
-    T.StructField("key", T.StringType()),
-])
-
 NOTIFICATION = T.StructType([
     T.StructField("Records", T.ArrayType(T.StructType([
         T.StructField("s3", T.StructType([
