@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,8 +20,10 @@ def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("groundwire")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    threads = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.groundwire.scanPartitions", str(threads))  # the test files can't be split
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )

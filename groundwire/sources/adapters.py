@@ -14,8 +14,17 @@ START = "2024-01-01 00:00:00"
 EXTENSIONS = ("md", "PDF", "html", "tar.gz", "csv", "", "png")
 
 
+#: Set by ``local_session``: the test files have one row group each, which no setting of Spark's can split.
+SCAN_PARTITIONS = "spark.groundwire.scanPartitions"
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Sessions that ask for it get the long texts dealt over so many partitions; on a cluster the
+    setting stays unset and tables are read as they are stored."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(wanted)) if wanted and name in TEXT_TABLES else rows
 
 
 def _minutes_after_start(minutes):
