@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,8 +142,14 @@ def _comparer(least: int, percent: int):
     """Compare the asking documents of one list (or block of it) with the others, on signatures and then on
     sets, and return one edge (a, b) for each document that links join to a smaller one. A pair is compared in
     the first list that both are posted in, and in no other."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asking, other = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+        plain = {c: group.column(c).combine_chunks().to_numpy() for c in ("node", "comp", "size", "earlier")}
+        top = group.column("top")[0].as_py()
+        sets = group.column("shingles").combine_chunks()
+        ends, every = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
+        signatures = group.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), -1)
+        asking, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
         links: dict[int, int] = {}
 
         def root(n: int) -> int:
@@ -152,17 +157,15 @@ def _comparer(least: int, percent: int):
                 links[n] = n = links[links[n]]
             return n
 
-        if len(asking) and len(other):
-            nodes, comps, sizes = (other[c].to_numpy() for c in ("node", "comp", "size"))
-            signed = np.stack(other["signature"].to_list())
+        if len(asking) and len(rest):
+            nodes, comps, sizes = (plain[c][rest] for c in ("node", "comp", "size"))
+            signed = signatures[rest]
             bits = np.arange(signed.shape[1])
-            earlier = (other["earlier"].to_numpy()[:, None] >> bits & 1).astype(bool)
-            values = np.concatenate(other["shingles"].to_list())
-            order = np.argsort(values, kind="stable")
-            values, holder = values[order], np.repeat(np.arange(len(nodes)), sizes)[order]
-            top = other["top"].iloc[0]
-            fields = ("node", "comp", "size", "signature", "shingles", "earlier")
-            for node, comp, size, signature, shingles, before in zip(*(asking[c] for c in fields)):
+            earlier = (plain["earlier"][rest][:, None] >> bits & 1).astype(bool)
+            values = None
+            for at_row in asking:
+                node, comp, size, before = (plain[c][at_row] for c in ("node", "comp", "size", "earlier"))
+                signature = signatures[at_row]
                 wanted = (comps != comp) & ((comps == top) | (node < nodes))
                 wanted &= 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
                 if not wanted.any():
@@ -174,6 +177,11 @@ def _comparer(least: int, percent: int):
                     wanted &= ~(equal[:, own] & earlier[:, own]).any(axis=1)
                 if not wanted.any():
                     continue
+                if values is None:
+                    values = np.concatenate([every[ends[n] : ends[n + 1]] for n in rest])
+                    order = np.argsort(values, kind="stable")
+                    values, holder = values[order], np.repeat(np.arange(len(nodes)), sizes)[order]
+                shingles = every[ends[at_row] : ends[at_row + 1]]
                 low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
                 length = high - low
                 at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
@@ -182,7 +190,8 @@ def _comparer(least: int, percent: int):
                     x, y = root(int(node)), root(n)
                     links[max(x, y)] = min(x, y)
         joined = [(n, root(n)) for n in list(links)]
-        return pd.DataFrame([x for x in joined if x[0] != x[1]], columns=["a", "b"]).astype("int64")
+        edges = np.array([x for x in joined if x[0] != x[1]], "i8").reshape(-1, 2)
+        return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return run
 
@@ -213,7 +222,7 @@ def _apart(member: DataFrame, sets: DataFrame, signatures: DataFrame, least: int
     other = dealt.withColumn("block", own("blocks")).withColumn("turn", every("turns"))
     both = asking.withColumn("asks", F.lit(True)).select(rows).unionByName(other.withColumn("asks", F.lit(False)).select(rows))
     full = both.join(signatures.join(sets, "node"), "node")
-    return full.groupBy(*key).applyInPandas(_comparer(least, percent), "a long, b long")
+    return full.groupBy(*key).applyInArrow(_comparer(least, percent), "a long, b long")
 
 
 def near_duplicates(
