@@ -102,8 +102,9 @@ def _matches(a: str, b: str) -> Column:
 def _postings(classes: DataFrame, least: int) -> DataFrame:
     """Columns token, node, earlier: the rarest shared values of each class, enough to meet every partner, and
     as bits the coordinates it posted before this one; all classes post in one order, rarest value first."""
+    low = F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # without its sign, which would reach into n
     tokens = classes.select(F.col("node"), F.posexplode("signature").alias("n", "v")).select(
-        "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("v").cast("long")).alias("token")
+        "node", (F.shiftleft(F.col("n").cast("long"), 32) + low).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     met = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("own"))

@@ -3,7 +3,7 @@
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from groundwire.llm import byte_bpe, chat, language, vector_links
+from groundwire.llm import byte_bpe, chat, language, minhash_links, vector_links
 from groundwire.llm.queries import bpe_files
 
 
@@ -106,3 +106,39 @@ def test_dense_groups_split_over_shards_and_blocks_count_right(spark):
     unit = vector_links._unit([np.float32(v) for _, v, _ in rows])
     true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
     assert got.audit_recall.iloc[0] >= 0.99 and (got.n_links.sort_index().to_numpy() == true).mean() > 0.98
+
+
+def test_every_pair_of_a_list_is_compared_once(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-(2**31), 2**31, (8, 6, 12))  # groups, variants of a coordinate's value, coordinates
+    signatures = np.array([[base[n % 8, rng.integers(6), c] for c in range(12)] for n in range(160)])
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(signatures)], "node long, signature array<int>")
+    lists: dict = {}
+    for row in minhash_links._postings(df, 3).collect():
+        lists.setdefault(row.token, []).append((row.node, row.earlier))
+    compared: dict = {}
+    for held in lists.values():
+        for n, (a, x) in enumerate(held):
+            for b, y in held[:n]:
+                met = any(x >> c & y >> c & 1 for c in np.flatnonzero(signatures[a] == signatures[b]).tolist())
+                pair = (min(a, b), max(a, b))
+                compared[pair] = compared.get(pair, 0) + (not met)
+    assert len(compared) > 1000 and set(compared.values()) == {1}
+
+
+def test_links_of_short_texts_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"g{g}w{w}" for w in rng.permutation(12)[: rng.integers(8, 11)]) for g in range(25) for _ in range(14)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, low = [set(t.split()) for t in texts], list(range(len(texts)))
+
+    def root(n):
+        return n if low[n] == n else root(low[n])
+
+    for a in range(len(texts)):
+        for b in range(a - a % 14, a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    rows = minhash_links.near_duplicates(df, words=1, percent=80, rounds=1).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [root(n) for n in range(len(texts))]
