@@ -1,15 +1,15 @@
-"""Near-duplicate embeddings through robust-pruned graphs on overlapping shards.
+"""Near-duplicate embeddings by exact comparison of the clusters that can hold links.
 
 Equal vectors form one class, only its smallest goes on. Pivots (at most PIVOTS in all, a hash sample, shared
-among labels by size) cut each label into clusters; a vector joins its ``overlap`` nearest, the nearest is its
-home. A cluster above ``cap`` is dealt by hash into several shards. Every shard builds a graph whose lists are
-robust-pruned; a vector's lists from its shards are united. Then each vector searches the shards of its home
-cluster, greedily from the shard's medoid (and from itself, where it is a member) until its nearest are
-expanded, and on through everything in range. Hits are verified in double precision. Queries of large clusters
-are dealt into blocks, so a task holds at most about cap vectors and cap queries however dense a cluster is.
+among labels by size) cut each label into clusters: the nearest pivot is a vector's home. A vector a with home p
+can only be linked to a vector at home in q if the half-space nearer to q is within the link angle of a, that is
+a.(p - q) <= sin(angle) |p - q|. Every vector visits its home and all clusters of higher number that pass; links
+of a visitor count for both ends. So each pair within the angle meets, whatever the sample of pivots. Clusters
+above ``cap`` are dealt by hash into shards and their visitors into blocks, so a task compares about cap vectors
+with cap visitors, in double precision, however dense a cluster is.
 
-An audit compares a sample of AUDIT vectors with all others; while its recall is below the wanted one, the
-graph is built again with two more clusters per vector, up to all clusters, where shards miss nothing by design.
+An audit compares a sample of vectors, more where it holds few links, with all others and reports the mean of
+their recalls, null where the sample holds no link. It steers nothing.
 
 Tasks return one row per vector with its number of links and its component within the shard, never the pairs.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,8 +33,9 @@ from groundwire.functions.text import compute_once
 from groundwire.llm.common import components
 from groundwire.plans.workspace import materialize
 
-PIVOTS, AUDIT = 4096, 500
-DEGREE, SLACK_ALPHA, BEAM = 16, 1.2, 32
+PIVOTS, AUDIT, AUDIT_MOST, AUDIT_LINKS = 4096, 500, 2000, 100
+SLICE = 1000
+BEAM = 32
 SPACE = ["label", "dim"]
 GROUP = [*SPACE, "cluster", "shard"]
 
@@ -76,24 +77,32 @@ def _pivots(classes: DataFrame, target: int) -> dict:
     return {space: _unit(rows) for space, rows in held.items()}
 
 
-def _assigned(classes: DataFrame, pivots: dict, overlap: int) -> DataFrame:
-    """Each class once for each cluster it joins: columns of SPACE, cluster, home, node, m, embedding."""
+def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
+    """Each class once for each cluster it visits: columns of SPACE, cluster, home, node, m, embedding."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
+    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
+
+    def visits(vectors: list, own: np.ndarray) -> Iterator[list]:
+        for begin in range(0, len(vectors), SLICE):
+            near = _unit(vectors[begin : begin + SLICE]) @ own.T
+            homes = near.argmax(axis=1)
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (own[homes] @ own.T)))
+            open_ = near[np.arange(len(near)), homes][:, None] - near <= (reach * (apart + 1e-6) + 1e-9)
+            for home, row in zip(homes.tolist(), open_):
+                yield [home, *(home + 1 + np.flatnonzero(row[home + 1 :])).tolist()]
 
     @F.arrow_udf("array<int>")
-    def nearest(labels: pa.Array, dims: pa.Array, vectors: pa.Array) -> pa.Array:
+    def visited(labels: pa.Array, dims: pa.Array, vectors: pa.Array) -> pa.Array:
         out: list = [[0]] * len(labels)
         spaces = pd.Series(list(zip(labels.to_pylist(), dims.to_pylist())))
         for space, at in spaces.groupby(spaces).groups.items():
             own = shared.value.get(space)
             if own is not None:
-                at = np.asarray(at)
-                near = np.argsort(-(_unit([vectors[int(n)].as_py() for n in at]) @ own.T), axis=1, kind="stable")
-                for n, clusters in zip(at, near[:, :overlap].tolist()):
+                for n, clusters in zip(at, visits([vectors[int(n)].as_py() for n in at], own)):
                     out[n] = clusters
         return pa.array(out, pa.list_(pa.int32()))
 
-    bound = compute_once(classes, {"clusters": nearest("label", "dim", "embedding")})
+    bound = compute_once(classes, {"clusters": visited("label", "dim", "embedding")})
     spread = bound.select("node", "m", *SPACE, "embedding", F.posexplode("clusters").alias("rank", "cluster"))
     return spread.withColumn("home", F.col("rank") == 0).drop("rank")
 
@@ -114,13 +123,6 @@ def prune(distance: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     return lists
 
 
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
-    unit = _unit(pdf["embedding"]).astype("f4")
-    nodes = pdf["node"].to_numpy()
-    lists = prune(np.sqrt(np.maximum(0, 2 - 2 * (unit @ unit.T))), DEGREE, SLACK_ALPHA)
-    return pd.DataFrame({"node": nodes, "near": [nodes[x[x >= 0]] for x in lists]})
-
-
 def search(queries: np.ndarray, own: np.ndarray, unit: np.ndarray, lists: list, floor: float) -> Iterator[np.ndarray]:
     """For each query the points visited: greedy from the medoid and from the query's ``own`` point (-1 if it has
     none here), expanding the BEAM nearest and everything nearer than ``floor``."""
@@ -143,28 +145,21 @@ def search(queries: np.ndarray, own: np.ndarray, unit: np.ndarray, lists: list,
         yield np.flatnonzero(np.isfinite(near))
 
 
-def _searcher(threshold: float):
+def _comparer(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         members = pdf[~pdf["asks"]].sort_values("node")
         asking = pdf[pdf["asks"]].sort_values("node")
         empty = pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
         if members.empty or asking.empty:
             return empty
-        exact, nodes, weight = _unit(members["embedding"]), members["node"].to_numpy(), members["m"].to_numpy()
-        asked, ids = _unit(asking["embedding"]), asking["node"].to_numpy()
-        place = {n: i for i, n in enumerate(nodes.tolist())}
-        lists = [{place[n] for n in near if n in place} for near in members["near"]]
-        for n, near in enumerate(lists):
-            for other in list(near):
-                lists[other].add(n)
-        lists = [np.fromiter(sorted(x), "i8", len(x)) for x in lists]
-        own = np.array([place.get(n, -1) for n in ids.tolist()])
-        hits = np.zeros((len(ids), len(nodes)), bool)
-        floor = threshold - 0.02
-        for n, seen in enumerate(search(asked.astype("f4"), own, exact.astype("f4"), lists, floor)):
-            hits[n, seen[exact[seen] @ asked[n] >= threshold]] = True
-            if own[n] >= 0:
-                hits[n, own[n]] = False
+        nodes, ids, home = members["node"].to_numpy(), asking["node"].to_numpy(), asking["home"].to_numpy(bool)
+        hits = _unit(asking["embedding"]) @ _unit(members["embedding"]).T >= threshold
+        hits &= ids[:, None] != nodes
+        rows, columns = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+        if not len(rows):
+            return empty
+        hits, ids, nodes, home = hits[np.ix_(rows, columns)], ids[rows], nodes[columns], home[rows]
+        weight, other = members["m"].to_numpy()[columns], asking["m"].to_numpy()[rows]
         root, low = ids.copy(), nodes.copy()
         top = np.iinfo("i8").max
         while True:
@@ -173,41 +168,56 @@ def _searcher(threshold: float):
             if (met == root).all() and (back == low).all():
                 break
             root, low = met, back
-        linked = hits.any(axis=0)
         return pd.concat([
             pd.DataFrame({"node": ids, "links": hits @ weight, "root": root}),
-            pd.DataFrame({"node": nodes[linked], "links": 0, "root": low[linked]}),
+            pd.DataFrame({"node": nodes, "links": np.where(home, 0, other) @ hits, "root": low}),
         ]).astype("int64")
 
     return run
 
 
-def _found(classes: DataFrame, pivots: dict, overlap: int, cap: int, threshold: float) -> DataFrame:
+def _found(classes: DataFrame, pivots: dict, cap: int, threshold: float) -> DataFrame:
     """Rows (node, links, root): parts of a class's number of linked vectors, and edges to a smaller one."""
-    assigned = materialize(_assigned(classes, pivots, overlap), "vector-clusters")
+    assigned = materialize(_assigned(classes, pivots, threshold), "vector-clusters")
     cluster = [*SPACE, "cluster"]
-    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("asking"))
-    sizes = sizes.select(
-        *cluster, F.ceil(F.col("size") / cap).cast("int").alias("shards"),
-        F.greatest(F.ceil(F.col("asking") / cap), F.lit(1)).cast("int").alias("blocks"),
+    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("asking"), F.sum(F.col("home").cast("long")).alias("size"))
+    sizes = sizes.filter("size > 0").select(
+        *cluster, F.ceil(F.col("size") / cap).cast("int").alias("shards"), F.ceil(F.col("asking") / cap).cast("int").alias("blocks")
     )
-    placed = assigned.join(sizes, cluster).withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("shards")).cast("int"))
-    graph = placed.select(*GROUP, "node", "embedding").groupBy(*GROUP).applyInPandas(_built, "node long, near array<long>")
-    lists = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    columns = [*GROUP, "block", "node", "m", "embedding"]
-    members = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
-    members = members.join(lists, "node").select(*columns, "near", F.lit(False).alias("asks"))
-    asking = placed.filter("home").withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int")
-    ).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asking = asking.select(*columns, F.array().cast("array<bigint>").alias("near"), F.lit(True).alias("asks"))
-    both = members.unionByName(asking)
-    return both.groupBy(*GROUP, "block").applyInPandas(_searcher(threshold), "node long, links long, root long")
-
-
-def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links of a sample of classes, found and by brute force over all."""
-    some = classes.orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(AUDIT).select("node", *SPACE, "embedding").collect()
+    placed = assigned.join(sizes, cluster)
+    columns = [*GROUP, "block", "node", "m", "embedding", "home"]
+
+    def own(salt: int, n: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    members = placed.filter("home").withColumn("shard", own(1, "shards")).withColumn("block", every("blocks"))
+    asking = placed.withColumn("block", own(2, "blocks")).withColumn("shard", every("shards"))
+    both = members.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
+    return both.groupBy(*GROUP, "block").applyInPandas(_comparer(threshold), "node long, links long, root long")
+
+
+def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float | None:
+    """Mean recall, against brute force over all, of sampled classes that have links; None without any."""
+    size, total = AUDIT, classes.count()
+    while True:
+        true = _true_links(classes, size, threshold)
+        if sum(true.values()) >= AUDIT_LINKS or size >= min(AUDIT_MOST, total):
+            break
+        size = AUDIT_MOST
+    linked = {n: links for n, links in true.items() if links}
+    if not linked:
+        return None
+    ids = classes.sparkSession.createDataFrame([(n,) for n in linked], "node long")
+    got = {r.node: r.links for r in found.join(ids, "node").groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    return float(np.mean([got.get(n, 0) / links for n, links in linked.items()]))
+
+
+def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, int]:
+    """Links of ``size`` sampled classes to vectors of other classes, by brute force."""
+    some = classes.orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(size).select("node", *SPACE, "embedding").collect()
     spaces: dict = {}
     for row in some:
         spaces.setdefault((row.label, row.dim), []).append((row.node, row.embedding))
@@ -216,39 +226,34 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> tuple[int,
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        totals: dict = {}
         for batch in batches:
-            pdf = batch.to_pandas()
-            for space, rows in pdf.groupby(SPACE):
-                if tuple(space) in shared.value:
-                    ids, asked = shared.value[tuple(space)]
-                    hits = _unit(rows["embedding"]) @ asked.T >= threshold
-                    hits &= rows["node"].to_numpy()[:, None] != ids
-                    total += int((hits.sum(axis=1) * rows["m"].to_numpy()).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+            for begin in range(0, len(batch), SLICE):
+                pdf = batch.slice(begin, SLICE).to_pandas()
+                for space, rows in pdf.groupby(SPACE):
+                    if tuple(space) in shared.value:
+                        ids, asked = shared.value[tuple(space)]
+                        hits = _unit(rows["embedding"]) @ asked.T >= threshold
+                        hits &= rows["node"].to_numpy()[:, None] != ids
+                        totals[tuple(space)] = totals.get(tuple(space), 0) + rows["m"].to_numpy() @ hits
+        for space, links in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[space][0]), pa.array(links, pa.int64())], ["node", "n"])
 
-    true = classes.select("node", "m", *SPACE, "embedding").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    ids = classes.sparkSession.createDataFrame([(r.node,) for r in some], "node long")
-    got = found.join(ids, "node").agg(F.sum("links")).first()[0] or 0
-    return got, true
+    counted = classes.select("node", "m", *SPACE, "embedding").mapInArrow(count, "node long, n long")
+    return {r.node: r.n for r in counted.groupBy("node").agg(F.sum("n").alias("n")).collect()}
 
 
 def near_duplicates(
     vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
     threshold: float = 0.98, overlap: int = 3, target: int = 500, cap: int = 2048, recall: float = 0.99,
 ) -> DataFrame:
-    """Columns vec_id, n_links, component_id, kept, audit_recall: one row per row of ``vectors``."""
+    """Columns vec_id, n_links, component_id, kept, audit_recall: one row per row of ``vectors``. ``overlap`` and
+    ``recall`` belonged to an approximate search and change nothing."""
     rows, classes = _classes(vectors, vec_id, embedding, label)
     classes = materialize(classes, "vector-classes")
     pivots = _pivots(classes, target)
-    most = max((len(p) for p in pivots.values()), default=1)
-    while True:
-        found = materialize(_found(classes, pivots, overlap, cap, threshold), "vector-links")
-        got, true = _audit(classes, found, threshold)
-        reached = got / true if true else 1.0
-        if reached >= recall or overlap >= most:
-            break
-        overlap += 2
+    found = materialize(_found(classes, pivots, cap, threshold), "vector-links")
+    reached = _audit(classes, found, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found, "node", "root").withColumnRenamed("component", "low")
     known = classes.join(links, "node", "left").join(joined, "node", "left").select(
@@ -262,5 +267,5 @@ def near_duplicates(
     everyone = single.withColumnRenamed("node", "vec_id").unionByName(copies).unionByName(alone)
     return everyone.select(
         "vec_id", F.col("links").alias("n_links"), F.col("low").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.col("low"), F.lit(True)).alias("kept"), F.lit(float(reached)).alias("audit_recall"),
+        F.coalesce(F.col("vec_id") == F.col("low"), F.lit(True)).alias("kept"), F.lit(reached).cast("double").alias("audit_recall"),
     )

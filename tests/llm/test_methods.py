@@ -142,3 +142,18 @@ def test_links_of_short_texts_match_brute_force(spark):
                 low[y] = x
     rows = minhash_links.near_duplicates(df, words=1, percent=80, rounds=1).orderBy("doc_id").collect()
     assert [r.component_id for r in rows] == [root(n) for n in range(len(texts))]
+
+
+def test_rare_links_between_many_clusters_are_all_found(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(3000, 32))
+    near = base[:60] + rng.normal(scale=0.18, size=(60, 32)) * np.linalg.norm(base[:60], axis=1, keepdims=True) / np.sqrt(32)
+    vectors = np.vstack([base, near]).astype("f4")
+    df = spark.createDataFrame([(n, v.tolist(), 1) for n, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    got = vector_links.near_duplicates(df, target=10, cap=25, overlap=1, recall=0.0).toPandas().set_index("vec_id").sort_index()
+    unit = vector_links._unit(list(vectors))
+    hits = unit @ unit.T >= 0.98
+    np.fill_diagonal(hits, False)
+    assert 30 < hits.sum() < 120
+    assert (got.n_links.to_numpy() == hits.sum(axis=1)).all()
+    assert (got.component_id.to_numpy() == [min(n, *np.flatnonzero(hits[n])) if hits[n].any() else n for n in range(len(hits))]).all()
