@@ -63,8 +63,19 @@ def _classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tup
     return rows, classes.withColumn("dim", F.size("embedding"))
 
 
-def _pivots(classes: DataFrame, target: int) -> dict:
-    """Per (label, dim): unit pivots, enough for clusters of ``target`` and at most PIVOTS in all."""
+def apart(unit: np.ndarray, threshold: float) -> np.ndarray:
+    """The rows in order, but for those linked to an earlier one that stays: a dense group is one cluster then."""
+    kept = np.empty_like(unit)
+    n = 0
+    for row in unit:
+        if not (kept[:n] @ row >= threshold).any():
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
+def _pivots(classes: DataFrame, target: int, threshold: float) -> dict:
+    """Per (label, dim): unit pivots that lie apart, enough for clusters of ``target`` and at most PIVOTS in all."""
     sizes = classes.groupBy(*SPACE).agg(F.count("*").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = F.floor(F.col("size") * PIVOTS / F.lit(max(1, total)))
@@ -74,7 +85,7 @@ def _pivots(classes: DataFrame, target: int) -> dict:
     held: dict = {}
     for row in some.filter("at <= k").select(*SPACE, "at", "embedding").orderBy("at").toLocalIterator():
         held.setdefault((row.label, row.dim), []).append(row.embedding)
-    return {space: _unit(rows) for space, rows in held.items()}
+    return {space: apart(_unit(rows), threshold) for space, rows in held.items()}
 
 
 def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
@@ -251,7 +262,7 @@ def near_duplicates(
     ``recall`` belonged to an approximate search and change nothing."""
     rows, classes = _classes(vectors, vec_id, embedding, label)
     classes = materialize(classes, "vector-classes")
-    pivots = _pivots(classes, target)
+    pivots = _pivots(classes, target, threshold)
     found = materialize(_found(classes, pivots, cap, threshold), "vector-links")
     reached = _audit(classes, found, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

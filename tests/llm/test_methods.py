@@ -157,3 +157,11 @@ def test_rare_links_between_many_clusters_are_all_found(spark):
     assert 30 < hits.sum() < 120
     assert (got.n_links.to_numpy() == hits.sum(axis=1)).all()
     assert (got.component_id.to_numpy() == [min(n, *np.flatnonzero(hits[n])) if hits[n].any() else n for n in range(len(hits))]).all()
+
+
+def test_a_dense_group_takes_one_pivot():
+    rng = np.random.default_rng(17)
+    dense = rng.normal(size=32) + rng.normal(scale=0.01, size=(500, 32))
+    unit = vector_links._unit(list(np.vstack([dense, rng.normal(size=(20, 32))])))
+    kept = vector_links.apart(unit, 0.98)
+    assert len(kept) == 21 and (kept[0] == unit[0]).all()
