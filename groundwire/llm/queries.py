@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundwire.llm import byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, quality, source_mix, vector_links, warc
+from groundwire.llm import (
+    byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, quality, sentence_pieces, source_mix, vector_links, warc,
+)
 from groundwire.llm.registry import register, table
 from groundwire.plans.workspace import materialize, new_folder
 
@@ -173,3 +175,18 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 def op10_vector_links(spark, sf_dir):
     """Embeddings of one label linked at a cosine of 0.98."""
     return vector_links.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audit_recall")
+
+
+@register("op13_sentence_pieces")
+def op13_sentence_pieces(spark, sf_dir):
+    """Ids and the decoded text of every whole text, as digests."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sentence_pieces.decode(sentence_pieces.encode(texts, "text", model).drop("text"), "ids", model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
