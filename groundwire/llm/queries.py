@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwire.llm import (
-    byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, quality, sentence_pieces, source_mix, vector_links, warc,
+    byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, periodic_runs, quality, sentence_pieces, source_mix,
+    vector_links, warc,
 )
 from groundwire.llm.registry import register, table
 from groundwire.plans.workspace import materialize, new_folder
@@ -190,3 +191,16 @@ def op13_sentence_pieces(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of periodic words in every whole text, with repeats planted by id, and the text without them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = periodic_runs.with_runs(periodic_runs.with_planted_runs(docs, "doc_id", "text"), "text")
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return marked.withColumn("best", periodic_runs.strongest("runs")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
