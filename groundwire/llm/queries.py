@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwire.llm import (
-    byte_bpe, chat, fingerprints, language, line_dedup, minhash_links, periodic_runs, quality, sentence_pieces, source_mix,
-    vector_links, warc,
+    byte_bpe, chat, dual_tree, fingerprints, language, line_dedup, minhash_links, periodic_runs, quality, sentence_pieces,
+    source_mix, vector_links, warc,
 )
 from groundwire.llm.registry import register, table
 from groundwire.plans.workspace import materialize, new_folder
@@ -204,3 +204,36 @@ def op12_periodic_runs(spark, sf_dir):
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+SEARCH_SQL = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, total GROUP BY term, docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@register("op11_ranked_search", SEARCH_SQL)
+def op11_ranked_search(spark, sf_dir):
+    """The 50 best documents of all for each benchmark item."""
+    return dual_tree.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
