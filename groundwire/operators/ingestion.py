@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import words
+from groundwire.operators.knowledge_index import add_versions
 from groundwire.plans.workspace import materialize
 from groundwire.sources.chunk_store import HEADER, append_rows, bucket_of, changed_documents, content_of
 from groundwire.sources.documents import under_prefix
@@ -139,7 +140,9 @@ def ingest_knowledge(
         job = Observation("ingest")
         append_rows(version_rows(fresh, embedder).observe(job, *job_metrics()), path)
         done = job.get
-    same = changed.filter("content_known").drop("content_known", "key", "text")
+        if embedder is not None:
+            add_versions(documents.sparkSession, path, changed.filter(~F.col("content_known")).select("uri", "content", "old_content"))
+    same = changed.filter("content_known").drop("content_known", "key", "text", "old_content")
     if same.head(1):
         append_rows(same.withColumn("ordinal", F.lit(HEADER).cast("bigint")), path)
     return documents.sparkSession.createDataFrame(

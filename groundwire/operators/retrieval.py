@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from groundwire.config import EXCERPT_CHARS
 from groundwire.functions.text import blank_to_null, strip
 from groundwire.operators.ingestion import embed_chunks
-from groundwire.operators.vectors import vector_topk
+from groundwire.operators.knowledge_index import open_index
+from groundwire.operators.vectors import CellIndex, vector_topk
 from groundwire.plans.skew import salted_join
 from groundwire.plans.workspace import materialize
+from groundwire.sources.chunk_store import read_chunks
 
 # Fixed value: source named when a hit has neither a URI nor a location type.
 UNKNOWN_SOURCE = "knowledge-base"
@@ -29,14 +31,26 @@ def shape_citations(hits: DataFrame) -> DataFrame:
     return hits.select(*others, source.alias("source"), excerpt.alias("excerpt"))
 
 
+def retrieve_from_store(
+    requests: DataFrame, path: str, embedder: PipelineModel | Callable[[DataFrame], DataFrame], k: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """``retrieve_knowledge`` over the store below ``path`` through its search index. Fails for a store that has
+    none; what was stored after the last refresh is not found yet."""
+    spark = requests.sparkSession
+    index = open_index(spark, path)
+    if index is None:
+        raise ValueError(f"{path} has no search index: refresh_index creates it")
+    return retrieve_knowledge(requests, read_chunks(spark, path), embedder, k, index=index)
+
+
 def retrieve_knowledge(
     requests: DataFrame, chunks: DataFrame,
-    embedder: PipelineModel | Callable[[DataFrame], DataFrame], k: int = 5,
+    embedder: PipelineModel | Callable[[DataFrame], DataFrame], k: int = 5, *, index: CellIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(citations, rejected): nearest passages per request; blank queries are rejected.
 
-    ``requests``: request_id, query, optional requested. ``chunks``: chunk_id, uri, text, embedding.
-    Texts are joined to the few hits after the search, never carried through it.
+    ``requests``: request_id, query, optional requested. ``chunks``: chunk_id, uri, text, and embedding unless an
+    ``index`` of them is given. Texts are joined to the few hits after the search, never carried through it.
     """
     blank = F.coalesce(strip(F.col("query")) == "", F.lit(True))
     rejected = requests.filter(blank).select("request_id", F.lit("retrieve_knowledge requires a query").alias("error"))
@@ -44,7 +58,7 @@ def retrieve_knowledge(
     keep = ["query_id"] + (["requested"] if "requested" in asked.columns else [])
     embedded = embed_chunks(asked.select(*keep, strip(F.col("query")).alias("text")), embedder)
     # Read twice below; a few ids per request, so cheap to write.
-    hits = materialize(vector_topk(embedded, chunks, k), "hits")
+    hits = materialize(vector_topk(embedded, index or chunks, k), "hits")
     cited = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
         "chunk_id", "uri", F.col("text").alias("content"), F.lit("S3").alias("location_type"),
         F.create_map(F.lit("type"), F.lit("S3"), F.lit("uri"), F.col("uri")).alias("location"),

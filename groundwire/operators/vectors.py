@@ -1,9 +1,10 @@
 """Nearest neighbours by Euclidean distance: exact and cell-probing approximate.
 
 The corpus is kept in cells around pivots, whose number grows with the root of its size; the cells are written
-once, at ingest or for a single search. Queries meet them in blocks of bounded size: the triangle inequality
-rules out cells that cannot hold a result, and (cell, corpus block, query block) is an equi-join key. Each block
-pair emits at most k rows per query, never all pairs. The plan is the same for any number of queries.
+once, at ingest or for a single search, with a summary of each. Queries meet them in blocks of bounded size, near
+ones in one block: the triangle inequality rules out cells that cannot hold a result, and (cell, corpus block, query
+block) is an equi-join key, so a row goes to those query blocks only that visit its cell. Each block pair emits at
+most k rows per query, never all pairs. The plan is the same for any number of queries.
 """
 
 from __future__ import annotations
@@ -124,12 +125,79 @@ def _arrow(batch: pa.RecordBatch | pa.Table, column: str) -> pa.DataType:
     return batch.schema.field(column).type
 
 
+SUMMARY = "cell int, n long, outer double, inner double, nearest array<struct<distance:double,uri:string,content:string>>"
+
+
+def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot and the distance to it."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        positions = np.arange(len(pivots))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, cell, distance = _in_slices(as_matrix(batch.column("embedding")), pivots, positions, 1)
+            yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column(
+                "pivot_distance", pa.array(distance)
+            )
+
+    return vectors.mapInArrow(run, f"{fields}, cell int, pivot_distance double")
+
+
+def summarize_cells(rows: DataFrame) -> DataFrame:
+    """Per cell its size, radius, inner radius and the vectors nearest to its pivot: where ``rows`` name the document
+    of a vector, with that, so that a reader can leave out those that are gone since."""
+    named = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("uri", "content")]
+    place = Window.partitionBy("cell").orderBy("pivot_distance")
+    marked = rows.select("cell", "pivot_distance", *named).withColumn("_r", F.row_number().over(place))
+    near = marked.filter(F.col("_r") <= MAX_RETRIEVAL_RESULTS).groupBy("cell").agg(
+        F.collect_list(F.struct(F.col("pivot_distance").alias("distance"), "uri", "content")).alias("nearest")
+    )
+    sizes = rows.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("pivot_distance").alias("outer"), F.min("pivot_distance").alias("inner")
+    )
+    return sizes.join(near, "cell").select("cell", "n", "outer", "inner", "nearest")
+
+
+def choose_pivots(stored: DataFrame, pivots: int) -> np.ndarray:
+    """Distinct vectors by hash of their ids: a few candidates more than needed, since copies would make empty cells."""
+    order = F.md5(F.col("chunk_id").cast("string"))
+    chosen = as_matrix(stored.orderBy(order, "chunk_id").limit(4 * pivots).toArrow().column("embedding"))
+    _, first = np.unique(chosen, axis=0, return_index=True)
+    return chosen[np.sort(first)[:pivots]]
+
+
+def pivots_for(rows: int) -> int:
+    return int(min(MAX_PIVOTS, max(MIN_PIVOTS, np.ceil(np.sqrt(rows)))))
+
+
+def pivot_rows(spark: SparkSession, pivots: np.ndarray, first: int = 0) -> DataFrame:
+    return spark.createDataFrame([(first + n, v.tolist()) for n, v in enumerate(pivots)], "cell int, pivot array<float>")
+
+
 class CellIndex:
-    """A corpus in cells: its rows with their cell, the pivots, and a few numbers per cell."""
+    """A corpus in cells: its rows (chunk_id, embedding, cell), the pivots, and a few numbers per cell. Cells
+    without rows have no blocks and are never visited."""
 
-    def __init__(self, rows: DataFrame, pivots: np.ndarray, block_rows: int) -> None:
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, summary: DataFrame, block_rows: int = BLOCK_ROWS) -> None:
+        """``summary``: rows of SUMMARY; a cell may have several, of parts of it."""
         self.rows, self.pivots, self.block_rows = rows, pivots, block_rows
-        self._summarize()
+        count = len(pivots)
+        self.outer, self.inner = np.full(count, -np.inf), np.full(count, np.inf)
+        sizes = np.zeros(count, np.int64)
+        known = summary.groupBy("cell").agg(
+            F.sum("n").alias("n"), F.max("outer").alias("outer"), F.min("inner").alias("inner"),
+            F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("nearest", lambda x: x["distance"])))), 1, MAX_RETRIEVAL_RESULTS).alias("heads"),
+        ).toPandas()  # a row for each of at most MAX_PIVOTS cells
+        cells = known["cell"].to_numpy(int)
+        self.outer[cells], self.inner[cells], sizes[cells] = known["outer"], known["inner"], known["n"]
+        self.blocks = -(-sizes // block_rows)
+        heads = [np.asarray(h, float) for h in known["heads"]]
+        self.head_cell = np.repeat(cells, [len(h) for h in heads]).astype(int)
+        self.head_distance = np.concatenate([*heads, np.empty(0)])
 
     @classmethod
     def build(
@@ -139,67 +207,17 @@ class CellIndex:
         spark = chunks.sparkSession
         path = path or new_folder(spark, "vector-cells")
         stored = _stored(chunks)
-        if pivots is None:
-            pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, np.ceil(np.sqrt(stored.count())))))
-        chosen = cls._choose(stored, pivots)
-        spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(chosen)], "cell int, pivot array<float>").write.parquet(f"{path}/pivots")
-        cls._assign(_limit_copies(stored), chosen).write.parquet(f"{path}/rows")
+        chosen = choose_pivots(stored, pivots_for(stored.count()) if pivots is None else pivots)
+        pivot_rows(spark, chosen).coalesce(1).write.parquet(f"{path}/pivots")
+        assign_cells(_limit_copies(stored), chosen).write.parquet(f"{path}/rows")
+        summarize_cells(spark.read.parquet(f"{path}/rows")).write.parquet(f"{path}/summary")
         return cls.open(spark, path, block_rows=block_rows)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, *, block_rows: int = BLOCK_ROWS) -> CellIndex:
-        """An index written before."""
+        """An index written before; only pivots and summary are read."""
         pivots = as_matrix(spark.read.parquet(f"{path}/pivots").orderBy("cell").toArrow().column("pivot"))
-        return cls(spark.read.parquet(f"{path}/rows"), pivots, block_rows)
-
-    @staticmethod
-    def _choose(stored: DataFrame, pivots: int) -> np.ndarray:
-        # A few candidates more than needed, since copies of one vector would make empty cells.
-        order = F.md5(F.col("chunk_id").cast("string"))
-        chosen = as_matrix(stored.orderBy(order, "chunk_id").limit(4 * pivots).toArrow().column("embedding"))
-        _, first = np.unique(chosen, axis=0, return_index=True)
-        return chosen[np.sort(first)[:pivots]]
-
-    @staticmethod
-    def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-        """Add the nearest pivot and the distance to it."""
-        shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots = shared.value
-            positions = np.arange(len(pivots))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                _, cell, distance = _in_slices(as_matrix(batch.column("embedding")), pivots, positions, 1)
-                yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column(
-                    "pivot_distance", pa.array(distance)
-                )
-
-        return vectors.mapInArrow(run, f"{fields}, cell int, pivot_distance double")
-
-    def _summarize(self) -> None:
-        """Radius, inner radius, size and the k smallest pivot distances of every cell."""
-        assigned = self.rows.select("cell", "pivot_distance")
-        nearest = Window.partitionBy("cell").orderBy("pivot_distance")
-        stats = assigned.groupBy("cell").agg(
-            F.max("pivot_distance").alias("outer"), F.min("pivot_distance").alias("inner"),
-            F.count("*").alias("n"),
-        ).toPandas()
-        heads = (
-            assigned.select("cell", "pivot_distance")
-            .withColumn("_r", F.row_number().over(nearest))
-            .filter(F.col("_r") <= MAX_RETRIEVAL_RESULTS).toPandas()
-        )
-        count = len(self.pivots)
-        self.outer, self.inner = np.full(count, -np.inf), np.full(count, np.inf)
-        self.blocks = np.zeros(count, np.int64)
-        self.outer[stats["cell"]] = stats["outer"]
-        self.inner[stats["cell"]] = stats["inner"]
-        self.blocks[stats["cell"]] = -(-stats["n"] // self.block_rows)
-        self.head_cell = heads["cell"].to_numpy()
-        self.head_distance = heads["pivot_distance"].to_numpy()
+        return cls(spark.read.parquet(f"{path}/rows"), pivots, spark.read.parquet(f"{path}/summary"), block_rows)
 
     def as_arrays(self) -> dict[str, np.ndarray]:
         """Plain arrays for the tasks; a broadcast class would need this package on the executors."""
@@ -231,43 +249,83 @@ def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int
     return filled & (closest_possible <= (bound + slack)[:, None])
 
 
-def _visits(asked: DataFrame, cells: CellIndex, probes: int | None, query_blocks: int) -> DataFrame:
-    """One row per query and corpus block it must meet."""
+def _line(pivots: np.ndarray) -> np.ndarray:
+    """The place of each pivot along the direction in which they are spread most, by a few power steps."""
+    spread = pivots.astype(np.float64) - pivots.mean(axis=0)
+    along = spread[np.einsum("ij,ij->i", spread, spread).argmax()] if len(spread) else spread.sum(axis=0)
+    for _ in range(8):
+        along = spread.T @ (spread @ along)
+        along /= max(np.sqrt(along @ along), 1e-30)
+    return np.argsort(np.argsort(spread @ along, kind="stable"), kind="stable")
+
+
+def _grouped(asked: DataFrame, cells: CellIndex) -> DataFrame:
+    """Add ``query_block``: blocks of at most about block_rows queries whose nearest pivots are neighbours."""
+    total = asked.count()
+    if total <= cells.block_rows:
+        return asked.withColumn("query_block", F.lit(0))
+    line = _line(cells.pivots)
+    homes = materialize(assign_cells(asked, cells.pivots), "query-homes")
+    sizes = np.zeros(len(line), np.int64)
+    for row in homes.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MAX_PIVOTS rows
+        sizes[line[row.cell]] = row.n
+    # neighbours share a block until it is full; a pivot of many queries has several blocks of its own
+    first, parts, last, held = np.zeros(len(line), int), np.ones(len(line), int), 0, 0
+    for place, n in enumerate(sizes.tolist()):
+        if held and held + n > cells.block_rows:
+            last, held = last + 1, 0
+        first[place], parts[place] = last, max(1, -(-n // cells.block_rows))
+        last, held = last + parts[place] - 1, n if parts[place] == 1 and not held else held + n
+    named = asked.sparkSession.createDataFrame(
+        [(int(c), int(first[line[c]]), int(parts[line[c]])) for c in range(len(line))], "cell int, first int, parts int"
+    )
+    block = F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
+    return homes.join(named, "cell").select(*asked.columns, block.alias("query_block"))
+
+
+def _visits(asked: DataFrame, cells: CellIndex, probes: int | None) -> tuple[DataFrame, DataFrame]:
+    """One row per query and corpus block it must meet, and the (cell, query block) pairs that occur."""
     shared = asked.sparkSession.sparkContext.broadcast(cells.as_arrays())
-    id_type = _id_type(asked, "query_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             # Slices keep the query-by-pivot difference array small.
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                wanted = _probed_cells(as_matrix(part.column("embedding")), known, probes)
-                q_at, cell = np.nonzero(wanted)
-                repeats = known["blocks"][cell]
-                q_all, cell_all = np.repeat(q_at, repeats), np.repeat(cell, repeats)
-                offsets = np.arange(len(q_all)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-                taken = part.take(pa.array(q_all))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column("query_id"), taken.column("embedding"),
-                     pa.array(cell_all.astype(np.int32)), pa.array(offsets.astype(np.int32))],
-                    names=["query_id", "embedding", "cell", "block"],
-                )
-
-    schema = f"query_id {id_type}, embedding array<float>, cell int, block int"
-    visits = asked.select("query_id", "embedding").mapInArrow(run, schema)
-    return visits.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+                yield part, *np.nonzero(_probed_cells(as_matrix(part.column("embedding")), shared.value, probes))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, q_at, cell in met(batches):
+            both = np.unique(np.stack([cell, part.column("query_block").to_numpy()[q_at]]), axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["cell", "query_block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, q_at, cell in met(batches):
+            repeats = shared.value["blocks"][cell]
+            q_all, cell_all = np.repeat(q_at, repeats), np.repeat(cell, repeats)
+            offsets = np.arange(len(q_all)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+            taken = part.take(pa.array(q_all))
+            yield pa.RecordBatch.from_arrays(
+                [taken.column("query_id"), taken.column("embedding"), taken.column("query_block"),
+                 pa.array(cell_all.astype(np.int32)), pa.array(offsets.astype(np.int32))],
+                names=["query_id", "embedding", "query_block", "cell", "block"],
+            )
+
+    given = asked.select("query_id", "embedding", "query_block")
+    schema = f"query_id {_id_type(asked, 'query_id')}, embedding array<float>, query_block int, cell int, block int"
+    occur = given.mapInArrow(pairs, "cell int, query_block int").distinct()
+    return given.mapInArrow(run, schema), occur
 
 
 def _join_blocks(asked: DataFrame, cells: CellIndex, probes: int | None) -> DataFrame:
-    query_blocks = max(1, -(-asked.count() // cells.block_rows))
-    visits = _visits(asked, cells, probes, query_blocks)
+    visits, occur = _visits(_grouped(asked, cells), cells, probes)
     stored = cells.rows
     # at most MAX_PIVOTS rows
     sizes = asked.sparkSession.createDataFrame([(c, int(max(n, 1))) for c, n in enumerate(cells.blocks)], "cell int, blocks int")
-    placed = stored.join(sizes, "cell").select(
+    wanted = sizes.join(occur, "cell").groupBy("cell", "blocks").agg(F.collect_set("query_block").alias("query_blocks"))
+    placed = stored.join(wanted, "cell").select(
         "chunk_id", "embedding", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+        F.explode("query_blocks").alias("query_block"),
     )
     schema = f"query_id {_id_type(asked, 'query_id')}, chunk_id {_id_type(stored, 'chunk_id')}, distance double"
 

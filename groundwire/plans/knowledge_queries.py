@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import letter_embedder
-from groundwire.operators import ingestion, retrieval, vectors
+from groundwire.operators import ingestion, knowledge_index, retrieval, vectors
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
 from groundwire.plans.workspace import new_folder
@@ -161,9 +161,7 @@ _FIRST = """labelled AS (SELECT 's3://' || source || '/' || doc_id AS uri, sourc
 def two_ingests(spark, sf_dir):
     """Labelled documents, then all, the labelled ones changed, then the first ones again, which are old by now."""
     path = new_folder(spark, "index")
-    docs, labelled = adapters.table(spark, sf_dir, "documents"), labelled_documents(spark, sf_dir)
-    known = adapters.table(spark, sf_dir, "labels").select("doc_id", F.lit(" revised").alias("_end")).distinct()
-    changed = docs.join(known, "doc_id", "left").withColumn("text", F.concat("text", F.coalesce("_end", F.lit(""))))
+    labelled, changed = labelled_documents(spark, sf_dir), revised_documents(spark, sf_dir)
     first = versioned(labelled, F.col("text"), 1)
     ingestion.create_index(ingestion.chunk_documents(first), path)
     embedder = ingestion.load_embedder(spark, path)
@@ -321,17 +319,60 @@ def vector_recall(spark, sf_dir):
   SELECT request_id, rank, chunk_id, distance, round(1.0 / (1.0 + distance * distance), 6) AS score, uri AS source,
     substr(text, 1, 500) AS excerpt FROM hits""")
 def retrieve_knowledge(spark, sf_dir):
-    """Every request against an index of all documents."""
+    """Every request against the stored index of all documents."""
     path = new_folder(spark, "index")
     ingestion.ingest_knowledge(
         versioned(adapters.table(spark, sf_dir, "documents"), F.col("text"), 1), path, letter_embedder
     )
-    citations, _ = retrieval.retrieve_knowledge(
-        adapters.requests(spark, sf_dir), chunk_store.read_chunks(spark, path), letter_embedder
-    )
+    knowledge_index.refresh_index(spark, path)
+    return _citations(adapters.requests(spark, sf_dir), path)
+
+
+def _citations(requests, path):
+    citations, _ = retrieval.retrieve_from_store(requests, path, letter_embedder)
     return citations.select("request_id", "rank", "chunk_id", "distance", "score", "source", "excerpt")
 
 
+def revised_documents(spark, sf_dir):
+    """All documents, the labelled ones changed."""
+    known = adapters.table(spark, sf_dir, "labels").select("doc_id", F.lit(" revised").alias("_end")).distinct()
+    joined = adapters.table(spark, sf_dir, "documents").join(known, "doc_id", "left")
+    return joined.withColumn("text", F.concat("text", F.coalesce("_end", F.lit(""))))
+
+
+@register("retrieve_after_update", f"""WITH {v.REQUESTS}, {_REVISED}{v.chunks('revised')},
+  stored AS (SELECT chunk_id, uri, text, {letters_sql('text')} AS e FROM chunks),
+  asked AS (SELECT request_id, {letters_sql(v.strip('query'))} AS e FROM requests WHERE {v.strip('query')} <> ''),
+  hits AS (SELECT request_id, chunk_id, uri, text, round(list_distance(a.e, s.e), 6) AS distance,
+    row_number() OVER (PARTITION BY request_id ORDER BY list_distance(a.e, s.e), chunk_id) AS rank
+    FROM asked a, stored s QUALIFY rank <= 5)
+  SELECT request_id, rank, chunk_id, distance, round(1.0 / (1.0 + distance * distance), 6) AS score, uri AS source,
+    substr(text, 1, 500) AS excerpt FROM hits""")
+def retrieve_after_update(spark, sf_dir):
+    """An index made of the labelled documents as they were; a later ingest changes those and adds the others, and
+    the store is merged. Retrieval opens the index as that ingest left it."""
+    path = new_folder(spark, "index")
+    ingestion.ingest_knowledge(versioned(labelled_documents(spark, sf_dir), F.col("text"), 1), path, letter_embedder)
+    knowledge_index.refresh_index(spark, path)
+    ingestion.ingest_knowledge(versioned(revised_documents(spark, sf_dir), F.col("text"), 2), path, letter_embedder)
+    chunk_store.merge_versions(spark, path)
+    return _citations(adapters.requests(spark, sf_dir), path)
+
+
+@register("merge_versions", f"""WITH {_REVISED}{v.chunks('revised', ', source')}
+  SELECT chunk_id, uri, source, ordinal, text, n_tokens, n_chunks FROM chunks""")
+def merge_versions(spark, sf_dir):
+    """Labelled documents, merged into a snapshot, then all, the labelled ones changed, merged again, then the first
+    ones once more: they are old by now, and read beside the snapshot."""
+    path = new_folder(spark, "store")
+    first = versioned(labelled_documents(spark, sf_dir), F.col("text"), 1)
+    for batch in (first, versioned(revised_documents(spark, sf_dir), F.col("text"), 2)):
+        ingestion.ingest_knowledge(batch, path, None)
+        chunk_store.merge_versions(spark, path)
+    chunk_store.append_rows(ingestion.version_rows(first, None), path)
+    return chunk_store.read_chunks(spark, path).select("chunk_id", "uri", "source", "ordinal", "text", "n_tokens", "n_chunks")
+
+
 @register("shape_citations", """
   SELECT doc_id, CASE lang WHEN 'en' THEN 's3://' || source || '/' || doc_id WHEN 'de' THEN 'WEB' ELSE 'knowledge-base' END AS source,
     substr(text, 1, 500) AS excerpt FROM documents""")

@@ -4,11 +4,22 @@ Every ingested document version is one header row (ordinal -1) and its chunk row
 content. Readers take the newest header of each document and the chunks with its content, so a changed
 document replaces its chunks, an older version that arrives late replaces nothing, and writing the same version
 twice changes nothing. Rows are partitioned by a hash of the document, and an ingest compares itself with the
-headers of the partitions it touches, never with the texts or ids of the store.
+headers of the partitions it touches, never with the texts or ids of the store. A null version is older than
+every other: it is stored for a new document and changes nothing of a known one. A document needs a uri; rows
+without one are no documents and are not stored.
+
+``merge_versions`` folds what was appended since the last merge into a snapshot: the headers and chunks of the
+newest versions only, partition by partition, those without news left where they are. A manifest, one file that
+appears at once, names the folder of each partition and the appended files that are in it. Readers take the newest
+manifest and the appended files it does not name, so they see the same rows before, during and after a merge, and
+a merge that dies leaves nothing that anybody reads. Files are only ever added.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, field
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +28,7 @@ BUCKETS = 64
 HEADER = -1
 #: Rows of batch ingests and of streams; a stream's sink shows only what its own log has committed.
 FOLDERS = ("rows", "stream")
+KEY = ["bucket", "uri", "content"]
 
 
 def bucket_of(uri: Column) -> Column:
@@ -27,20 +39,64 @@ def content_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
-    """All rows of all versions, or None for a store that does not exist yet."""
+def if_there(read, *args) -> DataFrame | None:
+    """What ``read`` gives, or None where nothing has been written yet."""
+    try:
+        return read(*args)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _union(parts: list[DataFrame]) -> DataFrame | None:
     found = None
-    for folder in FOLDERS:
-        try:
-            rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{folder}")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    for part in parts:
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
     return found
 
 
+@dataclass
+class Manifest:
+    """``folders``: the snapshot folder of each bucket; ``merged``: the appended files that are in it."""
+
+    number: int = 0
+    folders: dict[int, str] = field(default_factory=dict)
+    merged: list[str] = field(default_factory=list)
+
+
+def newest_manifest(spark: SparkSession, path: str) -> Manifest:
+    """The state readers start from; an empty one for a store without a merge. The driver holds the names of the
+    files, as it does to read them."""
+    written = if_there(spark.read.parquet, f"{path}/manifest")
+    if written is None:
+        return Manifest()
+    number = written.agg(F.max("number")).first()[0]
+    rows = written.filter(F.col("number") == number).select("bucket", "name").collect()
+    return Manifest(
+        number, {r.bucket: r.name for r in rows if r.bucket is not None}, [r.name for r in rows if r.bucket is None]
+    )
+
+
+def appended_rows(spark: SparkSession, path: str, manifest: Manifest) -> DataFrame | None:
+    """Rows that no merge has taken up, with the column ``file``; merged files are not opened."""
+    reader = spark.read.option("mergeSchema", "true")
+    parts = [if_there(reader.parquet, f"{path}/{folder}") for folder in FOLDERS]
+    return _union([
+        part.select("*", F.col("_metadata.file_path").alias("file")).filter(~F.col("_metadata.file_path").isin(manifest.merged))
+        for part in parts if part is not None
+    ])
+
+
+def snapshot_rows(spark: SparkSession, manifest: Manifest, kind: str) -> DataFrame | None:
+    """``kind``: headers (bucket, uri, version, content) or chunks of the newest merged versions."""
+    held: dict[str, list[int]] = {}
+    for bucket, folder in manifest.folders.items():
+        held.setdefault(folder, []).append(bucket)
+    parts = [(if_there(spark.read.parquet, f"{folder}/{kind}"), buckets) for folder, buckets in held.items()]
+    return _union([part.filter(F.col("bucket").isin(buckets)) for part, buckets in parts if part is not None])
+
+
 def newest_versions(rows: DataFrame) -> DataFrame:
     """One row (bucket, uri, version, content) per document."""
     newest = rows.filter(F.col("ordinal") == HEADER).groupBy("bucket", "uri").agg(
@@ -49,39 +105,111 @@ def newest_versions(rows: DataFrame) -> DataFrame:
     return newest.select("bucket", "uri", "_newest.version", "_newest.content")
 
 
+class Store:
+    """A store as one reader sees it: the newest manifest, and the files that were there when it was opened."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.manifest = newest_manifest(spark, path)
+        self.appended = appended_rows(spark, path, self.manifest)
+        self.headers = snapshot_rows(spark, self.manifest, "headers")
+        self.merged = snapshot_rows(spark, self.manifest, "chunks")
+
+    @property
+    def empty(self) -> bool:
+        return self.appended is None and self.headers is None
+
+    def versions(self, buckets: list[int] | None = None) -> DataFrame:
+        """One row (bucket, uri, version, content) per document, from headers alone."""
+        fresh, held = self.appended, self.headers
+        if buckets is not None:
+            fresh = fresh if fresh is None else fresh.filter(F.col("bucket").isin(buckets))
+            held = held if held is None else held.filter(F.col("bucket").isin(buckets))
+        if held is None:
+            return newest_versions(fresh)
+        if fresh is None:
+            return held.select("bucket", "uri", "version", "content")
+        both = held.withColumn("ordinal", F.lit(HEADER)).unionByName(fresh, allowMissingColumns=True)
+        return newest_versions(both)
+
+    def chunks(self) -> DataFrame:
+        """Chunk rows of every document's newest version with ``bucket`` and ``content``, each once. Only what was
+        appended since the last merge is compared and deduplicated."""
+        if self.appended is None:
+            return self.headers.select("bucket", "content").limit(0) if self.merged is None else self.merged
+        fresh = self.appended.filter(F.col("ordinal") != HEADER).drop("version", "file")
+        if self.headers is None:
+            return fresh.join(newest_versions(self.appended).select(*KEY), KEY, "left_semi").dropDuplicates([*KEY, "chunk_id"])
+        news = self.replaced()
+        added = fresh.join(news.select(*KEY), KEY, "left_semi").dropDuplicates([*KEY, "chunk_id"])
+        if self.merged is None:  # a snapshot of blank documents
+            return added
+        kept = self.merged.join(news.select("bucket", "uri"), ["bucket", "uri"], "left_anti")
+        return kept.unionByName(added, allowMissingColumns=True)
+
+    def replaced(self) -> DataFrame:
+        """Documents whose newest version is an appended one and says something else than the snapshot."""
+        old = self.headers.select("bucket", "uri", F.struct("version", "content").alias("_old"))
+        newest = newest_versions(self.appended).join(old, ["bucket", "uri"], "left")
+        newer = F.struct("version", "content") > F.col("_old")
+        return newest.filter(
+            F.col("_old").isNull() | (newer & (F.col("content") != F.col("_old.content")))
+        ).select(*KEY)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
     """The chunks of every document's newest version, each once; None for a store that does not exist."""
-    rows = stored_rows(spark, path)
-    if rows is None:
-        return None
-    key = ["bucket", "uri", "content"]
-    chunks = rows.filter(F.col("ordinal") != HEADER).drop("version")
-    current = chunks.join(newest_versions(rows).select(*key), key, "left_semi")
-    return current.dropDuplicates([*key, "chunk_id"]).drop("bucket", "content")
+    store = Store(spark, path)
+    return None if store.empty else store.chunks().drop("bucket", "content")
+
+
+def merge_versions(spark: SparkSession, path: str) -> int:
+    """Fold appended rows into the snapshot; returns the number of the manifest that now holds. Of two merges at
+    a time one fails when it writes its manifest, and the other counts."""
+    store = Store(spark, path)
+    news = [] if store.appended is None else store.appended.select("bucket", "file").distinct().collect()
+    if not news:
+        return store.manifest.number
+    touched = sorted({r.bucket for r in news})
+    folder = f"{path}/snapshots/{uuid.uuid4().hex}"
+    for kind, rows in (("headers", store.versions(touched)), ("chunks", store.chunks())):
+        own = rows.filter(F.col("bucket").isin(touched))
+        own.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{kind}")
+    folders = store.manifest.folders | dict.fromkeys(touched, folder)
+    files = store.manifest.merged + sorted({r.file for r in news})
+    rows = [(b, f) for b, f in sorted(folders.items())] + [(None, f) for f in files]
+    number = store.manifest.number + 1
+    spark.createDataFrame(rows, "bucket int, name string").coalesce(1).write.parquet(f"{path}/manifest/number={number}")
+    return number
 
 
 def changed_documents(documents: DataFrame, path: str) -> DataFrame:
     """The newest version of each of ``documents`` (uri, text, version, ...) that the store lacks.
 
-    ``content_known`` marks a version that is newer but says the same, which needs a header only.
+    ``content_known`` marks a version that is newer but says the same, which needs a header only;
+    ``old_content`` is what the store holds of the document, null for a new one. Versions are compared by id,
+    version and hash alone; texts are joined to what is left.
     """
     marked = documents.withColumn("content", content_of(F.col("text")))
-    newest = marked.groupBy("uri").agg(
-        F.max_by(F.struct(*[c for c in marked.columns if c != "uri"]), F.struct("version", "content")).alias("_d")
-    ).select("uri", "_d.*").withColumn("bucket", bucket_of(F.col("uri")))
-    rows = stored_rows(documents.sparkSession, path)
-    if rows is None:
-        return newest.withColumn("content_known", F.lit(False))
-    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    known = newest_versions(rows.filter(F.col("bucket").isin(touched))).select(
-        "bucket", "uri", F.col("version").alias("_version"), F.col("content").alias("_content")
-    )
-    newer = F.struct("version", "content") > F.struct(F.col("_version").alias("version"), F.col("_content").alias("content"))
-    return (
-        newest.join(known, ["bucket", "uri"], "left").filter(F.col("_content").isNull() | newer)
-        .withColumn("content_known", F.coalesce(F.col("content") == F.col("_content"), F.lit(False)))
-        .drop("_version", "_content")
+    newest = marked.groupBy("uri").agg(F.max(F.struct("version", "content")).alias("_n")).select(
+        "uri", "_n.version", "_n.content", bucket_of(F.col("uri")).alias("bucket")
     )
+    store = Store(documents.sparkSession, path)
+    if store.empty:
+        wanted = newest.withColumns({"content_known": F.lit(False), "old_content": F.lit(None).cast("string")})
+    else:
+        touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        known = store.versions(touched).select(
+            "bucket", "uri", F.col("version").alias("_version"), F.col("content").alias("old_content")
+        )
+        newer = F.struct("version", "content") > F.struct(F.col("_version").alias("version"), F.col("old_content").alias("content"))
+        wanted = (
+            newest.join(known, ["bucket", "uri"], "left").filter(F.col("old_content").isNull() | newer)
+            .withColumn("content_known", F.coalesce(F.col("content") == F.col("old_content"), F.lit(False))).drop("_version")
+        )
+    wanted = wanted.withColumnsRenamed({"version": "_v", "content": "_c"})
+    same = F.col("version").eqNullSafe(F.col("_v")) & (F.col("content") == F.col("_c"))
+    # equal rows of one version come down to one; both steps are dealt by uri
+    return marked.join(wanted, "uri").filter(same).drop("_v", "_c").dropDuplicates(["uri"])
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
