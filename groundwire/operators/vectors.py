@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from groundwire.config import MAX_RETRIEVAL_RESULTS
 from groundwire.plans.skew import salted_join
-from groundwire.plans.workspace import materialize, new_folder
+from groundwire.plans.workspace import materialize
 
 BLOCK_ROWS = 8192
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
@@ -203,13 +203,17 @@ class CellIndex:
     def build(
         cls, chunks: DataFrame, path: str | None = None, *, pivots: int | None = None, block_rows: int = BLOCK_ROWS
     ) -> CellIndex:
-        """Assign (chunk_id, embedding) to cells and write them below ``path``, or to the shared folder."""
+        """Assign (chunk_id, embedding) to cells. Below ``path`` everything that ``open`` needs is written; without it
+        the cells alone, to the shared folder, for one search."""
         spark = chunks.sparkSession
-        path = path or new_folder(spark, "vector-cells")
         stored = _stored(chunks)
         chosen = choose_pivots(stored, pivots_for(stored.count()) if pivots is None else pivots)
+        assigned = assign_cells(_limit_copies(stored), chosen)
+        if path is None:
+            rows = materialize(assigned, "vector-cells")
+            return cls(rows, chosen, summarize_cells(rows), block_rows)
+        assigned.write.parquet(f"{path}/rows")
         pivot_rows(spark, chosen).coalesce(1).write.parquet(f"{path}/pivots")
-        assign_cells(_limit_copies(stored), chosen).write.parquet(f"{path}/rows")
         summarize_cells(spark.read.parquet(f"{path}/rows")).write.parquet(f"{path}/summary")
         return cls.open(spark, path, block_rows=block_rows)
 
