@@ -105,23 +105,45 @@ def op3_language(spark, sf_dir):
     return predicted.select("doc_id", "held_out", "lang_pred", "score", "mixture")
 
 
-@register("op8_warc")
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), digests AS (
+  SELECT *, octet_length(payload) AS bytes, sha1(payload) AS hex FROM payloads
+)
+SELECT page_id, bytes AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (n // 4), 5) AS BIGINT) >> CAST(15 - 5 * (n % 4) AS INTEGER)) & 31 AS BIGINT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests
+"""
+
+
+@register("op8_warc", WARC_SQL)
 def op8_warc(spark, sf_dir):
-    """Every page written to WARC files and read back as one capture."""
+    """Every page written to WARC files and read back as one capture; what is said of a revisit's payload is what
+    was measured of the response that it refers to."""
     path = new_folder(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = materialize(warc.read(spark, path).drop("payload"), "warc-records")  # parsed once, joined thrice
-    read = warc.captures(records)
-
-    def number(name: str):
-        return F.expr(f"try_cast(metadata.fields['{name}'] AS bigint)")
-
-    revisit = F.col("response.record_type") == "revisit"
-    return read.select(
-        number("page-id").alias("page_id"), number("payload-length").alias("payload_bytes"),
-        F.substring_index("response.payload_digest", ":", -1).alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        F.when(revisit, number("first-page-id")).alias("refers_to"),
+    return warc_rows(warc.read(spark, path))
+
+
+def warc_rows(records):
+    """Digest columns of the captures among ``records``."""
+    read = materialize(warc.captures(materialize(records.drop("payload"), "warc-records")), "warc-captures")
+
+    def page(fields: str):
+        return F.expr(f"try_cast({fields}['page-id'] AS bigint)")
+
+    def known(name: str):
+        return F.when(F.col("response.record_type") == "revisit", F.col(f"original.{name}")).otherwise(F.col(f"response.{name}"))
+
+    return warc.with_originals(read).select(
+        page("metadata.fields").alias("page_id"), known("payload_bytes").alias("payload_bytes"),
+        F.substring_index(known("payload_digest"), ":", -1).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), page("original.fields").alias("refers_to"),
     )
 
 
@@ -139,7 +161,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))
               + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 24) AS BIGINT)
-         AS formatted_chars
+         AS formatted_chars, false AS rewritten
 FROM turns GROUP BY conv_id
 """
 
@@ -152,7 +174,7 @@ def op5_chat(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"),
     )
-    return chat.digests(chat.format_turns(turns.unionByName(probe))).drop("rewritten")
+    return chat.digests(chat.format_turns(turns.unionByName(probe)))
 
 
 LINK_SQL = """

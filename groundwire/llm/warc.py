@@ -3,8 +3,10 @@
 Each capture is a transaction of three records: a request, a response (or a revisit, where an earlier page has
 the same payload) and a metadata record, tied to the response by WARC-Concurrent-To. Spark's text writer puts
 the records into gzipped files in the shared folder, so a lost executor's file is written anew and never half
-there. Reading parses each file as a stream, record by record by Content-Length, and joins the records of a
-transaction through their concurrent-to identifiers, in whichever direction these point.
+there. Files hold at most FILE_BYTES of pages, a larger page alone more, since a task reads a file at once. Reading
+parses each file record by record by Content-Length, measures payloads, and joins the records of a transaction
+through their concurrent-to identifiers, in whichever direction these point. A revisit's payload is that of the
+record its refers-to identifier names, found by a join; where there is no such response, nothing is known of it.
 
 Defined cases: null html is the empty payload; a null page_id counts after all others and reads back as null;
 control characters and blanks of a url are percent-encoded, a null url has no target; rows equal in page_id, url
@@ -22,7 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwire.plans.skew import salted_join
+
 END = "\r\n\r\n"
+FILE_BYTES = 128 << 20
+#: Pages up to this many bytes share files.
+SMALL_PAGE = 256 << 10
 RECORD = (
     "record_id string, record_type string, concurrent_to array<string>, refers_to string, target string, date string, "
     "payload_digest string, payload string, payload_bytes long, fields map<string,string>"
@@ -111,21 +118,29 @@ def with_records(pages: DataFrame, date: str) -> DataFrame:
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", ids["metadata"]), when, target,
          ("WARC-Concurrent-To", ids["response"]), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(
-            F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-length: "),
-            F.octet_length("html").cast("string"), F.lit("\r\nfirst-page-id: "),
-            F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.lit("\r\n"),
+            F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"),
         ),
     )
     records = F.concat_ws(END, request, F.when(response, whole).otherwise(revisit), metadata)
     return placed.select("page_id", records.alias("records"))
 
 
-def write(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:00Z", per_file: int = 5_000) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped WARC files of at most ``per_file`` captures."""
-    (
-        with_records(pages, date).select("records").write.option("lineSep", END).option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file).text(path)
-    )
+def write(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write ``pages`` (page_id, url, html) as gzipped WARC files of at most FILE_BYTES of pages, but for larger
+    ones, which have a file each."""
+    size = F.octet_length(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    records = with_records(pages, date)
+    large = F.octet_length("records") > SMALL_PAGE + 4096
+
+    def put(some: DataFrame, per_file: int) -> None:
+        some.select("records").write.mode("append").option("lineSep", END).option("compression", "gzip").option(
+            "maxRecordsPerFile", per_file
+        ).text(path)
+
+    put(records if largest <= SMALL_PAGE else records.filter(~large), FILE_BYTES // SMALL_PAGE)
+    if largest > SMALL_PAGE:
+        put(records.filter(large), 1)
 
 
 def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -244,3 +259,16 @@ def captures(records: DataFrame) -> DataFrame:
         metadata, F.col("capture_id") == F.col("of_metadata"), "left"
     )
     return joined.select("capture_id", "response", "request", "metadata")
+
+
+def with_originals(read: DataFrame) -> DataFrame:
+    """Add ``original`` to captures: of a revisit, the capture that its record refers to (capture_id, payload_bytes,
+    payload_digest as measured, fields of its metadata), null where that is missing or no response itself."""
+    wanted = read.filter("response.record_type = 'revisit'").select(F.col("response.refers_to").alias("_ref")).distinct()
+    known = read.filter("response.record_type = 'response'").select(
+        F.col("capture_id").alias("_ref"),
+        F.struct("capture_id", "response.payload_bytes", "response.payload_digest", "metadata.fields").alias("original"),
+    ).join(wanted, "_ref", "left_semi")
+    # one payload may have very many revisits, hence the salt
+    marked = read.withColumn("_ref", F.when(F.col("response.record_type") == "revisit", F.col("response.refers_to")))
+    return salted_join(marked, known, ["_ref"], [F.col("capture_id")]).drop("_ref")

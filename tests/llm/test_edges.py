@@ -138,6 +138,10 @@ def test_warc(spark, tmp_path):
     assert got["1"].request.target == got["1"].response.target == "http://a%20b%0D%0A" and got["5"].request.target is None
     digest = base64.b32encode(hashlib.sha1(rows[5][2].encode()).digest()).decode()
     assert got["1"].response.payload_digest == got["0"].response.payload_digest == f"sha1:{digest}"
+    marked = {r.metadata["fields"]["page-id"]: r.original for r in warc.with_originals(read).collect()}
+    assert {k for k, o in marked.items() if o} == {"", "1", "5"}
+    assert (marked["1"].capture_id, marked["1"].payload_bytes) == (got["0"].capture_id, len(rows[5][2]))
+    assert marked["1"].fields["page-id"] == "0" and marked[""].payload_bytes == 0
     warc.write(pages.limit(0), str(tmp_path / "e"))
     assert warc.captures(warc.read(spark, str(tmp_path / "e"))).collect() == []
 
@@ -179,3 +183,30 @@ def test_running_total_and_components(spark):
     assert {r.node: r.component for r in found} == {**{n: 0 for n in range(301)}, **{n: 1000 for n in range(1000, 1401)}}
     assert common.components(chain.limit(0), "a", "b").collect() == []
     assert json.dumps(public_tokenizers.PATTERN)
+
+
+def test_broken_references_give_nothing(spark, tmp_path):
+    """Rows come from the records: a revisit whose reference leads nowhere has neither page nor payload."""
+    from groundwire.llm.queries import warc_rows
+
+    pages = spark.createDataFrame([(1, "a", "same"), (2, "b", "same"), (3, "c", "other")], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    records = warc.read(spark, str(tmp_path / "w"))
+    columns = ("page_id", "record_type", "payload_bytes", "refers_to")
+    assert rows_by(warc_rows(records), *columns) == [(1, "response", 4, None), (2, "revisit", 4, 1), (3, "response", 5, None)]
+    for broken in (F.lit("<urn:uuid:none>"), F.lit(None).cast("string")):
+        odd = records.withColumn("refers_to", F.when(F.col("refers_to").isNotNull(), broken))
+        got = rows_by(warc_rows(odd), *columns, "payload_digest")
+        assert [r[:4] for r in got] == [(1, "response", 4, None), (2, "revisit", None, None), (3, "response", 5, None)]
+        assert got[1][4] is None
+    lost = records.filter("NOT (record_type = 'response' AND target = 'a')")
+    assert rows_by(warc_rows(lost), *columns) == [(2, "revisit", None, None), (3, "response", 5, None)]
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAGE", 1000)
+    rows = [(n, f"u{n}", "x" * (9000 + n) if n % 4 == 0 else f"page {n}") for n in range(40)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    read = warc.captures(warc.read(spark, str(tmp_path / "w")))
+    assert {int(r.metadata["fields"]["page-id"]): r.response.payload for r in read.collect()} == {n: html for n, _, html in rows}
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 11

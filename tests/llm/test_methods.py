@@ -40,6 +40,41 @@ def test_spans_of_an_unknown_template(spark):
             assert [p.start for p in parts] == [len("".join(q.segment for q in parts[:n])) for n in range(4)]
 
 
+def conversation(n):
+    return [(("user", "assistant")[k % 2], f"text {k} <|im_end|> \\ <think>{k}</think>") for k in range(n)]
+
+
+def test_the_query_path_finds_rewritten_history(spark):
+    """With the declaration of the query's template, and in conversations long and short."""
+    def forgetful(turns):
+        last = len(turns) - 1
+        return chat._marked([(r, t if n == last else t.split("<think>")[0]) for n, (r, t) in enumerate(turns)])
+
+    honest = chat.digests(chat.format_turns(rows_of(spark, conversation(70)))).first()
+    assert not honest.rewritten and honest.formatted_chars == len(chat._marked(conversation(70)))
+    template = chat.Template(forgetful, chat.unescape, lookback=chat.CHATML.lookback)
+    for n in (2, 70):
+        segments = chat.format_turns(rows_of(spark, conversation(n)), template).orderBy("position").collect()
+        assert all(s.rewritten for s in segments[1:]) and not segments[0].rewritten
+        assert chat.digests(chat.format_turns(rows_of(spark, conversation(n)), template), template).first().rewritten
+
+
+def test_a_declared_lookback_is_checked(spark, monkeypatch):
+    """A template that changes its first turn when there are 40 of them, far beyond what it declares."""
+    def late(turns):
+        return "".join(f"[{r}]{t}{'!' if n == 0 and len(turns) >= 40 else ''}\n" for n, (r, t) in enumerate(turns))
+
+    template = chat.Template(late, lookback=1)
+    segments = chat.format_turns(rows_of(spark, conversation(70)), template).orderBy("position").collect()
+    assert [s.position for s in segments if s.rewritten] == [63]
+    assert segments[63].segment == late(conversation(64))
+    assert chat.digests(chat.format_turns(rows_of(spark, conversation(70)), template), template).first().rewritten
+    # a conversation too long to be held is compared with its last turns only
+    monkeypatch.setattr(chat, "WHOLE_CHARS", 200)
+    state = chat._Rendering(template)
+    assert not any(state.add(turn)[-1] for turn in conversation(70)) and len(state.turns) == 1
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<|\\aim_end>\n", max_size=30))
 def test_escapes_are_reversible_and_hide_control_strings(text):
