@@ -264,11 +264,14 @@ def captures(records: DataFrame) -> DataFrame:
 def with_originals(read: DataFrame) -> DataFrame:
     """Add ``original`` to captures: of a revisit, the capture that its record refers to (capture_id, payload_bytes,
     payload_digest as measured, fields of its metadata), null where that is missing or no response itself."""
-    wanted = read.filter("response.record_type = 'revisit'").select(F.col("response.refers_to").alias("_ref")).distinct()
+    revisit = F.col("response.record_type") == "revisit"
     known = read.filter("response.record_type = 'response'").select(
         F.col("capture_id").alias("_ref"),
         F.struct("capture_id", "response.payload_bytes", "response.payload_digest", "metadata.fields").alias("original"),
-    ).join(wanted, "_ref", "left_semi")
-    # one payload may have very many revisits, hence the salt
-    marked = read.withColumn("_ref", F.when(F.col("response.record_type") == "revisit", F.col("response.refers_to")))
-    return salted_join(marked, known, ["_ref"], [F.col("capture_id")]).drop("_ref")
+    )
+    pairs = read.filter(revisit).withColumn("_ref", F.col("response.refers_to"))
+    known = known.join(pairs.select("_ref").distinct(), "_ref", "left_semi")
+    # one payload may have very many revisits, hence the salt; responses need no partner
+    found = salted_join(pairs, known, ["_ref"], [F.col("capture_id")]).drop("_ref")
+    others = read.filter(~revisit).withColumn("original", F.lit(None).cast(found.schema["original"].dataType))
+    return found.unionByName(others)
