@@ -1,17 +1,27 @@
-"""Near-duplicate embeddings by exact comparison of the clusters that can hold links.
-
-Equal vectors form one class, only its smallest goes on. Pivots (at most PIVOTS in all, a hash sample, shared
-among labels by size) cut each label into clusters: the nearest pivot is a vector's home. A vector a with home p
-can only be linked to a vector at home in q if the half-space nearer to q is within the link angle of a, that is
-a.(p - q) <= sin(angle) |p - q|. Every vector visits its home and all clusters of higher number that pass; links
-of a visitor count for both ends. So each pair within the angle meets, whatever the sample of pivots. Clusters
-above ``cap`` are dealt by hash into shards and their visitors into blocks, so a task compares about cap vectors
-with cap visitors, in double precision, however dense a cluster is.
-
-An audit compares a sample of vectors, more where it holds few links, with all others and reports the mean of
-their recalls, null where the sample holds no link. It steers nothing.
-
-Tasks return one row per vector with its number of links and its component within the shard, never the pairs.
+"""Near-duplicate embeddings through a robust-pruned flat graph.
+
+Equal vectors form one class, only its smallest goes on. Pivots (at most PIVOTS in all, a hash sample that lies apart,
+shared among labels by size, as many as leave the fewest pairs) cut each label into clusters: the nearest pivot is a
+vector's home. A vector a with home
+p can only be linked to a vector at home in q if the half-space nearer to q is within the link angle of a, that is
+a.(p - q) <= sin(angle) |p - q|. A vector also belongs to every cluster of higher number that passes, so clusters
+overlap and each linked pair is together in the cluster of the higher home, whatever the sample. Clusters above twice
+``cap`` are dealt by hash into parts, and every two parts make a shard, so a pair is never apart.
+
+1. Build. In each shard a vector's list is pruned: its nearest candidate stays and rules out those that it is nearer
+   to (``alpha`` times) than the vector itself. The list is not cut at a length.
+2. Unite. The lists that a vector has in its shards are joined to one: the flat graph, a written table.
+3. Search. For each vector of a shard, a greedy walk over the united lists starts at the shard's medoid. For any two
+   vectors that are not neighbours one's list holds a third one nearer to the other, so the walk ends at the vector
+   itself; and there is a path from it to each partner that only comes nearer, on which no vector is further from
+   it than twice the link distance. So a search that expands everything within that range meets every partner.
+4. Verify. What a search met is compared in double precision. A link counts in the cluster that is home to one of
+   its ends, and in one shard only.
+5. Audit. A sample of vectors, more where it holds few links, is compared with all others; the mean of their recalls
+   is returned, null where the sample holds no link.
+
+Tasks return one row per vector with its number of links and its component within the shard, never the pairs. A shard
+has at most 2 ``cap`` vectors, and its distances take 4 bytes a pair.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without
 label or vec_id, have no links; only vectors of one length are compared; rows that share a vec_id are one
@@ -35,9 +45,10 @@ from groundwire.plans.workspace import materialize
 
 PIVOTS, AUDIT, AUDIT_MOST, AUDIT_LINKS = 4096, 500, 2000, 100
 SLICE = 1000
-BEAM = 32
+#: How far single precision may be off in a distance between unit vectors, for all steps of a path together.
+LOOSE = 4e-3
 SPACE = ["label", "dim"]
-GROUP = [*SPACE, "cluster", "shard"]
+GROUP = [*SPACE, "cluster", "i", "j"]
 
 
 def _unit(vectors) -> np.ndarray:
@@ -74,8 +85,31 @@ def apart(unit: np.ndarray, threshold: float) -> np.ndarray:
     return kept[:n]
 
 
+def opened(near: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, from its products with the pivots, and the clusters that may hold its partners."""
+    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
+    homes = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots[homes] @ pivots.T)))
+    return homes, near[np.arange(len(near)), homes][:, None] - near <= (reach * (apart + 1e-6) + 1e-9)
+
+
+def fewest_pairs(pivots: np.ndarray, sample: np.ndarray, threshold: float) -> int:
+    """How many of the pivots to use. More of them make clusters smaller but leave more of them open to a vector;
+    k clusters of n (1 + visits) / k vectors hold about n^2 (1 + visits)^2 / k pairs, with the visits of the sample."""
+    best, fewest = 1, 1.0
+    k = 2
+    while k <= len(pivots) and len(sample):
+        homes, open_ = opened(sample @ pivots[:k].T, pivots[:k], threshold)
+        visits = (open_ & (np.arange(k) > homes[:, None])).sum(axis=1).mean()
+        if (1 + visits) ** 2 / k < fewest:
+            best, fewest = k, (1 + visits) ** 2 / k
+        k = len(pivots) if k < len(pivots) < 2 * k else 2 * k
+    return best
+
+
 def _pivots(classes: DataFrame, target: int, threshold: float) -> dict:
-    """Per (label, dim): unit pivots that lie apart, enough for clusters of ``target`` and at most PIVOTS in all."""
+    """Per (label, dim): unit pivots that lie apart, at most enough for clusters of ``target`` and PIVOTS in all.
+    Twice as many rows come to the driver; the second half says how many pivots are worth using."""
     sizes = classes.groupBy(*SPACE).agg(F.count("*").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = F.floor(F.col("size") * PIVOTS / F.lit(max(1, total)))
@@ -83,22 +117,25 @@ def _pivots(classes: DataFrame, target: int, threshold: float) -> dict:
     place = F.xxhash64(F.lit(10), "node")
     some = classes.join(wanted, SPACE).withColumn("at", F.row_number().over(W.partitionBy(*SPACE).orderBy(place, "node")))
     held: dict = {}
-    for row in some.filter("at <= k").select(*SPACE, "at", "embedding").orderBy("at").toLocalIterator():
-        held.setdefault((row.label, row.dim), []).append(row.embedding)
-    return {space: apart(_unit(rows), threshold) for space, rows in held.items()}
+    for row in some.filter(F.col("at") <= 2 * F.col("k")).select(*SPACE, "k", "at", "embedding").orderBy("at").toLocalIterator():
+        held.setdefault((row.label, row.dim), ([], []))[row.at > row.k].append(row.embedding)
+    chosen = {}
+    for space, (first, second) in held.items():
+        pivots = apart(_unit(first), threshold)
+        pivots = pivots[: fewest_pairs(pivots, _unit(second) if second else pivots[:0], threshold)]
+        if len(pivots) > 1:
+            chosen[space] = pivots
+    return chosen
 
 
 def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
     """Each class once for each cluster it visits: columns of SPACE, cluster, home, node, m, embedding."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
 
     def visits(vectors: list, own: np.ndarray) -> Iterator[list]:
         for begin in range(0, len(vectors), SLICE):
             near = _unit(vectors[begin : begin + SLICE]) @ own.T
-            homes = near.argmax(axis=1)
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (own[homes] @ own.T)))
-            open_ = near[np.arange(len(near)), homes][:, None] - near <= (reach * (apart + 1e-6) + 1e-9)
+            homes, open_ = opened(near, own, threshold)
             for home, row in zip(homes.tolist(), open_):
                 yield [home, *(home + 1 + np.flatnonzero(row[home + 1 :])).tolist()]
 
@@ -118,96 +155,135 @@ def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
     return spread.withColumn("home", F.col("rank") == 0).drop("rank")
 
 
-def prune(distance: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust-pruned neighbours of all points at once, -1 where a list is shorter than ``degree``: the nearest
-    candidate stays and rules out those it is ``alpha`` times nearer to than the point itself."""
+def distances(unit: np.ndarray) -> np.ndarray:
+    """Between all unit vectors, in single precision, the same in both directions."""
+    near = (unit @ unit.T).astype("f4")
+    near = np.minimum(near, near.T)
+    return np.sqrt(np.maximum(0, 2 - 2 * near))
+
+
+def prune(distance: np.ndarray, alpha: float = 1.0) -> list[np.ndarray]:
+    """The pruned list of every point: the nearest candidate stays and rules out those that are more than ``alpha``
+    times as near to it as to the point; and so on with the next until none is left."""
     n = len(distance)
     open_ = distance.copy()
     np.fill_diagonal(open_, np.inf)
-    lists = np.full((n, degree), -1)
-    for turn in range(min(degree, n - 1)):
+    rows, lists = np.arange(n), [[] for _ in range(n)]
+    while True:
         pick = open_.argmin(axis=1)
-        valid = np.isfinite(open_[np.arange(n), pick])
-        lists[valid, turn] = pick[valid]
-        open_[alpha * distance[pick] <= distance] = np.inf
-        open_[np.arange(n), pick] = np.inf
-    return lists
-
-
-def search(queries: np.ndarray, own: np.ndarray, unit: np.ndarray, lists: list, floor: float) -> Iterator[np.ndarray]:
-    """For each query the points visited: greedy from the medoid and from the query's ``own`` point (-1 if it has
-    none here), expanding the BEAM nearest and everything nearer than ``floor``."""
-    medoid = int((unit @ unit.mean(axis=0)).argmax())
-    for query, self_at in zip(queries, own):
-        near = np.full(len(unit), -np.inf, "f4")
-        expanded = np.zeros(len(unit), bool)
-        starts = np.array([medoid] if self_at < 0 else [medoid, self_at])
-        near[starts] = unit[starts] @ query
-        while True:
-            beam = np.argpartition(-near, min(BEAM, len(near) - 1))[:BEAM]
-            reach = np.union1d(beam[np.isfinite(near[beam])], np.flatnonzero(near >= floor))
-            reach = reach[~expanded[reach]]
-            if not len(reach):
-                break
-            expanded[reach] = True
-            met = np.unique(np.concatenate([lists[n] for n in reach]))
-            met = met[np.isinf(near[met])]
-            near[met] = unit[met] @ query
-        yield np.flatnonzero(np.isfinite(near))
+        left = np.isfinite(open_[np.arange(len(rows)), pick])
+        if not left.all():
+            rows, pick, open_ = rows[left], pick[left], open_[left]
+        if not len(rows):
+            return [np.array(own, "i4") for own in lists]
+        for row, at in zip(rows.tolist(), pick.tolist()):
+            lists[row].append(at)
+        open_[alpha * distance[pick] < distance[rows]] = np.inf
+        open_[np.arange(len(rows)), pick] = np.inf
+
+
+def medoid(unit: np.ndarray) -> int:
+    return int((unit @ unit.mean(axis=0)).argmax())
+
+
+def search(unit: np.ndarray, lists: list[np.ndarray], start: int, at: int, reach: float) -> tuple[np.ndarray, int]:
+    """The points that a search for point ``at`` meets, and how many the walk passed: greedily from ``start`` until
+    no neighbour is nearer, then through everything within ``reach``."""
+    query = unit[at]
+    here, near, steps = start, np.inf, 0
+    while here != at:
+        found = lists[here]
+        away = np.square(unit[found] - query).sum(axis=1)
+        best = away.argmin()
+        if not away[best] < near:
+            here = at  # neighbours as near as rounding can tell; the point itself is in the shard
+            break
+        here, near, steps = int(found[best]), away[best], steps + 1
+    met = np.zeros(len(unit), bool)
+    met[here] = True
+    edge = np.array([here])
+    while len(edge):
+        new = np.unique(np.concatenate([lists[n] for n in edge]))
+        new = new[~met[new]]
+        met[new] = True
+        away = np.square(unit[new] - query).sum(axis=1)
+        edge = new[away <= reach * reach]
+    met[at] = False
+    return np.flatnonzero(met), steps
+
+
+def _listed(alpha: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = pdf["node"].to_numpy()
+        lists = prune(distances(_unit(pdf["embedding"])), alpha)
+        return pd.DataFrame({"node": nodes, "list": [nodes[own] for own in lists]})
+
+    return run
 
 
-def _comparer(threshold: float):
+def _searched(threshold: float):
+    reach = 2 * np.sqrt(2 - 2 * threshold) + LOOSE
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = pdf[~pdf["asks"]].sort_values("node")
-        asking = pdf[pdf["asks"]].sort_values("node")
-        empty = pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-        if members.empty or asking.empty:
-            return empty
-        nodes, ids, home = members["node"].to_numpy(), asking["node"].to_numpy(), asking["home"].to_numpy(bool)
-        hits = _unit(asking["embedding"]) @ _unit(members["embedding"]).T >= threshold
-        hits &= ids[:, None] != nodes
-        rows, columns = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
-        if not len(rows):
-            return empty
-        hits, ids, nodes, home = hits[np.ix_(rows, columns)], ids[rows], nodes[columns], home[rows]
-        weight, other = members["m"].to_numpy()[columns], asking["m"].to_numpy()[rows]
-        root, low = ids.copy(), nodes.copy()
-        top = np.iinfo("i8").max
+        unit = _unit(pdf["embedding"])
+        nodes, weight, home, part = (pdf[c].to_numpy() for c in ("node", "m", "home", "part"))
+        i, j, parts = (int(pdf[c].iloc[0]) for c in ("i", "j", "parts"))
+        order = np.argsort(nodes)
+        lists = []
+        for united in pdf["list"]:  # of the united list what is in this shard
+            place = np.searchsorted(nodes, united, sorter=order)
+            place = order[np.minimum(place, len(order) - 1)]
+            lists.append(place[nodes[place] == united])
+        start, a, b = medoid(unit), [], []
+        for at in range(len(unit)):
+            met, _ = search(unit, lists, start, at, reach)
+            met = met[np.einsum("ij,j->i", unit[met], unit[at]) >= threshold]
+            a.append(np.full(len(met), at))
+            b.append(met)
+        a, b = np.concatenate([*a, np.empty(0, int)]).astype(int), np.concatenate([*b, np.empty(0, int)]).astype(int)
+        # a pair within a part is in all shards of the part and counts in the one with the next part
+        once = (part[a] != part[b]) | (i == j)
+        if j == i + 1:
+            once |= (part[a] == i) | (j == parts - 1)
+        counts = (home[a] | home[b]) & once
+        links = np.bincount(a[counts], weight[b[counts]], len(unit)).astype("i8")
+        root = nodes.copy()
         while True:
-            met = np.minimum(root, np.where(hits, low, top).min(axis=1))
-            back = np.minimum(low, np.where(hits, met[:, None], top).min(axis=0))
-            if (met == root).all() and (back == low).all():
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            if (low == root).all():
                 break
-            root, low = met, back
-        return pd.concat([
-            pd.DataFrame({"node": ids, "links": hits @ weight, "root": root}),
-            pd.DataFrame({"node": nodes, "links": np.where(home, 0, other) @ hits, "root": low}),
-        ]).astype("int64")
+            root = low
+        told = np.unique(a)
+        return pd.DataFrame({"node": nodes[told], "links": links[told], "root": root[told]}).astype("int64")
 
     return run
 
 
-def _found(classes: DataFrame, pivots: dict, cap: int, threshold: float) -> DataFrame:
-    """Rows (node, links, root): parts of a class's number of linked vectors, and edges to a smaller one."""
+def _sharded(classes: DataFrame, pivots: dict, cap: int, threshold: float) -> DataFrame:
+    """Each class once for each shard it is in: columns of GROUP, node, m, embedding, home, part, parts. Written,
+    since building and searching both deal it."""
     assigned = materialize(_assigned(classes, pivots, threshold), "vector-clusters")
     cluster = [*SPACE, "cluster"]
-    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("asking"), F.sum(F.col("home").cast("long")).alias("size"))
-    sizes = sizes.filter("size > 0").select(
-        *cluster, F.ceil(F.col("size") / cap).cast("int").alias("shards"), F.ceil(F.col("asking") / cap).cast("int").alias("blocks")
+    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("size"), F.bool_or("home").alias("lived"))
+    parts = F.when(F.col("size") <= 2 * cap, 1).otherwise(F.ceil(F.col("size") / cap)).cast("int")
+    placed = assigned.join(sizes.filter("lived AND size > 1").select(*cluster, parts.alias("parts")), cluster)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1))
+    dealt = placed.withColumn("_o", F.explode(others))
+    return dealt.select(
+        *cluster, F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "node", "m", "embedding", "home", "part", "parts"
     )
-    placed = assigned.join(sizes, cluster)
-    columns = [*GROUP, "block", "node", "m", "embedding", "home"]
 
-    def own(salt: int, n: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
 
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    members = placed.filter("home").withColumn("shard", own(1, "shards")).withColumn("block", every("blocks"))
-    asking = placed.withColumn("block", own(2, "blocks")).withColumn("shard", every("shards"))
-    both = members.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
-    return both.groupBy(*GROUP, "block").applyInPandas(_comparer(threshold), "node long, links long, root long")
+def _found(classes: DataFrame, pivots: dict, cap: int, threshold: float, alpha: float) -> DataFrame:
+    """Rows (node, links, root): parts of a class's number of linked vectors, and edges to a smaller one."""
+    sharded = _sharded(classes, pivots, cap, threshold)
+    lists = sharded.select(*GROUP, "node", "embedding").groupBy(*GROUP).applyInPandas(_listed(alpha), "node long, list array<long>")
+    united = materialize(
+        lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list")), "vector-graph"
+    )
+    return sharded.join(united, "node").groupBy(*GROUP).applyInPandas(_searched(threshold), "node long, links long, root long")
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float | None:
@@ -256,14 +332,16 @@ def _true_links(classes: DataFrame, size: int, threshold: float) -> dict[int, in
 
 def near_duplicates(
     vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
-    threshold: float = 0.98, overlap: int = 3, target: int = 500, cap: int = 2048, recall: float = 0.99,
+    threshold: float = 0.98, target: int = 500, cap: int = 1024, alpha: float = 1.0,
 ) -> DataFrame:
-    """Columns vec_id, n_links, component_id, kept, audit_recall: one row per row of ``vectors``. ``overlap`` and
-    ``recall`` belonged to an approximate search and change nothing."""
+    """Columns vec_id, n_links, component_id, kept, audit_recall: one row per row of ``vectors``. ``target``: vectors
+    wanted at home in a cluster; ``alpha``: 1 for the shortest lists, more for longer ones and shorter walks."""
+    if alpha < 1:
+        raise ValueError("alpha must be 1 or more")
     rows, classes = _classes(vectors, vec_id, embedding, label)
     classes = materialize(classes, "vector-classes")
     pivots = _pivots(classes, target, threshold)
-    found = materialize(_found(classes, pivots, cap, threshold), "vector-links")
+    found = materialize(_found(classes, pivots, cap, threshold, alpha), "vector-links")
     reached = _audit(classes, found, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found, "node", "root").withColumnRenamed("component", "low")

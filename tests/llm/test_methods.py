@@ -120,15 +120,25 @@ def test_mixtures_are_told_apart():
 def test_pruned_lists_and_search_find_all_near_vectors():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(300, 16))
-    unit = vector_links._unit(list(np.vstack([base, base[:60] + rng.normal(scale=0.02, size=(60, 16))])))
-    distance = np.sqrt(np.maximum(0, 2 - 2 * unit @ unit.T))
-    lists = vector_links.prune(distance, 16, 1.2)
-    for n, own in enumerate(lists):
-        own = own[own >= 0]
-        assert n not in own and len(set(own)) == len(own) and own[0] == np.argsort(distance[n] + 9 * (np.arange(360) == n))[0]
-    found = list(vector_links.search(unit.astype("f4"), np.arange(360), unit.astype("f4"), [x[x >= 0] for x in lists], 0.96))
+    chain = base[0] + np.linspace(0.03, 1.2, 40)[:, None] * base[1]  # a line of near vectors, where paths are long
+    unit = vector_links._unit(list(np.vstack([base, base[:60] + rng.normal(scale=0.02, size=(60, 16)), chain])))
+    distance = vector_links.distances(unit)
+    assert (distance == distance.T).all()
+    reach = 2 * np.sqrt(2 - 2 * 0.98) + vector_links.LOOSE
     near = unit @ unit.T >= 0.98
-    assert all(set(np.flatnonzero(near[n])) <= set(found[n]) for n in range(360))
+    np.fill_diagonal(near, False)
+    for alpha in (1.0, 1.2):
+        lists = vector_links.prune(distance, alpha)
+        for n, own in enumerate(lists):
+            assert n not in own and len(set(own)) == len(own) and own[0] == np.argsort(distance[n] + 9 * (np.arange(400) == n))[0]
+            # every other point is in the list or nearer to one of it
+            assert ((alpha * distance[own].min(axis=0) < distance[n]) | np.isin(np.arange(400), own) | (np.arange(400) == n)).all()
+        start, met = vector_links.medoid(unit), 0
+        for n in range(400):
+            found, steps = vector_links.search(unit, lists, start, n, reach)
+            assert set(np.flatnonzero(near[n])) <= set(found) and n not in found and steps <= 45
+            met += len(found)
+        assert met < 0.5 * 400 * 399  # most pairs are never met
 
 
 def test_dense_groups_split_over_shards_and_blocks_count_right(spark):
@@ -137,10 +147,10 @@ def test_dense_groups_split_over_shards_and_blocks_count_right(spark):
     rows = [(n, (centre + rng.normal(scale=0.02, size=8)).tolist(), 1) for n in range(200)]
     rows += [(200 + n, rng.normal(size=8).tolist(), 1) for n in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = vector_links.near_duplicates(df, target=40, cap=25, overlap=2).toPandas().set_index("vec_id")
+    got = vector_links.near_duplicates(df, target=40, cap=25).toPandas().set_index("vec_id")
     unit = vector_links._unit([np.float32(v) for _, v, _ in rows])
     true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
-    assert got.audit_recall.iloc[0] >= 0.99 and (got.n_links.sort_index().to_numpy() == true).mean() > 0.98
+    assert got.audit_recall.iloc[0] == 1 and (got.n_links.sort_index().to_numpy() == true).all()
 
 
 def test_every_pair_of_a_list_is_compared_once(spark):
@@ -185,15 +195,38 @@ def test_rare_links_between_many_clusters_are_all_found(spark):
     near = base[:60] + rng.normal(scale=0.18, size=(60, 32)) * np.linalg.norm(base[:60], axis=1, keepdims=True) / np.sqrt(32)
     vectors = np.vstack([base, near]).astype("f4")
     df = spark.createDataFrame([(n, v.tolist(), 1) for n, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
-    got = vector_links.near_duplicates(df, target=10, cap=25, overlap=1, recall=0.0).toPandas().set_index("vec_id").sort_index()
+    got = vector_links.near_duplicates(df, target=100, cap=400, alpha=1.1).toPandas().set_index("vec_id").sort_index()
     unit = vector_links._unit(list(vectors))
     hits = unit @ unit.T >= 0.98
     np.fill_diagonal(hits, False)
-    assert 30 < hits.sum() < 120
+    assert 30 < hits.sum() < 120 and got.audit_recall.iloc[0] == 1
     assert (got.n_links.to_numpy() == hits.sum(axis=1)).all()
     assert (got.component_id.to_numpy() == [min(n, *np.flatnonzero(hits[n])) if hits[n].any() else n for n in range(len(hits))]).all()
 
 
+def test_the_number_of_pivots_follows_the_vectors():
+    """Many for vectors in groups, few where every cluster stays open."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(64, 32))
+    grouped = vector_links._unit(list(np.repeat(centres, 40, axis=0) + rng.normal(scale=0.05, size=(2560, 32))))[rng.permutation(2560)]
+    even = vector_links._unit(list(rng.normal(size=(2560, 32))))
+    assert vector_links.fewest_pairs(vector_links.apart(grouped[:300], 0.98), grouped[300:900], 0.98) >= 32
+    assert vector_links.fewest_pairs(even[:300], even[300:900], 0.98) <= 16
+
+
+def test_groups_in_many_clusters_count_right(spark):
+    rng = np.random.default_rng(22)
+    centres = rng.normal(size=(40, 16))
+    vectors = np.vstack([centres[n % 40] + rng.normal(scale=0.12, size=16) for n in range(1600)]).astype("f4")
+    df = spark.createDataFrame([(n, v.tolist(), 1) for n, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    classes = vector_links._classes(df, "vec_id", "embedding", "label")[1]
+    assert len(vector_links._pivots(classes, 40, 0.98)[("1", 16)]) >= 8
+    got = vector_links.near_duplicates(df, target=40, cap=60).toPandas().set_index("vec_id").sort_index()
+    unit = vector_links._unit(list(vectors))
+    assert (got.n_links.to_numpy() == (unit @ unit.T >= 0.98).sum(axis=1) - 1).all() and got.n_links.sum() > 1000
+    assert got.audit_recall.iloc[0] == 1
+
+
 def test_a_dense_group_takes_one_pivot():
     rng = np.random.default_rng(17)
     dense = rng.normal(size=32) + rng.normal(scale=0.01, size=(500, 32))
