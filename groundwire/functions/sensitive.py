@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,17 +59,10 @@ def matches(text: Column, entity: str) -> Column:
     return F.when(may_match(text, entity), F.filter(found, luhn_valid) if entity == CARD else found)
 
 
-def phrase_pattern(phrases: Sequence[str]) -> str:
-    """Case-insensitive alternation of literal phrases, longest first."""
-    special = set("\\.[]{}()*+-?^$|&#~")
-    escaped = ["".join(f"\\{c}" if c in special else c for c in p) for p in sorted(phrases, key=lambda p: (-len(p), p))]
-    return "(?i)(?:" + "|".join(escaped) + ")"
-
-
-def mask(text: Column, names: Sequence[str] = (), addresses: Sequence[str] = ()) -> Column:
-    """Replace each match by ``{TYPE}``; types without a pattern need a phrase list."""
+def mask(text: Column) -> Column:
+    """Replace each match by ``{TYPE}``, for the types that have a pattern; the others come from phrase lists."""
     masked = text
-    for entity in ENTITY_TYPES:
+    for entity in filter(PATTERNS.__contains__, ENTITY_TYPES):
         token = "{" + entity + "}"
         if entity == CARD:
             replaced = F.aggregate(
@@ -79,12 +70,8 @@ def mask(text: Column, names: Sequence[str] = (), addresses: Sequence[str] = ())
                 lambda done, card: F.replace(done, card, F.lit(token)),  # noqa: B023
             )
             masked = F.when(may_match(text, entity), replaced).otherwise(masked)
-        elif entity in PATTERNS:
+        else:
             # Masking only ever removes characters a pattern needs, so the original text decides.
             replaced = F.regexp_replace(masked, PATTERNS[entity], token)
             masked = F.when(may_match(text, entity), replaced).otherwise(masked)
-        else:
-            phrases = names if entity == "NAME" else addresses
-            if phrases:
-                masked = F.regexp_replace(masked, phrase_pattern(phrases), token)
     return masked

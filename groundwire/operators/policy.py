@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwire.functions import sensitive
 from groundwire.functions.text import contains_any
+from groundwire.operators.phrases import Lists, mask_phrases
 
 # Categories with their (input, output) strength, and the texts that replace blocked ones.
 CATEGORY_STRENGTH = {
@@ -31,11 +32,24 @@ DENIED_TOPICS: Mapping[str, Sequence[str]] = {
 }
 
 
+#: Types that no pattern finds; their phrases come from lists of the caller.
+LISTED = tuple(entity for entity in sensitive.ENTITY_TYPES if entity not in sensitive.PATTERNS)
+
+
+def _mask(text: Column, names: Sequence[str], addresses: Sequence[str], lists: Lists | None) -> Column:
+    """Patterns first, then phrases as whole words: ``lists`` (columns entity and phrase, any number of rows) or the
+    two short lists."""
+    masked = sensitive.mask(text)
+    if lists is None:
+        lists = {entity: own for entity, own in zip(("NAME", "ADDRESS"), (names, addresses)) if own}
+    return masked if isinstance(lists, dict) and not lists else mask_phrases(masked, lists, LISTED)
+
+
 def anonymize(
-    df: DataFrame, column: str, *, names: Sequence[str] = (), addresses: Sequence[str] = ()
+    df: DataFrame, column: str, *, names: Sequence[str] = (), addresses: Sequence[str] = (), lists: Lists | None = None,
 ) -> DataFrame:
     """Add ``masked`` and ``anonymized`` for ``column``; one row-local pass, no shuffle."""
-    masked = df.withColumn("masked", sensitive.mask(F.col(column), names, addresses))
+    masked = df.withColumn("masked", _mask(F.col(column), names, addresses, lists))
     return masked.withColumn("anonymized", F.col("masked") != F.col(column))
 
 
@@ -79,7 +93,7 @@ def screen_content(
 def apply_policy(
     texts: DataFrame, verdicts: DataFrame, direction: str = "input", *,
     topics: Mapping[str, Sequence[str]] = DENIED_TOPICS, names: Sequence[str] = (),
-    addresses: Sequence[str] = (),
+    addresses: Sequence[str] = (), lists: Lists | None = None,
 ) -> DataFrame:
     """(item_id, text) with content verdicts to an action and the text that may pass on."""
     blocked_ids = verdicts.filter((F.col("direction") == direction) & F.col("blocked")).select(
@@ -88,7 +102,7 @@ def apply_policy(
     screened = screen_topics(texts, "text", topics).join(blocked_ids, "item_id", "left")
     blocked = F.col("_blocked").isNotNull() | (F.size("topics") > 0)
     # Blocked texts are replaced, so only the others need masking.
-    masked = F.when(~blocked, sensitive.mask(F.col("text"), names, addresses))
+    masked = F.when(~blocked, _mask(F.when(~blocked, F.col("text")), names, addresses, lists))
     message = BLOCKED_INPUT if direction == "input" else BLOCKED_OUTPUT
     done = screened.withColumn("_masked", masked).withColumn("_is_blocked", blocked)
     return done.withColumns({

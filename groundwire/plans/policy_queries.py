@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwire.functions import sensitive
-from groundwire.operators import policy, vision
+from groundwire.operators import phrases, policy, vision
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
 from groundwire.sources import adapters
@@ -24,21 +24,76 @@ def anonymize_documents(spark, sf_dir):
 
 #: Names and addresses are lists of the caller; these occur in the test corpus.
 NAMES, ADDRESSES = ("Ershat", "onan", "thinor"), ("of the", "un de la")
+_WORD = r"\p{L}\p{N}_"
 
 
-def _listed(text, phrases, entity):
-    return f"regexp_replace({text}, {v.lit(sensitive.phrase_pattern(phrases))}, '{{{entity}}}', 'g')"
+def _whole_words(text: str, pattern: str, entity: str) -> str:
+    """Twice, since neighbours share the character between them."""
+    whole = v.lit(f"(?i)(^|[^{_WORD}])(?:{pattern})($|[^{_WORD}])")
+    once = f"regexp_replace({text}, {whole}, '\\1{{{entity}}}\\2', 'g')"
+    return f"regexp_replace({once}, {whole}, '\\1{{{entity}}}\\2', 'g')"
+
+
+_LISTED = _whole_words(
+    _whole_words("text", "ershat|onan|thinor", "NAME"), f"of[{v.WHITESPACE_RANGES}]+the|un[{v.WHITESPACE_RANGES}]+de[{v.WHITESPACE_RANGES}]+la", "ADDRESS"
+)
 
 
 @register("anonymize_listed", f"""WITH m0 AS (SELECT doc_id, text, text AS original FROM documents), {_MASK_CTES}
-  SELECT doc_id, {_listed(_listed('text', NAMES, 'NAME'), ADDRESSES, 'ADDRESS')} AS masked,
-    {_listed(_listed('text', NAMES, 'NAME'), ADDRESSES, 'ADDRESS')} <> original AS anonymized FROM {_MASKED}""")
+  SELECT doc_id, {_LISTED} AS masked, {_LISTED} <> original AS anonymized FROM {_MASKED}""")
 def anonymize_listed(spark, sf_dir):
-    """All eight types: those with a pattern, and names and addresses from lists."""
+    """All eight types: those with a pattern, and names and addresses from lists, as whole words."""
     documents = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
     return policy.anonymize(documents, "text", names=NAMES, addresses=ADDRESSES).drop("text")
 
 
+def word_runs(texts, size):
+    """All runs of ``size`` words of the column ``text``, as phrases."""
+    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(f"[{_WORD}]+"), F.lit(0)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " "))
+    return words.filter(F.size("w") >= size).select(F.explode(runs).alias("phrase"))
+
+
+def listed_phrases(spark, sf_dir):
+    """Lists as long as the tables make them: pairs of words of the benchmark, runs of three of the conversations."""
+    names = word_runs(adapters.table(spark, sf_dir, "benchmark"), 2).withColumn("entity", F.lit("NAME"))
+    return names.unionByName(word_runs(adapters.table(spark, sf_dir, "conversations"), 3).withColumn("entity", F.lit("ADDRESS")))
+
+
+def _runs_sql(table: str, size: int) -> str:
+    run = " || ' ' || ".join(f"lead(w, {n}) OVER (PARTITION BY rowid ORDER BY i)" if n else "w" for n in range(size))
+    words = f"""SELECT row_number() OVER () AS rowid, regexp_extract_all(lower(text), '[{_WORD}]+') AS t FROM {table}"""
+    return f"SELECT DISTINCT {run} AS phrase FROM (SELECT rowid, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM ({words}))"
+
+
+_TOKENS = f"""tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[{_WORD}]+|[^{_WORD}{v.WHITESPACE_RANGES}]') AS t FROM documents),
+places AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tokens),
+runs AS (SELECT doc_id, w || ' ' || lead(w) OVER d AS two, w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS three,
+  w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d AS four FROM places WINDOW d AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+@register("phrase_matches", f"""WITH {_TOKENS}, names AS ({_runs_sql('benchmark', 2)}), addresses AS ({_runs_sql('conversations', 3)})
+  SELECT doc_id, 'NAME' AS entity, count(*) AS matches FROM runs JOIN names ON two = phrase GROUP BY 1
+  UNION ALL SELECT doc_id, 'ADDRESS', count(*) FROM runs JOIN addresses ON three = phrase GROUP BY 1""")
+def phrase_matches(spark, sf_dir):
+    """Phrases of long lists in every document, as whole words."""
+    documents = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return phrases.phrase_matches(documents, "text", listed_phrases(spark, sf_dir), policy.LISTED)
+
+
+@register("screen_topic_lists", f"""WITH {_TOKENS}, planted AS ({_runs_sql('benchmark', 4)}),
+  found AS (SELECT DISTINCT doc_id, 1 AS place, 'Benchmark' AS topic FROM runs JOIN planted ON four = phrase
+    UNION ALL SELECT DISTINCT doc_id, 2, 'Credentials' FROM places WHERE w IN ('token', 'password'))
+  SELECT doc_id, coalesce(string_agg(topic, '; ' ORDER BY place), '') AS topics FROM documents LEFT JOIN found USING (doc_id) GROUP BY 1""")
+def screen_topic_lists(spark, sf_dir):
+    """Topics whose listed phrases occur: runs of four words of the benchmark, and words for credentials."""
+    documents = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = word_runs(adapters.table(spark, sf_dir, "benchmark"), 4).withColumn("entity", F.lit("Benchmark"))
+    secrets = spark.createDataFrame([("token", "Credentials"), ("password", "Credentials")], "phrase string, entity string")
+    screened = phrases.screen_topic_lists(documents, "text", planted.unionByName(secrets), ("Benchmark", "Credentials"))
+    return screened.select("doc_id", F.array_join("topics", "; ").alias("topics"))
+
+
 @register("anonymize_turns", f"""WITH m0 AS (SELECT conv_id, turn, text, text AS original FROM conversations), {_MASK_CTES}
   SELECT conv_id, turn, text AS masked, text <> original AS anonymized FROM {_MASKED}""")
 def anonymize_turns(spark, sf_dir):
