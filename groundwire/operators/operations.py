@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -360,3 +362,82 @@ def ingestion_stats(jobs: DataFrame) -> DataFrame:
         )
     ])
     return totals.select(F.inline(rows)).filter(F.col("n") > 0)
+
+
+def busy_jobs(triggers: DataFrame, seconds: float) -> DataFrame:
+    """Ingestion jobs that run for ``seconds``: (started, uploaded, conflicts).
+
+    ``triggers``: ts, and optionally valid. The first trigger starts a job, those that arrive while it runs meet a
+    running job and are skipped as conflicts, the next one starts another, and so on. Triggers without a time or
+    that are not valid start nothing and conflict with nothing.
+
+    Which triggers start jobs hangs on all before them. So each range of times first says, for every moment until
+    which an earlier job may keep it busy, until when it is busy itself (few rows, since chains that start apart soon
+    meet); these are put together range by range, and each range then knows its jobs. Times are counted before
+    they are dealt, so no moment is hot, and nothing is gathered but those few rows.
+    """
+    spark = triggers.sparkSession
+    kind = triggers.schema["ts"].dataType.simpleString()
+    lasts = int(round(seconds * 1_000_000))
+    valid = F.col("ts").isNotNull() & (F.col("valid") if "valid" in triggers.columns else F.lit(True))
+    times = triggers.filter(valid).groupBy(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = times.repartitionByRange(ranges, "t").withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "trigger-times")
+
+    def ways_through(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["t"].to_numpy())
+        following = np.searchsorted(t, t + lasts)
+        out = t + lasts
+        for i in range(len(t) - 1, -1, -1):
+            if following[i] < len(t):
+                out[i] = out[following[i]]
+        # an earlier job started before t[0], so it is over by t[0] + lasts
+        entries = min(len(t), int(np.searchsorted(t, t[0] + lasts)) + 1)
+        ends = np.flatnonzero(np.append(out[1:entries] != out[: entries - 1], True))
+        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "until": t[ends], "busy": out[ends]})
+
+    ways = dealt.groupBy("part").applyInPandas(ways_through, "part int, until long, busy long")
+    entry, busy, done = {}, None, None
+    for row in ways.orderBy("part", "until").toLocalIterator():
+        if row.part not in entry:
+            entry[row.part], done = busy, False
+        if not done and (entry[row.part] is None or row.until >= entry[row.part]):
+            busy, done = row.busy, True
+    entries = spark.sparkContext.broadcast(entry)
+
+    def jobs_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        t, n = pdf["t"].to_numpy(), np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
+        until = entries.value[int(pdf["part"].iloc[0])]
+        found, at = [], 0
+        if until is not None:
+            at = int(np.searchsorted(t, until))
+            if at:
+                found.append((until - lasts, n[at]))
+        while at < len(t):
+            end = int(np.searchsorted(t, t[at] + lasts))
+            found.append((t[at], n[end] - n[at]))
+            at = end
+        return pd.DataFrame(found, columns=["started", "uploaded"]).astype("int64")
+
+    jobs = dealt.groupBy("part").applyInPandas(jobs_of, "started long, uploaded long").groupBy("started").agg(
+        F.sum("uploaded").alias("uploaded")
+    )
+    return jobs.select(
+        F.timestamp_micros("started").cast(kind).alias("started"), "uploaded", (F.col("uploaded") - 1).alias("conflicts")
+    )
+
+
+def busy_job_stats(triggers: DataFrame, seconds: float) -> DataFrame:
+    """Long form (status, reason, n) of triggers that met ``busy_jobs``, with the skips that the service names."""
+    def told(totals: DataFrame, *rows: tuple[str, str, str]) -> DataFrame:
+        named = [F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"), F.col(c).alias("n")) for s, r, c in rows]
+        return totals.select(F.inline(F.array(*named)))
+
+    valid = F.col("valid") if "valid" in triggers.columns else F.lit(True)
+    met = triggers.agg(F.count("*").alias("uploaded"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("refused"))
+    jobs = busy_jobs(triggers, seconds).agg(F.count("*").alias("started"), F.coalesce(F.sum("conflicts"), F.lit(0)).alias("conflicts"))
+    return told(met, ("uploaded", "-", "uploaded"), ("skipped", "ValidationException", "refused")).unionByName(
+        told(jobs, ("started", "-", "started"), ("skipped", "ConflictException", "conflicts"))
+    ).filter(F.col("n") > 0)

@@ -21,25 +21,32 @@ URI_PATTERN = r"s3://[A-Za-z0-9._/-]*[A-Za-z0-9_/-]"
 def pair_turns(turns: DataFrame) -> DataFrame:
     """Each user turn with the next assistant turn of its session, whatever lies between; others stay unanswered.
 
+    The next assistant turn is the one of the smallest greater turn number; of several on that number the one with
+    the smallest text answers. Every user turn gives one row, also those that share a number; a user turn without
+    number or session stays unanswered, and an assistant turn without them answers nothing.
+
     The next assistant turn is found on turn numbers alone, within blocks of TURN_BLOCK of them; only a block's
     first assistant turn is looked up by the blocks before it. Texts are joined on (session, turn) afterwards, so
     no session, however long, is gathered into one task.
     """
-    block = F.floor(F.col("turn") / TURN_BLOCK)
-    said = turns.select("session_id", "turn", block.alias("_block"), F.when(F.col("role") == "assistant", F.col("turn")).alias("_said"), "role")
+    key = ["session_id", "turn"]
+    asked = turns.filter(F.col("role") == "user").select(*key, F.col("text").alias("question"))
+    placed = F.col("session_id").isNotNull() & F.col("turn").isNotNull()
+    said = turns.filter(placed).groupBy(*key).agg(
+        F.bool_or(F.col("role") == "user").alias("_asks"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("_said")
+    ).withColumn("_block", F.floor(F.col("turn") / TURN_BLOCK))
     after = Window.partitionBy("session_id", "_block").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
     firsts = said.groupBy("session_id", "_block").agg(F.min("_said").alias("_first"))
     later = Window.partitionBy("session_id").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
     beyond = firsts.select("session_id", "_block", F.min("_first").over(later).alias("_beyond"))
-    within = said.withColumn("_next", F.min("_said").over(after)).filter(F.col("role") == "user")
+    within = said.withColumn("_next", F.min("_said").over(after)).filter("_asks")
     found = salted_join(within, beyond, ["session_id", "_block"], [F.col("turn")]).select(
-        "session_id", "turn", F.coalesce("_next", "_beyond").alias("answer_turn")
+        *key, F.coalesce("_next", "_beyond").alias("answer_turn")
     )
-    asked = turns.filter(F.col("role") == "user").select("session_id", "turn", F.col("text").alias("question"))
-    answered = turns.filter(F.col("role") == "assistant").select(
-        "session_id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer"), F.lit(True).alias("_found")
+    answers = turns.filter(placed & (F.col("role") == "assistant")).groupBy("session_id", F.col("turn").alias("answer_turn")).agg(
+        F.min("text").alias("answer"), F.lit(True).alias("_found")
     )
-    return asked.join(found, ["session_id", "turn"]).join(answered, ["session_id", "answer_turn"], "left").select(
+    return asked.join(found, key, "left").join(answers, ["session_id", "answer_turn"], "left").select(
         "session_id", "turn", "question", "answer", F.col("_found").isNotNull().alias("answered")
     )
 

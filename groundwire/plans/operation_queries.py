@@ -139,3 +139,34 @@ def ingestion_stats_off(spark, sf_dir):
     """Without a configured knowledge base every trigger is skipped."""
     jobs = operations.ingestion_jobs(adapters.knowledge_documents(spark, sf_dir), "1 day", configured=False)
     return operations.ingestion_stats(jobs)
+
+
+#: Seconds an ingestion job runs.
+JOB_SECONDS = 3 * 3600
+_CHAIN = f"""WITH RECURSIVE {v.KNOWLEDGE},
+  valid AS (SELECT ts FROM knowledge_documents WHERE starts_with(key, 'knowledge/')),
+  chain AS (SELECT min(ts) AS started FROM valid
+    UNION ALL SELECT (SELECT min(ts) FROM valid WHERE ts >= c.started + INTERVAL {JOB_SECONDS} SECOND) FROM chain c WHERE c.started IS NOT NULL),
+  busy AS (SELECT c.started, count(*) AS uploaded, count(*) - 1 AS conflicts FROM chain c
+    JOIN valid v ON v.ts >= c.started AND v.ts < c.started + INTERVAL {JOB_SECONDS} SECOND GROUP BY 1)"""
+
+
+def triggers(spark, sf_dir):
+    """One trigger per stored document; the service refuses those outside the knowledge prefix."""
+    arrived = adapters.knowledge_documents(spark, sf_dir)
+    return arrived.select("ts", F.col("key").startswith("knowledge/").alias("valid"))
+
+
+@register("busy_jobs", f"{_CHAIN} SELECT * FROM busy")
+def busy_jobs(spark, sf_dir):
+    return operations.busy_jobs(triggers(spark, sf_dir), JOB_SECONDS)
+
+
+@register("busy_job_stats", f"""{_CHAIN}
+  SELECT 'uploaded' AS status, '-' AS reason, count(*) AS n FROM knowledge_documents
+  UNION ALL SELECT 'started', '-', count(*) FROM busy
+  UNION ALL SELECT 'skipped', 'ConflictException', CAST(sum(conflicts) AS BIGINT) FROM busy HAVING sum(conflicts) > 0
+  UNION ALL SELECT 'skipped', 'ValidationException', count(*) FROM knowledge_documents WHERE NOT starts_with(key, 'knowledge/')
+    HAVING count(*) > 0""")
+def busy_job_stats(spark, sf_dir):
+    return operations.busy_job_stats(triggers(spark, sf_dir), JOB_SECONDS)

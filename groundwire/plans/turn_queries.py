@@ -31,6 +31,23 @@ def pair_turns(spark, sf_dir):
     return turns.pair_turns(sessions(spark, sf_dir))
 
 
+@register("pair_turns_shared", """
+  WITH odd AS (SELECT CASE WHEN conv_id % 7 > 0 THEN CAST(conv_id AS VARCHAR) END AS session_id,
+    CASE WHEN turn <> 5 THEN turn // 2 END AS turn, role, text FROM conversations)
+  SELECT u.session_id, u.turn, u.text AS question,
+    (SELECT min(a.text) FROM odd a WHERE a.session_id = u.session_id AND a.role = 'assistant' AND a.turn =
+      (SELECT min(n.turn) FROM odd n WHERE n.session_id = u.session_id AND n.role = 'assistant' AND n.turn > u.turn)) AS answer,
+    EXISTS (SELECT 1 FROM odd n WHERE n.session_id = u.session_id AND n.role = 'assistant' AND n.turn > u.turn) AS answered
+  FROM odd u WHERE u.role = 'user'""")
+def pair_turns_shared(spark, sf_dir):
+    """Turns that share numbers, and turns and sessions without one: every question stays, once."""
+    stored = adapters.table(spark, sf_dir, "conversations")
+    return turns.pair_turns(stored.select(
+        F.when(F.col("conv_id") % 7 > 0, F.col("conv_id").cast("string")).alias("session_id"),
+        F.when(F.col("turn") != 5, F.floor(F.col("turn") / 2)).alias("turn"), "role", "text",
+    ))
+
+
 @register("assemble_messages", """
   SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n_messages,
     string_agg(turn || ':' || role || ':' || text, chr(30) ORDER BY turn) AS transcript

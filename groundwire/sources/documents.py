@@ -23,10 +23,12 @@ def read_documents(spark: SparkSession, path: str, prefix: str = "knowledge/") -
     )
     # File paths come URL-encoded (a plus sign stands for itself); keys and URIs are as stored.
     uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    qualified = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(root if root.rpartition(":")[2].strip("/") else f"{root}/")
     system = qualified.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = f"{system.makeQualified(qualified).toUri().getPath().rstrip('/')}/"
-    key = F.substring(uri, F.locate(base, uri) + len(base), F.length(uri))
+    base = system.makeQualified(qualified).toUri().getPath().rstrip("/") + "/"
+    # Below the scheme and the bucket, a key is what follows the root.
+    inside = F.regexp_replace(uri, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    key = F.substring(inside, F.lit(len(base) + 1), F.length(inside))
     return files.select(
         uri.alias("uri"), key.alias("key"), F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("modified"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwire.config import EngineConfig
@@ -19,6 +19,7 @@ from groundwire.operators.policy import pii_matches
 from groundwire.operators.routing import bind_models, decide_tier, route_modality
 from groundwire.plans.workspace import new_folder
 from groundwire.sources.access_log import with_routes
+from groundwire.sources.chunk_store import if_there
 from groundwire.sources.documents import under_prefix
 
 LATENESS = "10 minutes"
@@ -68,19 +69,35 @@ def stream_ingest(
     Nothing is dropped and nothing remembered: readers of the store take each document's newest version, so
     repeats change nothing, updates replace and late objects count as what they are.
     """
-    return version_rows(under_prefix(objects, prefix), embedder)
+    return version_rows(under_prefix(objects, prefix), embedder).withColumn("ingested_at", F.current_timestamp())
 
 
-def run_ingest(rows: DataFrame, path: str, checkpoint: str) -> list[dict]:
-    """Store everything available of ``stream_ingest`` below ``path``; one job row per micro-batch, as far as
-    ``spark.sql.streaming.numRecentProgressUpdates`` keeps them."""
+def ingest_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row per micro-batch that stored documents: job (from 1), started, documents, chunks, tokens, status.
+
+    A batch has one time, which is kept when it is run again, and all its rows carry it; so the ledger is in what
+    the sink has committed, however many batches there were. None before the first batch.
+    """
+    rows = if_there(spark.read.parquet, f"{path}/stream")
+    if rows is None:
+        return None
+    batches = rows.groupBy(F.col("ingested_at").alias("started")).agg(*job_metrics())
+    place = Window.orderBy("started")  # over the few rows of the ledger
+    return batches.select(F.row_number().over(place).cast("long").alias("job"), "*", F.lit("COMPLETE").alias("status"))
+
+
+def run_ingest(rows: DataFrame, path: str, checkpoint: str) -> DataFrame | None:
+    """Store everything available of ``stream_ingest`` below ``path``; returns the ledger's rows of this run."""
+    spark = rows.sparkSession
+    held = ingest_ledger(spark, path)
+    before = held.agg(F.max("started")).first()[0] if held is not None else None
     query = (
-        rows.observe("ingest", *job_metrics()).writeStream.format("parquet").outputMode("append").partitionBy("bucket")
+        rows.writeStream.format("parquet").outputMode("append").partitionBy("bucket")
         .option("path", f"{path}/stream").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    done = [(p.batchId, p.observedMetrics.get("ingest")) for p in query.recentProgress]
-    return [{"batch": batch, **row.asDict(), "status": "COMPLETE"} for batch, row in done if row is not None]
+    done = ingest_ledger(spark, path)
+    return done if before is None or done is None else done.filter(F.col("started") > F.lit(before))
 
 
 def stream_ingest_jobs(objects: DataFrame, interval: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:

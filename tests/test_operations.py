@@ -108,3 +108,26 @@ def test_audit_keeps_management_and_data_buckets(spark):
     rows = [(None, "signup"), ("documents", "get"), ("documents", "put"), ("other", "get")]
     got = {(r.event_class, r.bucket, r.verb, r.access) for r in audit_events(spark.createDataFrame(rows, "bucket string, verb string"), ["documents"]).collect()}
     assert got == {("management", "-", "signup", "write"), ("data", "documents", "get", "read"), ("data", "documents", "put", "write")}
+
+
+def test_jobs_follow_one_another(spark):
+    """Against a plain loop, in one range of times and in many, with gaps, ties, chains without a gap and nulls."""
+
+    draw = random.Random(8)
+    dense = sorted(draw.randrange(20_000) for _ in range(900))
+    sparse = sorted(draw.randrange(10**6) for _ in range(300))
+    zero = dt.datetime(2024, 1, 1)
+    for times, lasts in ((dense, 61), (dense, 3000), (sparse, 2000), (dense + [30_000 + 60 * n for n in range(400)], 60), ([5, 5, 5], 10), ([], 10)):
+        want, until = {}, None
+        for t in sorted(times):
+            if until is None or t >= until:
+                start, until = t, t + lasts
+                want[start] = 0
+            want[start] += 1
+        rows = [(zero + dt.timedelta(seconds=t), True) for t in times] + [(None, True), (zero + dt.timedelta(seconds=3), False), (zero, None)]
+        df = spark.createDataFrame(rows, "ts timestamp_ntz, valid boolean").repartition(3)
+        got = {(r.started - zero).total_seconds(): (r.uploaded, r.conflicts) for r in ops.busy_jobs(df, lasts).collect()}
+        assert got == {float(t): (n, n - 1) for t, n in want.items()}
+        stats = {(r.status, r.reason): r.n for r in ops.busy_job_stats(df, lasts).collect()}
+        assert stats[("uploaded", "-")] == len(rows) and stats[("skipped", "ValidationException")] == 2
+        assert stats.get(("started", "-"), 0) == len(want)

@@ -133,3 +133,20 @@ def test_upsert_is_idempotent_and_keeps_removed_sources(spark, tmp_path):
 def test_latest_chunk_wins(spark):
     df = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only")], "chunk_id string, version int, text string")
     assert {r.chunk_id: r.text for r in chunk_store.latest_chunks(df, "version").collect()} == {"a": "new", "b": "only"}
+
+
+def test_documents_at_the_root_of_a_bucket(spark, tmp_path):
+    """Keys are cut from the whole root, not from its path found anywhere: a file system whose root is a bucket."""
+    from groundwire.sources.documents import read_documents
+
+    for key in ("knowledge/a b+c.md", "knowledge/knowledge/x.md", "private/y.md"):
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_text(f"text of {key}")
+    settings = spark._jsc.hadoopConfiguration()
+    for folder in ("knowledge", "private"):
+        settings.set(f"fs.viewfs.mounttable.bucket.link./{folder}", f"file://{tmp_path}/{folder}")
+    for root in ("viewfs://bucket", "viewfs://bucket/", str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.key: r.text for r in read_documents(spark, root).collect()}
+        assert got == {k: f"text of {k}" for k in ("knowledge/a b+c.md", "knowledge/knowledge/x.md")}
+    inner = {r.key for r in read_documents(spark, "viewfs://bucket/knowledge").collect()}
+    assert inner == {"knowledge/x.md"}

@@ -33,7 +33,7 @@ def test_ingest_keeps_updates_and_late_rows_across_restarts(spark, tmp_path):
         done = jobs.run_ingest(jobs.stream_ingest(stream, letter_embedder), index, check)
         stored = read_chunks(spark, index).collect()
         assert all(r.embedding is not None and max(r.embedding) > 0 for r in stored)
-        return {r.uri[5:]: r.text for r in stored}, [(j["documents"], j["chunks"]) for j in done]
+        return {r.uri[5:]: r.text for r in stored}, [(j.documents, j.chunks) for j in done.orderBy("job").collect()]
 
     arrive(("knowledge/a", "one two", 0), ("private/x", "no", 1), ("knowledge/a", "one two", 5))
     assert run() == ({"d/knowledge/a": "one two"}, [(2, 2)])
@@ -48,6 +48,25 @@ def test_ingest_keeps_updates_and_late_rows_across_restarts(spark, tmp_path):
     assert run()[0] == {k: t for k, t in expected.items() if not k.endswith("b")}
 
 
+def test_every_batch_is_in_the_ledger(spark, tmp_path):
+    """More batches than a progress report keeps, over two runs."""
+    source, index, check = (str(tmp_path / n) for n in ("in", "index", "check"))
+
+    def run(first, last):
+        for n in range(first, last):
+            rows = [(f"s3://d/{n}-{k}", "knowledge/x", "one two three", at(n)) for k in range(1 + n % 3)]
+            spark.createDataFrame(rows, OBJECTS).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, spark.read.parquet(source), files=1)
+        return jobs.run_ingest(jobs.stream_ingest(stream), index, check).collect()
+
+    assert jobs.ingest_ledger(spark, index) is None
+    assert len(run(0, 104)) == 104 and len(run(104, 106)) == 2
+    ledger = jobs.ingest_ledger(spark, index).orderBy("job").collect()
+    assert [r.job for r in ledger] == list(range(1, 107)) and len({r.started for r in ledger}) == 106
+    assert sorted(r.documents for r in ledger) == sorted(1 + n % 3 for n in range(106))
+    assert all(r.chunks == r.documents and r.tokens == 3 * r.documents for r in ledger)
+
+
 def test_scan_covers_new_files_only(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = "bucket string, object_id string, text string"

@@ -149,3 +149,14 @@ def test_grounding(spark):
     citations = spark.createDataFrame([("s", "s3://docs/ppe.md"), ("s", "s3://docs/ppe.md")], "session_id string, uri string")
     got = {r.answer_id: (r.cited, r.ungrounded, r.verdict) for r in turns.citation_grounding(answers, citations).collect()}
     assert got == {1: (1, 0, "grounded"), 2: (2, 1, "ungrounded"), 3: (0, 0, "no citation"), 4: (1, 1, "ungrounded")}
+
+
+def test_no_question_is_lost_or_doubled(spark):
+    rows = [
+        ("s", 1, "user", "a"), ("s", 1, "user", "b"), ("s", 2, "assistant", "y"), ("s", 2, "assistant", "x"), ("s", 2, "user", "c"),
+        ("s", None, "user", "d"), (None, 3, "user", "e"), (None, 4, "assistant", "z"), ("s", None, "assistant", "w"), ("s", 2, "user", "c"),
+        ("t", 1, "user", "f"), ("t", 1, "assistant", "same number"), ("t", 900, "assistant", None),
+    ]
+    got = sorted((r.question, r.answer, r.answered) for r in turns.pair_turns(
+        spark.createDataFrame(rows, "session_id string, turn long, role string, text string")).collect())
+    assert got == [("a", "x", True), ("b", "x", True), ("c", None, False), ("c", None, False), ("d", None, False), ("e", None, False), ("f", None, True)]
