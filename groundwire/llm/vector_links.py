@@ -1,27 +1,28 @@
 """Near-duplicate embeddings through a robust-pruned flat graph.
 
 Equal vectors form one class, only its smallest goes on. Pivots (at most PIVOTS in all, a hash sample that lies apart,
-shared among labels by size, as many as leave the fewest pairs) cut each label into clusters: the nearest pivot is a
-vector's home. A vector a with home
+shared among labels by size) cut each label into clusters: the nearest pivot is a vector's home. A vector a with home
 p can only be linked to a vector at home in q if the half-space nearer to q is within the link angle of a, that is
-a.(p - q) <= sin(angle) |p - q|. A vector also belongs to every cluster of higher number that passes, so clusters
-overlap and each linked pair is together in the cluster of the higher home, whatever the sample. Clusters above twice
-``cap`` are dealt by hash into parts, and every two parts make a shard, so a pair is never apart.
+a.(p - q) <= sin(angle) |p - q|. A vector also visits every cluster of higher number that passes, so clusters overlap
+and each linked pair is together in the cluster of the higher home, whatever the sample. A shard is a part of the
+vectors at home in a cluster, at most ``cap`` of them, with as many of its other vectors, visitors or other parts.
 
-1. Build. In each shard a vector's list is pruned: its nearest candidate stays and rules out those that it is nearer
-   to (``alpha`` times) than the vector itself. The list is not cut at a length.
+1. Build. The list of a vector at home in a shard is pruned: the nearest candidate of its part stays and rules out
+   every vector of the shard that is nearer to it (``alpha`` times) than to the vector itself; so on with the next
+   of the part that is left; of the others those stay that nobody rules out. No list is cut at a length.
 2. Unite. The lists that a vector has in its shards are joined to one: the flat graph, a written table.
-3. Search. For each vector of a shard, a greedy walk over the united lists starts at the shard's medoid. For any two
-   vectors that are not neighbours one's list holds a third one nearer to the other, so the walk ends at the vector
-   itself; and there is a path from it to each partner that only comes nearer, on which no vector is further from
-   it than twice the link distance. So a search that expands everything within that range meets every partner.
-4. Verify. What a search met is compared in double precision. A link counts in the cluster that is home to one of
-   its ends, and in one shard only.
+3. Search. For each vector at home a greedy walk over the united lists starts at the medoid of its part. If a vector
+   of the shard is not on the list of one at home, that list holds another one at home that is nearer to it. So the
+   walk ends at the vector itself; and from there a path that only comes nearer leads to each partner, on which no
+   vector is further away than twice the link distance. A search that expands everything within that range meets
+   every partner.
+4. Verify. What a search met is compared in double precision. A link counts for the vector that searched, and for a
+   visitor that was found, which does not search there.
 5. Audit. A sample of vectors, more where it holds few links, is compared with all others; the mean of their recalls
    is returned, null where the sample holds no link.
 
-Tasks return one row per vector with its number of links and its component within the shard, never the pairs. A shard
-has at most 2 ``cap`` vectors, and its distances take 4 bytes a pair.
+Tasks return one row per vector with its number of links and its component within the shard, never the pairs. A shard's
+distances take 4 bytes for each of at most 2 ``cap`` times ``cap`` pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without
 label or vec_id, have no links; only vectors of one length are compared; rows that share a vec_id are one
@@ -48,7 +49,7 @@ SLICE = 1000
 #: How far single precision may be off in a distance between unit vectors, for all steps of a path together.
 LOOSE = 4e-3
 SPACE = ["label", "dim"]
-GROUP = [*SPACE, "cluster", "i", "j"]
+GROUP = [*SPACE, "cluster", "part", "with"]
 
 
 def _unit(vectors) -> np.ndarray:
@@ -85,31 +86,8 @@ def apart(unit: np.ndarray, threshold: float) -> np.ndarray:
     return kept[:n]
 
 
-def opened(near: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each vector, from its products with the pivots, and the clusters that may hold its partners."""
-    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
-    homes = near.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots[homes] @ pivots.T)))
-    return homes, near[np.arange(len(near)), homes][:, None] - near <= (reach * (apart + 1e-6) + 1e-9)
-
-
-def fewest_pairs(pivots: np.ndarray, sample: np.ndarray, threshold: float) -> int:
-    """How many of the pivots to use. More of them make clusters smaller but leave more of them open to a vector;
-    k clusters of n (1 + visits) / k vectors hold about n^2 (1 + visits)^2 / k pairs, with the visits of the sample."""
-    best, fewest = 1, 1.0
-    k = 2
-    while k <= len(pivots) and len(sample):
-        homes, open_ = opened(sample @ pivots[:k].T, pivots[:k], threshold)
-        visits = (open_ & (np.arange(k) > homes[:, None])).sum(axis=1).mean()
-        if (1 + visits) ** 2 / k < fewest:
-            best, fewest = k, (1 + visits) ** 2 / k
-        k = len(pivots) if k < len(pivots) < 2 * k else 2 * k
-    return best
-
-
 def _pivots(classes: DataFrame, target: int, threshold: float) -> dict:
-    """Per (label, dim): unit pivots that lie apart, at most enough for clusters of ``target`` and PIVOTS in all.
-    Twice as many rows come to the driver; the second half says how many pivots are worth using."""
+    """Per (label, dim): unit pivots that lie apart, enough for clusters of ``target`` and at most PIVOTS in all."""
     sizes = classes.groupBy(*SPACE).agg(F.count("*").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = F.floor(F.col("size") * PIVOTS / F.lit(max(1, total)))
@@ -117,25 +95,22 @@ def _pivots(classes: DataFrame, target: int, threshold: float) -> dict:
     place = F.xxhash64(F.lit(10), "node")
     some = classes.join(wanted, SPACE).withColumn("at", F.row_number().over(W.partitionBy(*SPACE).orderBy(place, "node")))
     held: dict = {}
-    for row in some.filter(F.col("at") <= 2 * F.col("k")).select(*SPACE, "k", "at", "embedding").orderBy("at").toLocalIterator():
-        held.setdefault((row.label, row.dim), ([], []))[row.at > row.k].append(row.embedding)
-    chosen = {}
-    for space, (first, second) in held.items():
-        pivots = apart(_unit(first), threshold)
-        pivots = pivots[: fewest_pairs(pivots, _unit(second) if second else pivots[:0], threshold)]
-        if len(pivots) > 1:
-            chosen[space] = pivots
-    return chosen
+    for row in some.filter("at <= k").select(*SPACE, "at", "embedding").orderBy("at").toLocalIterator():
+        held.setdefault((row.label, row.dim), []).append(row.embedding)
+    return {space: apart(_unit(rows), threshold) for space, rows in held.items()}
 
 
 def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
     """Each class once for each cluster it visits: columns of SPACE, cluster, home, node, m, embedding."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
+    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
 
     def visits(vectors: list, own: np.ndarray) -> Iterator[list]:
         for begin in range(0, len(vectors), SLICE):
             near = _unit(vectors[begin : begin + SLICE]) @ own.T
-            homes, open_ = opened(near, own, threshold)
+            homes = near.argmax(axis=1)
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (own[homes] @ own.T)))
+            open_ = near[np.arange(len(near)), homes][:, None] - near <= (reach * (apart + 1e-6) + 1e-9)
             for home, row in zip(homes.tolist(), open_):
                 yield [home, *(home + 1 + np.flatnonzero(row[home + 1 :])).tolist()]
 
@@ -155,31 +130,33 @@ def _assigned(classes: DataFrame, pivots: dict, threshold: float) -> DataFrame:
     return spread.withColumn("home", F.col("rank") == 0).drop("rank")
 
 
-def distances(unit: np.ndarray) -> np.ndarray:
-    """Between all unit vectors, in single precision, the same in both directions."""
-    near = (unit @ unit.T).astype("f4")
-    near = np.minimum(near, near.T)
+def distances(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """From unit vectors to each other, the same in both directions, and then to others; in single precision."""
+    near = (own @ own.T).astype("f4")
+    near = np.hstack([np.minimum(near, near.T), (own @ others.T).astype("f4")])
     return np.sqrt(np.maximum(0, 2 - 2 * near))
 
 
 def prune(distance: np.ndarray, alpha: float = 1.0) -> list[np.ndarray]:
-    """The pruned list of every point: the nearest candidate stays and rules out those that are more than ``alpha``
-    times as near to it as to the point; and so on with the next until none is left."""
+    """The pruned list of every row's point among all columns' points; the first columns are the rows' points. The
+    nearest of these stays and rules out what is more than ``alpha`` times as near to it as to the row's point, and
+    so on; other points stay if nobody rules them out."""
     n = len(distance)
     open_ = distance.copy()
     np.fill_diagonal(open_, np.inf)
     rows, lists = np.arange(n), [[] for _ in range(n)]
-    while True:
-        pick = open_.argmin(axis=1)
+    while len(rows):
+        pick = open_[:, :n].argmin(axis=1)
         left = np.isfinite(open_[np.arange(len(rows)), pick])
+        for row, rest in zip(rows[~left].tolist(), open_[~left, n:]):
+            lists[row].extend((n + np.flatnonzero(np.isfinite(rest))).tolist())
         if not left.all():
             rows, pick, open_ = rows[left], pick[left], open_[left]
-        if not len(rows):
-            return [np.array(own, "i4") for own in lists]
         for row, at in zip(rows.tolist(), pick.tolist()):
             lists[row].append(at)
         open_[alpha * distance[pick] < distance[rows]] = np.inf
         open_[np.arange(len(rows)), pick] = np.inf
+    return [np.array(own, "i4") for own in lists]
 
 
 def medoid(unit: np.ndarray) -> int:
@@ -188,14 +165,15 @@ def medoid(unit: np.ndarray) -> int:
 
 def search(unit: np.ndarray, lists: list[np.ndarray], start: int, at: int, reach: float) -> tuple[np.ndarray, int]:
     """The points that a search for point ``at`` meets, and how many the walk passed: greedily from ``start`` until
-    no neighbour is nearer, then through everything within ``reach``."""
-    query = unit[at]
+    no neighbour is nearer, then through everything within ``reach``. Points without a list are met only."""
+    query, n = unit[at], len(lists)
     here, near, steps = start, np.inf, 0
     while here != at:
         found = lists[here]
+        found = found[found < n]
         away = np.square(unit[found] - query).sum(axis=1)
-        best = away.argmin()
-        if not away[best] < near:
+        best = away.argmin() if len(found) else None
+        if best is None or not away[best] < near:
             here = at  # neighbours as near as rounding can tell; the point itself is in the shard
             break
         here, near, steps = int(found[best]), away[best], steps + 1
@@ -203,20 +181,29 @@ def search(unit: np.ndarray, lists: list[np.ndarray], start: int, at: int, reach
     met[here] = True
     edge = np.array([here])
     while len(edge):
-        new = np.unique(np.concatenate([lists[n] for n in edge]))
+        new = np.unique(np.concatenate([lists[k] for k in edge]))
         new = new[~met[new]]
         met[new] = True
-        away = np.square(unit[new] - query).sum(axis=1)
-        edge = new[away <= reach * reach]
+        new = new[new < n]
+        edge = new[np.square(unit[new] - query).sum(axis=1) <= reach * reach]
     met[at] = False
     return np.flatnonzero(met), steps
 
 
+def _parted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
+    """The shard's vectors, those of its own part first, and how many these are."""
+    ordered = pdf.sort_values(["own", "node"], ascending=[False, True])
+    return ordered, int(ordered["own"].sum())
+
+
 def _listed(alpha: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].to_numpy()
-        lists = prune(distances(_unit(pdf["embedding"])), alpha)
-        return pd.DataFrame({"node": nodes, "list": [nodes[own] for own in lists]})
+        pdf, n = _parted(pdf)
+        if not n:
+            return pd.DataFrame({"node": [], "list": []})
+        nodes, unit = pdf["node"].to_numpy(), _unit(pdf["embedding"])
+        lists = prune(distances(unit[:n], unit[n:]), alpha)
+        return pd.DataFrame({"node": nodes[:n], "list": [nodes[own] for own in lists]})
 
     return run
 
@@ -225,65 +212,72 @@ def _searched(threshold: float):
     reach = 2 * np.sqrt(2 - 2 * threshold) + LOOSE
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, n = _parted(pdf)
+        if not n:
+            return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
         unit = _unit(pdf["embedding"])
-        nodes, weight, home, part = (pdf[c].to_numpy() for c in ("node", "m", "home", "part"))
-        i, j, parts = (int(pdf[c].iloc[0]) for c in ("i", "j", "parts"))
+        nodes, weight, home = (pdf[c].to_numpy() for c in ("node", "m", "home"))
+        part, block = int(pdf["part"].iloc[0]), int(pdf["with"].iloc[0])
         order = np.argsort(nodes)
         lists = []
-        for united in pdf["list"]:  # of the united list what is in this shard
+        for united in pdf["list"].iloc[:n]:  # of the united list what is in this shard
             place = np.searchsorted(nodes, united, sorter=order)
             place = order[np.minimum(place, len(order) - 1)]
             lists.append(place[nodes[place] == united])
-        start, a, b = medoid(unit), [], []
-        for at in range(len(unit)):
+        start, a, b = medoid(unit[:n]), [], []
+        for at in range(n):
             met, _ = search(unit, lists, start, at, reach)
+            if part != block:
+                met = met[met >= n]  # pairs within the part count where it is with itself
             met = met[np.einsum("ij,j->i", unit[met], unit[at]) >= threshold]
             a.append(np.full(len(met), at))
             b.append(met)
-        a, b = np.concatenate([*a, np.empty(0, int)]).astype(int), np.concatenate([*b, np.empty(0, int)]).astype(int)
-        # a pair within a part is in all shards of the part and counts in the one with the next part
-        once = (part[a] != part[b]) | (i == j)
-        if j == i + 1:
-            once |= (part[a] == i) | (j == parts - 1)
-        counts = (home[a] | home[b]) & once
-        links = np.bincount(a[counts], weight[b[counts]], len(unit)).astype("i8")
+        a, b = np.concatenate(a).astype(int), np.concatenate(b).astype(int)
+        links = np.bincount(a, weight[b], len(unit)).astype("i8")
+        found = ~home[b]
+        links += np.bincount(b[found], weight[a[found]], len(unit)).astype("i8")
         root = nodes.copy()
         while True:
             low = root.copy()
             np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, low[a])
             if (low == root).all():
                 break
             root = low
-        told = np.unique(a)
+        told = np.unique(np.concatenate([a, b]))
         return pd.DataFrame({"node": nodes[told], "links": links[told], "root": root[told]}).astype("int64")
 
     return run
 
 
 def _sharded(classes: DataFrame, pivots: dict, cap: int, threshold: float) -> DataFrame:
-    """Each class once for each shard it is in: columns of GROUP, node, m, embedding, home, part, parts. Written,
-    since building and searching both deal it."""
+    """Each class once for each shard it is in: columns of GROUP, node, m, embedding, home, own (of the shard's part)."""
     assigned = materialize(_assigned(classes, pivots, threshold), "vector-clusters")
     cluster = [*SPACE, "cluster"]
-    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("size"), F.bool_or("home").alias("lived"))
-    parts = F.when(F.col("size") <= 2 * cap, 1).otherwise(F.ceil(F.col("size") / cap)).cast("int")
-    placed = assigned.join(sizes.filter("lived AND size > 1").select(*cluster, parts.alias("parts")), cluster)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1))
-    dealt = placed.withColumn("_o", F.explode(others))
-    return dealt.select(
-        *cluster, F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "node", "m", "embedding", "home", "part", "parts"
+    sizes = assigned.groupBy(*cluster).agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("lived"))
+    # blocks 0 to parts - 1 are the parts of those at home, the others are blocks of visitors
+    sizes = sizes.filter("lived > 0 AND size > 1").select(
+        *cluster, F.ceil(F.col("lived") / cap).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("lived")) / cap).cast("int").alias("guests")
     )
+    place = F.pmod(F.xxhash64(F.lit(1), "node"), F.when(F.col("home"), F.col("parts")).otherwise(F.col("guests"))).cast("int")
+    placed = assigned.join(sizes, cluster).withColumn("block", place + F.when(F.col("home"), 0).otherwise(F.col("parts")))
+    columns = ["node", "m", "embedding", "home"]
+    every = F.sequence(F.lit(0), F.col("parts") + F.col("guests") - 1)
+    own = placed.filter("home").select(*cluster, F.col("block").alias("part"), F.explode(every).alias("with"), *columns, F.lit(True).alias("own"))
+    parts = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block"))
+    others = placed.select(*cluster, F.explode(parts).alias("part"), F.col("block").alias("with"), *columns, F.lit(False).alias("own"))
+    return own.unionByName(others)
 
 
 def _found(classes: DataFrame, pivots: dict, cap: int, threshold: float, alpha: float) -> DataFrame:
     """Rows (node, links, root): parts of a class's number of linked vectors, and edges to a smaller one."""
     sharded = _sharded(classes, pivots, cap, threshold)
-    lists = sharded.select(*GROUP, "node", "embedding").groupBy(*GROUP).applyInPandas(_listed(alpha), "node long, list array<long>")
+    lists = sharded.select(*GROUP, "node", "embedding", "own").groupBy(*GROUP).applyInPandas(_listed(alpha), "node long, list array<long>")
     united = materialize(
         lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list")), "vector-graph"
     )
-    return sharded.join(united, "node").groupBy(*GROUP).applyInPandas(_searched(threshold), "node long, links long, root long")
+    full = sharded.join(united, "node", "left").withColumn("list", F.when(F.col("own"), F.col("list")))
+    return full.groupBy(*GROUP).applyInPandas(_searched(threshold), "node long, links long, root long")
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float | None:

@@ -122,7 +122,7 @@ def test_pruned_lists_and_search_find_all_near_vectors():
     base = rng.normal(size=(300, 16))
     chain = base[0] + np.linspace(0.03, 1.2, 40)[:, None] * base[1]  # a line of near vectors, where paths are long
     unit = vector_links._unit(list(np.vstack([base, base[:60] + rng.normal(scale=0.02, size=(60, 16)), chain])))
-    distance = vector_links.distances(unit)
+    distance = vector_links.distances(unit, unit[:0])
     assert (distance == distance.T).all()
     reach = 2 * np.sqrt(2 - 2 * 0.98) + vector_links.LOOSE
     near = unit @ unit.T >= 0.98
@@ -204,14 +204,19 @@ def test_rare_links_between_many_clusters_are_all_found(spark):
     assert (got.component_id.to_numpy() == [min(n, *np.flatnonzero(hits[n])) if hits[n].any() else n for n in range(len(hits))]).all()
 
 
-def test_the_number_of_pivots_follows_the_vectors():
-    """Many for vectors in groups, few where every cluster stays open."""
+def test_searches_meet_visitors_too():
+    """Points without a list, among which nothing is compared, are met by every partner at home."""
     rng = np.random.default_rng(21)
-    centres = rng.normal(size=(64, 32))
-    grouped = vector_links._unit(list(np.repeat(centres, 40, axis=0) + rng.normal(scale=0.05, size=(2560, 32))))[rng.permutation(2560)]
-    even = vector_links._unit(list(rng.normal(size=(2560, 32))))
-    assert vector_links.fewest_pairs(vector_links.apart(grouped[:300], 0.98), grouped[300:900], 0.98) >= 32
-    assert vector_links.fewest_pairs(even[:300], even[300:900], 0.98) <= 16
+    unit = vector_links._unit(list(rng.normal(size=(30, 12))[rng.integers(0, 30, 400)] + rng.normal(scale=0.08, size=(400, 12))))
+    near = unit @ unit.T >= 0.98
+    reach = 2 * np.sqrt(2 - 2 * 0.98) + vector_links.LOOSE
+    for alpha in (1.0, 1.15):
+        lists = vector_links.prune(vector_links.distances(unit[:250], unit[250:]), alpha)
+        start = vector_links.medoid(unit[:250])
+        for n in range(250):
+            found, _ = vector_links.search(unit, lists, start, n, reach)
+            assert set(np.flatnonzero(near[n])) - {n} <= set(found)
+    assert near[:250, 250:].sum() > 100
 
 
 def test_groups_in_many_clusters_count_right(spark):
@@ -227,6 +232,20 @@ def test_groups_in_many_clusters_count_right(spark):
     assert got.audit_recall.iloc[0] == 1
 
 
+def test_vectors_alone_in_their_cluster_are_met_as_visitors(spark):
+    """Each of two linked vectors is a pivot's only one; one visits the other's cluster."""
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(60, 48))
+    vectors = np.vstack([base, base[:20] + rng.normal(scale=0.17, size=(20, 48))]).astype("f4")
+    df = spark.createDataFrame([(n, v.tolist(), 1) for n, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    unit = vector_links._unit(list(vectors))
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert 10 < want.sum() < 40
+    for target in (1, 3):
+        got = vector_links.near_duplicates(df, target=target, cap=8).toPandas().set_index("vec_id").sort_index()
+        assert (got.n_links.to_numpy() == want).all()
+
+
 def test_a_dense_group_takes_one_pivot():
     rng = np.random.default_rng(17)
     dense = rng.normal(size=32) + rng.normal(scale=0.01, size=(500, 32))
