@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import letter_embedder
-from groundwire.operators import ingestion, knowledge_index, retrieval, vectors
+from groundwire.operators import ingestion, knowledge_index, retrieval, vector_codes, vectors
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
 from groundwire.plans.workspace import new_folder
@@ -310,6 +310,29 @@ def vector_recall(spark, sf_dir):
     return vectors.recall_at_k(approximate(spark, sf_dir), exact).withColumn("enough", F.col("recall") >= 0.95)
 
 
+#: Full vectors that a coded search reads for a query.
+RERANK = 60
+
+
+def coded_index(spark, sf_dir):
+    return vector_codes.build_codes(vectors.CellIndex.build(vector_corpus(spark, sf_dir), pivots=16))
+
+
+@register("vector_topk_coded")
+def vector_topk_coded(spark, sf_dir):
+    """Nearest by their codes, ranked on the full vectors."""
+    return vector_codes.vector_topk_coded(vector_queries(spark, sf_dir), coded_index(spark, sf_dir), rerank=RERANK)
+
+
+@register("coded_recall", f"WITH {_EXACT} SELECT count(*) AS expected, true AS enough, true AS frugal FROM exact")
+def coded_recall(spark, sf_dir):
+    """What the coded search finds of the true neighbours, and how few full vectors it reads for it."""
+    measured = vector_codes.coded_recall(vector_queries(spark, sf_dir), coded_index(spark, sf_dir), rerank=RERANK)
+    return measured.select(
+        "expected", (F.col("recall") >= 0.95).alias("enough"), (F.col("read_share") <= 0.25).alias("frugal")
+    )
+
+
 @register("retrieve_knowledge", f"""WITH {v.REQUESTS}, {_ALL_CHUNKS},
   stored AS (SELECT chunk_id, uri, text, {letters_sql('text')} AS e FROM chunks),
   asked AS (SELECT request_id, {letters_sql(v.strip('query'))} AS e FROM requests WHERE {v.strip('query')} <> ''),
