@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import letter_embedder
@@ -122,6 +120,41 @@ def stream_alarm_edges_latency(spark, sf_dir):
     return operations.alarm_edges(series, 300, LATENCY_MS, operations.LATENCY_PERIODS)
 
 
+def _settled(series: str, seconds: int) -> str:
+    """Windows that the watermark of the closed windows has passed."""
+    return f"{_closed(seconds)} AND period <= (SELECT max(period) FROM {series} WHERE {_closed(seconds)}) - INTERVAL 10 MINUTE"
+
+
+def _stream_edges_sql(series: str, seconds: int, threshold: int, periods: int) -> str:
+    """As the table's edges, of settled windows only."""
+    index = f"CAST(floor(epoch({{}}) / {seconds}) AS BIGINT)"
+    return f""", settled AS (SELECT * FROM {series} WHERE {_settled(series, seconds)}){alarm_sql('settled', seconds, threshold, periods)}
+  SELECT alarm, {index.format('alarm_from')} AS period_index, 'ALARM' AS state, CAST({periods} AS BIGINT) AS run FROM alarms
+  UNION ALL SELECT alarm, {index.format('alarm_to')}, 'OK', breaching FROM alarms a
+    WHERE EXISTS (SELECT 1 FROM settled s WHERE s.alarm = a.alarm AND s.period >= a.alarm_to)"""
+
+
+def window_stream(spark, windows):
+    """The table of closed windows that another stream has written, as a stream."""
+    return jobs.file_stream(spark, windows, spark.read.parquet(windows))
+
+
+@register("stream_edges_errors", f"WITH {v.ERROR_SERIES}{_stream_edges_sql('series', 60, 1, 1)}")
+def stream_edges_errors(spark, sf_dir):
+    """Edges appended by a stream over the closed windows."""
+    series = operations.error_series(window_stream(spark, error_windows(spark, sf_dir)))
+    edges = jobs.stream_alarm_edges(series, 60, operations.ERROR_THRESHOLD, operations.ERROR_PERIODS)
+    return collected(spark, edges, "edges-errors")
+
+
+@register("stream_edges_latency", f"""WITH {v.LATENCY},
+  latency_series AS (SELECT 'QueryDurationP99' AS alarm, * FROM latency){_stream_edges_sql('latency_series', 300, LATENCY_MS, 2)}""")
+def stream_edges_latency(spark, sf_dir):
+    series = window_stream(spark, latency_windows(spark, sf_dir)).withColumn("alarm", F.lit("QueryDurationP99"))
+    edges = jobs.stream_alarm_edges(series, 300, LATENCY_MS, operations.LATENCY_PERIODS)
+    return collected(spark, edges, "edges-latency")
+
+
 @register("stream_pii_scan", FINDINGS_SQL)
 def stream_pii_scan(spark, sf_dir):
     """Both buckets as streams; their findings are summarised after the run."""
@@ -153,7 +186,5 @@ def stream_route(spark, sf_dir):
 @register("stream_tier_counts", f"WITH {_ROUTED} SELECT tier, source, count(*) AS requests FROM routed GROUP BY 1, 2")
 def stream_tier_counts(spark, sf_dir):
     arriving = adapters.requests_of(table_stream(spark, sf_dir, "conversations"))
-    name = jobs.run_to_view(
-        jobs.running_tier_counts(jobs.stream_route(arriving)), f"tiers_{uuid.uuid4().hex}", new_folder(spark, "tiers-checkpoint")
-    )
-    return spark.table(name)
+    sink = jobs.run_to_parquet(jobs.tier_counts(jobs.stream_route(arriving)), "tier-counts")
+    return jobs.stored_tier_counts(spark, sink)

@@ -6,15 +6,19 @@ writes each batch exactly once, so a restarted job neither loses nor repeats row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from groundwire.config import EngineConfig
 from groundwire.operators.ingestion import job_metrics, version_rows
-from groundwire.operators.operations import dashboard_rollup
+from groundwire.operators.operations import dashboard_rollup, period_index
 from groundwire.operators.policy import pii_matches
 from groundwire.operators.routing import bind_models, decide_tier, route_modality
 from groundwire.plans.workspace import new_folder
@@ -145,11 +149,82 @@ def running_tier_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("tier", "source").agg(F.count("*").alias("requests"))
 
 
-def run_to_view(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> str:
-    """Process everything available into a view of this session; the rows are few, one per group."""
-    query = (
-        counts.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return name
+EDGES = "alarm string, period_index long, state string, run long"
+PENDING = "numbers array<long>, breaching array<boolean>, last long, run long, on boolean"
+
+
+def edge_walk(periods: int):
+    """From windows in order to state changes. State: the number of the last breach, the length of its run, and
+    whether the alarm is on."""
+    def walk(windows, last, run, on):
+        edges = []
+        for number, breaching in windows:
+            follows = breaching and run and number == last + 1
+            if not follows:
+                if on:
+                    edges.append((last + 1, "OK", run))
+                run, on = 0, False
+            if breaching:
+                last, run = number, run + 1
+                if run == periods:
+                    edges.append((number, "ALARM", run))
+                    on = True
+        return edges, last, run, on
+
+    return walk
+
+
+def stream_alarm_edges(
+    series: DataFrame, period_seconds: int, threshold: float, periods: int, lateness: str = LATENESS
+) -> DataFrame:
+    """State changes of a stream of closed windows (alarm, period, value), as ``alarm_edges`` gives them for a table:
+    (alarm, period_index, state, run), appended as soon as the watermark has passed the window that decides them.
+
+    Windows may arrive in any order within ``lateness``: an alarm's state keeps those that the watermark has not
+    passed yet, and a timer in event time comes back for them. What it keeps besides is three values.
+    """
+    ends = F.col("period").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(period_seconds)))
+    arriving = series.select(
+        F.col("alarm"), period_index(F.col("period"), period_seconds).alias("number"), ends.alias("closed_at"),
+        F.coalesce(F.col("value") >= threshold, F.lit(False)).alias("breaching"),
+    ).withWatermark("closed_at", lateness)
+    walk = edge_walk(periods)
+
+    def step(key, parts, state):
+        held = dict(zip(*state.get[:2])) if state.exists else {}
+        last, run, on = state.get[2:] if state.exists else (0, 0, False)
+        for part in parts:
+            for number, breaching in zip(part["number"].tolist(), part["breaching"].tolist()):
+                held[number] = held.get(number, False) or breaching
+        mark = state.getCurrentWatermarkMs()
+        passed = sorted(n for n in held if (n + 1) * period_seconds * 1000 <= mark)
+        edges, last, run, on = walk([(n, held.pop(n)) for n in passed], last, run, on)
+        numbers = sorted(held)
+        state.update((numbers, [held[n] for n in numbers], last, run, on))
+        if numbers:
+            state.setTimeoutTimestamp(max((numbers[0] + 1) * period_seconds * 1000, mark + 1))
+        yield pd.DataFrame([(key[0], *edge) for edge in edges], columns=["alarm", "period_index", "state", "run"])
+
+    return arriving.groupBy("alarm").applyInPandasWithState(step, EDGES, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def tier_counts(routed: DataFrame) -> DataFrame:
+    """How many requests each task of a batch routed to a tier, and why: (tier, source, requests). Stateless, so a
+    stream appends them to a Parquet sink, each batch once, and ``stored_tier_counts`` adds them up."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter()
+        for batch in batches:
+            total.update(zip(*(batch.column(c).to_pylist() for c in ("tier", "source"))))
+        if total:
+            tiers, sources = zip(*total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tiers, pa.string()), pa.array(sources, pa.string()), pa.array(list(total.values()), pa.int64())],
+                ["tier", "source", "requests"],
+            )
+
+    return routed.select("tier", "source").mapInArrow(count, "tier string, source string, requests long")
+
+
+def stored_tier_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Running counts per tier and source: of all that the sink below ``path`` has committed."""
+    return spark.read.parquet(path).groupBy("tier", "source").agg(F.sum("requests").alias("requests"))

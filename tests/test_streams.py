@@ -102,6 +102,43 @@ def test_alarm_edges_do_not_depend_on_file_order(spark, tmp_path, order):
     assert spans == {(a, n) for a, n, s, _ in got if s == "ALARM"}
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+def test_edges_are_appended_as_a_stream(spark, tmp_path, order):
+    """The same edges for every order of files, one file a batch and a restart after each, as from the table."""
+    series = [("p", 0, 9), ("p", 1, 9), ("p", 2, 1), ("p", 3, 9), ("p", 5, 9), ("p", 6, 9), ("p", 7, 9), ("p", 9, 0), ("q", 4, 9), ("q", 5, 9), ("q", 5, 1)]
+    path, sink, check = (str(tmp_path / n) for n in ("w", "edges", "check"))
+    parts = [series[:4], series[4:6], series[6:]]
+    base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) // 300
+
+    def run(lateness="1 hour"):
+        stream = jobs.file_stream(spark, path, spark.read.parquet(path), files=1)
+        jobs.run_to_parquet(jobs.stream_alarm_edges(stream, 300, 5, 2, lateness), "edges", sink, check)
+        return sorted((r.alarm, r.period_index - base, r.state, r.run) for r in spark.read.parquet(sink).collect())
+
+    for n in order:
+        windows(spark, path, [parts[n]])
+        assert run() == []  # none has been passed by the watermark yet
+    windows(spark, path, [[("z", 40, 0)]])
+    first = [("p", 1, "ALARM", 2), ("p", 2, "OK", 2), ("p", 6, "ALARM", 2), ("p", 8, "OK", 3), ("q", 5, "ALARM", 2)]
+    assert run() == first
+    windows(spark, path, [[("q", 41, 9), ("q", 42, 9)], [("z", 90, 0)]])
+    later = sorted([*first, ("q", 6, "OK", 2), ("q", 42, "ALARM", 2)])
+    assert run() == later == run()
+    whole = ops.alarm_edges(spark.read.parquet(path).groupBy("alarm", "period").agg(F.max("value").alias("value")), 300, 5, 2)
+    assert sorted((r.alarm, r.period_index - base, r.state, r.run) for r in whole.collect()) == later
+
+
+def test_counts_survive_a_restart(spark, tmp_path):
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    for half in (0, 1):
+        turns.filter(F.col("conv_id") % 2 == half).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, turns, files=1)
+        jobs.run_to_parquet(jobs.tier_counts(jobs.stream_route(adapters.requests_of(stream))), "tiers", sink, check)
+    batch = jobs.running_tier_counts(jobs.stream_route(adapters.requests_of(turns)))
+    assert sorted(map(tuple, jobs.stored_tier_counts(spark, sink).collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_runs_join_across_blocks(spark):
     first = ops.RUN_BLOCK * 3 - 2
     zero = dt.datetime(1970, 1, 1)
