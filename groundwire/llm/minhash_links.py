@@ -228,15 +228,18 @@ def _apart(member: DataFrame, sets: DataFrame, signatures: DataFrame, least: int
 
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85,
-    coordinates: int = COORDINATES, miss: float = 1e-6, rounds: int = 2,
+    coordinates: int = COORDINATES, miss: float = 1e-6, rounds: int = 2, among: DataFrame | None = None,
 ) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    """Columns doc_id, n_shingles, component_id, kept: one row per row of ``docs``. ``among`` (a column doc_id): only
+    these documents are linked with each other; the others are dropped before texts or signatures are dealt."""
     least = least_matches(coordinates, percent / 100, miss)
     small_batches(docs.sparkSession, 2000)
     signed = compute_once(shingle_sets(docs, doc_id, text, words), {"s": _signer(coordinates)(F.col("shingles"))})
     prepared = materialize(
         signed.select("doc_id", F.size("shingles").alias("n"), "s.low", "s.high", "s.signature"), "signatures"
     )
+    if among is not None:
+        prepared = prepared.join(among.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     key = ["n", "low", "high"]
     able = prepared.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(
@@ -281,8 +284,21 @@ def _joined(links: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame
     return found, materialize(named, "members")
 
 
-def without_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component."""
-    lost = near_duplicates(docs, doc_id=doc_id, **options).filter("NOT kept").select("doc_id").distinct()
+def without_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", texts: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component. ``texts`` (doc_id, text), if given, are
+    compared in place of the documents' own: as they were before lines were taken out, say. Documents that it does
+    not hold are compared by their own text."""
+    compared = docs
+    if texts is not None:
+        ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+        held = texts.select(F.col("doc_id").cast("long").alias("doc_id"))
+        missing = ids.join(held.distinct(), "doc_id", "left_anti").distinct()
+        columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(options.pop("text", "text")).alias("text")]
+        compared = texts.select("doc_id", "text")
+        if missing.filter("doc_id IS NOT NULL").head(1):
+            compared = compared.unionByName(docs.select(*columns).join(missing, "doc_id", "left_semi"))
+        options |= {"among": ids}
+    found = near_duplicates(compared, doc_id=doc_id if texts is None else "doc_id", **options)
+    lost = found.filter("NOT kept").select("doc_id").distinct()
     own = packed(docs, doc_id=F.col(doc_id).cast("long"))
     return unpacked(own.join(lost, "doc_id", "left_anti"), docs.columns)

@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ import tiktoken
 from compare import mismatch, oracle_connection
 
 import corpus_pipeline
-from groundwire.llm import byte_bpe, queries  # noqa: F401  fills the registry
+from groundwire.llm import byte_bpe, language, queries, source_mix  # noqa: F401  fills the registry
 from groundwire.llm.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -69,6 +70,73 @@ def test_language_is_right_on_held_out_documents(spark, documents):
     assert (got.lang == got.lang_pred)[got.held_out & got.lang.notna()].mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def test_language_equals_plain_mixtures(spark, documents):
+    """The best single language by likelihood, and the shares of a second one by plain expectation-maximisation."""
+    held = documents.doc_id.map(lambda n: zlib.crc32(str(n).encode()) % 4 == 2)
+    learned = spark.createDataFrame(documents[~held])
+    model = language.fit(learned, "text", "lang")
+    letters = language._letters()
+    counts = np.full((language.BUCKETS, len(model.languages)), 0.05)
+    for text, lang in zip(documents.text[~held], documents.lang[~held]):
+        if lang is not None:
+            np.add.at(counts[:, model.languages.index(lang)], language.trigrams([text or ""], letters)[0], 1)
+    assert np.allclose(model.chances, counts / counts.sum(axis=0))
+    texts = [t or "" for t in documents.text]
+    texts += [a + "\n" + b for a, b in zip(texts[:40], texts[40:80])]  # mixtures
+    found = language.infer(texts, model, letters, 2.0)
+    several = 0
+    for text, shares in zip(texts, found):
+        bucket = language.trigrams([text], letters)[0]
+        if not len(bucket):
+            assert not shares.any()
+            continue
+        chance = model.chances[bucket]
+        single = np.log(chance).sum(axis=0)
+        used = np.flatnonzero(shares)
+        if len(used) == 1:
+            assert single[used[0]] >= single.max() - 1e-6
+            continue
+        several += 1
+        part = np.full(len(used), 1 / len(used))
+        for _ in range(400):
+            weight = chance[:, used] * part
+            part = (weight / weight.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.abs(part - shares[used]).max() < 0.03
+        gain = np.log(chance[:, used] @ part).sum() - single.max()
+        assert gain > 2.0 * np.log(len(bucket) + 1)  # worth its penalty
+    assert several >= 10
+
+
+def test_source_mix_equals_a_plain_queue(spark, documents):
+    """Targets by pouring, one copy after the other by finish time, until the budget is spent."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = source_mix.mix(docs).toPandas()
+    sizes = documents.set_index("doc_id").text.map(lambda t: len(WORD.findall(t or "")))
+    assert (rows.set_index("doc_id")["size"].sort_index() == sizes.sort_index()).all()
+    total = rows.groupby("source")["size"].sum().sort_index()
+    weights, budget, target = {s: (5, 2, 1)[n % 3] for n, s in enumerate(total.index)}, 1.5 * total.sum(), dict.fromkeys(total.index, 0.0)
+    left, open_ = budget, set(total.index)
+    while open_ and left > 1e-9:
+        step = min(left / sum(weights[s] for s in open_), min((2 * total[s] - target[s]) / weights[s] for s in open_))
+        for s in open_:
+            target[s] += step * weights[s]
+        left -= step * sum(weights[s] for s in open_)
+        open_ = {s for s in open_ if 2 * total[s] - target[s] > 1e-6}
+    assert all(abs(target[s] - t) < 1e-3 for s, t in zip(rows.source, rows.target))
+    queue = []
+    for source, own in rows[rows["size"] > 0].groupby("source"):
+        sent = own.sort_values(["place", "doc_id"])["size"].cumsum()
+        for copy in (1, 2):
+            queue += [((x + (copy - 1) * int(total[source])) / own.target[n], own.place[n], copy, n) for n, x in sent.items()]
+    spent, copies = 0, dict.fromkeys(rows.index, 0)
+    for _, _, _, n in sorted(queue):
+        spent += rows["size"][n]
+        if spent > budget:
+            break
+        copies[n] += 1
+    assert [copies[n] for n in rows.index] == rows.copies.tolist()
+
+
 def test_source_mix_meets_its_targets(spark, documents):
     got = run(spark, "op4_source_mix").toPandas()
     sizes = documents.text.map(lambda t: len(WORD.findall(t or ""))).groupby(documents.source).sum()
@@ -170,8 +238,11 @@ def test_pipeline_stages(spark, documents, encoding):
     got = kept["line_dedup"]
     assert dict(zip(got.doc_id, got.text.fillna(""))) == texts and (got.n_chars == got.text.str.len()).all()
 
-    _, component = linked(got, 5, 80)
+    # near copies are those of the texts before lines were taken out
+    _, component = linked(documents[documents.doc_id.isin(got.doc_id)], 5, 80)
     assert set(kept["minhash_dedup"].doc_id) == {i for i, c in component.items() if i == c}
+    _, late = linked(got, 5, 80)
+    assert sum(i != c for i, c in component.items()) > sum(i != c for i, c in late.items())
     mixed = kept["source_mix"].doc_id.value_counts()
     assert mixed.max() <= 2 and set(mixed.index) <= set(kept["minhash_dedup"].doc_id)
     last = kept["byte_pair_encoding"]
