@@ -2,9 +2,10 @@
 
 A text is cut into tokens: words (letters, digits, underscores), single other characters, and masks like ``{EMAIL}``
 as one token; blanks only separate. A phrase is found where its tokens follow each other, in any letter case, so
-never inside a word. Lists become tries of tokens that are broadcast, at most BLOCK_TOKENS tokens in each; a longer
-list takes several tries that the texts pass one after the other, in the same tasks, without a shuffle. At each
-place the longest phrase of each list counts. For masking, what is found is merged over all lists from left to
+never inside a word. Lists become tries of tokens that are broadcast, at most BLOCK_TOKENS tokens in each, so that no
+broadcast grows with the lists; the texts pass all tries in the same tasks, without a shuffle. A task holds all of
+them, about 250 bytes a token: lists of a million phrases take some hundred megabytes. At each place the longest
+phrase of each list counts. For masking, what is found is merged over all lists from left to
 right: the earliest phrase, of those the longest, of those the list named first; phrases that overlap it are left.
 
 Phrases that are null or hold no token match nothing; repeated phrases count once; a phrase may be in several lists.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from groundwire.functions.sensitive import ENTITY_TYPES
 
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 200_000
 TOKEN = re.compile(r"\{(?:" + "|".join(ENTITY_TYPES) + r")\}|\w+|[^\w\s]")
 SPANS = "array<struct<start:int,end:int,entity:int>>"
 

@@ -55,9 +55,10 @@ def word_runs(texts, size):
 
 
 def listed_phrases(spark, sf_dir):
-    """Lists as long as the tables make them: pairs of words of the benchmark, runs of three of the conversations."""
-    names = word_runs(adapters.table(spark, sf_dir, "benchmark"), 2).withColumn("entity", F.lit("NAME"))
-    return names.unionByName(word_runs(adapters.table(spark, sf_dir, "conversations"), 3).withColumn("entity", F.lit("ADDRESS")))
+    """Lists as long as the table makes them: the pairs of words of the benchmark, and its runs of three."""
+    items = adapters.table(spark, sf_dir, "benchmark")
+    names = word_runs(items, 2).withColumn("entity", F.lit("NAME"))
+    return names.unionByName(word_runs(items, 3).withColumn("entity", F.lit("ADDRESS")))
 
 
 def _runs_sql(table: str, size: int) -> str:
@@ -72,7 +73,7 @@ runs AS (SELECT doc_id, w || ' ' || lead(w) OVER d AS two, w || ' ' || lead(w) O
   w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d AS four FROM places WINDOW d AS (PARTITION BY doc_id ORDER BY i))"""
 
 
-@register("phrase_matches", f"""WITH {_TOKENS}, names AS ({_runs_sql('benchmark', 2)}), addresses AS ({_runs_sql('conversations', 3)})
+@register("phrase_matches", f"""WITH {_TOKENS}, names AS ({_runs_sql('benchmark', 2)}), addresses AS ({_runs_sql('benchmark', 3)})
   SELECT doc_id, 'NAME' AS entity, count(*) AS matches FROM runs JOIN names ON two = phrase GROUP BY 1
   UNION ALL SELECT doc_id, 'ADDRESS', count(*) FROM runs JOIN addresses ON three = phrase GROUP BY 1""")
 def phrase_matches(spark, sf_dir):

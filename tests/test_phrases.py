@@ -28,7 +28,7 @@ def as_table(spark):
     return spark.createDataFrame(rows, "entity string, phrase string").withColumn("text", F.lit("x"))
 
 
-@pytest.mark.parametrize("block", [500_000, 2])
+@pytest.mark.parametrize("block", [200_000, 2])
 def test_masks_are_whole_words(spark, monkeypatch, block):
     monkeypatch.setattr(phrases, "BLOCK_TOKENS", block)  # several tries give the same
     df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(CASES)], "n int, text string")
