@@ -441,3 +441,59 @@ def busy_job_stats(triggers: DataFrame, seconds: float) -> DataFrame:
     return told(met, ("uploaded", "-", "uploaded"), ("skipped", "ValidationException", "refused")).unionByName(
         told(jobs, ("started", "-", "started"), ("skipped", "ConflictException", "conflicts"))
     ).filter(F.col("n") > 0)
+
+
+def sliding_bursts(log: DataFrame, limit: int = BURST_LIMIT, seconds: float = 1.0) -> DataFrame:
+    """Per caller and month: calls, the most in any span of ``seconds``, wherever it begins, how many calls came on
+    top of ``limit`` in the span that ends with them, and when the first of these came.
+
+    Calls are counted per caller and moment. A caller's moments are looked at in blocks of 64 spans, each with the
+    moments of the last span before it as a halo, so a burst across a border counts and no caller is gathered. Calls
+    without a caller or time belong to no quota.
+    """
+    kind = log.schema["ts"].dataType.simpleString()
+    span = int(round(seconds * 1_000_000))
+    length = 64 * span
+    known = log.filter(F.col("caller").isNotNull() & F.col("ts").isNotNull())
+    moments = known.groupBy("caller", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
+    inside = F.pmod(F.col("t"), F.lit(length))
+    placed = moments.withColumn("_block", F.floor(F.col("t") / length))
+    # one row for each block that a moment counts in: its own, and the next one's halo
+    blocks = F.when(inside > length - span, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = placed.withColumn("_ahead", F.explode(blocks)).withColumn("_block", F.col("_block") + F.col("_ahead"))
+    before = Window.partitionBy("caller", "_block").orderBy("t").rangeBetween(1 - span, 0)
+    counted = dealt.withColumn("_within", F.sum("n").over(before)).filter("_ahead = 0")
+    over = F.greatest(F.lit(0), F.least(F.col("n"), F.col("_within") - limit))
+    when = F.timestamp_micros("t").cast(kind)
+    return counted.groupBy("caller", F.date_format(when, "yyyy-MM").alias("month")).agg(
+        F.sum("n").alias("calls"), F.max("_within").alias("peak"), F.sum(over).alias("over_burst"),
+        F.min(F.when(F.col("_within") > limit, when)).alias("first_over_at"),
+    )
+
+
+def rank_error(k: int) -> float:
+    """How far the rank of a sketch's percentile may be off, with a chance of 1 % to be further: of a KLL sketch."""
+    return 2.296 / k**0.9723
+
+
+def latency_sketches(log: DataFrame, period: str = "1 minute", k: int = 200) -> DataFrame:
+    """Per period the number of calls and a sketch of their latencies, whose size does not grow with the calls. Calls
+    without a time or latency are left out."""
+    timed = log.filter(F.col("ts").isNotNull() & F.col("latency_ms").isNotNull())
+    return timed.groupBy(F.window("ts", period).alias("_w")).agg(
+        F.count("*").alias("calls"), F.kll_sketch_agg_bigint("latency_ms", k).alias("sketch")
+    ).select(F.col("_w.start").alias("period"), "calls", "sketch")
+
+
+def merge_sketches(sketches: DataFrame, period: str) -> DataFrame:
+    """Sketches of longer periods from those of shorter ones; the calls are not read again."""
+    return sketches.groupBy(F.window("period", period).alias("_w")).agg(
+        F.sum("calls").alias("calls"), F.kll_merge_agg_bigint("sketch").alias("sketch")
+    ).select(F.col("_w.start").alias("period"), "calls", "sketch")
+
+
+def sketch_percentile(sketches: DataFrame, share: float = 0.99) -> DataFrame:
+    """(period, value, calls): a latency whose rank is ``share`` but for ``rank_error``."""
+    return sketches.select(
+        "period", F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(share))).alias("value"), "calls"
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groundwire.operators import operations
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
+from groundwire.plans.workspace import materialize
 from groundwire.sources import access_log, adapters, objects
 
 # The production quota never triggers on the small tables, so the query passes a lower one.
@@ -170,3 +171,46 @@ def busy_jobs(spark, sf_dir):
     HAVING count(*) > 0""")
 def busy_job_stats(spark, sf_dir):
     return operations.busy_job_stats(triggers(spark, sf_dir), JOB_SECONDS)
+
+
+_CROWDED = """crowded AS (SELECT CAST(user_id % 3 AS VARCHAR) AS caller,
+    date_trunc('day', ts) + to_milliseconds(250 * (event_id % 8)) AS ts FROM events),
+  moments AS (SELECT caller, ts, count(*) AS n FROM crowded GROUP BY 1, 2),
+  within AS (SELECT *, (SELECT CAST(sum(n) AS BIGINT) FROM moments b WHERE b.caller = a.caller AND b.ts <= a.ts
+    AND b.ts > a.ts - INTERVAL 1 SECOND) AS held FROM moments a)"""
+
+
+@register("sliding_bursts", f"""WITH {_CROWDED}
+  SELECT caller, strftime(ts, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS calls, max(held) AS peak,
+    CAST(sum(greatest(0, least(n, held - 20))) AS BIGINT) AS over_burst, min(ts) FILTER (held > 20) AS first_over_at
+  FROM within GROUP BY 1, 2""")
+def sliding_bursts(spark, sf_dir):
+    """Three callers whose calls of a day all come within two seconds after midnight, against the production limit."""
+    moment = F.date_trunc("day", "ts") + F.make_dt_interval(secs=F.lit(0.25) * (F.col("event_id") % 8))
+    crowded = adapters.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 3).cast("string").alias("caller"), moment.cast("timestamp_ntz").alias("ts")
+    )
+    return operations.sliding_bursts(crowded)
+
+
+@register("latency_sketches", """
+  SELECT date_trunc('day', ts) AS period, count(*) AS calls, true AS near, true AS small FROM events GROUP BY 1""")
+def latency_sketches(spark, sf_dir):
+    """Sketches per minute, merged to five minutes and then to days: whether the day's percentile is as near as the
+    sketch promises (twice its error), and no larger for a day than a sketch may be."""
+    log = adapters.access_log(spark, sf_dir).select("ts", "latency_ms")
+    minutes = materialize(operations.latency_sketches(log), "latency-sketches")
+    days = operations.merge_sketches(operations.merge_sketches(minutes, "5 minutes"), "1 day")
+    size = days.select("period", (F.octet_length("sketch") <= 16_384).alias("small"))
+    value = operations.sketch_percentile(days).join(size, "period")
+    ranked = log.join(value, F.date_trunc("day", "ts").cast("timestamp_ntz") == value["period"].cast("timestamp_ntz")).groupBy(
+        "period", "calls", "small"
+    ).agg(
+        (F.count_if(F.col("latency_ms") < F.col("value")) / F.count("*")).alias("below"),
+        (F.count_if(F.col("latency_ms") <= F.col("value")) / F.count("*")).alias("upto"),
+    )
+    off = 2 * operations.rank_error(200)
+    return ranked.select(
+        F.col("period").cast("timestamp_ntz").alias("period"), "calls",
+        ((F.col("below") - off <= 0.99) & (F.col("upto") + off >= 0.99)).alias("near"), "small",
+    )

@@ -131,3 +131,44 @@ def test_jobs_follow_one_another(spark):
         stats = {(r.status, r.reason): r.n for r in ops.busy_job_stats(df, lasts).collect()}
         assert stats[("uploaded", "-")] == len(rows) and stats[("skipped", "ValidationException")] == 2
         assert stats.get(("started", "-"), 0) == len(want)
+
+
+def test_bursts_slide_over_borders(spark):
+    """Against counting around every call, with bursts across seconds, blocks of spans and months, ties and nulls."""
+    draw = random.Random(9)
+    zero = dt.datetime(2024, 1, 31, 23, 59, 0)
+    moments = [draw.choice([59.2, 60.1, 0.0, 63.9, 64.0, 127.9, 128.3]) + draw.random() * draw.choice([0.1, 1, 5]) for _ in range(400)]
+    calls = [(draw.choice("ab"), zero + dt.timedelta(microseconds=int(m * 1e6))) for m in moments]
+    calls += calls[:30] + [("c", zero)]
+    df = spark.createDataFrame([*calls, (None, zero), ("a", None)], "caller string, ts timestamp_ntz").repartition(4)
+    for limit, seconds in ((20, 1.0), (5, 0.25), (0, 1.0)):
+        want = {}
+        span = dt.timedelta(seconds=seconds)
+        for caller, t in set(calls):
+            n = calls.count((caller, t))
+            held = sum(c == caller and t - span < u <= t for c, u in calls)
+            row = want.setdefault((caller, t.strftime("%Y-%m")), [0, 0, 0, None])
+            row[0] += n
+            row[1] = max(row[1], held)
+            row[2] += max(0, min(n, held - limit))
+            if held > limit:
+                row[3] = min(row[3] or t, t)
+        got = {(r.caller, r.month): [r.calls, r.peak, r.over_burst, r.first_over_at] for r in ops.sliding_bursts(df, limit, seconds).collect()}
+        assert got == want
+
+
+def test_merged_sketches_stay_near(spark):
+    """Merged in two ways, of few and of many calls: the rank is right but for the stated error, the size is bounded."""
+    draw = random.Random(10)
+    zero = dt.datetime(2024, 1, 2)  # two-day windows count from 1970
+    values = [int(draw.lognormvariate(6, 1)) for _ in range(30_000)]
+    rows = [(zero + dt.timedelta(seconds=3 * n), v) for n, v in enumerate(values)] + [(zero + dt.timedelta(days=3), 7), (None, 1), (zero, None)]
+    log = spark.createDataFrame(rows, "ts timestamp, latency_ms long").repartition(6)
+    minutes = ops.latency_sketches(log)
+    for days in (ops.merge_sketches(minutes, "2 days"), ops.merge_sketches(ops.merge_sketches(minutes, "1 hour"), "2 days")):
+        for share in (0.5, 0.99):
+            first, last = ops.sketch_percentile(days, share).orderBy("period").collect()
+            assert (first.calls, last.calls, last.value) == (30_000, 1, 7)
+            off = 2 * ops.rank_error(200)
+            assert sum(v < first.value for v in values) / 30_000 - off <= share <= sum(v <= first.value for v in values) / 30_000 + off
+        assert max(len(r.sketch) for r in days.collect()) < 16_384
