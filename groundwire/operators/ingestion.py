@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundwire.functions.text import words
 from groundwire.operators.knowledge_index import add_versions
-from groundwire.plans.workspace import materialize
+from groundwire.plans.workspace import scratch
 from groundwire.sources.chunk_store import HEADER, append_rows, bucket_of, changed_documents, content_of
 from groundwire.sources.documents import under_prefix
 
@@ -133,19 +133,20 @@ def ingest_knowledge(
     ``documents``: uri, key, text, version and further columns to keep. Unchanged documents drop out before
     the chunking; a document that is only newer renews its header. ``load_embedder`` gives the embedder.
     """
-    changed = materialize(changed_documents(under_prefix(documents, prefix), path), "changed-documents")
-    done = {"documents": 0, "chunks": 0, "tokens": 0}
-    fresh = changed.filter(~F.col("content_known")).drop("content_known", "bucket", "content")
-    if fresh.head(1):
-        job = Observation("ingest")
-        append_rows(version_rows(fresh, embedder).observe(job, *job_metrics()), path)
-        done = job.get
-        if embedder is not None:
-            add_versions(documents.sparkSession, path, changed.filter(~F.col("content_known")).select("uri", "content", "old_content"))
-    same = changed.filter("content_known").drop("content_known", "key", "text", "old_content")
-    if same.head(1):
-        append_rows(same.withColumn("ordinal", F.lit(HEADER).cast("bigint")), path)
-    return documents.sparkSession.createDataFrame(
+    spark, done = documents.sparkSession, {"documents": 0, "chunks": 0, "tokens": 0}
+    with scratch(changed_documents(under_prefix(documents, prefix), path), "changed-documents") as changed:
+        news = changed.filter(~F.col("content_known"))
+        fresh = news.drop("content_known", "bucket", "content", "old_content")
+        if fresh.head(1):
+            job = Observation("ingest")
+            append_rows(version_rows(fresh, embedder).observe(job, *job_metrics()), path)
+            done = job.get
+            if embedder is not None:
+                add_versions(spark, path, news.select("uri", "content", "old_content"))
+        same = changed.filter("content_known").drop("content_known", "key", "text", "old_content")
+        if same.head(1):
+            append_rows(same.withColumn("ordinal", F.lit(HEADER).cast("bigint")), path)
+    return spark.createDataFrame(
         [(done["documents"], done["chunks"], done["tokens"], "COMPLETE")], "documents long, chunks long, tokens long, status string"
     )
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from groundwire.operators.vectors import (
     BLOCK_ROWS, MAX_PIVOTS, SUMMARY, CellIndex, as_matrix, assign_cells, choose_pivots, pivot_rows, pivots_for, summarize_cells,
 )
-from groundwire.plans.workspace import materialize
+from groundwire.plans.workspace import scratch
 from groundwire.sources.chunk_store import Store, if_there
 
 SPLIT_ROWS = 65_536
@@ -93,9 +93,9 @@ def refresh_index(spark: SparkSession, path: str, *, split_rows: int = SPLIT_ROW
     if store.empty:
         return parts.next - 1
     current, known = store.versions().select(*VERSION), parts.versions()
-    added = materialize(current.join(known, VERSION, "left_anti"), "index-added")
-    gone = materialize(known.join(current, VERSION, "left_anti"), "index-gone")
-    return _add_part(parts, store, added, gone, split_rows)
+    with scratch(current.join(known, VERSION, "left_anti"), "index-added") as added:
+        with scratch(known.join(current, VERSION, "left_anti"), "index-gone") as gone:
+            return _add_part(parts, store, added, gone, split_rows)
 
 
 def add_versions(spark: SparkSession, path: str, changed: DataFrame, *, split_rows: int = SPLIT_ROWS) -> int:
@@ -119,15 +119,11 @@ def _add_part(parts: _Parts, store: Store, added: DataFrame, gone: DataFrame, sp
     ).filter(F.col("embedding").isNotNull())
     if parts.folders:
         pivots, first = parts.pivots(), None
+        _place(vectors, pivots, parts.closed, folder)
     else:
-        vectors = materialize(vectors, "index-vectors")
-        pivots, first = choose_pivots(vectors, pivots_for(vectors.count())), 0
-    if len(pivots):
-        # vectors of a closed cell's pivot belong to an open one
-        open_cells = np.setdiff1d(np.arange(len(pivots)), parts.closed)
-        near = assign_cells(vectors, pivots[open_cells])
-        cells = F.element_at(F.lit(open_cells.astype("int").tolist()).cast("array<int>"), F.col("cell") + 1)
-        _write_rows(near.withColumn("cell", cells), folder)
+        with scratch(vectors, "index-vectors") as held:
+            pivots, first = choose_pivots(held, pivots_for(held.count())), 0
+            _place(held, pivots, parts.closed, folder)
     named = added.withColumn("part", F.lit(number))
     named.write.parquet(f"{folder}/versions")
     gone.withColumn("part", F.lit(number)).write.parquet(f"{folder}/gone")
@@ -138,6 +134,15 @@ def _add_part(parts: _Parts, store: Store, added: DataFrame, gone: DataFrame, sp
     return _split(_Parts(spark, parts.path), split_rows)
 
 
+def _place(vectors: DataFrame, pivots: np.ndarray, closed: list[int], folder: str) -> None:
+    """Write vectors to the open cell with the nearest pivot."""
+    if len(pivots):
+        open_cells = np.setdiff1d(np.arange(len(pivots)), closed)
+        near = assign_cells(vectors, pivots[open_cells])
+        cells = F.element_at(F.lit(open_cells.astype("int").tolist()).cast("array<int>"), F.col("cell") + 1)
+        _write_rows(near.withColumn("cell", cells), folder)
+
+
 def _write_rows(rows: DataFrame, folder: str) -> None:
     rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{folder}/rows")
 
