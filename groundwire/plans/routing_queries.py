@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from groundwire.config import EngineConfig
 from groundwire.operators import payloads, routing
+from groundwire.operators.model_stage import run_model
 from groundwire.plans import oracle_views as v
 from groundwire.plans.registry import register
+from groundwire.plans.workspace import new_folder
 from groundwire.sources import adapters, requests as request_source
 
 CONFIG = EngineConfig()
@@ -216,3 +220,77 @@ def build_inference_batch(spark, sf_dir):
   FROM decided GROUP BY CUBE (tier, source, reason)""")
 def tier_share(spark, sf_dir):
     return routing.tier_share(decided(spark, sf_dir))
+
+
+def rule_bound_client(outage):
+    """A client that SQL can repeat: what it says, and how often it is late, follow from the length of the question.
+    While the service is out, every fifth length is never answered."""
+    def make():
+        tries = {}
+
+        def call(payload):
+            content = json.loads(payload)["messages"][0]["content"]
+            n = len(content[-1]["text"])
+            tries[payload] = tries.get(payload, 0) + 1
+            if n % 11 == 0:
+                raise ValueError("refused")
+            if outage and n % 5 == 0:
+                raise ConnectionError("service is out")
+            if tries[payload] <= n % 3:
+                raise TimeoutError("late")
+            tier = "fast" if n % 2 == 0 else "reasoning"
+            return json.dumps({"tier": tier, "confidence": (n % 5 + 5) / 10, "reason": f"length {n}"})
+
+        return call
+
+    return make
+
+
+def answered(batch, path):
+    """Two runs over one ledger: the second calls only what the outage of the first left open."""
+    settings = {"first_wait": 0.0, "note_every": 64}
+    run_model(batch, path, rule_bound_client(outage=True), **settings)
+    return run_model(batch, path, rule_bound_client(outage=False), **settings)
+
+
+# Outcome of a call whose question has n characters.
+_OUTCOME = """CASE WHEN n % 11 <> 0 THEN CASE n % 2 WHEN 0 THEN 'fast' ELSE 'reasoning' END END AS said,
+    CASE WHEN n % 11 <> 0 THEN CAST((n % 5 + 5) / 10.0 AS DOUBLE) END AS sure,
+    CASE n % 11 WHEN 0 THEN 'ValueError: refused' END AS error, CASE n % 11 WHEN 0 THEN 1 ELSE n % 3 + 1 END AS attempts"""
+
+
+@register("model_results", f"""WITH {_DECIDED},
+  asked AS (SELECT request_id, length(query || CASE WHEN has_image THEN {v.lit(payloads.VISION_HINT)} ELSE '' END) AS n FROM decided),
+  outcomes AS (SELECT request_id, n, {_OUTCOME} FROM asked)
+  SELECT request_id, CASE WHEN said IS NOT NULL THEN 'length ' || n END AS answer, error, false AS passing, CAST(attempts AS BIGINT) AS attempts
+  FROM outcomes""")
+def model_results(spark, sf_dir):
+    """Every request's payload through the model, over two runs."""
+    bound = routing.bind_models(decided(spark, sf_dir), CONFIG)
+    results = answered(payloads.build_inference_batch(bound, CONFIG), new_folder(spark, "model-results"))
+    return results.select(
+        "request_id", F.get_json_object("output", "$.reason").alias("answer"), "error", "passing",
+        F.col("attempts").cast("bigint").alias("attempts"),
+    )
+
+
+@register("classify_by_model", f"""WITH {v.CLASSIFIED},
+  open AS (SELECT *, length('Query: ' || substr(query, 1, 1500) || chr(10) || 'Has image: ' || CASE WHEN has_image THEN 'True' ELSE 'False' END) AS n
+    FROM classified),
+  outcomes AS (SELECT *, {_OUTCOME}, override_tier IS NULL AND confidence < 0.62 AS by_model FROM open),
+  settled AS (SELECT *, by_model AND said IS NOT NULL AS heard FROM outcomes)
+  SELECT request_id, CASE WHEN override_tier IS NOT NULL THEN override_tier WHEN heard THEN said ELSE tier END AS tier,
+    CASE WHEN override_tier IS NOT NULL THEN 'client metadata override' WHEN heard THEN 'llm:length ' || n ELSE reason END AS reason,
+    CASE WHEN override_tier IS NOT NULL THEN 'override' WHEN heard THEN 'llm' ELSE 'heuristic' END AS source,
+    CASE WHEN override_tier IS NOT NULL THEN 1.0 WHEN heard THEN sure ELSE confidence END AS confidence,
+    CASE WHEN by_model THEN error END AS error, CAST(CASE WHEN by_model THEN attempts END AS BIGINT) AS attempts FROM settled""")
+def classify_by_model(spark, sf_dir):
+    """Requests the rules leave open go to the classifier; one that it refuses keeps the rule's decision."""
+    asked = adapters.requests(spark, sf_dir)
+    batch = payloads.classifier_batch(routing.classifier_candidates(asked, CONFIG))
+    outputs = answered(batch.select("request_id", "payload"), new_folder(spark, "classified"))
+    verdicts = routing.parse_classifier(outputs.withColumnRenamed("output", "raw"))
+    calls = outputs.select("request_id", "error", F.col("attempts").cast("bigint").alias("attempts"))
+    return routing.decide_tier(asked, CONFIG, verdicts).join(calls, "request_id", "left").select(
+        "request_id", "decision.*", "error", "attempts"
+    )

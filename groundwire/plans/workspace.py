@@ -27,8 +27,23 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str, root: str | None = None) -> str:
+    return f"{root or shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _hadoop_path(spark, path)
+    return files.exists(folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, folder = _hadoop_path(spark, path)
+    files.delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,5 +62,4 @@ def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
         df.write.parquet(path)
         yield df.sparkSession.read.parquet(path)
     finally:
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(df.sparkSession, path)
