@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwire.plans.skew import salted_join
+from groundwire.plans.skew import spread_join
 from groundwire.plans.workspace import folder_exists, new_folder, remove_folder, scratch
 
 KEY = "payload_key"
@@ -176,5 +176,5 @@ def run_model(
             remove_folder(spark, f"{path}/notes")
     outcomes = read_outcomes(spark, path).drop("finished_at")
     others = [c for c in batch.columns if c != "payload"]
-    joined = salted_join(keyed.drop("payload"), outcomes, [KEY], [F.col(c) for c in others or [KEY]])
+    joined = spread_join(keyed.drop("payload"), outcomes, [KEY], [F.col(c) for c in others or [KEY]])
     return joined.select(*others, *outcomes.columns)

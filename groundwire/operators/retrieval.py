@@ -12,8 +12,10 @@ from groundwire.config import EXCERPT_CHARS
 from groundwire.functions.text import blank_to_null, strip
 from groundwire.operators.ingestion import embed_chunks
 from groundwire.operators.knowledge_index import open_index
+from groundwire.operators.payloads import RETRIEVAL_TOOL
+from groundwire.operators.tool_loop import STOP_TOOL, run_citations
 from groundwire.operators.vectors import CellIndex, vector_topk
-from groundwire.plans.skew import salted_join
+from groundwire.plans.skew import salted_join, spread_join
 from groundwire.plans.workspace import materialize
 from groundwire.sources.chunk_store import read_chunks
 
@@ -68,3 +70,36 @@ def retrieve_knowledge(
         "score", F.round(1.0 / (1.0 + F.col("distance") * F.col("distance")), 6)
     )
     return shape_citations(scored.withColumnRenamed("query_id", "request_id")), rejected
+
+
+def run_searches(looped: DataFrame, paired: DataFrame, tool: str = RETRIEVAL_TOOL) -> DataFrame:
+    """(request_id, i, position, query, requested) of the searches that runs really made.
+
+    ``paired``: the tool calls of turns with their input and status. A discarded turn makes no call, and a call that
+    failed cites nothing. An input that is no JSON, or names no query, gives a null query.
+    """
+    executed = looped.filter((F.col("stop_reason") == STOP_TOOL) & ~F.col("discarded")).select("request_id", "i").distinct()
+    made = paired.filter((F.col("tool") == tool) & (F.col("status") == "success"))
+    return made.join(executed, ["request_id", "i"], "left_semi").select(
+        "request_id", "i", "position", F.get_json_object("input", "$.query").alias("query"),
+        F.get_json_object("input", "$.number_of_results").try_cast("int").alias("requested"),
+    )
+
+
+def cite_searches(
+    searches: DataFrame, path: str, embedder: PipelineModel | Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Citations of runs, in the order of their searches, from the index of the store below ``path``.
+
+    Equal questions are searched once. One question may stand for a third of all searches: it is one row per task
+    before the shuffle, and its few hits are repeated for the buckets of its searches. A search without a question cites nothing.
+    """
+    asked = searches.withColumn("query", strip(F.col("query"))).filter(F.col("query") != "")
+    asked = asked.withColumn("question", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("requested"), F.lit(0)).cast("string"), "query"), 256))
+    questions = asked.select(F.col("question").alias("request_id"), "query", "requested").dropDuplicates(["request_id"])
+    hits, _ = retrieve_from_store(questions, path, embedder)
+    cited = spread_join(
+        asked.select("question", "request_id", "i", "position"), hits.withColumnRenamed("request_id", "question"),
+        ["question"], [F.col("request_id"), F.col("i"), F.col("position")], how="inner",
+    )
+    return run_citations(cited.drop("question"), ("i", "position", "rank"))

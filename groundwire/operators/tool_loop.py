@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,10 +138,22 @@ def run_traces(looped: DataFrame, paired: DataFrame) -> DataFrame:
     return traced.groupBy("request_id").agg(F.sort_array(F.collect_list(trace)).alias("tool_trace"))
 
 
-def run_citations(hits: DataFrame) -> DataFrame:
-    """Citations of a request in rank order, from retrieval hits (request_id, rank, ...); at most ten per search."""
-    others = [c for c in hits.columns if c not in ("request_id", "rank")]
-    cited = F.sort_array(F.collect_list(F.struct("rank", *others)))
+def run_citations(hits: DataFrame, order: Sequence[str] = ("rank",)) -> DataFrame:
+    """Citations of a request in ``order``, from retrieval hits (request_id, rank, ...); at most ten per search, and
+    the iteration limit bounds the searches of a run. Maps are no part of the order."""
+    maps = [name for name, kind in hits.dtypes if kind.startswith("map<")]
+    others = [c for c in hits.columns if c not in ("request_id", *order)]
+    # Maps can't be sorted, so they travel as their entries.
+    entries = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in others]
+    cited = F.sort_array(F.collect_list(F.struct(*order, *entries)))
+
+    def with_maps(citation: Column) -> Column:
+        for name in maps:
+            citation = citation.withField(name, F.map_from_entries(citation[name]))
+        return citation
+
+    if maps:
+        cited = F.transform(cited, with_maps)
     return hits.groupBy("request_id").agg(cited.alias("citations"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from groundwire.plans import (  # noqa: F401
+    citation_queries,
     knowledge_queries,
     operation_queries,
     policy_queries,

@@ -18,21 +18,22 @@ CONFIG = EngineConfig()
 _FAST, _REASONING = v.lit(CONFIG.fast_model_id), v.lit(CONFIG.reasoning_model_id)
 
 
-@register("read_requests", f"""WITH {v.REQUESTS},
+_CHECKED = f"""WITH {v.REQUESTS},
   bodies AS (
     SELECT 'request-' || request_id AS request_key, query, NULL AS image_format, false AS bad_meta, false AS two_images FROM requests
     UNION ALL SELECT 'document-' || doc_id, text, lang, lang = 'es', lang = 'fr' FROM documents),
-  checked AS (SELECT request_key, length(query) AS n, list_filter([
+  checked AS (SELECT request_key, query, length(query) AS n, list_filter([
       CASE WHEN length(query) > 8000 THEN 'query: too long' END,
       CASE WHEN length(query) < 1 THEN 'query: too short' END,
       CASE WHEN image_format IS NOT NULL THEN 'image_format: not allowed' END,
-      CASE WHEN bad_meta THEN 'metadata: value not a string' END], lambda r: r IS NOT NULL) AS problems, two_images FROM bodies)
-  SELECT request_key, CAST(n AS BIGINT) AS query_chars,
-    CASE WHEN len(problems) = 0 AND two_images THEN 'more than one image source'
-      ELSE array_to_string(problems, '; ') END AS reasons FROM checked""".replace(
+      CASE WHEN bad_meta THEN 'metadata: value not a string' END], lambda r: r IS NOT NULL) AS problems, two_images FROM bodies)""".replace(
     "NULL AS image_format", "CAST(NULL AS VARCHAR) AS image_format").replace(
-    "lang, lang = 'es'", "CASE WHEN lang NOT IN ('fr', 'en') THEN lang END, lang = 'es'"))
-def read_requests(spark, sf_dir):
+    "lang, lang = 'es'", "CASE WHEN lang NOT IN ('fr', 'en') THEN lang END, lang = 'es'")
+_REASONS = """CASE WHEN len(problems) = 0 AND two_images THEN 'more than one image source'
+  ELSE array_to_string(problems, '; ') END"""
+
+
+def request_bodies(spark, sf_dir):
     """Requests and whole documents as JSON bodies, most of the latter breaking some rule; English ones give
     their query twice, and the second one counts."""
     asked = adapters.requests(spark, sf_dir).select(
@@ -55,13 +56,31 @@ def read_requests(spark, sf_dir):
     )
     twice = F.concat(F.lit('{"query":"overwritten",'), F.substring("body", F.lit(2), F.length("body")))
     documents = documents.withColumn("body", F.when(lang == "en", twice).otherwise(F.col("body"))).drop("lang")
-    parsed = request_source.parse_requests(asked.unionByName(documents))
+    return asked.unionByName(documents)
+
+
+@register("read_requests", f"{_CHECKED} SELECT request_key, CAST(n AS BIGINT) AS query_chars, {_REASONS} AS reasons FROM checked")
+def read_requests(spark, sf_dir):
+    parsed = request_source.parse_requests(request_bodies(spark, sf_dir))
     return parsed.select(
         "request_key", F.length("query").cast("bigint").alias("query_chars"),
         F.array_join("reasons", "; ").alias("reasons"),
     )
 
 
+@register("scan_requests", f"""{_CHECKED}
+  SELECT sha256(query) AS query_sha256, {_REASONS} AS reasons, {_REASONS} = '' AS valid FROM checked""")
+def scan_requests(spark, sf_dir):
+    """The same bodies as JSON-lines files, scanned as request files are; both results in one."""
+    path = new_folder(spark, "request-files")
+    request_bodies(spark, sf_dir).select("body").write.text(path)
+    valid, rejected = request_source.read_requests(spark, path)
+    query = F.sha2("query", 256).alias("query_sha256")
+    return valid.select(query, F.lit("").alias("reasons"), F.lit(True).alias("valid")).unionByName(
+        rejected.select(query, F.array_join("reasons", "; ").alias("reasons"), F.lit(False).alias("valid"))
+    )
+
+
 @register("route_modality", f"""WITH {v.REQUESTS}
   SELECT request_id, CASE WHEN has_image AND {v.strip('query')} <> '' THEN 'multimodal'
       WHEN has_image THEN 'image' ELSE 'text' END AS modality,

@@ -148,7 +148,7 @@ def final_runs(run):
     })
 
 
-_FINAL = v.LOOPED + f""",
+FINAL = v.LOOPED + f""",
 last_calls AS (SELECT request_id, max(i) AS i, CAST(sum(latency_ms) AS BIGINT) AS latency_ms,
   CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
   max(escalation) AS cause FROM looped GROUP BY 1),
@@ -164,7 +164,7 @@ final AS (SELECT l.request_id,
   FROM looped l JOIN last_calls c ON c.request_id = l.request_id AND c.i = l.i)"""
 
 
-@register("finalize_responses", f"""WITH {_FINAL},
+@register("finalize_responses", f"""WITH {FINAL},
   {v.TOOL_RESULTS.replace(v.CALLS + ",", "")},
   stored AS (SELECT request_id, count(*) AS n_traces,
     string_agg(concat_ws(':', i, position, tool, input, status, output_preview), chr(30) ORDER BY i, position) AS traces
@@ -193,7 +193,7 @@ def finalize_responses(spark, sf_dir):
     )
 
 
-_METRICS = _FINAL + "," + v.TOOL_RESULTS.replace(v.CALLS + ",", "") + "," + v.ROUTED_LOG + "," + v.JOBS + """,
+_METRICS = FINAL + "," + v.TOOL_RESULTS.replace(v.CALLS + ",", "") + "," + v.ROUTED_LOG + "," + v.JOBS + """,
 metrics AS (
   SELECT requested_at AS ts, 'AgentInvocations' AS name, 'Count' AS unit, 1 AS value FROM final
   UNION ALL SELECT requested_at, 'ModelTierFast', 'Count', 1 FROM final WHERE tier = 'fast'
@@ -231,7 +231,7 @@ def metric_rollup(spark, sf_dir):
 PRICES = {"fast": (0.001, 0.005), "reasoning": (0.003, 0.015)}
 
 
-@register("cost_attribution", f"""WITH {_FINAL},
+@register("cost_attribution", f"""WITH {FINAL},
   tagged AS (SELECT 'project-' || (CAST(request_id // 1000 AS BIGINT) % 7) AS project, model_tier AS tier, model_id, input_tokens, output_tokens FROM final)
   SELECT project, tier, model_id, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
