@@ -15,7 +15,7 @@ from groundwire.operators.knowledge_index import open_index
 from groundwire.operators.payloads import RETRIEVAL_TOOL
 from groundwire.operators.tool_loop import STOP_TOOL, run_citations
 from groundwire.operators.vectors import CellIndex, vector_topk
-from groundwire.plans.skew import salted_join, spread_join
+from groundwire.plans.skew import spread_join
 from groundwire.plans.workspace import materialize
 from groundwire.sources.chunk_store import read_chunks
 
@@ -62,11 +62,11 @@ def retrieve_knowledge(
     # Read twice below; a few ids per request, so cheap to write.
     hits = materialize(vector_topk(embedded, index or chunks, k), "hits")
     cited = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
-        "chunk_id", "uri", F.col("text").alias("content"), F.lit("S3").alias("location_type"),
+        "chunk_id", "uri", F.substring("text", 1, EXCERPT_CHARS).alias("content"), F.lit("S3").alias("location_type"),
         F.create_map(F.lit("type"), F.lit("S3"), F.lit("uri"), F.col("uri")).alias("location"),
     )
-    # One passage may answer very many requests, hence the salt over the cited passages only.
-    scored = salted_join(hits, cited, ["chunk_id"], [F.col("query_id")], how="inner").withColumn(
+    # One passage may answer very many requests; only such passages are repeated.
+    scored = spread_join(hits, cited, ["chunk_id"], [F.col("query_id")], how="inner").withColumn(
         "score", F.round(1.0 / (1.0 + F.col("distance") * F.col("distance")), 6)
     )
     return shape_citations(scored.withColumnRenamed("query_id", "request_id")), rejected
@@ -96,6 +96,7 @@ def cite_searches(
     """
     asked = searches.withColumn("query", strip(F.col("query"))).filter(F.col("query") != "")
     asked = asked.withColumn("question", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("requested"), F.lit(0)).cast("string"), "query"), 256))
+    asked = materialize(asked, "searches")  # read for the questions, for the counts of the join, and by it
     questions = asked.select(F.col("question").alias("request_id"), "query", "requested").dropDuplicates(["request_id"])
     hits, _ = retrieve_from_store(questions, path, embedder)
     cited = spread_join(
