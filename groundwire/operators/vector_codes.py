@@ -100,30 +100,15 @@ def build_codes(cells: CellIndex, path: str | None = None, *, parts: int = 16) -
 
 def _candidates(asked: DataFrame, index: CodedIndex, probes: int | None, rerank: int) -> DataFrame:
     """(query_id, chunk_id): for each query the ``rerank`` rows with the nearest codes."""
-    spark, cells = asked.sparkSession, index.cells
-    visits, occur = exact._visits(exact._grouped(asked, cells), cells, probes)
-    sizes = spark.createDataFrame([(c, int(max(n, 1))) for c, n in enumerate(cells.blocks)], "cell int, blocks int")
-    wanted = sizes.join(occur, "cell").groupBy("cell", "blocks").agg(F.collect_set("query_block").alias("query_blocks"))
-    placed = index.codes.join(wanted, "cell").select(
-        "chunk_id", "code", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode("query_blocks").alias("query_block"),
-    )
-    book = spark.sparkContext.broadcast(index.book)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "chunk_id", "near"]
-        query_type, chunk_type = left.schema.field("query_id").type, right.schema.field("chunk_id").type
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], query_type), pa.array([], chunk_type), pa.array([], pa.float64())], names)
-        codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        ids = exact._ids(right.column("chunk_id"))
-        q_at, found, near = exact._in_slices(as_matrix(left.column("embedding")), book.value.decode(codes), ids, rerank)
-        return pa.table([left.column("query_id").take(pa.array(q_at)), pa.array(found, chunk_type), pa.array(near)], names)
-
-    keys = ["cell", "block", "query_block"]
-    types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (index.codes, "chunk_id"))]
-    met = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, f"query_id {types[0]}, chunk_id {types[1]}, near double")
-    place = exact.Window.partitionBy("query_id").orderBy("near", "chunk_id")
+    shared = asked.sparkSession.sparkContext.broadcast(index.book)
+
+    def read(codes: pa.ChunkedArray) -> np.ndarray:
+        packed = np.frombuffer(b"".join(codes.to_pylist()), np.uint8)
+        return shared.value.decode(packed.reshape(len(codes), -1))
+
+    codes = index.codes.withColumnRenamed("code", "vector")
+    met = exact._join_loads(asked, index.cells, probes, codes, rerank, read, like_cells=False)
+    place = exact.Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return met.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= rerank).select("query_id", "chunk_id")
 
 

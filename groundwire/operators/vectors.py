@@ -1,15 +1,18 @@
 """Nearest neighbours by Euclidean distance: exact and cell-probing approximate.
 
 The corpus is kept in cells around pivots, whose number grows with the root of its size; the cells are written
-once, at ingest or for a single search, with a summary of each. Queries meet them in blocks of bounded size, near
-ones in one block: the triangle inequality rules out cells that cannot hold a result, and (cell, corpus block, query
-block) is an equi-join key, so a row goes to those query blocks only that visit its cell. Each block pair emits at
-most k rows per query, never all pairs. The plan is the same for any number of queries.
+once, at ingest or for a single search, with a summary of each. A search goes twice. First every query meets one block
+of each of its nearest cells, which gives a distance its k nearest cannot exceed. With that bound the triangle
+inequality rules out cells that cannot hold a result, and the other cells travel together: neighbouring cells in one
+load, neighbouring queries in another, and (load, query block) is an equi-join key. A query is sent once to a load, with
+a bit for each cell of it that it visits, and a row to those query blocks only that visit its cell. Loads and query
+blocks grow with the tables up to LOAD_ROWS, so up to that what is shuffled grows as the tables do. Each pair of them
+emits at most k rows per query, all within its bound, never all pairs. The plan is the same for any number of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwire.config import MAX_RETRIEVAL_RESULTS
-from groundwire.plans.skew import salted_join
+from groundwire.plans.skew import spread_join
 from groundwire.plans.workspace import materialize
 
 BLOCK_ROWS = 8192
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
+#: Most rows that a task holds of either side of a search, and the pairs of loads and query blocks that keep the
+#: cores of a small cluster busy.
+LOAD_ROWS, LEAST_PAIRS = 131_072, 64
+#: Nearest cells of a query that give its first bound.
+HOME_CELLS = 4
+#: Queries that a task compares at a time.
+SLICE_ROWS = 1024
 #: Queries that ``choose_probes`` measures.
 PROBE_SAMPLE = 256
 
@@ -55,8 +65,11 @@ def _pair_distances(queries: np.ndarray, rows: np.ndarray, q_at: np.ndarray, r_a
     return distances
 
 
-def closest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query position, row id, distance) of the k closest rows per query; ties go to the lower id.
+def closest(
+    queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, ties: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """(query position, row id, distance) of the k closest rows per query; ties go to the lower id, or to the lower
+    of ``ties``, if given.
 
     A single-precision product finds candidates with a margin above its worst rounding error; final
     distances are computed directly in double precision, so equal vectors get equal distances.
@@ -74,23 +87,97 @@ def closest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> t
     margin = unit * (queries.shape[1] * np.sqrt(query_norms * largest) + largest + query_norms) + 1e-30
     q_at, r_at = np.nonzero(rough <= (limit + 2 * margin)[:, None])
     distances = _pair_distances(queries, rows, q_at, r_at)
-    order = np.lexsort((ids[r_at], distances, q_at))
-    q_sorted = q_at[order]
-    first = np.searchsorted(q_sorted, q_sorted, side="left")
-    kept = order[np.arange(len(order)) - first < k]
+    kept = _cut(q_at, (ids if ties is None else ties)[r_at], distances, k)
     return q_at[kept], ids[r_at[kept]], distances[kept]
 
 
-def _in_slices(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+def _in_slices(
+    queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, ties: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """``closest`` over query slices, so the distance matrix stays within a few dozen megabytes."""
     step = max(1, 4_000_000 // max(1, len(rows)))
     parts = []
     for start in range(0, len(queries), step):
-        q_at, found, distances = closest(queries[start:start + step], rows, ids, k)
+        q_at, found, distances = closest(queries[start:start + step], rows, ids, k, ties)
         parts.append((q_at + start, found, distances))
     return tuple(np.concatenate(column) for column in zip(*parts)) if parts else closest(queries, rows, ids, k)
 
 
+def _within(queries: np.ndarray, rows: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, row position) of all pairs no farther apart than the query's ``limit``, and of a few that are
+    by less than the error of a single-precision product."""
+    row_norms, query_norms = _square_norms(rows), _square_norms(queries)
+    left = np.hstack([queries, np.ones((len(queries), 1), np.float32)])
+    right = np.hstack([rows * np.float32(-2), row_norms[:, None].astype(np.float32)])
+    largest = row_norms.max()
+    margin = 4 * np.finfo(np.float32).eps * (
+        (queries.shape[1] + 2) * (2 * np.sqrt(query_norms * largest) + largest) + query_norms + np.square(limit)
+    ) + 1e-30
+    wanted = np.square(limit) - query_norms + margin
+    flat = np.flatnonzero(left @ right.T <= wanted.astype(np.float32)[:, None])
+    return np.divmod(flat, len(rows))
+
+
+def _cut(q_at: np.ndarray, ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k closest per query, in the order of queries, distances and ids."""
+    order = np.lexsort((ids, distances, q_at))
+    sorted_q = q_at[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q, side="left") < k]
+
+
+def _nearest_of_load(
+    queries: np.ndarray, bound: np.ndarray, visits: np.ndarray, rows: np.ndarray, ids: np.ndarray, slots: np.ndarray,
+    k: int, block_rows: int,
+) -> tuple[np.ndarray, ...]:
+    """(query position, row id, distance): for each query up to k of the closest rows of the cells it visits, none
+    beyond its ``bound``. ``visits``: a column per cell of the load; ``slots``: the cell of each row."""
+    order = np.argsort(slots, kind="stable")
+    rows, ids, slots = rows[order], ids[order], slots[order]
+    held, starts = np.unique(slots, return_index=True)
+    ends = np.append(starts[1:], len(slots))
+    pieces = [(c, a, min(a + block_rows, e)) for c, s, e in zip(held, starts, ends) for a in range(s, e, block_rows)]
+    found = []
+    for start in range(0, len(queries), SLICE_ROWS):
+        asked, limit = queries[start:start + SLICE_ROWS], bound[start:start + SLICE_ROWS].astype(np.float64).copy()
+        chosen = visits[start:start + SLICE_ROWS]
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        pending, waiting = [best], 0
+
+        def settle(pending: list[tuple], asked: np.ndarray = asked, limit: np.ndarray = limit) -> tuple:
+            q_at, r_at, distances = (np.concatenate(c) for c in zip(*pending))
+            kept = _cut(q_at, ids[r_at], distances, k)
+            q_at, r_at, distances = q_at[kept], r_at[kept], distances[kept]
+            full = np.flatnonzero(np.bincount(q_at, minlength=len(asked)) >= k)
+            last = np.searchsorted(q_at, full, side="left") + k - 1
+            limit[full] = np.minimum(limit[full], distances[last])
+            return q_at, r_at, distances
+
+        for cell, a, e in pieces:
+            at = np.flatnonzero(chosen[:, cell])
+            if not len(at):
+                continue
+            open_ended = np.isinf(limit[at])
+            sure, loose = at[~open_ended], at[open_ended]
+            if len(sure):
+                q_at, r_at = _within(asked[sure], rows[a:e], limit[sure])
+                if len(q_at) > 16 * k * len(sure):  # a bound that keeps out little
+                    loose = at
+                elif len(q_at):
+                    q_at, r_at = sure[q_at], r_at + a
+                    pending.append((q_at, r_at, _pair_distances(asked, rows, q_at, r_at)))
+                    waiting += len(q_at)
+            if len(loose):
+                q_at, r_at, distances = _in_slices(asked[loose], rows[a:e], np.arange(e - a), k, ids[a:e])
+                pending.append((loose[q_at], r_at + a, distances))
+                waiting += len(q_at)
+            if waiting > 4 * k * len(asked):
+                pending, waiting = [settle(pending)], 0
+        q_at, r_at, distances = settle(pending)
+        inside = distances <= bound[start:start + SLICE_ROWS][q_at]
+        found.append((q_at[inside] + start, ids[r_at[inside]], distances[inside]))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Ids as a sortable array; text ids become a fixed-width type."""
     values = column.to_pandas().to_numpy()
@@ -194,7 +281,7 @@ class CellIndex:
         ).toPandas()  # a row for each of at most MAX_PIVOTS cells
         cells = known["cell"].to_numpy(int)
         self.outer[cells], self.inner[cells], sizes[cells] = known["outer"], known["inner"], known["n"]
-        self.blocks = -(-sizes // block_rows)
+        self.sizes, self.blocks = sizes, -(-sizes // block_rows)
         heads = [np.asarray(h, float) for h in known["heads"]]
         self.head_cell = np.repeat(cells, [len(h) for h in heads]).astype(int)
         self.head_distance = np.concatenate([*heads, np.empty(0)])
@@ -229,8 +316,11 @@ class CellIndex:
         return {name: getattr(self, name) for name in names}
 
 
-def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int | None) -> np.ndarray:
-    """Which cells each query visits: the nearest ``probes``, or all that may hold a result."""
+def _probed_cells(
+    queries: np.ndarray, cells: dict[str, np.ndarray], probes: int | None, known: np.ndarray | None = None
+) -> np.ndarray:
+    """Which cells each query visits: the nearest ``probes``, or all that may hold a result, which lies within the
+    distance ``known`` of the query, if that is given."""
     asked, pivots = queries.astype(np.float64), cells["pivots"].astype(np.float64)
     squares = _square_norms(asked)[:, None] + _square_norms(pivots)[None, :] - 2 * (asked @ pivots.T)
     to_pivot = np.sqrt(np.maximum(squares, 0))
@@ -247,6 +337,8 @@ def _probed_cells(queries: np.ndarray, cells: dict[str, np.ndarray], probes: int
         np.partition(reach, kth, axis=1)[:, kth]
         if reach.shape[1] >= MAX_RETRIEVAL_RESULTS else np.full(len(queries), np.inf)
     )
+    if known is not None:
+        bound = np.minimum(bound, known)
     closest_possible = np.maximum(to_pivot - cells["outer"][None, :], cells["inner"][None, :] - to_pivot)
     # The product above is exact to about half the digits of a distance near zero.
     slack = 1e-6 * (1 + np.sqrt(squares.max()))
@@ -263,10 +355,10 @@ def _line(pivots: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(spread @ along, kind="stable"), kind="stable")
 
 
-def _grouped(asked: DataFrame, cells: CellIndex) -> DataFrame:
-    """Add ``query_block``: blocks of at most about block_rows queries whose nearest pivots are neighbours."""
-    total = asked.count()
-    if total <= cells.block_rows:
+def _grouped(asked: DataFrame, cells: CellIndex, most: int | None = None) -> DataFrame:
+    """Add ``query_block``: blocks of at most about ``most`` (block_rows) queries whose nearest pivots are neighbours."""
+    most = most or cells.block_rows
+    if asked.count() <= most:
         return asked.withColumn("query_block", F.lit(0))
     line = _line(cells.pivots)
     homes = materialize(assign_cells(asked, cells.pivots), "query-homes")
@@ -276,9 +368,9 @@ def _grouped(asked: DataFrame, cells: CellIndex) -> DataFrame:
     # neighbours share a block until it is full; a pivot of many queries has several blocks of its own
     first, parts, last, held = np.zeros(len(line), int), np.ones(len(line), int), 0, 0
     for place, n in enumerate(sizes.tolist()):
-        if held and held + n > cells.block_rows:
+        if held and held + n > most:
             last, held = last + 1, 0
-        first[place], parts[place] = last, max(1, -(-n // cells.block_rows))
+        first[place], parts[place] = last, max(1, -(-n // most))
         last, held = last + parts[place] - 1, n if parts[place] == 1 and not held else held + n
     named = asked.sparkSession.createDataFrame(
         [(int(c), int(first[line[c]]), int(parts[line[c]])) for c in range(len(line))], "cell int, first int, parts int"
@@ -321,34 +413,155 @@ def _visits(asked: DataFrame, cells: CellIndex, probes: int | None) -> tuple[Dat
     return given.mapInArrow(run, schema), occur
 
 
-def _join_blocks(asked: DataFrame, cells: CellIndex, probes: int | None) -> DataFrame:
-    visits, occur = _visits(_grouped(asked, cells), cells, probes)
-    stored = cells.rows
-    # at most MAX_PIVOTS rows
-    sizes = asked.sparkSession.createDataFrame([(c, int(max(n, 1))) for c, n in enumerate(cells.blocks)], "cell int, blocks int")
+def _as_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return as_matrix(column)
+
+
+def _first_bound(asked: DataFrame, cells: CellIndex, stored: DataFrame, probes: int | None, k: int, read: Callable) -> DataFrame:
+    """Add ``bound``: the distance of the kth nearest of the rows in the first block of each of the query's nearest
+    cells. Any k rows give a bound that the k nearest of all cannot exceed; without k rows it is infinite."""
+    first = min(probes or HOME_CELLS, HOME_CELLS)
+    visits, occur = _visits(_grouped(asked, cells), cells, first)
+    sizes = _cell_table(asked.sparkSession, cells, {"blocks": np.maximum(cells.blocks, 1)})
     wanted = sizes.join(occur, "cell").groupBy("cell", "blocks").agg(F.collect_set("query_block").alias("query_blocks"))
+    block = F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")
+    placed = stored.join(wanted, "cell").filter(block == 0).select("vector", "cell", F.explode("query_blocks").alias("query_block"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_type = _arrow(left, "query_id")
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], query_type), pa.array([], pa.list_(pa.float64()))], ["query_id", "near"])
+        rows = read(right.column("vector"))
+        q_at, _, near = _in_slices(as_matrix(left.column("embedding")), rows, np.arange(len(rows)), k)
+        ends = np.append(0, np.cumsum(np.bincount(q_at, minlength=left.num_rows))).astype(np.int32)
+        return pa.table([left.column("query_id"), pa.ListArray.from_arrays(ends, pa.array(near))], ["query_id", "near"])
+
+    keys = ["cell", "query_block"]
+    met = visits.filter("block = 0").groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(
+        meet, f"query_id {_id_type(asked, 'query_id')}, near array<double>"
+    )
+    near = F.sort_array(F.flatten(F.collect_list("near")))
+    kth = met.groupBy("query_id").agg(F.get(near, k - 1).alias("bound"))
+    bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return materialize(bounded, "query-bounds")
+
+
+def _cell_table(spark: SparkSession, cells: CellIndex, columns: dict[str, np.ndarray]) -> DataFrame:
+    """One row for each of at most MAX_PIVOTS cells."""
+    rows = [(c, *[int(x) for x in own]) for c, own in enumerate(zip(*columns.values()))]
+    return spark.createDataFrame(rows, "cell int, " + ", ".join(f"{name} int" for name in columns))
+
+
+class _Loads:
+    """Neighbouring cells together, up to ``most`` rows; a larger cell is dealt over several loads of its own."""
+
+    def __init__(self, cells: CellIndex, most: int) -> None:
+        count = len(cells.pivots)
+        self.first, self.parts, self.slot = np.zeros(count, int), np.ones(count, int), np.zeros(count, int)
+        last, held, used = -1, most, 0
+        members: list[list[int]] = []
+        for cell in np.argsort(_line(cells.pivots)).tolist():
+            n = int(cells.sizes[cell])
+            if n > most:
+                self.first[cell], self.parts[cell] = last + 1, -(-n // most)
+                members += [[cell]] * int(self.parts[cell])
+                last, held = last + int(self.parts[cell]), most
+            elif n:
+                if held + n > most:
+                    last, held, used = last + 1, 0, 0
+                    members.append([])
+                self.first[cell], self.slot[cell] = last, used
+                members[last].append(cell)
+                held, used = held + n, used + 1
+        #: For each load the cells in it, filled up with a number past the last cell.
+        width = -(-max(map(len, members), default=1) // 8) * 8
+        self.cells = np.full((len(members), width), count)
+        for n, own in enumerate(members):
+            self.cells[n, : len(own)] = own
+
+
+def _sides(cells: CellIndex, queries: int, spark: SparkSession) -> tuple[int, int]:
+    """Rows of a load and queries of a block: at most LOAD_ROWS, and fewer where that would leave cores idle."""
+    side = int(np.ceil(np.sqrt(max(LEAST_PAIRS, 4 * spark.sparkContext.defaultParallelism))))
+    loads = max(-(-int(cells.sizes.sum()) // LOAD_ROWS), side)
+    blocks = max(-(-queries // LOAD_ROWS), -(-side * side // loads))
+    return max(1024, -(-int(cells.sizes.sum()) // loads)), max(256, -(-queries // blocks))
+
+
+def _join_loads(
+    asked: DataFrame, cells: CellIndex, probes: int | None, stored: DataFrame | None = None, k: int = MAX_RETRIEVAL_RESULTS,
+    read: Callable = _as_rows, like_cells: bool = True,
+) -> DataFrame:
+    """(query_id, chunk_id, distance): for each pair of a query and a load up to k of the closest rows.
+
+    ``stored`` (chunk_id, vector, cell) and ``read`` stand for other rows than the full vectors of the index; where
+    distances to them say nothing about cells, not ``like_cells``, the bound keeps out rows but no cells."""
+    spark = asked.sparkSession
+    stored = cells.rows.withColumnRenamed("embedding", "vector") if stored is None else stored
+    bounded = _first_bound(asked, cells, stored, probes, k, read)
+    load_rows, block_queries = _sides(cells, bounded.count(), spark)
+    loads = _Loads(cells, load_rows)
+    dealt = _grouped(bounded, cells, block_queries).select("query_id", "embedding", "bound", "query_block")
+    shared = spark.sparkContext.broadcast((cells.as_arrays(), loads.cells))
+    block_rows = cells.block_rows
+
+    def wanted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                bound = part.column("bound").to_numpy() if like_cells else None
+                yield part, _probed_cells(as_matrix(part.column("embedding")), shared.value[0], probes, bound)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for part, wanted in wanted_cells(batches):
+            blocks = part.column("query_block").to_numpy()
+            for own in np.unique(blocks).tolist():
+                seen |= {(c, own) for c in np.flatnonzero(wanted[blocks == own].any(axis=0)).tolist()}
+        both = np.array(sorted(seen), np.int32).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["cell", "query_block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = shared.value[1]
+        for part, wanted in wanted_cells(batches):
+            bits = np.hstack([wanted, np.zeros((len(wanted), 1), bool)])[:, members]  # query, load, place in it
+            q_at, load = np.nonzero(bits.any(axis=2))
+            packed = np.packbits(bits[q_at, load], axis=1)
+            ends = np.arange(len(q_at) + 1, dtype=np.int32) * packed.shape[1]
+            visits = pa.Array.from_buffers(pa.binary(), len(q_at), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
+            taken = part.take(pa.array(q_at))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(load.astype(np.int32)), visits], names=[*taken.schema.names, "load", "visits"]
+            )
+
+    schema = f"query_id {_id_type(asked, 'query_id')}, embedding array<float>, bound double, query_block int"
+    sent = dealt.mapInArrow(run, f"{schema}, load int, visits binary")
+    occur = dealt.mapInArrow(pairs, "cell int, query_block int").distinct()
+    places = _cell_table(spark, cells, {"first": loads.first, "parts": loads.parts, "slot": loads.slot})
+    names = ["cell", "first", "parts", "slot"]
+    wanted = places.join(occur, "cell").groupBy(*names).agg(F.collect_set("query_block").alias("query_blocks"))
     placed = stored.join(wanted, "cell").select(
-        "chunk_id", "embedding", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"),
+        "chunk_id", "vector", "slot", (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("int").alias("load"),
         F.explode("query_blocks").alias("query_block"),
     )
-    schema = f"query_id {_id_type(asked, 'query_id')}, chunk_id {_id_type(stored, 'chunk_id')}, distance double"
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "chunk_id", "distance"]
         query_type, chunk_type = _arrow(left, "query_id"), _arrow(right, "chunk_id")
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], query_type), pa.array([], chunk_type), pa.array([], pa.float64())], names)
-        ids = _ids(right.column("chunk_id"))
-        q_at, found, distance = _in_slices(
-            as_matrix(left.column("embedding")), as_matrix(right.column("embedding")), ids,
-            MAX_RETRIEVAL_RESULTS,
-        )
-        return pa.table(
-            [left.column("query_id").take(pa.array(q_at)), pa.array(found, chunk_type), pa.array(distance)], names
+        packed = left.column("visits").combine_chunks()
+        bits = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(left.num_rows, -1)
+        q_at, found, distance = _nearest_of_load(
+            as_matrix(left.column("embedding")), left.column("bound").to_numpy(), np.unpackbits(bits, axis=1).astype(bool),
+            read(right.column("vector")), _ids(right.column("chunk_id")), right.column("slot").to_numpy(), k, block_rows,
         )
+        return pa.table([left.column("query_id").take(pa.array(q_at)), pa.array(found, chunk_type), pa.array(distance)], names)
 
-    keys = ["cell", "block", "query_block"]
-    return visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, schema)
+    keys = ["load", "query_block"]
+    return sent.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(
+        meet, f"query_id {_id_type(asked, 'query_id')}, chunk_id {_id_type(stored, 'chunk_id')}, distance double"
+    )
 
 
 def _limit_copies(stored: DataFrame) -> DataFrame:
@@ -361,14 +574,16 @@ def _limit_copies(stored: DataFrame) -> DataFrame:
 
 def _blocked_topk(asked: DataFrame, cells: CellIndex, probes: int | None) -> DataFrame:
     """Copies of a query are answered once; the answers then go to all of them."""
+    asked = materialize(asked, "vector-queries")  # an embedder is asked once
     distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("query_id"))
-    distinct = materialize(distinct, "vector-queries")
-    ranked = _rank(_join_blocks(distinct, cells, probes))
-    answers = distinct.join(ranked, "query_id").drop("query_id")
-    # One vector may be asked by very many queries, hence the salt.
-    return salted_join(asked, answers, ["embedding"], [F.col("query_id")], how="inner").filter(
+    distinct = materialize(distinct, "distinct-queries")
+    ranked = materialize(_rank(_join_loads(distinct, cells, probes)), "query-answers")
+    own = asked.join(distinct.select(F.col("query_id").alias("_as"), "embedding"), "embedding").select("query_id", "k", "_as")
+    answers = ranked.withColumnRenamed("query_id", "_as")
+    # One vector may be asked by very many queries; only the answers to such are repeated.
+    return spread_join(materialize(own, "asked-as"), answers, ["_as"], [F.col("query_id")], how="inner").filter(
         F.col("rank") <= F.col("k")
-    )
+    ).drop("_as")
 
 
 def _result(ranked: DataFrame) -> DataFrame:
