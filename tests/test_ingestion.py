@@ -154,3 +154,15 @@ def test_citation_fallbacks(spark):
                                  "uri string, location_type string, content string")
     assert [(r.source, len(r.excerpt)) for r in retrieval.shape_citations(hits).collect()] == [
         ("s3://a", 500), ("WEB", 1), ("knowledge-base", 0)]
+
+
+def test_letters_are_counted_in_one_pass(monkeypatch):
+    """Over the borders of the pieces a task counts, in sliced batches, beside letters of other alphabets."""
+    import pyarrow as pa
+
+    from groundwire.functions import text
+
+    texts = ["", "abcab", "zé" * 50, "ﬀ à ß", "", "hello there" * 9, "x"]
+    monkeypatch.setattr(text, "LETTER_BYTES", 16)
+    got = text.count_letters(pa.array(["skipped", *texts]).slice(1))
+    assert got.tolist() == [[t.count(c) for c in text.LETTERS] for t in texts]
