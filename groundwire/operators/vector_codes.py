@@ -98,6 +98,25 @@ def build_codes(cells: CellIndex, path: str | None = None, *, parts: int = 16) -
     return CodedIndex(cells, rows.sparkSession.read.parquet(path), book)
 
 
+def codes_for_recall(
+    queries: DataFrame, cells: CellIndex, k: int = 5, *, rerank: int = 100, recall: float = 0.95, parts: int = 16
+) -> CodedIndex:
+    """``build_codes`` with as few parts as the wanted recall takes when ``rerank`` full vectors are read for a query:
+    from ``parts`` on they are doubled, up to one for every number of a vector. The recall is measured against an exact
+    search for PROBE_SAMPLE queries picked by hash, and has to lie above the wanted one by a third of what is
+    missing to 1, since a sample may flatter."""
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(exact.PROBE_SAMPLE)
+    some = materialize(some, "code-queries")
+    true = materialize(exact.vector_topk(some, cells, k), "code-neighbours")
+    width = cells.pivots.shape[1] if len(cells.pivots) else 1
+    while True:
+        index = build_codes(cells, parts=min(parts, width))
+        measured = exact.recall_at_k(vector_topk_coded(some, index, k, rerank=rerank), true).first()
+        if parts >= width or not measured.expected or measured.recall >= recall + (1 - recall) / 3:
+            return index
+        parts *= 2
+
+
 def _candidates(asked: DataFrame, index: CodedIndex, probes: int | None, rerank: int) -> DataFrame:
     """(query_id, chunk_id): for each query the ``rerank`` rows with the nearest codes."""
     shared = asked.sparkSession.sparkContext.broadcast(index.book)

@@ -47,3 +47,15 @@ def test_few_vectors(spark):
     got = vector_codes.vector_topk_coded(q, index).collect()
     assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == [(1, 1, 1), (1, 2, 2)]
     assert vector_codes.vector_topk_coded(q.limit(0), index).collect() == []
+
+
+def test_codes_grow_until_the_recall_is_reached(spark):
+    """Evenly spread vectors of which few are read again: 4 bytes a vector find too little of the true neighbours."""
+    rows = np.random.default_rng(19).normal(size=(1200, 16)).astype("f4")
+    c = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rows)], "chunk_id long, embedding array<float>")
+    q = c.filter("chunk_id < 200").withColumnRenamed("chunk_id", "query_id")
+    cells = vectors.CellIndex.build(c, pivots=8)
+    short = vector_codes.coded_recall(q, vector_codes.build_codes(cells, parts=4), rerank=12).first()
+    index = vector_codes.codes_for_recall(q, cells, rerank=12, parts=4)
+    assert short.recall < 0.95 <= vector_codes.coded_recall(q, index, rerank=12).first().recall
+    assert len(index.codes.first().code) > 4
