@@ -75,6 +75,16 @@ def test_a_declared_lookback_is_checked(spark, monkeypatch):
     assert not any(state.add(turn)[-1] for turn in conversation(70)) and len(state.turns) == 1
 
 
+def test_a_declared_lookback_is_checked_at_any_length():
+    """The same template in a conversation of 13 million characters."""
+    def late(turns):
+        return "".join(f"[{r}]{t}{'!' if n == 0 and len(turns) >= 40 else ''}\n" for n, (r, t) in enumerate(turns))
+
+    state, long = chat._Rendering(chat.Template(late, lookback=1)), "long text " * 20_000
+    found = [state.add((role, f"{n} {long}"))[-1] for n, (role, _) in enumerate(conversation(66))]
+    assert [n for n, odd in enumerate(found) if odd] == [63]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<|\\aim_end>\n", max_size=30))
 def test_escapes_are_reversible_and_hide_control_strings(text):
