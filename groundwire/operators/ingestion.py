@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from groundwire.functions.text import words
-from groundwire.operators.knowledge_index import add_versions
+from groundwire.operators.knowledge_index import add_versions, has_index
 from groundwire.plans.workspace import scratch
-from groundwire.sources.chunk_store import HEADER, append_rows, bucket_of, changed_documents, content_of
+from groundwire.sources.chunk_store import FOLDERS, HEADER, bucket_of, changed_documents, content_of, write_dealt
 from groundwire.sources.documents import under_prefix
 
 # Chunk length in tokens, overlap in percent, vector dimension.
@@ -107,7 +108,14 @@ def version_rows(
 ) -> DataFrame:
     """Store rows of documents (uri, text, version, …): headers and embedded chunks. Stateless, so it serves
     batches and streams alike. Without an embedder the chunks are stored as they are."""
-    named = documents.withColumns({"content": content_of(F.col("text")), "bucket": bucket_of(F.col("uri"))})
+    return _store_rows(
+        documents.withColumns({"content": content_of(F.col("text")), "bucket": bucket_of(F.col("uri"))}), embedder
+    )
+
+
+def _store_rows(
+    named: DataFrame, embedder: PipelineModel | Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
     rows = chunk_documents(named, headers=True)
     if embedder is None:
         return rows
@@ -115,11 +123,11 @@ def version_rows(
     return embedded.withColumn("embedding", F.when(F.col("ordinal") != HEADER, F.col("embedding")))
 
 
-def job_metrics() -> list[Column]:
-    """What one ingest wrote, observed on the rows as they are written."""
+def job_metrics(news: Column | None = None) -> list[Column]:
+    """What one ingest wrote, observed on the rows as they are written; ``news``: documents that count."""
     header = F.col("ordinal") == HEADER
     return [
-        F.count_if(header).alias("documents"), F.count_if(~header).alias("chunks"),
+        F.count_if(header if news is None else header & news).alias("documents"), F.count_if(~header).alias("chunks"),
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
     ]
 
@@ -133,19 +141,21 @@ def ingest_knowledge(
     ``documents``: uri, key, text, version and further columns to keep. Unchanged documents drop out before
     the chunking; a document that is only newer renews its header. ``load_embedder`` gives the embedder.
     """
-    spark, done = documents.sparkSession, {"documents": 0, "chunks": 0, "tokens": 0}
-    with scratch(changed_documents(under_prefix(documents, prefix), path), "changed-documents") as changed:
-        news = changed.filter(~F.col("content_known"))
-        fresh = news.drop("content_known", "bucket", "content", "old_content")
-        if fresh.head(1):
-            job = Observation("ingest")
-            append_rows(version_rows(fresh, embedder).observe(job, *job_metrics()), path)
-            done = job.get
-            if embedder is not None:
-                add_versions(spark, path, news.select("uri", "content", "old_content"))
-        same = changed.filter("content_known").drop("content_known", "key", "text", "old_content")
-        if same.head(1):
-            append_rows(same.withColumn("ordinal", F.lit(HEADER).cast("bigint")), path)
+    spark = documents.sparkSession
+    changed, job = changed_documents(under_prefix(documents, prefix), path), Observation("ingest")
+    news = ~F.col("content_known")
+    # chunks are cut where the texts are dealt, and written there: neither texts nor vectors move again
+    rows = _store_rows(changed.drop("old_content").withColumn("text", F.when(news, F.col("text"))), embedder)
+    written = rows.observe(job, *job_metrics(news)).drop("content_known")
+    with ExitStack() as stack:
+        if embedder is not None and has_index(spark, path):
+            added = stack.enter_context(scratch(changed.filter(news).select("uri", "content", "old_content"), "changed-versions"))
+            write_dealt(written, f"{path}/{FOLDERS[0]}", "append")
+            if added.head(1):
+                add_versions(spark, path, added)
+        else:
+            write_dealt(written, f"{path}/{FOLDERS[0]}", "append")
+    done = job.get
     return spark.createDataFrame(
         [(done["documents"], done["chunks"], done["tokens"], "COMPLETE")], "documents long, chunks long, tokens long, status string"
     )

@@ -98,6 +98,10 @@ def refresh_index(spark: SparkSession, path: str, *, split_rows: int = SPLIT_ROW
             return _add_part(parts, store, added, gone, split_rows)
 
 
+def has_index(spark: SparkSession, path: str) -> bool:
+    return bool(_Parts(spark, path).folders)
+
+
 def add_versions(spark: SparkSession, path: str, changed: DataFrame, *, split_rows: int = SPLIT_ROWS) -> int:
     """Take up what an ingest has just written: ``changed`` (uri, content, old_content). Nothing else is compared.
     Does nothing for a store without index."""

@@ -191,3 +191,35 @@ def test_query_blocks_keep_neighbours_together(spark):
     blocks = {b for _, b in pairs}
     assert len(blocks) >= 10 and len(pairs) < 0.75 * 12 * len(blocks)  # a row goes to the blocks that visit its cell
     assert asked.groupBy("query_block").count().agg(F.max("count")).first()[0] <= 75
+
+
+def test_late_versions_leave_the_snapshot_where_it_is(spark, tmp_path):
+    """What is appended and replaces nothing costs a look at its headers; what replaces moves its buckets only."""
+    path = str(tmp_path / "store")
+    ingestion.ingest_knowledge(documents(spark, range(80), 2), path, None)
+    chunk_store.merge_versions(spark, path)
+    before = rows_of(spark, path)
+    chunk_store.append_rows(ingestion.version_rows(documents(spark, range(30), 1, 3), None), path)
+    read = chunk_store.read_chunks(spark, path)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString() and rows_of(spark, path) == before
+    chunk_store.append_rows(ingestion.version_rows(documents(spark, [7], 3, 3), None), path)
+    changed = rows_of(spark, path)
+    assert [r for r in changed if r[0] != "s3://d/7"] == [r for r in before if r[0] != "s3://d/7"] and changed != before
+    assert chunk_store.merge_versions(spark, path) == 2 and rows_of(spark, path) == changed
+
+
+def test_an_ingest_writes_its_texts_once(spark, tmp_path, monkeypatch):
+    """No table of texts between; one file per bucket and share, also where versions are repeated or known."""
+    from groundwire.operators import ingestion as module
+
+    monkeypatch.setattr(module, "scratch", None)
+    path = str(tmp_path / "store")
+    both = documents(spark, range(50), 1, 1).unionByName(documents(spark, range(20), 2)).unionByName(documents(spark, range(20), 2))
+    assert ingestion.ingest_knowledge(both, path, letter_embedder).first().documents == 50
+    kept = rows_of(spark, path)
+    assert len(kept) == 50 and set(rows_of(spark, path)) >= {(r.uri, 0, r.text) for r in documents(spark, range(20), 2).collect()}
+    files = chunk_store.Store(spark, path).appended.select("bucket", "file").distinct().groupBy("bucket").count()
+    assert {r["count"] for r in files.collect()} == {1}
+    again = ingestion.ingest_knowledge(documents(spark, range(20), 5), path, letter_embedder).first()
+    assert (again.documents, again.chunks, again.tokens) == (0, 0, 0) and rows_of(spark, path) == kept
+    assert {r.version for r in chunk_store.Store(spark, path).versions().filter("version > 1").collect()} == {5}
