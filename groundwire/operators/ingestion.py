@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from contextlib import ExitStack
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from groundwire.functions.text import words
+from groundwire.functions.terms import count_terms
+from groundwire.llm.common import small_batches
 from groundwire.operators.knowledge_index import add_versions, has_index
 from groundwire.plans.workspace import scratch
 from groundwire.sources.chunk_store import FOLDERS, HEADER, bucket_of, changed_documents, content_of, write_dealt
@@ -22,6 +26,35 @@ from groundwire.sources.documents import under_prefix
 CHUNK_TOKENS = 300
 OVERLAP_PERCENT = 20
 VECTOR_DIM = 1024
+CHUNK = "ordinal bigint, text string, n_tokens bigint, n_chunks bigint"
+
+
+def cut_texts(texts: pa.Array, max_tokens: int, stride: int, headers: bool) -> pa.Array:
+    """The rows of each text (ordinal, text, n_tokens, n_chunks) as a list; ``str.split`` takes the whitespace that
+    ``WHITESPACE_CHARS`` spells out."""
+    ordinals, pieces, sizes, held, ends = [], [], [], [], [0]
+    for text in texts.cast(pa.large_binary()):
+        words = (text.as_py() or b"").decode("utf-8", "replace").split()
+        # Last start: the first one whose chunk reaches the end of the document.
+        last = -1 if not words else max(0, -(-(len(words) - max_tokens) // stride)) * stride
+        starts = range(0, last + 1, stride)
+        if headers:
+            ordinals.append(HEADER)
+            pieces.append(None)
+            sizes.append(0)
+        for ordinal, start in enumerate(starts):
+            part = words[start : start + max_tokens]
+            ordinals.append(ordinal)
+            pieces.append(" ".join(part))
+            sizes.append(len(part))
+        held.extend([len(starts)] * (len(ordinals) - ends[-1]))
+        ends.append(len(ordinals))
+    columns = {
+        "ordinal": pa.array(ordinals, pa.int64()), "text": pa.array(pieces, pa.string()),
+        "n_tokens": pa.array(sizes, pa.int64()), "n_chunks": pa.array(held, pa.int64()),
+    }
+    rows = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def chunk_documents(
@@ -31,60 +64,84 @@ def chunk_documents(
 
     A token is a whitespace-separated word; ``n_chunks`` is the number of chunks of the document. With
     ``headers`` each document also gives a row of ordinal -1 without text, empty documents too.
-    Row-local: one generator per document, no shuffle.
+    Row-local: one pass over the words of a document in Arrow batches, one generator, no shuffle.
     """
-    overlap = max_tokens * overlap_percent // 100
-    stride = max_tokens - overlap
+    stride = max_tokens - max_tokens * overlap_percent // 100
     others = [c for c in documents.columns if c not in ("text", "uri")]
-    tokens = documents.select("uri", *others, words(F.coalesce("text", F.lit(""))).alias("_words"))
-    n = F.size("_words")
-    # Last start: the first one whose chunk reaches the end of the document.
-    last = F.when(n <= max_tokens, 0).otherwise(
-        (F.ceil((n - max_tokens) / F.lit(stride)) * stride).cast("int")
-    )
-    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), last, F.lit(stride))
-    )
 
-    def row(ordinal, text, n_tokens):
-        return F.struct(
-            ordinal.cast("bigint").alias("ordinal"), text.alias("text"), n_tokens.cast("bigint").alias("n_tokens"),
-            F.size(starts).cast("bigint").alias("n_chunks"),
-        )
-
-    def piece(start, ordinal):
-        part = F.slice(F.col("_words"), start + 1, F.lit(max_tokens))
-        return row(ordinal, F.array_join(part, " "), F.size(part))
-
-    # The pieces are cut inside the generator, so the word array is not copied to every chunk row.
-    pieces = F.transform(starts, piece)
-    if headers:
-        pieces = F.concat(F.array(row(F.lit(HEADER), F.lit(None).cast("string"), F.lit(0))), pieces)
-    chunked = tokens.select("uri", *others, F.inline(pieces))
+    small_batches(documents.sparkSession)
+
+    @F.arrow_udf(f"array<struct<{CHUNK}>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return cut_texts(texts, max_tokens, stride, headers)
+
+    chunked = documents.select("uri", *others, cut("text").alias("_rows")).select("uri", *others, F.inline("_rows"))
     identity = F.concat_ws("\x1f", "uri", F.col("ordinal").cast("string"), "text")
     return chunked.select(F.sha2(identity, 256).alias("chunk_id"), "*")
 
 
+TOKENS = "SELECT *, split(lower(coalesce(text, '')), '\\\\s+') AS _tokens FROM __THIS__"
+
+
+def document_frequencies(chunks: DataFrame, dim: int) -> tuple[int, list[int]]:
+    """Number of chunks, and of those with a term in each slot; a task sends one row a slot."""
+    def count(batches):
+        seen, rows = np.zeros(dim, np.int64), 0
+        for batch in batches:
+            seen += (count_terms(batch.column(0), dim) > 0).sum(axis=0)
+            rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, dim), pa.int32()), pa.array([rows, *seen], pa.int64())], ["slot", "n"])
+
+    texts = chunks.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    sums = dict(texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
+    return sums.get(-1, 0), [sums.get(slot, 0) for slot in range(dim)]
+
+
 def fit_embedder(chunks: DataFrame, dim: int = VECTOR_DIM) -> PipelineModel:
     """Default embedder: hashed term counts weighted by 1 + inverse document frequency, unit length.
 
     The 1 keeps words of every document, so no text with words has a zero vector.
     """
-    tokens = SQLTransformer(statement="SELECT *, split(lower(coalesce(text, '')), '\\\\s+') AS _tokens FROM __THIS__")
+    small_batches(chunks.sparkSession)
+    n, found = document_frequencies(chunks, dim)
+    if not n:
+        raise ValueError("no chunks to fit an embedder on")
+    tokens = SQLTransformer(statement=TOKENS)
     counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim)
-    frequency = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(tokens.transform(chunks)))
     weigh = ElementwiseProduct(
-        inputCol="_counts", outputCol="_weights", scalingVec=Vectors.dense([1.0 + x for x in frequency.idf])
+        inputCol="_counts", outputCol="_weights", scalingVec=Vectors.dense([1.0 + math.log((n + 1) / (x + 1)) for x in found])
     )
     return PipelineModel([tokens, counts, weigh, Normalizer(inputCol="_weights", outputCol="_unit", p=2.0)])
 
 
+def _default_weights(model: PipelineModel) -> np.ndarray | None:
+    """The weights of a model that ``fit_embedder`` made; None for another one."""
+    kinds = [SQLTransformer, HashingTF, ElementwiseProduct, Normalizer]
+    if [type(stage) for stage in model.stages] != kinds or model.stages[0].getStatement() != TOKENS:
+        return None
+    counts, weigh, unit = model.stages[1:]
+    return None if counts.getBinary() or unit.getP() != 2.0 else weigh.getScalingVec().toArray()
+
+
 def embed_chunks(
     chunks: DataFrame, embedder: PipelineModel | Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Add ``embedding``; a callable stands for an external model behind an Arrow hook."""
+    """Add ``embedding``; a callable stands for an external model behind an Arrow hook. The default embedder is
+    applied in Arrow batches, with the vectors its stages give."""
     if not isinstance(embedder, PipelineModel):
         return embedder(chunks)
+    weights = _default_weights(embedder)
+    if weights is not None:
+        small_batches(chunks.sparkSession)
+
+        @F.arrow_udf("array<float>")
+        def unit(texts: pa.Array) -> pa.Array:
+            vectors = count_terms(texts, len(weights)) * weights
+            norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            vectors = (vectors / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+            return pa.ListArray.from_arrays(np.arange(len(vectors) + 1, dtype=np.int32) * len(weights), pa.array(vectors.ravel()))
+
+        return chunks.withColumn("embedding", unit(F.lower(F.coalesce("text", F.lit("")))))
     vectors = embedder.transform(chunks)
     return vectors.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
         "_tokens", "_counts", "_weights", "_unit"

@@ -166,3 +166,48 @@ def test_letters_are_counted_in_one_pass(monkeypatch):
     monkeypatch.setattr(text, "LETTER_BYTES", 16)
     got = text.count_letters(pa.array(["skipped", *texts]).slice(1))
     assert got.tolist() == [[t.count(c) for c in text.LETTERS] for t in texts]
+
+
+ODD = ["", None, " lead and  trail ", "tab\tnew\nline\x0bx\x1cy\x85z\xa0end", "ÀÉ straße ΑΣ 日本語テキスト 😀b", "abcdefghijklm " * 400, "one"]
+
+
+def test_terms_hash_as_in_spark_ml():
+    import pyarrow as pa
+
+    from groundwire.functions.terms import hash_terms
+
+    terms = ["", "a", "ab", "abc", "abcd", "abcde", "żółw", "日本語テキスト", "😀b", "x" * 37]
+    for dim in (1024, 1000):
+        slot = HashingTF(numFeatures=dim).indexOf
+        hashed = hash_terms(pa.array(["skipped", *terms], pa.large_string())[1:])
+        assert (hashed % dim).tolist() == [slot(t) for t in terms]
+    assert hash_terms(pa.array([], pa.large_string())).tolist() == []
+
+
+def test_batches_give_the_vectors_of_the_stages(spark):
+    """Without the stages, whose functions take a row at a time; a model of other stages is applied as it is."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    chunks = spark.createDataFrame([(str(n), t) for n, t in enumerate(ODD)], "chunk_id string, text string")
+    model = ingestion.fit_embedder(chunks)
+    fast = ingestion.embed_chunks(chunks, model)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDF(" not in plan.replace("unit(", "")
+    staged = model.transform(chunks).select("chunk_id", vector_to_array("_unit", "float32").alias("embedding"))
+    other = ingestion.embed_chunks(chunks, PipelineModel(model.stages[:3] + [model.stages[3].copy({model.stages[3].p: 1.0})]))
+    got, want, third = ({r.chunk_id: r.embedding for r in df.collect()} for df in (fast, staged, other))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+    assert all(sum(third[k]) == pytest.approx(1.0, abs=1e-5) for k in third)
+
+
+def test_words_are_cut_at_every_whitespace_and_no_other(spark):
+    from groundwire.functions.text import WHITESPACE_CHARS, words
+
+    texts = [*ODD, WHITESPACE_CHARS, WHITESPACE_CHARS.join("abcdefgh"), "a\u180eb\u200bc\ufeffd\u0000e", "x\u2007y"]
+    df = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "uri string, text string")
+    got = {r.uri: r.text for r in ingestion.chunk_documents(df, 500).filter("ordinal = 0").collect()}
+    want = {r.uri: " ".join(r.w) for r in df.select("uri", words(F.coalesce("text", F.lit(""))).alias("w")).collect() if r.w}
+    assert got == want
+    broken = df.limit(1).select("uri", F.expr("cast(x'61ff2062' as string)").alias("text"))
+    assert [r.n_tokens for r in ingestion.chunk_documents(broken).collect()] == [2]
