@@ -176,9 +176,9 @@ def two_ingests(spark, sf_dir):
   SELECT chunk_id, uri, source, ordinal, text, n_tokens, true AS embedded FROM chunks""")
 def ingest_twice(spark, sf_dir):
     path, _ = two_ingests(spark, sf_dir)
-    return chunk_store.read_chunks(spark, path).select(
-        "chunk_id", "uri", "source", "ordinal", "text", "n_tokens",
-        ((F.size("embedding") == ingestion.VECTOR_DIM) & F.exists("embedding", lambda x: x > 0)).alias("embedded"),
+    embedded = (F.size("embedding") == ingestion.VECTOR_DIM) & F.exists("embedding", lambda x: x > 0)
+    return chunk_store.read_chunks(spark, path, embedded=embedded).select(
+        "chunk_id", "uri", "source", "ordinal", "text", "n_tokens", "embedded"
     )
 
 

@@ -223,3 +223,16 @@ def test_an_ingest_writes_its_texts_once(spark, tmp_path, monkeypatch):
     again = ingestion.ingest_knowledge(documents(spark, range(20), 5), path, letter_embedder).first()
     assert (again.documents, again.chunks, again.tokens) == (0, 0, 0) and rows_of(spark, path) == kept
     assert {r.version for r in chunk_store.Store(spark, path).versions().filter("version > 1").collect()} == {5}
+
+
+def test_columns_of_vectors_are_found_where_they_lie(spark, tmp_path):
+    """Only they move to the comparison of versions, not the vectors, beside a snapshot too."""
+    path = str(tmp_path / "store")
+    for version in (1, 2):
+        ingestion.ingest_knowledge(documents(spark, range(20), version, version), path, letter_embedder)
+        read = chunk_store.read_chunks(spark, path, size=F.size("embedding")).select("uri", "size")
+        assert sorted((r.uri, r.size) for r in read.collect()) == sorted((f"s3://d/{n}", 26) for n in range(20))
+        shuffled = read._jdf.queryExecution().executedPlan().toString()
+        aggregates = [x for x in shuffled.split("\n") if "Aggregate" in x and "first" in x]
+        assert aggregates and not any("embedding" in x for x in aggregates)
+        chunk_store.merge_versions(spark, path)
