@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from groundwire.llm.common import give_back, small_batches
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+CHUNK = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 #: Characters of distinct chunks a task remembers; about 100 bytes of memory each chunk of ten.
 TABLE_CHARS = 4_000_000
 #: Characters of text cut into chunks at once.
@@ -44,16 +44,20 @@ def load(model: bytes):
 
 
 def cut(text: str) -> list[str]:
-    """The chunks of a text, the marker that the library puts before it included."""
-    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The chunks of a text, each without its first marker. Where every marker stands alone, the blanks part them."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or MARK in text:
+        return CHUNK.findall(MARK + text.replace(" ", MARK))
+    return text.split(" ")
 
 
 def segment(processor, chunks: list[str]) -> list[list[int]]:
-    """The ids of each chunk. The library puts a marker before what it is given, so it gets all but the first
-    one; it adds none to an empty text, so a lone marker is looked up."""
-    found = processor.encode([c[1:] for c in chunks], num_threads=1)
+    """The ids of each chunk. The library puts the first marker before what it is given; it adds none to an empty
+    text, so a lone marker is looked up."""
+    found = processor.encode(chunks, num_threads=1)
     alone = [processor.piece_to_id(MARK)]
-    return [ids if chunk != MARK else alone for chunk, ids in zip(chunks, found)]
+    return [ids if chunk else alone for chunk, ids in zip(chunks, found)]
 
 
 def check_model(model: bytes) -> None:
@@ -69,6 +73,11 @@ def check_model(model: bytes) -> None:
             raise ValueError(f"the model does not encode {probe!r} chunk by chunk")
 
 
+def _chars(chunks: Collection[str]) -> int:
+    """Characters of the chunks, their first markers included."""
+    return len(chunks) + sum(map(len, chunks))
+
+
 class ChunkTable:
     """Distinct chunks and their ids, packed as 32-bit integers."""
 
@@ -82,7 +91,7 @@ class ChunkTable:
         placed = [cut(t) for t in texts]
         distinct = set().union(*placed)
         new = distinct.difference(self.ids)
-        if self.held and self.held + sum(map(len, new)) > self.chars:
+        if self.held and self.held + _chars(new) > self.chars:
             self.ids, self.held = {}, 0
             new = distinct
         self._segment(list(new))
@@ -96,7 +105,7 @@ class ChunkTable:
         packed = array("i", chain.from_iterable(found)).tobytes()
         ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
         self.ids.update(zip(chunks, (packed[a:b] for a, b in zip([0, *ends], ends))))
-        self.held += sum(map(len, chunks))
+        self.held += _chars(chunks)
         self.segmented += len(chunks)
 
 
@@ -138,6 +147,14 @@ def encode(df: DataFrame, text: str, model: str, name: str = "ids") -> DataFrame
     return df.withColumn(name, ids_of(F.coalesce(F.col(text), F.lit(""))))
 
 
+def id_lists(rows: pa.Array) -> Iterator[list[int] | None]:
+    """The ids of each row, a null row's are None. A row's values become numbers at once: a scalar object for each
+    id took several times what the library takes to decode them."""
+    ends, values = rows.offsets.to_numpy(), rows.values.to_numpy()
+    for there, a, b in zip(rows.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+        yield values[a:b].tolist() if there else None
+
+
 def decode(df: DataFrame, ids: str, model: str, name: str = "decoded") -> DataFrame:
     """Add ``name``: the text the library's decode gives for ``ids``."""
     shared = _shared(df, model)
@@ -146,7 +163,7 @@ def decode(df: DataFrame, ids: str, model: str, name: str = "decoded") -> DataFr
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = load(shared.value)
         for batch in batches:
-            yield pa.array([None if row is None else processor.decode(row) if row else "" for row in (x.as_py() for x in batch)], pa.string())
+            yield pa.array([None if row is None else processor.decode(row) if row else "" for row in id_lists(batch)], pa.string())
         processor = None
         give_back()
 

@@ -1,10 +1,13 @@
 """Chunk-wise segmentation against the library on whole texts."""
 
 import hashlib
+import random
+import time
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +69,37 @@ def test_a_model_with_crossing_pieces_is_refused():
         model = file.read()
     with pytest.raises(ValueError, match="crosses"):
         sentence_pieces.check_model(model.replace("▁there".encode(), "there▁".encode()))
+
+
+def test_blanks_and_markers_in_any_order(library):
+    with open(MODEL, "rb") as file:
+        table = sentence_pieces.ChunkTable(file.read())
+    draw = random.Random(13)
+    texts = ["".join(draw.choices([" ", "▁", "a", "the", "\n", "é", "　"], k=draw.randint(0, 12))) for _ in range(3_000)]
+    for text, packed in zip(texts, table.encode(texts), strict=True):
+        assert np.frombuffer(packed, "i4").tolist() == library.encode(text), repr(text)
+
+
+def test_rows_of_ids():
+    rows = [[5, 300], None, [], [31_999, 0, 7]]
+    for kind in (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.large_list(pa.int32())):
+        given = pa.array(rows, kind)
+        assert list(sentence_pieces.id_lists(given)) == rows
+        assert list(sentence_pieces.id_lists(given[1:])) == rows[1:] and list(sentence_pieces.id_lists(given[:0])) == []
+
+
+def test_reading_ids_costs_less_than_decoding_them_twice(library):
+    ids = library.encode(" ".join(f"word{n % 911} and then some" for n in range(5_000)))
+    rows = pa.array([ids] * 10, pa.list_(pa.int32()))
+
+    def seconds(work):
+        spent = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    read = seconds(lambda: list(sentence_pieces.id_lists(rows)))
+    decoded = seconds(lambda: [library.decode(ids) for _ in range(10)])
+    assert read < 2 * decoded, (read, decoded)
